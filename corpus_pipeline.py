@@ -1,18 +1,58 @@
-"""Corpus pipeline: documents through the stages below, each written as Parquet and reread as the next one's input."""
+"""Corpus pipeline: documents through the stages below, each written as Parquet and reread as the next one's input.
+
+Every stage applies one operator of quirelake.llm to all that its predecessor kept, and its verdict takes effect: the
+classifier, near-dedup and decontamination drop rows, substring dedup shortens texts (a text that loses all its words
+goes), packing returns the pieces. Stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quirelake.llm.common import written
+from quirelake.llm.common import sized, written
+from quirelake.llm.decontaminate import decontaminate
+from quirelake.llm.near_dedup import cluster
 from quirelake.llm.packing import pack
+from quirelake.llm.quality_classifier import classify
+from quirelake.llm.substring_dedup import deduplicate
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    return classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of each near-duplicate group that has the smallest id; of rows that repeat an id, one."""
+    gone = written(cluster(docs).where("not kept and doc_id is not null").select("doc_id").distinct())
+    return docs.join(sized(gone), "doc_id", "left_anti").select(docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the sentences that repeat an earlier span; n_chars follows the text."""
+    short = deduplicate(docs).where("kept")
+    return short.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("kept").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents in sequences."""
     return pack(docs)
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("quality classifier", quality),
+    ("MinHash near-dedup", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_leaks),
+    ("packing", packed),
+]
+#: Tokenisation and similarity by sketches have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

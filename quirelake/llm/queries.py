@@ -27,6 +27,37 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirelake.llm.substring_dedup import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirelake.llm.decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "kept", "item_id", "overlap", "n_items")
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirelake.llm.near_dedup import cluster
+
+    return cluster(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirelake.llm.quality_rules import rate
+
+    return rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirelake.llm.quality_classifier import classify
+
+    judged = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "evidence", "site_posterior", "posterior", "kept")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirelake.llm.packing import pack
 
@@ -34,7 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_extraction, op2_license_scan, op3_sharding, op10_packing)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_license_scan, op3_sharding, op4_substring_dedup, op5_decontamination, op6_near_dedup, op8_quality_rules, op9_quality_classifier, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
