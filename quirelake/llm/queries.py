@@ -45,6 +45,12 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirelake.llm.katz_lm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirelake.llm.quality_rules import rate
 
@@ -65,7 +71,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_extraction, op2_license_scan, op3_sharding, op4_substring_dedup, op5_decontamination, op6_near_dedup, op8_quality_rules, op9_quality_classifier, op10_packing)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_license_scan, op3_sharding, op4_substring_dedup, op5_decontamination, op6_near_dedup, op7_lm_scoring, op8_quality_rules, op9_quality_classifier, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
