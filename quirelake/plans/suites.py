@@ -1 +1,303 @@
-"""Query suites."""
+"""Queries over the given tables, each with DuckDB SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quirelake.functions import numerals as N
+from quirelake.functions import text as T
+from quirelake.operators import audits as A
+from quirelake.operators import evaluation as E
+from quirelake.operators import names as M
+from quirelake.operators import sequences as S
+from quirelake.operators import snapshots as P
+from quirelake.plans.registry import query
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.paragraphs(table(spark, sf_dir, "documents"))
+
+
+#: Lines of documents in SQL.
+LINES = r"""lines AS (SELECT doc_id, i - 1 AS para_idx, l[i] AS text FROM (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS l FROM documents WHERE text IS NOT NULL), generate_series(1, len(l)) AS g(i))"""
+#: Canonical fragment of a line in SQL.
+FRAGMENT = rf"""replace(lower(regexp_replace(regexp_replace(text, '(?i){T.LIST_MARKER}', ''), '[^\p{{L}}\p{{N}}]', '', 'g')), 'ß', 'ss')"""
+
+
+@query(f"WITH {LINES} SELECT doc_id, para_idx, text FROM lines")
+def text_paragraphs(spark, sf_dir):
+    return lines(spark, sf_dir)
+
+
+@query(r"""SELECT doc_id, CASE WHEN length(text) - length(regexp_replace(text, '[\x{3400}-\x{9FFF}]', '', 'g')) >= greatest(2, (length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g'))) // 4) THEN 'zh' ELSE 'en' END AS language FROM documents""")
+def detect_language(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.detect_language(F.col("text")).alias("language"))
+
+
+@query(rf"""WITH {LINES} SELECT doc_id, sum(CASE WHEN trim(text) <> '' AND (regexp_matches(text, '[。！？!?]\s*$') OR (regexp_matches(text, '\.\s*$') AND len(string_split_regex(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+')) >= 6) OR regexp_matches(lower(text), '^\s*([0-9]+(\.[0-9]+)*[.、．)）]|[a-z][.)）] |[ivx]+\. |[（(][a-z]{{1,4}}[）)]|part +[ivx0-9]+)')) THEN 1 ELSE 0 END)::BIGINT AS body_lines, count(*) AS n_lines FROM lines GROUP BY doc_id""")
+def body_lines(spark, sf_dir):
+    return lines(spark, sf_dir).groupBy("doc_id").agg(F.count_if(T.starts_body(F.col("text"))).alias("body_lines"), F.count("*").alias("n_lines"))
+
+
+@query(rf"""WITH {LINES} SELECT doc_id, sha256(string_agg({FRAGMENT}, '' ORDER BY para_idx)) AS fingerprint FROM lines GROUP BY doc_id""")
+def document_fingerprint(spark, sf_dir):
+    return A.document_fingerprint(table(spark, sf_dir, "documents"))
+
+
+@query(rf"""WITH {LINES}, f AS (SELECT doc_id, sha256(string_agg({FRAGMENT}, '' ORDER BY para_idx)) AS fingerprint, count(*) AS n_lines FROM lines GROUP BY doc_id) SELECT fingerprint, min(doc_id) AS first_doc, count(*) AS n, sum(n_lines)::BIGINT AS n_lines FROM f GROUP BY fingerprint HAVING count(*) > 1""")
+def canonical_copies(spark, sf_dir):
+    p = lines(spark, sf_dir).where(T.label_value(F.col("text")).isNull())
+    parts = F.array_sort(F.collect_list(F.struct("para_idx", T.canonical_fragment(F.col("text")).alias("f"))))
+    f = p.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(parts, lambda x: x.f), "").cast("binary"), 256).alias("fingerprint"), F.count("*").alias("n_lines"))
+    return f.groupBy("fingerprint").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), F.sum("n_lines").alias("n_lines")).where("n > 1")
+
+
+@query(r"""SELECT doc_id, sha256(replace(lower(regexp_replace(translate(text, '（）：', '():'), '[\s\x{00A0}]', '', 'g')), 'ß', 'ss')) AS signature FROM documents WHERE text IS NOT NULL""")
+def visible_signature(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2(T.visible_signature(F.col("text")).cast("binary"), 256).alias("signature"))
+
+
+@query(rf"""WITH {LINES}, c AS (SELECT doc_id, para_idx, length(text) AS n, length(text) - length(regexp_replace(text, '[\x{{3000}}-\x{{9FFF}}\x{{FF00}}-\x{{FFEF}}]', '', 'g')) AS cjk, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS up, length(text) - length(regexp_replace(text, '[.,:;''!|il ]', '', 'g')) AS light, length(text) - length(replace(text, chr(9), '')) AS tabs FROM lines) SELECT doc_id, para_idx, round(cjk * 1.0 + up * 0.7 + light * 0.3 + tabs * 2.0 + (n - cjk - up - light - tabs) * 0.5, 1)::DOUBLE AS width FROM c""")
+def line_widths(spark, sf_dir):
+    return lines(spark, sf_dir).select("doc_id", "para_idx", T.width_em(F.col("text")).cast("double").alias("width"))
+
+
+@query(rf"""WITH {LINES} SELECT doc_id, para_idx, rule FROM (SELECT doc_id, para_idx, 'personal-email-review' AS rule, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\.[A-Za-z]{{2,}})', 1)) AS d FROM lines) WHERE lower(d) NOT IN ('example.com', 'example.org', 'example.net', 'example.invalid', 'users.noreply.github.com')
+UNION ALL SELECT doc_id, para_idx, 'aws-access-key' FROM lines WHERE regexp_matches(text, '\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b') UNION ALL SELECT doc_id, para_idx, 'github-token' FROM lines WHERE regexp_matches(text, 'gh[pousr]_[A-Za-z0-9]{{20,}}|github_pat_[A-Za-z0-9_]{{30,}}') UNION ALL SELECT doc_id, para_idx, 'api-key' FROM lines WHERE regexp_matches(text, '\bsk-(?:proj-)?[A-Za-z0-9_-]{{24,}}')
+UNION ALL SELECT doc_id, para_idx, 'private-key' FROM lines WHERE regexp_matches(text, '-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----') UNION ALL SELECT doc_id, para_idx, 'jwt' FROM lines WHERE regexp_matches(text, '\beyJ[A-Za-z0-9_-]{{12,}}\.[A-Za-z0-9_-]{{12,}}\.[A-Za-z0-9_-]{{12,}}') UNION ALL SELECT doc_id, para_idx, 'credential-url' FROM lines WHERE regexp_matches(text, '(?i)(?:https?|postgres(?:ql)?|mysql|redis)://[^\s/:]+:[^\s/@]+@')
+UNION ALL SELECT doc_id, para_idx, 'personal-path' FROM lines WHERE regexp_matches(text, '/(?:Users|home)/[A-Za-z0-9._-]+/|[A-Za-z]:[\\/]Users[\\/][A-Za-z0-9._-]+[\\/]')
+UNION ALL SELECT doc_id, para_idx, 'literal-credential-review' FROM (SELECT doc_id, para_idx, unnest(regexp_extract_all(text, '(?i)\b(?:api[_-]?key|access[_-]?token|auth[_-]?token|password|passwd|client[_-]?secret)\b\s*[=:]\s*["'']([^"''\n]{{8,}})["'']', 1)) AS v FROM lines) WHERE NOT regexp_matches(v, '(?i)example|placeholder|change.?me|your[_ -]|dummy|test|process\.env|os\.environ|\$\{{|/path/to')""")
+def secret_scan(spark, sf_dir):
+    return A.secret_scan(lines(spark, sf_dir), ["doc_id", "para_idx"])
+
+
+@query(r"""SELECT doc_id, NOT regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]') AS valid, substr(regexp_replace(regexp_replace(substr(text, 1, 60), '[\\/:*?"<>|\x00-\x1f]', '-', 'g'), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g'), 1, 180) AS file_name FROM documents WHERE text IS NOT NULL""")
+def xml_text_and_filenames(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return docs.select("doc_id", T.valid_xml_text(F.col("text")).alias("valid"), T.safe_filename(F.substring("text", 1, 60)).alias("file_name"))
+
+
+@query(r"""SELECT conv_id, turn, previous FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations WHERE (conv_id * 7 + turn * 3) % 5 <> 0) WHERE turn <> previous + 1""")
+def numbering_gaps(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("(conv_id * 7 + turn * 3) % 5 <> 0")
+    items = c.select("conv_id", "turn", F.lit(0).alias("level"), F.lit("decimal").alias("family"), F.col("turn").alias("value"))
+    return S.sequence_issues(items, ["conv_id"], "turn").select("conv_id", "turn", "previous")
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN nxt IS NULL THEN '。' WHEN nxt > level THEN '：' ELSE '；' END AS ending FROM (SELECT conv_id, turn, level, lead(level) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM (SELECT *, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS level FROM conversations))""")
+def clause_endings(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", 0).otherwise(1).alias("level"))
+    return S.plan_endings(c, ["conv_id"], "turn", "level").select("conv_id", "turn", "ending")
+
+
+@query(r"""SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def latest_wins(spark, sf_dir):
+    return S.latest_wins(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query(r"""WITH s AS (SELECT user_id, event_id, ts, sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'error' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM events) SELECT user_id, event_id, (s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)))::BIGINT AS depth FROM s""")
+def quote_depth(spark, sf_dir):
+    step = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).otherwise(0)
+    return S.quote_depth(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], step).select("user_id", "event_id", "depth")
+
+
+@query(r"""SELECT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey) AS number FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_partkey, l_suppkey FROM lineitem)""")
+def list_labels(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_suppkey").distinct().withColumns({"level": F.lit(0), "pos": F.struct("l_linenumber", "l_partkey", "l_suppkey")})
+    return S.list_labels(li, ["l_orderkey"], "pos", "l_returnflag", "level").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("number").cast("long").alias("number"))
+
+
+@query(r"""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_token FROM conversations""")
+def previous_tokens(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("token", F.when(F.col("role") == "user", F.col("turn")))
+    return S.roman_context(c, ["conv_id"], "turn", "token").select("conv_id", "turn", "previous_token")
+
+
+@query(r"""SELECT s_suppkey, CASE WHEN r_name IS NULL THEN 'unknown' ELSE 'resolved' END AS status, n_nationkey AS id, n_name AS display FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN lower(n_name) WHEN s_suppkey % 3 = 1 THEN '  ' || n_name ELSE n_name || '?' END AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey) s LEFT JOIN (SELECT n_nationkey, n_name, lower(n_name) AS r_name FROM nation) ON r_name = lower(trim(name))""")
+def resolve_names(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    s = table(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 nations
+    k = F.col("s_suppkey") % 3
+    names = s.select("s_suppkey", F.when(k == 0, F.lower("n_name")).when(k == 1, F.concat(F.lit("  "), "n_name")).otherwise(F.concat("n_name", F.lit("?"))).alias("name"))
+    index = M.name_index(nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("display")), ["display"])
+    return M.resolve_names(names, index).select("s_suppkey", "status", "id", "display")
+
+
+@query(r"""SELECT c_mktsegment, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) = 1""")
+def dedupe_names(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("id", F.col("c_nationkey"))
+    return M.dedupe_names(c, ["c_mktsegment"], "c_custkey").select("c_mktsegment", "c_custkey")
+
+
+@query(r"""SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY lower(n_name), n_nationkey) AS names FROM nation GROUP BY n_regionkey""")
+def sort_names(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").withColumn("k", F.lower("n_name"))
+    return M.sort_names(n, ["n_regionkey"], "k", "n_nationkey", "n_name")
+
+
+def _after(p: DataFrame) -> DataFrame:
+    """The lines after made-up edits: some gone, some longer, some new."""
+    k = (F.col("doc_id") * 31 + F.col("para_idx") * 17) % 11
+    edited = p.where(k != 0).withColumn("text", F.when(k == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return edited.union(p.where(k == 2).select("doc_id", (F.col("para_idx") + 100000).alias("para_idx"), "text"))
+
+
+_AFTER = "k AS (SELECT *, (doc_id * 31 + para_idx * 17) % 11 AS k FROM lines), af AS (SELECT doc_id, para_idx, CASE WHEN k = 1 THEN text || '!' ELSE text END AS text FROM k WHERE k <> 0 UNION ALL SELECT doc_id, para_idx + 100000, text FROM k WHERE k = 2)"
+
+
+@query(f"""WITH {LINES}, {_AFTER} SELECT kind, count(*) AS n FROM (SELECT CASE WHEN b.doc_id IS NULL THEN 'created' WHEN a.doc_id IS NULL THEN 'removed' WHEN a.text = b.text THEN 'unchanged' ELSE 'changed' END AS kind FROM lines b FULL JOIN af a ON a.doc_id = b.doc_id AND a.para_idx = b.para_idx) GROUP BY kind""")
+def snapshot_diff(spark, sf_dir):
+    p = lines(spark, sf_dir)
+    return P.snapshot_diff(p, _after(p), ["doc_id", "para_idx"], "text").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {LINES}, {_AFTER}, c AS (SELECT text, sum(n) AS n FROM (SELECT text, 1 AS n FROM lines UNION ALL SELECT text, -1 FROM af) GROUP BY text HAVING sum(n) <> 0) SELECT text, greatest(n, 0)::BIGINT AS n_missing, greatest(-n, 0)::BIGINT AS n_added FROM c""")
+def multiset_diff(spark, sf_dir):
+    p = lines(spark, sf_dir)
+    return P.multiset_diff(p, _after(p), ["text"])
+
+
+@query(r"""SELECT l_orderkey, l_linenumber FROM (SELECT *, lag(q) OVER (PARTITION BY l_orderkey ORDER BY p) AS last FROM (SELECT l_orderkey, l_linenumber, l_linenumber AS p, (min(l_partkey) % 10) * 100 + l_linenumber AS q FROM lineitem GROUP BY l_orderkey, l_linenumber)) WHERE q < last""")
+def order_preserved(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    li = li.select("l_orderkey", "l_linenumber", ((F.col("l_partkey") % 10) * 100 + F.col("l_linenumber")).alias("pos2"))
+    before = li.select("l_orderkey", "l_linenumber", F.col("l_linenumber").alias("pos"))
+    return P.order_broken(before, li.withColumnRenamed("pos2", "pos"), "l_orderkey", "l_linenumber", "pos")
+
+
+@query(r"""SELECT lower(o_orderpriority || '-' || (o_custkey % 100)) AS output, count(*) AS inputs FROM orders GROUP BY 1 HAVING count(*) > 1""")
+def output_collisions(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return P.output_collisions(o.select(F.concat("o_orderpriority", F.lit("-"), (F.col("o_custkey") % 100).cast("string")).alias("output")))
+
+
+@query(r"""WITH a AS (SELECT 'doc/' || doc_id AS path, sha256(text) AS h FROM documents WHERE doc_id % 9 <> 0), b AS (SELECT 'doc/' || doc_id AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 8 <> 0) SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'missing' WHEN a.path IS NULL THEN 'extra' ELSE 'changed' END AS finding FROM a FULL JOIN b ON a.path = b.path WHERE a.h IS DISTINCT FROM b.h""")
+def manifest_verify(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
+    a = P.file_manifest(d.where("doc_id % 9 <> 0"), path, F.col("text").cast("binary"))
+    b = P.file_manifest(d.where("doc_id % 8 <> 0"), path, F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary"))
+    return P.manifest_verify(a, b)
+
+
+@query(r"""SELECT 'quality' AS field, count(*) AS paired, count(*) FILTER (WHERE l.quality = d.q) AS equal, ((SELECT count(*) FROM documents) - count(*)) AS unpaired FROM labels l JOIN (SELECT doc_id, CASE WHEN regexp_matches(text, '###|!!') THEN 0 ELSE 1 END AS q FROM documents) d USING (doc_id)""")
+def parity(spark, sf_dir):
+    rule = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").rlike("###|!!"), 0).otherwise(1).alias("quality"))
+    return P.parity(table(spark, sf_dir, "labels"), rule, ["doc_id"], ["quality"])
+
+
+@query(r"""SELECT page_id, tag, n FROM (SELECT page_id, tag, len(regexp_extract_all(html, '<' || tag || '[ >]'))::BIGINT AS n FROM pages, (VALUES ('p'), ('li'), ('a'), ('b'), ('h1'), ('table')) t(tag)) WHERE n > 0""")
+def structure_counts(spark, sf_dir):
+    return P.structure_counts(table(spark, sf_dir, "pages"), "page_id", F.col("html"), ["p", "li", "a", "b", "h1", "table"])
+
+
+@query(r"""WITH l AS (SELECT page_id, regexp_replace(unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)), '[?#].*$', '') AS target FROM pages), k AS (SELECT DISTINCT '/' || split_part(regexp_replace(url, '^https?://', ''), '/', 2) AS path FROM pages) SELECT target, count(*) AS links FROM l WHERE target LIKE '/%' AND target NOT IN (SELECT path FROM k) GROUP BY target""")
+def dangling_targets(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    known = pages.select(F.concat(F.lit("/"), F.split_part(F.regexp_replace("url", "^https?://", ""), F.lit("/"), F.lit(2))).alias("path"))
+    return A.dangling_targets(A.link_targets(pages), known)
+
+
+@query(r"""SELECT path, CASE WHEN path LIKE '%/dist/%' THEN 'generated' ELSE 'forbidden' END AS finding FROM (SELECT regexp_replace(url, '^https?://[^/]*', '') || CASE WHEN page_id % 5 = 0 THEN '/dist/x.js' WHEN page_id % 5 = 1 THEN '/key.PEM' ELSE '/x.txt' END AS path, page_id FROM pages) WHERE page_id % 5 < 2""")
+def path_audit(spark, sf_dir):
+    k = F.col("page_id") % 5
+    files = table(spark, sf_dir, "pages").select(F.concat(F.regexp_replace("url", "^https?://[^/]*", ""), F.when(k == 0, "/dist/x.js").when(k == 1, "/key.PEM").otherwise("/x.txt")).alias("path"))
+    return A.path_audit(files)
+
+
+@query(r"""SELECT p_partkey, max_by(v, length(v)) AS phrase FROM part JOIN (SELECT DISTINCT p_name AS v FROM part WHERE p_partkey < 50 UNION SELECT split_part(p_name, ' ', 1) FROM part WHERE p_partkey < 50) ON starts_with(p_name, v) AND split_part(v, ' ', 1) = split_part(p_name, ' ', 1) GROUP BY p_partkey""")
+def prefix_join(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    few = part.where("p_partkey < 50")
+    vocabulary = few.select(F.col("p_name").alias("v")).union(few.select(F.split_part("p_name", F.lit(" "), F.lit(1)))).distinct()
+    return A.prefix_join(part, vocabulary, "p_name", "v", ["p_partkey"])
+
+
+@query(r"""SELECT o_orderstatus, round(avg(e), 2) AS mean_excess, round(max(e), 2) AS max_excess, count(*) FILTER (WHERE blocked) AS blocked FROM (SELECT o_orderstatus, s - base + CASE WHEN blocked THEN 100 ELSE 0 END AS e, blocked FROM (SELECT o_custkey, o_orderstatus, round((o_orderkey % 7) * 50.0 + (o_orderkey % 5) * 2.0 + (o_orderkey % 3) * 0.2, 1)::DOUBLE AS s, o_orderkey % 13 = 0 AS blocked FROM orders WHERE o_orderstatus <> 'F') JOIN (SELECT o_custkey, max(round((o_orderkey % 7) * 50.0 + (o_orderkey % 5) * 2.0 + (o_orderkey % 3) * 0.2, 1)::DOUBLE) AS base FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) USING (o_custkey)) GROUP BY o_orderstatus""")
+def excess_error(spark, sf_dir):
+    k = F.col("o_orderkey")
+    scores = E.weighted_score(table(spark, sf_dir, "orders").withColumns({"content": k % 7, "ws": k % 5, "char": k % 3}), {"content": 50.0, "ws": 2.0, "char": 0.2})
+    return E.excess_error(scores, "o_custkey", "o_orderstatus", "F", k % 13 == 0)
+
+
+@query(r"""SELECT event_type, n, examples FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1) JOIN (SELECT event_type, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS examples FROM (SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id) <= 6) GROUP BY 1) USING (event_type)""")
+def diff_rollup(spark, sf_dir):
+    return E.diff_rollup(table(spark, sf_dir, "events").select("event_type", "event_id"), "event_type", [F.col("event_id")], 6, "event_id")
+
+
+@query(r"""SELECT l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m') AS d, count(*) AS n, min(l_orderkey) AS example FROM lineitem GROUP BY 1, 2, 3""")
+def value_pair_counts(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("d", F.date_format("l_shipdate", "yyyy-MM"))
+    return E.value_pair_counts(li, "l_returnflag", "l_linestatus", "d", "l_orderkey")
+
+
+@query(r"""SELECT o_orderpriority, CASE WHEN o_totalprice > 150000 THEN 'OK' ELSE 'FAILED' END AS status, count(*) AS n FROM orders GROUP BY ROLLUP (1, 2)""")
+def batch_ledger(spark, sf_dir):
+    return E.batch_ledger(table(spark, sf_dir, "orders"), "o_orderpriority", F.col("o_totalprice") > 150000)
+
+
+@query(r"""SELECT o_orderkey, CASE WHEN e IS NULL THEN 'not_run' WHEN e > 0 THEN 'failed' ELSE 'checked' END AS status, coalesce(e, 0) AS errors, coalesce(w, 0) AS warnings FROM orders LEFT JOIN (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'R') AS e, count(*) FILTER (WHERE l_returnflag = 'A') AS w FROM lineitem WHERE l_quantity > 25 GROUP BY 1) ON o_orderkey = l_orderkey""")
+def diagnostic_report(spark, sf_dir):
+    f = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_returnflag") == "R", "error").when(F.col("l_returnflag") == "A", "warning").otherwise("pass").alias("status"))
+    return E.diagnostic_report(table(spark, sf_dir, "orders"), f, "o_orderkey")
+
+
+@query(r"""SELECT user_id, string_agg(event_type, ';' ORDER BY i, event_type) AS notes FROM (SELECT user_id, event_type, min(event_id) AS i FROM events GROUP BY 1, 2) GROUP BY user_id""")
+def edit_summary(spark, sf_dir):
+    return E.edit_summary(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
+
+
+@query(r"""SELECT p_partkey, p_size, CASE WHEN p_partkey % 4 = 0 AND p_size BETWEEN 1 AND 99 THEN p_size::VARCHAR || '.' WHEN p_partkey % 4 = 1 AND p_size BETWEEN 1 AND 26 THEN '(' || chr(96 + p_size) || ')' END AS marker, CASE WHEN p_partkey % 4 = 0 AND p_size BETWEEN 1 AND 99 THEN 'decimal' WHEN p_partkey % 4 = 1 AND p_size BETWEEN 1 AND 26 THEN 'letter' END AS family, CASE WHEN p_partkey % 4 = 0 AND p_size BETWEEN 1 AND 99 OR p_partkey % 4 = 1 AND p_size BETWEEN 1 AND 26 THEN p_size END AS value FROM part WHERE p_partkey % 4 < 2""")
+def markers(spark, sf_dir):
+    k, size = F.col("p_partkey") % 4, F.col("p_size")
+    df = table(spark, sf_dir, "part").where(k < 2).withColumn("marker", F.when(k == 0, N.marker_text("en", 0, size)).otherwise(N.marker_text("en", 1, size)))
+    m = N.marker_of(F.concat("marker", F.lit(" "), "p_name"))
+    return df.select("p_partkey", "p_size", "marker", m["family"].alias("family"), m["value"].alias("value"))
+
+
+@query(r"""SELECT c_nationkey, bool_and(c_acctbal > 0) AS uniform, count(*) FILTER (WHERE c_acctbal > 0) AS marked, count(*) AS runs FROM customer GROUP BY 1""")
+def uniform_damage(spark, sf_dir):
+    return A.uniform_damage(table(spark, sf_dir, "customer"), "c_nationkey", F.col("c_acctbal") > 0)
+
+
+@query(r"""SELECT l_orderkey, sum((l_discount > 0.05)::INT + (l_tax > 0.04)::INT + (l_quantity > 40)::INT)::BIGINT AS noise FROM lineitem GROUP BY 1""")
+def noise_count(spark, sf_dir):
+    return A.noise_count(table(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.col("l_discount") > 0.05, F.col("l_tax") > 0.04, F.col("l_quantity") > 40])
+
+
+@query(r"""SELECT c_custkey AS doc_id, field FROM (SELECT c_custkey, c_mktsegment AS doc_type, CASE WHEN c_acctbal < 0 THEN '' ELSE c_name END AS name, CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey::VARCHAR END AS nation FROM customer) c, (VALUES ('BUILDING', 'name'), ('BUILDING', 'nation'), ('MACHINERY', 'nation')) r(t, field) WHERE doc_type = t AND (CASE WHEN field = 'name' THEN name ELSE nation END IS NULL OR CASE WHEN field = 'name' THEN name ELSE nation END = '')""")
+def missing_fields(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    models = c.select(F.col("c_custkey").alias("doc_id"), F.col("c_mktsegment").alias("doc_type"), F.when(F.col("c_acctbal") < 0, "").otherwise(F.col("c_name")).alias("name"), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey").cast("string")).alias("nation"))
+    required = spark.createDataFrame([("BUILDING", "name"), ("BUILDING", "nation"), ("MACHINERY", "nation")], "doc_type string, field string")
+    return M.missing_fields(models, required, ["name", "nation"])
+
+
+@query(r"""WITH p AS (SELECT n_regionkey, n_nationkey, n_nationkey % 3 AS name, row_number() OVER (PARTITION BY n_regionkey, n_nationkey % 3 ORDER BY n_nationkey) AS n FROM nation), e AS (SELECT s_nationkey % 5 AS n_regionkey, s_suppkey, s_suppkey % 4 AS name, row_number() OVER (PARTITION BY s_nationkey % 5, s_suppkey % 4 ORDER BY s_suppkey) AS n FROM supplier) SELECT coalesce(p.n_regionkey, e.n_regionkey) AS n_regionkey, coalesce(p.name, e.name)::BIGINT AS name, p.n_nationkey AS party_pos, e.s_suppkey AS entry_pos FROM p FULL JOIN e ON p.n_regionkey = e.n_regionkey AND p.name = e.name AND p.n = e.n""")
+def match_parties(spark, sf_dir):
+    p = table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_nationkey").cast("long").alias("pos"), (F.col("n_nationkey") % 3).cast("long").alias("name"))
+    e = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).alias("n_regionkey"), F.col("s_suppkey").alias("pos"), (F.col("s_suppkey") % 4).alias("name"))
+    return M.match_parties(p, e, ["n_regionkey"], "name", "pos").select("n_regionkey", "name", "party_pos", "entry_pos")
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN has = 0 THEN 'numbered' WHEN has = n THEN 'kept' ELSE 'mixed' END AS status, CASE WHEN has = 0 THEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) END AS planned FROM (SELECT conv_id, turn, count(CASE WHEN conv_id % 3 = 0 OR conv_id % 3 = 1 AND turn % 2 = 0 THEN turn END) OVER (PARTITION BY conv_id) AS has, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)""")
+def statement_numbers(spark, sf_dir):
+    k = F.col("conv_id") % 3
+    c = table(spark, sf_dir, "conversations").withColumn("number", F.when((k == 0) | ((k == 1) & (F.col("turn") % 2 == 0)), F.col("turn")))
+    return S.statement_numbers(c, ["conv_id"], "turn", "number").select("conv_id", "turn", "status", F.col("planned").cast("long").alias("planned"))
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    """Lines of which some got a header label."""
+    k = F.col("doc_id") % 4
+    return lines(spark, sf_dir).withColumn("text", F.when((F.col("para_idx") < 2) & (k == 1), F.concat(F.lit("Topic: "), F.substring("text", 1, 12))).when((F.col("para_idx") == 0) & (k == 2), F.concat(F.lit("Committee： "), F.substring("text", 1, 12))).otherwise(F.col("text")))
+
+
+@query(rf"""WITH {LINES} SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'topic' ELSE 'committee' END AS field, count(*) AS lines, regexp_replace(arg_max(substr(text, 1, 12), para_idx), '^\s+|\s+$', '', 'g') AS value FROM lines WHERE (doc_id % 4 = 1 AND para_idx < 2) OR (doc_id % 4 = 2 AND para_idx = 0) GROUP BY 1, 2""")
+def header_fields(spark, sf_dir):
+    return S.header_fields(_labelled(spark, sf_dir))
