@@ -27,6 +27,8 @@ from quirelake.llm.common import sized, word_array, written
 FITTED = 20_000
 BINS = 16
 KEEP = 0.5
+#: Rows that every bin is taken to have had before the first.
+PRIOR = 0.25
 
 
 def features() -> dict[str, Column]:
@@ -71,7 +73,7 @@ def fit(docs: DataFrame, labels: DataFrame, fitted: int = FITTED) -> tuple[float
     for f in range(size):
         for b in range(BINS):
             g, n = next(((r.good, r.n) for r in seen if (r.f, r.b) == (f, b)), (0, 0))
-            table[f][b] = math.log((g + 1) / (good + BINS)) - math.log((n - g + 1) / (bad + BINS))
+            table[f][b] = math.log((g + PRIOR) / (good + PRIOR * BINS)) - math.log((n - g + PRIOR) / (bad + PRIOR * BINS))
     return math.log(good / bad), table
 
 
