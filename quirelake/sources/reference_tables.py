@@ -25,3 +25,16 @@ def gazetteer_problems(gazetteer: DataFrame) -> DataFrame:
     """Records without id or formal name, and ids that occur twice."""
     missing = gazetteer.where("id is null or formal_en is null or formal_en = ''").select("id", F.lit("missing").alias("problem"))
     return missing.union(gazetteer.where("id is not null").groupBy("id").count().where("count > 1").select("id", F.lit("duplicate").alias("problem")))
+
+
+def policy_tables(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(phrases: language, kind, phrase, rank; labels: field, alias, rank) of a policy JSON file.
+
+    The file has prefixes.<language>.<kind>: [phrase] and metadata.<field>.aliases: [label].
+    """
+    policy = spark.read.option("multiLine", True).json(path)
+    languages = {f.name: [g.name for g in f.dataType.fields] for f in policy.schema["prefixes"].dataType.fields}
+    phrases = [policy.select(F.lit(lang).alias("language"), F.lit(kind).alias("kind"), F.posexplode(f"prefixes.{lang}.{kind}").alias("rank", "phrase")) for lang, kinds in languages.items() for kind in kinds]
+    labels = [policy.select(F.lit(f.name).alias("field"), F.posexplode(f"metadata.`{f.name}`.aliases").alias("rank", "alias")) for f in policy.schema["metadata"].dataType.fields]
+    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].union(union(parts[1:]))
+    return union(phrases), union(labels)
