@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.functions import numerals as N
 from quirelake.functions import text as T
 from quirelake.operators import audits as A
 from quirelake.operators import evaluation as E
+from quirelake.operators import layout as L
 from quirelake.operators import names as M
 from quirelake.operators import sequences as S
 from quirelake.operators import snapshots as P
@@ -301,3 +302,34 @@ def _labelled(spark, sf_dir) -> DataFrame:
 @query(rf"""WITH {LINES} SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'topic' ELSE 'committee' END AS field, count(*) AS lines, regexp_replace(arg_max(substr(text, 1, 12), para_idx), '^\s+|\s+$', '', 'g') AS value FROM lines WHERE (doc_id % 4 = 1 AND para_idx < 2) OR (doc_id % 4 = 2 AND para_idx = 0) GROUP BY 1, 2""")
 def header_fields(spark, sf_dir):
     return S.header_fields(_labelled(spark, sf_dir))
+
+
+@query(f"""WITH {LINES}, k AS (SELECT *, (doc_id * 31 + para_idx * 17) % 11 AS k FROM lines) SELECT doc_id, para_idx::VARCHAR AS para_key, CASE WHEN k = 0 THEN 'unauthorised-removed' WHEN doc_id % 2 = 0 THEN 'wrong-ending' ELSE 'unauthorised-changed' END AS code FROM k WHERE k < 2 UNION ALL SELECT doc_id, (para_idx + 100000)::VARCHAR, 'unauthorised-created' FROM k WHERE k = 2""")
+def integrity_audit(spark, sf_dir):
+    p = lines(spark, sf_dir)
+    keyed = lambda df: df.select("doc_id", F.col("para_idx").cast("string").alias("para_key"), "text")
+    edits = p.where("(doc_id * 31 + para_idx * 17) % 11 = 1 and doc_id % 2 = 0").select("doc_id", F.col("para_idx").cast("string").alias("para_key"), F.lit("ending").alias("kind"), F.lit(None).cast("string").alias("expected"))
+    return L.integrity_audit(keyed(p), keyed(_after(p)), edits)
+
+
+@query(f"""WITH {LINES}, r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY para_idx) AS n FROM lines WHERE para_idx > 0 AND regexp_matches(text, '\\S')) WHERE n <= 4), w AS (SELECT *, bool_or(regexp_matches(text, '^(?i:committee|topic|agenda|country|delegate|sponsors?|signatory|signatories|represented country|delegation country)\\s*[:：]')) OVER (PARTITION BY doc_id) AS l, max(length(text)) OVER (PARTITION BY doc_id) AS m FROM r) SELECT doc_id, para_idx, (['committee', 'topic', 'country', 'delegate'])[n] AS field, text, CASE WHEN m <= 60 THEN 0.97 ELSE 0.58 END::DOUBLE AS confidence FROM w WHERE NOT l""")
+def header_candidates(spark, sf_dir):
+    return L.stripped_header(lines(spark, sf_dir))
+
+
+@query("""SELECT l_orderkey AS doc_id, l_returnflag AS list_key, CASE WHEN count(DISTINCT l_linestatus) > 1 THEN 'several-levels' WHEN l_returnflag = 'R' AND l_orderkey % 5 = 0 THEN 'used-outside' WHEN bool_or(l_quantity > 49) THEN 'unsafe-definition' WHEN max(l_linenumber) > 99 THEN 'out-of-range' END AS reason FROM lineitem GROUP BY 1, 2""")
+def list_plans(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("list_key"), F.col("l_linestatus").alias("level"), (F.col("l_quantity") > 49).alias("unsafe"), F.col("l_linenumber").alias("value"))
+    return L.plan_native_lists(li, li.where("list_key = 'R' and doc_id % 5 = 0"))
+
+
+@query("""SELECT user_id AS doc_id, string_agg(event_type, ';' ORDER BY i, event_type) AS warnings FROM (SELECT user_id, event_type, min(event_id) AS i FROM events GROUP BY 1, 2) GROUP BY user_id""")
+def distinct_warnings(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("warning"))
+    return L.distinct_warnings(e).withColumn("warnings", F.array_join("warnings", ";"))
+
+
+@query(f"""WITH {LINES}, b AS (SELECT doc_id, count(*) FILTER (WHERE NOT regexp_matches(text, '\\S')) AS blank_a FROM lines GROUP BY 1), {_AFTER}, c AS (SELECT doc_id, count(*) FILTER (WHERE NOT regexp_matches(text, '\\S')) AS blank_b FROM af GROUP BY 1) SELECT coalesce(b.doc_id, c.doc_id) AS doc_id, blank_a, blank_b FROM b FULL JOIN c ON b.doc_id = c.doc_id""")
+def blank_balance(spark, sf_dir):
+    p = lines(spark, sf_dir)
+    return L.blank_balance(p, _after(p))
