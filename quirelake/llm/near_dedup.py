@@ -7,9 +7,12 @@
 3. Bands of registers are bucketed. Each bucket links its members to its smallest one only (a star, not all pairs).
 4. Candidates are screened by the joint maximum-likelihood estimate of the similarity from their registers and set
    sizes, six standard errors below the threshold, and confirmed on the full sets.
-5. Connected components of the confirmed links. Then, in buckets that still hold several components, the members
-   outside the largest one are compared with those of other components, so that no link between components that a
-   bucket shows is lost, and components are joined once more. Pairs inside a component are never made.
+5. Connected components of the confirmed links. In buckets that still hold several components, links between members
+   of different ones remain to be found. Members outside a bucket's largest component are joined with the others by
+   prefix filtering, which is exact: two sets this similar share an element among the first 20 % or so of each in any
+   one order, and the first shared one stands early enough in both for the rest to suffice; here rare elements come
+   first, so texts that differ from a large group meet none of it. What it finds is screened, confirmed and joined
+   once more. Pairs inside a component are never made.
 
 Joins on keys that a large group shares are sort-merge joins of written tables, which AQE splits where they are skewed.
 
@@ -154,14 +157,71 @@ def screened(pairs: DataFrame, reps: DataFrame, threshold: tuple[int, int]) -> D
     return both.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs whose full sets are similar enough. pairs: a written table of representatives."""
+#: Slots of the element counts that order the prefixes: a fixed number, whatever the corpus.
+SLOTS = 2**20
+
+
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, elements) of the documents with these doc_ids. ids: a written table."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(cell.as_py()).tobytes() for cell in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "elements"])
 
+    rows = docs.join(sized(ids), "doc_id", "left_semi").select("doc_id", "text")
+    return written(rows.mapInArrow(full, "id long, elements binary"))
+
+
+def across_components(members: DataFrame, docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of different components that may be similar enough, one of them an outsider.
+
+    members: a written table of id, component, outsider. Elements are ordered by the count of their slot among the
+    members, then by hash; any order gives all pairs, this one gives few.
+    """
+    least, whole = threshold
+    sets = full_sets(docs, written(members.select(F.col("id").alias("doc_id"))))
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for cell in batch.column(1):
+                np.add.at(total, (np.frombuffer(cell.as_py(), np.uint64) % np.uint64(SLOTS)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        for at in range(0, len(used), 100_000):
+            part = used[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["slot", "n"])
+
+    counts = np.zeros(SLOTS, np.int64)
+    for row in sets.mapInArrow(slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow().to_batches():
+        counts[row.column(0).to_numpy()] = row.column(1).to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, parts, places, sizes = [], [np.empty(0, np.uint64)], [], []
+            for doc_id, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(cell.as_py(), np.uint64)
+                n = x.size - -(-least * x.size // whole) + 1
+                first = x[np.lexsort((x, shared.value[(x % np.uint64(SLOTS)).astype(np.int64)]))[:n]]
+                ids.append(np.full(first.size, doc_id))
+                parts.append(first)
+                places.append(np.arange(first.size))
+                sizes.append(np.full(first.size, x.size))
+            columns = [np.concatenate([np.empty(0, np.int64), *c]) for c in (ids, places, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(np.concatenate(parts).view(np.int64)), pa.array(columns[1]), pa.array(columns[2])], ["id", "element", "place", "size"])
+
+    first = written(sets.mapInArrow(prefixes, "id long, element long, place long, size long").join(members.hint("merge"), "id"))
+    outside = written(first.where("outsider").select("element", F.col("id").alias("o"), F.col("component").alias("o_component"), F.col("place").alias("o_place"), F.col("size").alias("o_size")))
+    # behind the first element that both share, no more than the shorter remainder can be shared
+    enough = f"{whole + least} * least(size - place, o_size - o_place) >= {least} * (size + o_size)"
+    pairs = first.join(outside.hint("merge"), "element").where(f"component <> o_component and (not outsider or id < o) and {enough}")
+    return written(pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct())
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs whose full sets are similar enough. pairs: a written table of representatives."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least, whole = threshold
         for batch in batches:
@@ -172,9 +232,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int]) ->
                 kept.append(whole * same >= least * (x.size + y.size - same))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    rows = docs.join(sized(wanted), "doc_id", "left_semi").select("doc_id", "text")
-    sets = written(rows.mapInArrow(full, "id long, elements binary"))
+    sets = full_sets(docs, written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
     side = lambda x: sets.select(F.col("id").alias(x), F.col("elements").alias(f"e_{x}"))
     both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     return written(both.select("a", "b", "e_a", "e_b").mapInArrow(compare, "a long, b long"))
@@ -215,20 +273,19 @@ def cluster(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFram
     bands = written(banded(reps))
     stars = written(bands.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("members")).where("members > 1"))
     shared = written(bands.join(stars.hint("merge"), "key").select("key", "id", "center"))
-    first = shared.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    first = written(shared.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct())
     texts = docs.select("doc_id", "text")
-    links = confirmed(written(screened(written(first), reps, threshold)), texts, threshold)
+    links = confirmed(written(screened(first, reps, threshold)), texts, threshold)
     named = written(components(links))
     # buckets that still hold several components: outsiders against the rest
     placed = written(shared.join(named.hint("merge"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
     sizes = written(placed.groupBy("key", "component").agg(F.count("*").alias("n")))
     largest = written(sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("key", F.col("top.component").alias("main")))
     mixed_rows = written(placed.join(largest.hint("merge"), "key"))
-    outside = mixed_rows.where("component <> main").select("key", F.col("id").alias("o"), F.col("component").alias("o_component"))
-    across = mixed_rows.join(outside.hint("merge"), "key").where("component <> o_component and (component = main or id < o)")
-    second = across.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+    members = written(mixed_rows.groupBy("id").agg(F.first("component").alias("component"), F.bool_or(F.col("component") != F.col("main")).alias("outsider")))
+    second = across_components(members, texts, threshold)
     # pairs of the first round were judged already
-    second = written(second).join(written(first).hint("merge"), ["a", "b"], "left_anti")
+    second = second.join(first.hint("merge"), ["a", "b"], "left_anti")
     more = confirmed(written(screened(written(second), reps, threshold)), texts, threshold)
     named = written(components(written(links.union(more))))
     by_set = written(reps.join(named.hint("merge"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component")))
