@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,17 +91,18 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[int],
         yield ids, marks, np.concatenate(parts), np.repeat(np.arange(len(ids)), lengths)
 
 
-DEALT = "bucket int, doc_ids binary, marks binary, held binary, keys binary, uses binary, docs binary"
+DEALT = "bucket int, chunk long, doc_ids binary, marks binary, held binary, keys binary, uses binary, docs binary"
 
 
 def dealt(docs: DataFrame, buckets: int, key_of, bucket_of) -> DataFrame:
     """Per chunk and bucket: distinct sorted keys, uses of each, and the documents of these uses in key order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, marks, words, doc in chunks(batches):
+        part = TaskContext.get().partitionId()
+        for number, (ids, marks, words, doc) in enumerate(chunks(batches)):
             # ids may be null
             held = np.array([held_out(x) for x in ids])
-            who = packed(np.array([-(2**63) if x is None else x for x in ids], np.int64)), packed(np.array(marks, np.int64)), packed(held)
+            who = part * 2**32 + number, packed(np.array([-(2**63) if x is None else x for x in ids], np.int64)), packed(np.array(marks, np.int64)), packed(held)
             keys = key_of(words)
             order = np.argsort(keys, kind="stable")
             keys, doc = keys[order], doc[order].astype(np.uint16)
@@ -110,23 +112,23 @@ def dealt(docs: DataFrame, buckets: int, key_of, bucket_of) -> DataFrame:
                 mine = to == b
                 distinct, uses = np.unique(keys[mine], return_counts=True)
                 rows.append((int(b), *who, sorted_bytes(distinct), packed(uses.astype(np.uint32)), packed(doc[mine])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], [x.split()[0] for x in DEALT.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, (pa.int32(), pa.int64())[i] if i < 2 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], [x.split()[0] for x in DEALT.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, DEALT)
 
 
-def gathered(table: pa.Table) -> Iterator[tuple[bytes, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """doc_ids, marks, held, keys, uses and documents of each chunk of a bucket."""
+def gathered(table: pa.Table) -> Iterator[tuple[int, bytes, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunk, doc_ids, marks, held, keys, uses and documents of each chunk of a bucket."""
     for row in range(table.num_rows):
-        ids, marks, held, keys, uses, docs = (table.column(i)[row].as_py() for i in range(1, 7))
-        yield ids, marks, unpacked(held, np.bool_), from_sorted(keys), unpacked(uses, np.uint32), unpacked(docs, np.uint16)
+        chunk, ids, marks, held, keys, uses, docs = (table.column(i)[row].as_py() for i in range(1, 8))
+        yield chunk, ids, marks, unpacked(held, np.bool_), from_sorted(keys), unpacked(uses, np.uint32), unpacked(docs, np.uint16)
 
 
 def trained(parts: list) -> tuple[np.ndarray, np.ndarray]:
     """Distinct training keys of a bucket and their counts."""
     keys = [np.empty(0, np.uint64)]
     counts = [np.empty(0, np.int64)]
-    for _, _, held, k, uses, docs in parts:
+    for _, _, _, held, k, uses, docs in parts:
         of = np.repeat(np.arange(len(k)), uses)[~held[docs]]
         c = np.bincount(of, minlength=len(k))
         keys.append(k[c > 0])
@@ -164,8 +166,8 @@ def score(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
         cls, inverse = np.unique(of_class, return_inverse=True)
         total, kinds = np.bincount(inverse, counts, len(cls)), np.bincount(inverse, minlength=len(cls))
         kinds = np.where(cls == 0, 0, kinds)  # the end is alone in its class
-        rows = [(b"", b"", b"", b"", b"", packed(cls), packed(total.astype(np.int64)), int(counts.sum()), len(keys))]
-        for ids, marks, _, k, uses, d in parts:
+        rows = [(-1, b"", b"", b"", b"", b"", packed(cls), packed(total.astype(np.int64)), int(counts.sum()), len(keys))]
+        for chunk, ids, marks, _, k, uses, d in parts:
             at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
             c = np.where(keys[at] == k, counts[at], 0) if len(keys) else np.zeros(len(k), np.int64)
             slot = np.minimum(np.searchsorted(cls, kc := classes(k)), max(0, len(cls) - 1))
@@ -173,11 +175,11 @@ def score(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
             size, v = (np.where(hit, x[slot], 0) if len(cls) else np.zeros(len(k)) for x in (total, kinds))
             inner = np.where(kc == 0, 0.0, np.log10((c + 1) / (size + v + 1)))
             values = [np.repeat(x, uses) for x in (np.log10(c + 1), inner, (c > 0).astype(float), np.ones(len(k)))]
-            rows.append((ids, marks, *(packed(x) for x in per_doc(ids, d, values)[:3]), packed(per_doc(ids, d, values[3:])[0]), b"", 0, 0))
-        return pa.Table.from_arrays([pa.array(c, pa.int64() if i > 6 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names)
+            rows.append((chunk, ids, marks, *(packed(x) for x in per_doc(ids, d, values)[:3]), packed(per_doc(ids, d, values[3:])[0]), b"", 0, 0))
+        return pa.Table.from_arrays([pa.array(c, pa.int64() if i in (0, 8, 9) else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names)
 
-    names = ["ids", "marks", "base", "inner", "known", "x", "y", "tokens", "words"]
-    schema = "ids binary, marks binary, base binary, inner binary, known binary, x binary, y binary, tokens long, words long"
+    names = ["chunk", "ids", "marks", "base", "inner", "known", "x", "y", "tokens", "words"]
+    schema = "chunk long, ids binary, marks binary, base binary, inner binary, known binary, x binary, y binary, tokens long, words long"
     first = dealt(docs, buckets, lambda words: words, lambda keys: spread(classes(keys)))
     ones = written(first.groupBy("bucket").applyInArrow(unigrams, schema))
     n, v = ones.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
@@ -243,7 +245,7 @@ def score(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
         order = np.argsort(context)
         context, free, follow = context[order], np.concatenate((free[cold], hot_free))[order], np.concatenate((follow[cold], hot_follow))[order]
         out = []
-        for ids, marks, _, k, uses, docs_ in gathered(mine):
+        for chunk, ids, marks, _, k, uses, docs_ in gathered(mine):
             h, c2 = k // np.uint64(2 * CLASSES), (k % np.uint64(2 * CLASSES)).astype(np.int64)
             whole = shared.value[h.astype(np.int64)].astype(float)
             p = p_uni(c2)
@@ -258,12 +260,13 @@ def score(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
                     i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
                     c = np.where(keys[i] == k, counts[i], 0)
                     p = np.where(c > 0, c * d[np.clip(c, 1, K + 1) - 1] / np.maximum(total, 1), p)
-            out.append((ids, marks, packed(per_doc(ids, docs_, [np.repeat(np.log10(p), uses)])[0])))
-        return pa.Table.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.binary())] * 3, ["ids", "marks", "score"])
+            out.append((chunk, ids, marks, packed(per_doc(ids, docs_, [np.repeat(np.log10(p), uses)])[0])))
+        columns = zip(*out, strict=True) if out else [[]] * 4
+        return pa.Table.from_arrays([pa.array(c, pa.binary() if i else pa.int64()) for i, c in enumerate(columns)], ["chunk", "ids", "marks", "score"])
 
-    twos = written(pairs.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(evaluate, "ids binary, marks binary, score binary"))
+    twos = written(pairs.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(evaluate, "chunk long, ids binary, marks binary, score binary"))
 
-    # 4. chunks back to documents; equal rows have equal sums
+    # 4. chunks back to documents, each chunk by its partition and number; equal rows have equal sums
     def documents(kinds: list[str]):
         def run(table: pa.Table) -> pa.Table:
             ids, marks = (unpacked(table.column(c)[0].as_py(), np.int64) for c in ("ids", "marks"))
@@ -272,10 +275,9 @@ def score(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
 
         return run
 
-    key = lambda: F.xxhash64("ids", "marks").alias("chunk")
-    parts = ones.where("length(ids) > 0").withColumnRenamed("x", "size").select("ids", "marks", "base", "inner", "known", "size")
-    by_word = written(parts.groupBy(key()).applyInArrow(documents(["base", "inner", "known", "size"]), "doc_id long, mark long, base double, inner double, known double, size double"))
-    by_pair = written(twos.groupBy(key()).applyInArrow(documents(["score"]), "doc_id long, mark long, score double"))
+    parts = ones.where("length(ids) > 0").withColumnRenamed("x", "size").select("chunk", "ids", "marks", "base", "inner", "known", "size")
+    by_word = written(parts.groupBy("chunk").applyInArrow(documents(["base", "inner", "known", "size"]), "doc_id long, mark long, base double, inner double, known double, size double"))
+    by_pair = written(twos.groupBy("chunk").applyInArrow(documents(["score"]), "doc_id long, mark long, score double"))
     each = by_pair.groupBy("doc_id", "mark").agg(F.min("score").alias("outer"))
     joined = by_word.alias("w").join(each.alias("p").hint("merge"), F.col("w.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("w.mark") == F.col("p.mark")))
     held = F.coalesce(F.pmod(F.crc32(F.col("w.doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == HELD, F.lit(False))
