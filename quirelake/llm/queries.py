@@ -46,7 +46,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quirelake.llm.katz_lm import score
+    from quirelake.llm.katz_words import score
 
     return score(table(spark, sf_dir, "documents"))
 
