@@ -17,6 +17,9 @@ from quirelake.llm.packing import pack
 from quirelake.llm.quality_classifier import classify
 from quirelake.llm.substring_dedup import deduplicate
 
+#: Words of a shingle in the near-duplicate stage; the query op6 takes 2.
+SHINGLE = 5
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
@@ -25,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of each near-duplicate group that has the smallest id; of rows that repeat an id, one."""
-    gone = written(cluster(docs).where("not kept and doc_id is not null").select("doc_id").distinct())
+    gone = written(cluster(docs, size=SHINGLE).where("not kept and doc_id is not null").select("doc_id").distinct())
     return docs.join(sized(gone), "doc_id", "left_anti").select(docs.columns)
 
 

@@ -1,6 +1,6 @@
 """Near-duplicate documents by SetSketch registers, banding, joint likelihood and exact confirmation.
 
-1. Each document becomes its set of distinct 2-word shingles (64-bit hashes). Equal sets are one representative from
+1. Each document becomes its set of distinct shingles (64-bit hashes; of 2 words unless told otherwise). Equal sets are one representative from
    here on, however many copies there are.
 2. A SetSketch of the set: register i is the truncated minimum of exponential variables, floor(1 - log_b(min)), so
    equal positions of two sketches agree with about the sets' Jaccard similarity, and maxima merge sketches.
@@ -97,14 +97,14 @@ def estimate(u: np.ndarray, v: np.ndarray, n_u: np.ndarray, n_v: np.ndarray) ->
     return np.take_along_axis(grid, likelihood.argmax(1)[:, None], 1)[:, 0]
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def sketched(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, the set's 128-bit key (null if empty) and its registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, k1, k2, sketch = [], [], [], []
             for cell in batch.column(1):
-                s = shingles(cell.as_py())
+                s = shingles(cell.as_py(), size)
                 n.append(len(s))
                 if len(s):
                     digest = xxhash.xxh3_128_digest(s.tobytes())
@@ -161,26 +161,26 @@ def screened(pairs: DataFrame, reps: DataFrame, threshold: tuple[int, int]) -> D
 SLOTS = 2**20
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(id, elements) of the documents with these doc_ids. ids: a written table."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(cell.as_py()).tobytes() for cell in batch.column(1)]
+            sets = [shingles(cell.as_py(), size).tobytes() for cell in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "elements"])
 
     rows = docs.join(sized(ids), "doc_id", "left_semi").select("doc_id", "text")
     return written(rows.mapInArrow(full, "id long, elements binary"))
 
 
-def across_components(members: DataFrame, docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def across_components(members: DataFrame, docs: DataFrame, threshold: tuple[int, int], size: int = SHINGLE) -> DataFrame:
     """Pairs (a, b) of different components that may be similar enough, one of them an outsider.
 
     members: a written table of id, component, outsider. Elements are ordered by the count of their slot among the
     members, then by hash; any order gives all pairs, this one gives few.
     """
     least, whole = threshold
-    sets = full_sets(docs, written(members.select(F.col("id").alias("doc_id"))))
+    sets = full_sets(docs, written(members.select(F.col("id").alias("doc_id"))), size)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
@@ -219,7 +219,7 @@ def across_components(members: DataFrame, docs: DataFrame, threshold: tuple[int,
     return written(pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct())
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int], size: int = SHINGLE) -> DataFrame:
     """The pairs whose full sets are similar enough. pairs: a written table of representatives."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +232,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int]) ->
                 kept.append(whole * same >= least * (x.size + y.size - same))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    sets = full_sets(docs, written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()))
+    sets = full_sets(docs, written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), size)
     side = lambda x: sets.select(F.col("id").alias(x), F.col("elements").alias(f"e_{x}"))
     both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     return written(both.select("a", "b", "e_a", "e_b").mapInArrow(compare, "a long, b long"))
@@ -265,9 +265,9 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
-def cluster(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row."""
-    sketches = written(sketched(docs))
+def cluster(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row. size: words of a shingle."""
+    sketches = written(sketched(docs, size))
     grouped = sketches.where("k1 is not null and doc_id is not null").groupBy("k1", "k2")
     reps = written(grouped.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
     bands = written(banded(reps))
@@ -275,7 +275,7 @@ def cluster(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFram
     shared = written(bands.join(stars.hint("merge"), "key").select("key", "id", "center"))
     first = written(shared.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct())
     texts = docs.select("doc_id", "text")
-    links = confirmed(written(screened(first, reps, threshold)), texts, threshold)
+    links = confirmed(written(screened(first, reps, threshold)), texts, threshold, size)
     named = written(components(links))
     # buckets that still hold several components: outsiders against the rest
     placed = written(shared.join(named.hint("merge"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
@@ -283,10 +283,10 @@ def cluster(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFram
     largest = written(sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("key", F.col("top.component").alias("main")))
     mixed_rows = written(placed.join(largest.hint("merge"), "key"))
     members = written(mixed_rows.groupBy("id").agg(F.first("component").alias("component"), F.bool_or(F.col("component") != F.col("main")).alias("outsider")))
-    second = across_components(members, texts, threshold)
+    second = across_components(members, texts, threshold, size)
     # pairs of the first round were judged already
     second = second.join(first.hint("merge"), ["a", "b"], "left_anti")
-    more = confirmed(written(screened(written(second), reps, threshold)), texts, threshold)
+    more = confirmed(written(screened(written(second), reps, threshold)), texts, threshold, size)
     named = written(components(written(links.union(more))))
     by_set = written(reps.join(named.hint("merge"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component")))
     joined = sketches.select("doc_id", "n_shingles", "k1", "k2").join(by_set.hint("merge"), ["k1", "k2"], "left")
