@@ -10,8 +10,10 @@ it is shorter.
 The benchmark's seeds and the hits are broadcast only if their measured row counts allow it, else joined by
 sort-merge. Documents without hits are read once and never shuffled in the broadcast case.
 
-Nulls and edge cases: null texts have no words; items with fewer words than a mask (11) have no seeds and contaminate
-nothing; a null doc_id is never flagged; rows that repeat a doc_id share one verdict, contaminated if one of their
+The masks are such that every stretch which reaches `least` at `penalty` has a window that seeds (checked over all
+patterns of substitutions by a test). Items shorter than a mask are hashed whole, against windows of their length.
+
+Nulls and edge cases: null texts and items have no words and contaminate nothing; a null doc_id is never flagged; rows that repeat a doc_id share one verdict, contaminated if one of their
 texts is; an empty benchmark flags nothing; equal best items resolve to the smallest item_id.
 """
 
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from quirelake.llm.common import sized, written
 
-#: Fixed masks: 1 picks a word, 0 ignores it. Both span 11 words and pick 7.
-MASKS = ("11101100101", "11010011011")
+#: Fixed masks: 1 picks a word, 0 ignores it. Both span 8 words and pick 5; found by enumeration.
+MASKS = ("11110001", "11001101")
 LEAST = 9
 PENALTY = 2
 
@@ -48,6 +50,13 @@ def seeds(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.pmod("_i", "_room").alias("at"), "seed")
 
 
+def windows(df: DataFrame, keys: list[str], length: int) -> DataFrame:
+    """keys, at and seed for each window of length words. df has the word hashes in _h."""
+    room = F.greatest(F.lit(0), F.size("_h") - (length - 1))
+    hashes = F.transform(F.slice("_h", F.lit(1), room), lambda x, i: F.xxhash64(*[F.get("_h", i + k) for k in range(length)]))
+    return df.select(*keys, F.posexplode_outer(hashes).alias("at", "seed")).where("seed is not null")
+
+
 def stretch(equal: Column, penalty: int) -> Column:
     """The best sum over consecutive elements, an equal word counting 1 and another -penalty."""
     start = F.struct(F.lit(0).alias("here"), F.lit(0).alias("best"))
@@ -65,6 +74,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, pena
     known = written(seeds(items, ["item_id"]).withColumnRenamed("at", "item_at"))
     texts = docs.where("doc_id is not null").select("doc_id", words_hashed(F.col("text")).alias("_h"))
     hits = seeds(texts, ["doc_id"]).join(sized(known), "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    # at most as many lengths as a mask spans; one place of a whole item is enough
+    for (length,) in items.select(F.size("_h")).distinct().where(F.size("_h").between(1, len(MASKS[0]) - 1)).collect():
+        short = written(windows(items.where(F.size("_h") == length), ["item_id"], length).drop("at"))
+        places = windows(texts, ["doc_id"], length).join(sized(short), "seed").groupBy("doc_id", "item_id").agg(F.min("at").alias("shift"))
+        hits = hits.unionByName(places)
     hits = written(hits)
     candidates = written(hits.select("doc_id").distinct())
     words = docs.where("doc_id is not null").select("doc_id", "text").join(sized(candidates), "doc_id", "left_semi").select("doc_id", words_hashed(F.col("text")).alias("_d"))
