@@ -19,22 +19,36 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset, a new local one is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Only a local session may do without: it gets one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="quirelake-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder for written tables."""
+    return f"{shared_dir(spark)}/quirelake/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quirelake/{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all tables that this application has written; call it when the results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sized(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint for a written table of narrow rows: broadcast if it has at most limit rows, else sort-merge."""
     return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table.hint("merge")
@@ -52,3 +66,14 @@ def word_array(text: Column) -> Column:
 def byte_words(text: str | None) -> list[bytes]:
     """The same words, A-Z lower-cased, as UTF-8 bytes; bytes.split cuts at exactly the blanks of BLANKS."""
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()
+
+
+def bundled(docs: DataFrame, *beside: str) -> DataFrame:
+    """doc_id, text and the columns of `beside`; all columns but doc_id and text in a struct, safe from clashing names."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *beside, F.struct(*rest, F.lit(True).alias("_")).alias("_rest"))
+
+
+def unbundled(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns that bundled() took, doc_id and text as they are now, others as given in `changed`."""
+    return df.select(*[F.col(c) if c in ("doc_id", "text") else changed[c].alias(c) if c in changed else F.col(f"_rest.`{c}`") for c in columns])

@@ -83,7 +83,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, pena
     candidates = written(hits.select("doc_id").distinct())
     words = docs.where("doc_id is not null").select("doc_id", "text").join(sized(candidates), "doc_id", "left_semi").select("doc_id", words_hashed(F.col("text")).alias("_d"))
     # hits of one document are few, as each item lies on few diagonals
-    laid = written(words).join(hits.hint("merge"), "doc_id").join(sized(items, 10_000).withColumnRenamed("_h", "_w"), "item_id")
+    total = items.agg(F.sum(F.size("_h"))).first()[0] or 0  # item texts are broadcast only below 16 MB
+    whole = F.broadcast(items) if total <= 2_000_000 else items.hint("merge")
+    laid = written(words).join(hits.hint("merge"), "doc_id").join(whole.withColumnRenamed("_h", "_w"), "item_id")
     over = laid.withColumn("_at", F.greatest("shift", F.lit(0))).withColumn("_from", F.greatest(-F.col("shift"), F.lit(0)))
     over = over.withColumn("_n", F.least(F.size("_d") - F.col("_at"), F.size("_w") - F.col("_from"))).where("_n > 0")
     equal = F.zip_with(F.slice("_d", F.col("_at") + 1, F.col("_n")), F.slice("_w", F.col("_from") + 1, F.col("_n")), lambda x, y: x == y)

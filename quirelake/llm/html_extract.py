@@ -1,18 +1,24 @@
 """Main text of HTML pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. Pass 1 labels each block from its stop-word density, length and link
-density, together with what its ancestors say (navigation, footer, advert, comment and the like are boilerplate;
-article or main content speaks for the text). Blocks too short to decide stay open. Pass 2 gives an open block the
-label of the nearest decided blocks around it: if both sides agree, theirs, else that of the nearer one.
+A page is cut into blocks at block-level tags. Pass 1 decides blocks by link density, stop-word density and length:
+much linked text is boilerplate, long text with many stop words is main text. Some things are prose and still not the
+article (readers' comments, notices, adverts, side bars): those are told by the elements around them and count as
+boilerplate whatever their density. An article or main element decides nothing by itself; inside it the density and
+length that make a block main text are lower. All other blocks, most of them short, stay open. Pass 2 gives an open
+block the label of the nearest decided blocks of its own section (the article, or what is outside): if both sides agree
+theirs, else the nearer one's (at equal distance the following block's, as headings come first). Where a section has no decided block, an article's open blocks are main text and others
+look beyond the section.
 
 Nulls and edge cases: a null or empty page has an empty text; page_id and url may be null; equal rows give equal
-results; other columns are ignored; a page without markup is one block. Pages are read whole, each on its own (no
-shuffle); unclosed and stray tags are tolerated.
+results; other columns are ignored; a page without markup is one block; a `<` that starts no tag, or a tag that never
+ends, is text. Pages are read whole, each on its own (no shuffle), in time linear in their length; unclosed and stray
+tags are tolerated.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -44,35 +50,113 @@ BAD_NAME = re.compile(
     r"cookies?|consent|gdpr|notices?|alert|popup|pop-?up|modal|overlay|newsletter|subscribe|subscription|signup|sign-?up|login|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|copyright|legal|disclaimer|complementary|contentinfo|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
-MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+UNQUOTED = re.compile(r"[^>\"']*")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$|/)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 WORD = re.compile(r"[^\W\d_]+")
 
-#: Blocks with fewer characters than this can stay open in pass 1.
+#: Blocks with fewer characters than SHORT stay open unless links decide; from LONG on fewer stop words are enough.
 SHORT = 70
 LONG = 200
 LINKED = 0.33
-STOP_LOW, STOP_HIGH = 0.30, 0.32
+#: Stop-word densities that make a block main text: outside an article (any length, long), and inside one.
+STOP_HIGH, STOP_LOW, STOP_ARTICLE = 0.32, 0.30, 0.10
 
 GOOD, BAD, OPEN = 1, -1, 0
-SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks long, n_kept long"
+#: What the elements around a block say: it is no part of the article (AWAY), inside one (WITHIN), or nothing.
+AWAY, WITHIN, PLAIN = -1, 1, 0
+SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks long, n_kept long, n_density long, n_links long, n_place long, n_inherited long"
+
+
+class Finder:
+    """str.find that remembers which needles have no further occurrence, so repeated searches stay linear."""
+
+    def __init__(self, text: str):
+        self.text, self.gone = text, set()
+
+    def __call__(self, needle: str, at: int) -> int:
+        if needle in self.gone:
+            return -1
+        if (found := self.text.find(needle, at)) < 0:
+            self.gone.add(needle)
+        return found
+
+
+def tag_end(html: str, at: int, find: Finder) -> int:
+    """Place of the > that ends a tag whose name ends at `at`, -1 if none does; > inside quotes does not count."""
+    while True:
+        at = UNQUOTED.match(html, at).end()
+        if at == len(html):
+            return -1
+        if html[at] == ">":
+            return at
+        close = find(html[at], at + 1)
+        if close < 0:  # a quote that is never closed is no quote
+            return find(">", at)
+        at = close + 1
+
+
+def markup(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, tag, attributes) of each tag in order; comments and declarations have an empty tag."""
+    find, at, raw = Finder(html), 0, {}
+    while (start := find("<", at)) >= 0:
+        if find(">", start) < 0:  # no tag ends from here on; a comment may begin
+            if (start := find("<!--", start)) >= 0:
+                yield start, len(html), False, "", ""
+            return
+        m = TAG.match(html, start)
+        if m:
+            end = tag_end(html, m.end(), find)
+            if end < 0:
+                at = start + 1
+                continue
+            tag, at = m[2].lower(), end + 1
+            yield start, at, bool(m[1]), tag, html[m.end() : end]
+            if tag in RAW and not m[1]:  # its text is no markup: go to its own end tag
+                close = None if raw.get(tag) else re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(html, at)
+                raw[tag] = close is None
+                stop = close.start() if close else len(html)
+                yield at, stop, False, "", ""
+                at = stop
+        elif html.startswith("<!--", start):
+            end = find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(html)
+            yield start, at, False, "", ""
+        elif html.startswith(("<!", "<?", "</"), start) and (end := find(">", start)) >= 0:
+            at = end + 1
+            yield start, at, False, "", ""
+        else:
+            at = start + 1
 
 
 def blocks(html: str) -> list[tuple[str, int, int]]:
-    """(text, characters in links, side) of each block in page order; side: what its ancestors say, GOOD, BAD or OPEN."""
+    """(text, characters in links, place) of each block in page order; place: what its ancestors say."""
     found: list[tuple[str, int, int]] = []
-    stack: list[tuple[str, int]] = []  # open elements and the side they give
+    stack: list[tuple[str, int]] = []  # open elements and the place they give
+    depth: Counter[str] = Counter()  # open elements by tag
     parts: list[str] = []
     linked, in_link, at, skip = 0, 0, 0, ""
 
-    def side() -> int:
-        return stack[-1][1] if stack else OPEN
+    def place() -> int:
+        return stack[-1][1] if stack else PLAIN
+
+    def push(tag: str, now: int) -> None:
+        stack.append((tag, now))
+        depth[tag] += 1
+
+    def pop() -> str:
+        nonlocal skip
+        tag, _ = stack.pop()
+        depth[tag] -= 1
+        if tag == skip and not depth[tag]:
+            skip = ""
+        return tag
 
     def end_block() -> None:
         nonlocal linked
         if parts and (text := " ".join(unescape("".join(parts)).split())):
-            found.append((text, linked, side()))
+            found.append((text, linked, place()))
         parts.clear()
         linked = 0
 
@@ -83,118 +167,122 @@ def blocks(html: str) -> list[tuple[str, int, int]]:
             if in_link:
                 linked += len(text.strip())
 
-    for m in MARKUP.finditer(html):
-        if m.start() < at:
+    for start, end, closing, tag, attributes in markup(html):
+        say(html[at:start])
+        at = end
+        if not tag or tag in RAW:
             continue
-        say(html[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if not m[1]:
-            if tag in RAW:  # its text is no markup: go to its own end tag
-                close = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(html, at)
-                at = close.end() if close else len(html)
-                continue
+        if not closing:
             if tag == "br":
                 say(" ")
             if tag in BLOCK:
                 end_block()
                 if tag in ENDS_P and any(t == "p" for t, _ in stack[-3:]):  # an open paragraph ends here
                     while stack and stack[-1][0] != "p" and stack[-1][0] not in BLOCK:
-                        stack.pop()
+                        pop()
                     if stack and stack[-1][0] == "p":
-                        stack.pop()
+                        pop()
             if tag == "a":
                 in_link += 1
-            if tag in VOID or m[3].rstrip().endswith("/"):
+            if tag in VOID or attributes.rstrip().endswith("/"):
                 continue
-            now, attributes = side(), m[3]
+            now = place()
             names = " ".join("".join(x) for x in NAMES.findall(attributes)) if attributes else ""
             if tag in SKIP or HIDDEN.search(attributes):
                 skip = skip or tag
-                stack.append((tag, BAD))
+                push(tag, AWAY)
                 continue
             if tag in BOILERPLATE or names and BAD_NAME.search(names) and tag not in ("body", "html", *CONTENT):
-                now = BAD
-            elif tag == "header" and not any(t in CONTENT for t, _ in stack):
-                now = BAD
-            elif tag in CONTENT and now != BAD:
-                # readers' comments are often articles of their own inside a comment list, which is BAD already
-                now = GOOD
-            stack.append((tag, now))
+                now = AWAY
+            elif tag == "header" and not any(depth[t] for t in CONTENT):
+                now = AWAY
+            elif tag in CONTENT and now != AWAY:
+                # readers' comments are often articles of their own inside a comment list, which is AWAY already
+                now = WITHIN
+            push(tag, now)
         else:
             if tag in BLOCK:
                 end_block()
             if tag == "a":
                 in_link = max(0, in_link - 1)
-            if any(t == tag for t, _ in stack):
-                if tag not in BLOCK and not any(t == tag for t, _ in stack[-12:]):
-                    continue
-                while stack:
-                    gone, _ = stack.pop()
-                    if gone == skip and not any(t == skip for t, _ in stack):
-                        skip = ""
-                    if gone == tag:
-                        break
-    say(html[at:] if "<" not in html[at:] or at == 0 else html[at:].split("<")[0])
+            if depth[tag] and (tag in BLOCK or any(t == tag for t, _ in stack[-12:])):
+                while pop() != tag:
+                    pass
+    say(html[at:])
     end_block()
     return found
 
 
-def decide(found: list[tuple[str, int, int]]) -> list[bool]:
-    """Which blocks are main text."""
-    labels = []
-    for text, linked, side in found:
-        if side == BAD:
-            labels.append(BAD)
-            continue
+def first_pass(text: str, linked: int, place: int) -> tuple[int, str]:
+    """Label of a block and what gave it: links, place, density, or nothing if it stays open."""
+    if linked > LINKED * len(text) and not (place == WITHIN and len(text) >= SHORT):
         words = WORD.findall(text.lower())
-        density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        links = linked / len(text)
-        if side == GOOD:  # inside an article only lists of links are boilerplate
-            labels.append(BAD if links > 0.8 and density < STOP_LOW and len(text) < SHORT else GOOD)
-        elif links > LINKED:
-            labels.append(BAD)
-        elif len(text) < SHORT:
-            labels.append(BAD if linked else OPEN)
-        elif density >= STOP_HIGH or len(text) > LONG and density >= STOP_LOW:
-            labels.append(GOOD)
-        else:
-            labels.append(OPEN)
+        # a sentence that is one link is still a sentence of an article
+        if place != WITHIN or linked > 0.8 * len(text) and sum(w in STOP_WORDS for w in words) < STOP_LOW * len(words):
+            return BAD, "links"
+    if place == AWAY:
+        return BAD, "place"
+    if len(text) < SHORT:
+        return (BAD, "links") if linked and place != WITHIN else (OPEN, "")
+    words = WORD.findall(text.lower())
+    density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    enough = STOP_ARTICLE if place == WITHIN else STOP_LOW if len(text) > LONG else STOP_HIGH
+    return (GOOD, "density") if density >= enough else (OPEN, "")
+
+
+def nearest(labels: list[int], among: list[int]) -> list[tuple[int, int]]:
+    """For each block (label, distance) of the nearest decided one of `among` before it."""
+    out, label, since = [], OPEN, 0
+    here = set(among)
+    for i, x in enumerate(labels):
+        since += 1
+        out.append((label, since))
+        if x and i in here:
+            label, since = x, 0
+    return out
+
+
+def decide(found: list[tuple[str, int, int]]) -> list[tuple[bool, str]]:
+    """Whether each block is main text, and what decided: density, links, place or inherited."""
+    first = [first_pass(*x) for x in found]
+    labels = [x[0] for x in first]
     if not any(labels):  # nothing is decided: the page has only text of one kind
-        return [True] * len(labels)
-    last, before = (OPEN, 0), []
-    for i, label in enumerate(labels):
-        last = (label, i) if label else last
-        before.append(last)
-    following, after = (OPEN, 0), []
-    for i in reversed(range(len(labels))):
-        following = (labels[i], i) if labels[i] else following
-        after.append(following)
-    after.reverse()
-    kept = []
-    for i, label in enumerate(labels):
-        if not label:
-            (left, l_at), (right, r_at) = before[i], after[i]
-            label = left if left == right or not right else right if not left else left if i - l_at <= r_at - i else right
-        kept.append(label == GOOD)
-    return kept
-
-
-def main_text(html: str | None) -> tuple[str, int, int]:
+        inside = any(place == WITHIN for _, _, place in found)
+        return [(not inside or place == WITHIN, "inherited") for _, _, place in found]
+    inherited = {}
+    for section in (WITHIN, PLAIN):
+        own = [i for i, (_, _, place) in enumerate(found) if place == section]
+        if all(labels[i] for i in own):
+            continue
+        among = own if any(labels[i] for i in own) else range(len(found))
+        if section == WITHIN and among is not own:  # an article of which nothing is decided
+            inherited |= dict.fromkeys(own, GOOD)
+            continue
+        before, after = nearest(labels, among), nearest(labels[::-1], [len(found) - 1 - i for i in among])[::-1]
+        for i in own:
+            if not labels[i]:
+                (left, l_far), (right, r_far) = before[i], after[i]
+                inherited[i] = left if left == right or not right else right if not left else left if l_far < r_far else right
+    return [(inherited[i] == GOOD, "inherited") if i in inherited else (label == GOOD, why) for i, (label, why) in enumerate(first)]
+
+
+def main_text(html: str | None) -> tuple[str, int, int, int, int, int, int]:
+    """The text, and the numbers of blocks, of kept ones, and of those that density, links, place and pass 2 decided."""
     found = blocks(html or "")
-    kept = [text for (text, _, _), keep in zip(found, decide(found), strict=True) if keep]
-    return "\n\n".join(kept), len(found), len(kept)
+    decided = decide(found)
+    kept = [text for (text, _, _), (keep, _) in zip(found, decided, strict=True) if keep]
+    by = Counter(why for _, why in decided)
+    return "\n\n".join(kept), len(found), len(kept), by["density"], by["links"], by["place"], by["inherited"]
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars (code points), n_blocks, n_kept."""
+    """One row per page: page_id, url, text, n_chars (code points), n_blocks, n_kept, and what decided how many blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [main_text(cell.as_py()) for cell in batch.column(2)]
-            text, n, kept = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.int64())], [x.split()[0] for x in SCHEMA.split(", ")])
+            text, *numbers = zip(*rows, strict=True) if rows else [()] * 7
+            counts = [pa.array(n, pa.int64()) for n in (tuple(map(len, text)), *numbers)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), *counts], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, SCHEMA)

@@ -18,8 +18,9 @@ Joins on keys that a large group shares are sort-merge joins of written tables,
 
 Nulls and edge cases: a null, empty or blank text has the empty set and is linked with nothing; a text of one word has
 one shingle, the word. A null doc_id is never a component's name unless alone: such a row is its own, not kept
-(doc_id = component_id is not true). Rows that repeat a doc_id are one vertex: they share its component. Ties do not
-arise, as the smallest doc_id names a component. Other columns are ignored. An empty table gives an empty result.
+(doc_id = component_id is not true). Every row is judged by its own text: rows that repeat a doc_id with different texts
+may lie in different components. Ties do not arise, as the smallest doc_id names a component. Other columns are
+ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -69,6 +70,11 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(total)
 
 
+def set_key(elements: np.ndarray) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_digest(elements.tobytes())
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
 def registers(elements: np.ndarray) -> np.ndarray:
     """The SetSketch of a non-empty set, as uint16."""
     low = (elements >> np.uint64(32)).astype(np.uint32)
@@ -98,7 +104,7 @@ def estimate(u: np.ndarray, v: np.ndarray, n_u: np.ndarray, n_v: np.ndarray) ->
 
 
 def sketched(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit key (null if empty) and its registers."""
+    """doc_id, a hash of the text, n_shingles, the set's 128-bit key (null if empty) and its registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,15 +113,15 @@ def sketched(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 s = shingles(cell.as_py(), size)
                 n.append(len(s))
                 if len(s):
-                    digest = xxhash.xxh3_128_digest(s.tobytes())
-                    k1.append(int.from_bytes(digest[:8], "little", signed=True))
-                    k2.append(int.from_bytes(digest[8:], "little", signed=True))
+                    key = set_key(s)
+                    k1.append(key[0]), k2.append(key[1])
                     sketch.append(registers(s).tobytes())
                 else:
                     k1.append(None), k2.append(None), sketch.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "text_hash", "n_shingles", "k1", "k2", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return texts.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, sketch binary")
 
 
 def banded(reps: DataFrame) -> DataFrame:
@@ -161,26 +167,33 @@ def screened(pairs: DataFrame, reps: DataFrame, threshold: tuple[int, int]) -> D
 SLOTS = 2**20
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(id, elements) of the documents with these doc_ids. ids: a written table."""
+def full_sets(docs: DataFrame, reps: DataFrame, ids: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(id, elements) of these representatives (a written table of ids), from the documents that have their sets."""
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(cell.as_py(), size).tobytes() for cell in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "elements"])
+            own, sets = [], []
+            for i, cell, k1, k2 in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                found = shingles(cell.as_py(), size)
+                if set_key(found) == (k1, k2):  # the doc_id may be repeated with other texts
+                    own.append(i), sets.append(found.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(sets, pa.binary())], ["id", "elements"])
 
-    rows = docs.join(sized(ids), "doc_id", "left_semi").select("doc_id", "text")
-    return written(rows.mapInArrow(full, "id long, elements binary"))
+    wanted = written(ids.join(reps.select("id", "doc_id", "k1", "k2").hint("merge"), "id"))
+    rows = docs.join(sized(wanted), "doc_id").select("id", "text", "k1", "k2")
+    sets = written(rows.mapInArrow(full, "id long, elements binary"))
+    # rows that repeat doc_id and text give a set more than once
+    return sets if sets.count() == wanted.count() else written(sets.dropDuplicates(["id"]))
 
 
-def across_components(members: DataFrame, docs: DataFrame, threshold: tuple[int, int], size: int = SHINGLE) -> DataFrame:
+def across_components(members: DataFrame, reps: DataFrame, docs: DataFrame, threshold: tuple[int, int], size: int = SHINGLE) -> DataFrame:
     """Pairs (a, b) of different components that may be similar enough, one of them an outsider.
 
     members: a written table of id, component, outsider. Elements are ordered by the count of their slot among the
     members, then by hash; any order gives all pairs, this one gives few.
     """
     least, whole = threshold
-    sets = full_sets(docs, written(members.select(F.col("id").alias("doc_id"))), size)
+    sets = full_sets(docs, reps, written(members.select("id")), size)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
@@ -219,7 +232,7 @@ def across_components(members: DataFrame, docs: DataFrame, threshold: tuple[int,
     return written(pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct())
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int], size: int = SHINGLE) -> DataFrame:
+def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: tuple[int, int], size: int = SHINGLE) -> DataFrame:
     """The pairs whose full sets are similar enough. pairs: a written table of representatives."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +245,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: tuple[int, int], siz
                 kept.append(whole * same >= least * (x.size + y.size - same))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    sets = full_sets(docs, written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()), size)
+    sets = full_sets(docs, reps, written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), size)
     side = lambda x: sets.select(F.col("id").alias(x), F.col("elements").alias(f"e_{x}"))
     both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     return written(both.select("a", "b", "e_a", "e_b").mapInArrow(compare, "a long, b long"))
@@ -265,17 +278,20 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
-def cluster(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row. size: words of a shingle."""
-    sketches = written(sketched(docs, size))
-    grouped = sketches.where("k1 is not null and doc_id is not null").groupBy("k1", "k2")
-    reps = written(grouped.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+def grouped(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """For every row doc_id, text_hash, n_shingles, component_id, and component: unlike component_id it tells apart
+    groups whose smallest doc_id is the same, and is null where the set is empty or the doc_id null."""
+    # a written table, so its row numbers are fixed; they name the sets, as a doc_id may have several
+    sketches = written(sketched(docs, size).withColumn("row", F.monotonically_increasing_id()))
+    sets = sketches.where("k1 is not null and doc_id is not null").groupBy("k1", "k2")
+    one = sets.agg(F.min(F.struct("doc_id", "row")).alias("x"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    reps = written(one.select(F.col("x.row").alias("id"), "x.doc_id", "k1", "k2", "n", "sketch"))
     bands = written(banded(reps))
     stars = written(bands.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("members")).where("members > 1"))
     shared = written(bands.join(stars.hint("merge"), "key").select("key", "id", "center"))
     first = written(shared.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct())
     texts = docs.select("doc_id", "text")
-    links = confirmed(written(screened(first, reps, threshold)), texts, threshold, size)
+    links = confirmed(written(screened(first, reps, threshold)), reps, texts, threshold, size)
     named = written(components(links))
     # buckets that still hold several components: outsiders against the rest
     placed = written(shared.join(named.hint("merge"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
@@ -283,12 +299,43 @@ def cluster(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, size: int =
     largest = written(sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("key", F.col("top.component").alias("main")))
     mixed_rows = written(placed.join(largest.hint("merge"), "key"))
     members = written(mixed_rows.groupBy("id").agg(F.first("component").alias("component"), F.bool_or(F.col("component") != F.col("main")).alias("outsider")))
-    second = across_components(members, texts, threshold, size)
+    second = across_components(members, reps, texts, threshold, size)
     # pairs of the first round were judged already
     second = second.join(first.hint("merge"), ["a", "b"], "left_anti")
-    more = confirmed(written(screened(written(second), reps, threshold)), texts, threshold, size)
+    more = confirmed(written(screened(written(second), reps, threshold)), reps, texts, threshold, size)
     named = written(components(written(links.union(more))))
-    by_set = written(reps.join(named.hint("merge"), "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component")))
-    joined = sketches.select("doc_id", "n_shingles", "k1", "k2").join(by_set.hint("merge"), ["k1", "k2"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
-    return joined.select("doc_id", "n_shingles", own).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    by_set = written(reps.join(named.hint("merge"), "id", "left").select("k1", "k2", "doc_id", F.coalesce("component", "id").alias("component")))
+    names = written(by_set.groupBy("component").agg(F.min("doc_id").alias("name")))
+    by_set = by_set.drop("doc_id").join(names.hint("merge"), "component")
+    joined = sketches.select("doc_id", "text_hash", "n_shingles", "k1", "k2").join(written(by_set).hint("merge"), ["k1", "k2"], "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("name", "doc_id")).alias("component_id")
+    return joined.select("doc_id", "text_hash", "n_shingles", own, F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"))
+
+
+def cluster(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row. size: words of a shingle."""
+    rows = grouped(docs, threshold, size).select("doc_id", "n_shingles", "component_id")
+    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def without_copies(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """One row of each near-duplicate group, that of the smallest doc_id (then text hash).
+
+    Rows without words or doc_id are in no group and all stay. Of rows that repeat doc_id and text one stays.
+    """
+    places = written(grouped(docs, threshold, size).where("component is not null").select("component", "doc_id", "text_hash"))
+    key = F.struct("doc_id", "text_hash")
+    counted = places.groupBy("component").agg(F.min(key).alias("first"), F.count("*").alias("n"))
+    several = written(counted.where("n > 1").select("component", F.col("first.doc_id").alias("_d"), F.col("first.text_hash").alias("_h")))
+    of_several = places.join(several.hint("merge"), "component")
+    # as often as they occur: the winner's own repetitions are seen here
+    judged = written(of_several.groupBy("doc_id", F.col("text_hash").alias("_text_hash")).agg(F.bool_or((F.col("doc_id") == F.col("_d")) & (F.col("text_hash") == F.col("_h"))).alias("_first"), F.count("*").alias("_n")))
+    keys = ["doc_id", "_text_hash"]
+    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
+    stay = marked.join(sized(written(judged.where("not _first or _n > 1").select(*keys))), keys, "left_anti").select(docs.columns)
+    repeated = written(judged.where("_first and _n > 1").select(*keys))
+    once = marked.join(sized(repeated), keys, "left_semi")
+    columns = [c for c in docs.columns if c != "doc_id"]
+    # one row of each: repeats of one text are alike in all that counts, so any order of the rest will do
+    once = once.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in columns]), F.xxhash64(*[F.col(f"`{c}`") for c in columns])).alias("_x"))
+    return stay.union(once.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_x.`{c}`") for c in docs.columns]))

@@ -2,7 +2,7 @@
 
 1. Tokenise every document once; cut it into full pieces of `capacity` tokens and one rest (narrow, no shuffle).
 2. Count rests by length: at most `capacity` numbers, whatever the corpus, so the histogram may go to the driver.
-3. Place lengths, longest first, into the open pack with the least free room that still fits; a pack kind is a
+3. Place lengths, longest first, into the shortest open pack, the one with the most free room; a pack kind is a
    pattern of lengths with a count, so the plan's size depends on the capacity and not on the documents.
 4. Rank the rests of each length and look the rank up in the plan. Ranks come from counts of hash buckets, so a
    length that a third of all documents share is still ranked by many tasks.
@@ -26,6 +26,8 @@ from quirelake.llm.common import written
 
 CAPACITY = 2048
 END_ID = 1
+#: Fixed value: the special token of the vocabulary, behind its ranks.
+SPECIAL = "<|endoftext|>"
 
 PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
@@ -33,7 +35,8 @@ PIECES = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 class Encoder:
     """Token ids of a text as little-endian uint32 bytes.
 
-    path: a tokenizers JSON file, or the same vocabulary as a .tiktoken rank file: the same ids at several times the speed.
+    path: a tokenizers JSON file, or the same vocabulary as a .tiktoken rank file: the same ids at several times the
+    speed. As with the JSON file, the special token's own string in a text is that token.
     """
 
     def __init__(self, path: str):
@@ -45,12 +48,12 @@ class Encoder:
 
             with open(path, "rb") as lines:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-            self.ids_of = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
+            self.ids_of = lambda text: encoding.encode(text, allowed_special={SPECIAL}) if SPECIAL in text else encoding.encode_ordinary(text)
         else:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
             self.ids_of = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> bytes:
@@ -86,14 +89,15 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
     """Packing patterns as (count, lengths), each with lengths that sum to the capacity at most.
 
-    Lengths come longest first; each goes to the packs with the least room that holds it, and what is left of a
-    length opens new packs. Packs of one pattern are handled as one number.
+    Lengths come longest first; each goes to the shortest packs, those with the most room. Where none holds it, a new
+    pack is the shortest, so what is left of the length opens packs that take as many of it as fit. Packs of one
+    pattern are handled as one number.
     """
     open_packs: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)  # by free room
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            room = next((r for r in range(length, capacity) if open_packs[r]), None)
+            room = next((r for r in range(capacity - 1, length - 1, -1) if open_packs[r]), None)
             if room is None:
                 # several of a length may share a new pack; the remainder comes back as a pack of fewer
                 fit = min(capacity // length, left)

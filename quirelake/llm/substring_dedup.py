@@ -11,8 +11,9 @@ A hash that many documents share is counted with partial sums, and its occurrenc
 span in a sort-merge join of written tables, which AQE splits where it is skewed. No pairs are made.
 
 Nulls and edge cases: a null or empty text stays as it is; texts with fewer sentences than a span are never changed; a
-row with a null doc_id takes no part and stays as it is; rows that repeat a doc_id count as one document (the same
-spans at the same places are one occurrence) and all stay; other columns pass through.
+row with a null doc_id takes no part and stays as it is; rows that repeat doc_id and text count as one document and are
+shortened alike; rows that repeat a doc_id with other texts are documents of their own, in the order of a hash of the
+text; other columns pass through, but for `n_sentences`, `n_removed` and `kept`, which the result defines.
 """
 
 from __future__ import annotations
@@ -80,14 +81,15 @@ def deduplicate(docs: DataFrame, run: int = RUN, words: int = WORDS, unit: int =
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, starts, lengths = [], [], [], []
-            for doc_id, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            ids, texts, hashes, starts, lengths = [], [], [], [], []
+            for doc_id, cell, text_hash in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 h, s, n = spans(cell.as_py() or "", run, words, unit)
                 ids += [doc_id] * len(h)
+                texts += [text_hash] * len(h)
                 hashes += h
                 starts += s
                 lengths += n
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32())], ["h", "doc_id", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32())], ["h", "doc_id", "t", "at", "n"])
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,13 +106,15 @@ def deduplicate(docs: DataFrame, run: int = RUN, words: int = WORDS, unit: int =
             names = [x for x in batch.schema.names if x != "_gone"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_sentences", "n_removed"])
 
-    docs = docs.drop("_gone", "n_sentences", "n_removed", "kept")
-    found = written(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(hashed, "h long, doc_id long, at int, n int"))
-    first = F.min(F.struct("doc_id", "at"))
-    repeated = written(found.groupBy("h").agg(first.alias("first"), F.count("*").alias("k")).where("k > 1").select("h", F.col("first.doc_id").alias("d"), F.col("first.at").alias("p")))
-    later = found.join(repeated.hint("merge"), "h").where("doc_id <> d or at <> p").select("doc_id", "at", "n")
-    gone = written(later.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("_gone")))
+    docs = docs.drop("_gone", "_t", "n_sentences", "n_removed", "kept")
+    texts = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("t"))
+    found = written(texts.mapInArrow(hashed, "h long, doc_id long, t long, at int, n int"))
+    first = F.min(F.struct("doc_id", "t", "at"))
+    repeated = found.groupBy("h").agg(first.alias("first"), F.count("*").alias("k")).where("k > 1")
+    repeated = written(repeated.select("h", F.col("first.doc_id").alias("d"), F.col("first.t").alias("u"), F.col("first.at").alias("p")))
+    later = found.join(repeated.hint("merge"), "h").where("doc_id <> d or t <> u or at <> p").select("doc_id", "t", "at", "n")
+    gone = written(later.distinct().groupBy("doc_id", F.col("t").alias("_t")).agg(F.collect_list(F.struct("at", "n")).alias("_gone")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    cut = docs.join(gone.hint("merge"), "doc_id", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_gone")
+    cut = docs.withColumn("_t", F.xxhash64("text")).join(gone.hint("merge"), ["doc_id", "_t"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_gone")
     out = cut.mapInArrow(shorten, f"{fields}, n_sentences long, n_removed long")
     return out.withColumn("kept", (F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))

@@ -30,7 +30,7 @@ def test_html_boilerplate():
     <article><h1>Head &amp; tail</h1><p>First   line<br>next <b>bold</b> &#8217;x<p>Ti.</article>
     <aside>See also</aside><form><input value=x><label>Name</label></form><div id="comments"><article><p>I think that it is the best of all that I have seen in my life.</p></article></div><footer>&copy; us</footer></body></html>"""
     assert html_extract.main_text(page)[0] == "Head & tail\n\nFirst line next bold ’x\n\nTi."
-    assert html_extract.main_text(None) == ("", 0, 0)
+    assert html_extract.main_text(None)[:3] == ("", 0, 0)
     assert html_extract.main_text("<p>" + "the end of it all is near " * 20_000)[0].count("end") == 20_000
 
 
@@ -256,11 +256,11 @@ def test_quality_held_out(spark, operator):
     fit, rest = known.where("doc_id % 2 = 0"), known.where("doc_id % 2 = 1")
     judged = (quality_rules.rate(corpus, fit) if operator == "rules" else quality_classifier.classify(corpus, fit)).select("doc_id", "kept")
     table = judged.join(rest, "doc_id").toPandas()
-    assert table[table.quality == 1].kept.mean() > 0.9 and table[table.quality == 0].kept.mean() < 0.15
+    assert table[table.quality == 1].kept.mean() > 0.9 and table[table.quality == 0].kept.mean() < (0.15 if operator == "rules" else 0.05)
 
 
 def test_classifier_edges(spark, docs, empty):
-    judged = quality_classifier.classify(docs.drop("kept", "score"), labels(spark))
+    judged = quality_classifier.classify(docs, labels(spark))
     assert judged.count() == docs.count()
     assert quality_classifier.classify(docs, labels(spark).limit(0)).where("kept").count() == docs.count()
     assert quality_classifier.classify(empty, labels(spark)).count() == 0
