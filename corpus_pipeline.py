@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import sized, written
+from quirelake.llm.common import bundled, unbundled, written
 from quirelake.llm.decontaminate import decontaminate
-from quirelake.llm.near_dedup import cluster
+from quirelake.llm.near_dedup import without_copies
 from quirelake.llm.packing import pack
 from quirelake.llm.quality_classifier import classify
 from quirelake.llm.substring_dedup import deduplicate
@@ -23,24 +23,27 @@ SHINGLE = 5
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    return classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select(docs.columns)
+    judged = classify(bundled(docs, "source", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return unbundled(judged.where("kept"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each near-duplicate group that has the smallest id; of rows that repeat an id, one."""
-    gone = written(cluster(docs, size=SHINGLE).where("not kept and doc_id is not null").select("doc_id").distinct())
-    return docs.join(sized(gone), "doc_id", "left_anti").select(docs.columns)
+    """One document of each near-duplicate group, the one with the smallest id. Rows are judged by their own text, so
+    of rows that repeat an id with other texts each stays or goes with its group; of equal rows one stays."""
+    return unbundled(without_copies(bundled(docs), size=SHINGLE), docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the sentences that repeat an earlier span; n_chars follows the text."""
-    short = deduplicate(docs).where("kept")
-    return short.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    short = deduplicate(bundled(docs)).where("kept")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("_rest.n_chars"))
+    return unbundled(short, docs.columns, n_chars=n_chars)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("kept").select(docs.columns)
+    found = decontaminate(bundled(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return unbundled(found.where("kept"), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
