@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quirelake.functions.text import LIST_MARKER, squeeze
+from quirelake.functions.text import LIST_MARKER, UNICODE, squeeze
 
 #: Lines that name an organ before the clauses.
 SUBJECT_LINES = (r"^The [A-Z][A-Za-z'’.\-]*(?: (?:[A-Z][A-Za-z'’.\-]*|of|on|for|and|the|in|to|de|\([A-Z]+\))){0,9},$", r"^[一-鿿·（）()]{0,28}(?:大会|理事会|委员会|议会|组织|会议|法院)[，,]$")
@@ -22,7 +22,7 @@ def starts_with_any(text: Column, phrases: list[str]) -> Column:
 
 def longest_phrase(text: Column, phrases: list[str], whole_words: bool = True) -> Column:
     """struct<phrase, start, length> of the longest phrase that stands at the start, behind the list marker; or null."""
-    marker = F.regexp_extract(text, f"(?i){LIST_MARKER}", 0)
+    marker = F.regexp_extract(text, UNICODE + LIST_MARKER, 0)
     body = F.substr(text, F.length(marker) + 1)
     fits = lambda p: F.startswith(F.lower(body), F.lower(p)) & (~F.substr(body, F.length(p) + 1, F.lit(1)).rlike(r"[A-Za-z0-9_]") if whole_words else F.lit(True))
     found = F.get(F.filter(F.array(*[F.lit(p) for p in sorted(phrases, key=len, reverse=True)]), fits), 0)

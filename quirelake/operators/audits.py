@@ -18,28 +18,64 @@ SECRETS = {
     "credential-url": r"(?i)(?:https?|postgres(?:ql)?|mysql|redis)://[^\s/:]+:[^\s/@]+@",
     "personal-path": r"/(?:Users|home)/[A-Za-z0-9._-]+/|[A-Za-z]:[\\/]Users[\\/][A-Za-z0-9._-]+[\\/]",
 }
+#: Credential assignments and placeholders, addresses and the domains that may be named, generated directories.
 LITERAL = r"""(?i)\b(?:api[_-]?key|access[_-]?token|auth[_-]?token|password|passwd|client[_-]?secret)\b\s*[=:]\s*["']([^"'\n]{8,})["']"""
 PLACEHOLDER = r"(?i)example|placeholder|change.?me|your[_ -]|dummy|test|process\.env|os\.environ|\$\{|/path/to"
 EMAIL = r"[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\.[A-Za-z]{2,})"
 ALLOWED_DOMAINS = ["example.com", "example.org", "example.net", "example.invalid", "users.noreply.github.com"]
-GENERATED = ["node_modules", ".venv", "venv", "__pycache__", "dist", ".next"]
-
-
-def secret_scan(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and rule of each finding; one per line and rule, one per literal or address."""
-    text = F.col("text")
-    rules = [F.when(text.rlike(p), F.array(F.lit(name))).otherwise(F.array().cast("array<string>")) for name, p in SECRETS.items()]
-    each = lambda pattern, bad, rule: F.transform(F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), bad), lambda _: F.lit(rule))
-    literal = each(LITERAL, lambda v: ~v.rlike(PLACEHOLDER), "literal-credential-review")
-    email = each(EMAIL, lambda d: ~F.lower(d).isin(ALLOWED_DOMAINS), "personal-email-review")
+GENERATED = ["node_modules", ".venv", "venv", ".local-runtime", "__pycache__", "dist", ".next", ".vinext", ".wrangler", "_CodeSignature"]
+#: Directories and suffixes that are not imported, and files that are although their kind is not.
+EXCLUDED_STARTS = ["scripts/fixtures/", "fixtures/", "outputs/", "output/", "qa/", "work/", "examples/acceptance-outputs/"]
+EXCLUDED_SUFFIXES = ["log", "pid", "pem", "key", "p12", "pfx", "zip", "tar", "pyc"]
+ALLOWED_ENV, ALLOWED_HOSTING = ".env.example", "hosting.example.json"
+#: What a text must hold for each rule to be tried: cheap tests that spare almost all texts the patterns.
+HINTS = {
+    "github-token": ["gh", "github_pat_"], "api-key": ["sk-"], "aws-access-key": ["AKIA", "ASIA"], "private-key": ["PRIVATE KEY"], "jwt": ["eyJ"], "credential-url": ["://"],
+    "personal-path": ["/Users/", "/home/", "\\Users", ":/Users"],
+}
+
+
+def secret_scan(docs: DataFrame, keys: list[str], text: str = "text", line: str = "para_idx") -> DataFrame:
+    """keys, line and rule of each finding; one per line and rule, one per literal or address.
+
+    Whole texts are tested for the few characters that a rule needs; only texts with one are cut into lines.
+    """
+    whole = F.col(text)
+    marks = sorted({h for hints in HINTS.values() for h in hints} | {"@"})
+    quick = F.lit(False)
+    for mark in marks:
+        quick = quick | whole.contains(mark)
+    quick = quick | whole.rlike(r"(?i)key|token|passw|secret")
+    lines = paragraphs(docs.where(whole.isNotNull() & quick).select(*keys, text), keys, text)
+    text_ = F.col("text")
+    any_of = lambda hints: [text_.contains(h) for h in hints]
+    rules = []
+    for name, pattern in SECRETS.items():
+        first, *rest = any_of(HINTS[name])
+        for other in rest:
+            first = first | other
+        rules.append(F.when(first & text_.rlike(pattern), F.array(F.lit(name))).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    each = lambda hint, pattern, bad, rule: F.when(hint, F.transform(F.filter(F.regexp_extract_all(text_, F.lit(pattern), F.lit(1)), bad), lambda _: F.lit(rule))).otherwise(none)
+    literal = each(text_.rlike(r"""[=:]\s*["']"""), LITERAL, lambda v: ~v.rlike(PLACEHOLDER), "literal-credential-review")
+    email = each(text_.contains("@"), EMAIL, lambda d: ~F.lower(d).isin(ALLOWED_DOMAINS), "personal-email-review")
     found = F.concat(*rules, literal, email)
-    return lines.where(text.isNotNull()).select(*keys, F.explode_outer(found).alias("rule")).where("rule is not null")
+    return lines.select(*keys, F.col("para_idx").alias(line), F.explode_outer(found).alias("rule")).where("rule is not null")
 
 
 def path_audit(files: DataFrame, path: str = "path") -> DataFrame:
-    """path and finding: generated (a generated directory), env (an environment file), forbidden (a suffix)."""
+    """path and finding of files that are not to be imported: generated, env, hosting, fixture or suffix."""
     name = F.element_at(F.split(path, "/"), -1)
-    finding = F.when(F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, GENERATED))), "generated").when(name.rlike(r"^\.env(\.|$)"), "env").when(F.lower(name).rlike(r"\.(?:pem|key|p12|pfx|sqlite|db)$"), "forbidden")
+    starts = F.lit(False)
+    for s in EXCLUDED_STARTS:
+        starts = starts | F.col(path).startswith(s)
+    finding = (
+        F.when(F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, GENERATED))), "generated")
+        .when(name.startswith(".env") & (name != ALLOWED_ENV), "env")
+        .when(F.col(path).startswith(".openai/") & (name != ALLOWED_HOSTING), "hosting")
+        .when(starts, "fixture")
+        .when(name.rlike(rf"^.+\.(?:{'|'.join(EXCLUDED_SUFFIXES)})$"), "suffix")
+    )
     return files.withColumn("finding", finding).where("finding is not null").select(path, "finding")
 
 
@@ -50,21 +86,24 @@ def link_targets(pages: DataFrame) -> DataFrame:
 
 
 def dangling_targets(links: DataFrame, known: DataFrame) -> DataFrame:
-    """Internal targets that no known path has, with how many links lead there."""
-    inner = links.where("target like '/%'")
-    return inner.join(known.select(F.col("path").alias("target")).distinct(), "target", "left_anti").groupBy("target").agg(F.count("*").alias("links"))
+    """Internal targets that no known path has, with how many links lead there. Links are counted before the join."""
+    inner = links.where("target like '/%'").groupBy("target").agg(F.count("*").alias("links"))
+    return inner.join(known.select(F.col("path").alias("target")).distinct().hint("merge"), "target", "left_anti")
 
 
 def document_fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id and sha256 of the canonical fragments of its lines in order, without labelled lines."""
-    p = paragraphs(docs).where(T.label_value(F.col("text")).isNull())
-    parts = F.array_sort(F.collect_list(F.struct("para_idx", T.canonical_fragment(F.col("text")).alias("f"))))
-    return p.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(parts, lambda x: x.f), "").cast("binary"), 256).alias("fingerprint"))
+    """doc_id, sha256 of the canonical fragments of its lines in order, without labelled lines, and n_lines of these.
+
+    Row by row: lines are an array of the row, so no text is shuffled.
+    """
+    lines = F.filter(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n"), lambda x: T.label_value(x).isNull())
+    rows = docs.where("text is not null").select("doc_id", lines.alias("_l")).where(F.size("_l") > 0)
+    return rows.select("doc_id", F.sha2(F.array_join(F.transform("_l", T.canonical_fragment), "").cast("binary"), 256).alias("fingerprint"), F.size("_l").cast("long").alias("n_lines"))
 
 
 def duplicate_groups(fingerprints: DataFrame) -> DataFrame:
-    """fingerprint, first doc_id and size of each group of several."""
-    return fingerprints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
+    """fingerprint, first doc_id, size and lines of each group of several."""
+    return fingerprints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), F.sum("n_lines").alias("n_lines")).where("n > 1")
 
 
 def uniform_damage(runs: DataFrame, doc: str, mark: Column) -> DataFrame:
@@ -78,9 +117,9 @@ def noise_count(rows: DataFrame, keys: list[str], noisy: list[Column]) -> DataFr
 
 
 def prefix_join(rows: DataFrame, vocabulary: DataFrame, text: str, phrase: str, keys: list[str]) -> DataFrame:
-    """The longest phrase that each text starts with, by an equi-join on the first word; vocabulary is a fixed list."""
-    words = F.broadcast(vocabulary.withColumn("_w", F.split(phrase, " ")[0]))
-    both = rows.withColumn("_w", F.split(text, " ")[0]).join(words, "_w").where(F.col(text).startswith(F.col(phrase)))
+    """The longest phrase that each text starts with, by a sort-merge join on the first word."""
+    words = vocabulary.select(phrase).distinct().withColumn("_w", F.split(phrase, " ")[0])
+    both = rows.withColumn("_w", F.split(text, " ")[0]).join(words.hint("merge"), "_w").where(F.col(text).startswith(F.col(phrase)))
     return both.groupBy(*keys).agg(F.max_by(phrase, F.length(phrase)).alias("phrase"))
 
 

@@ -18,7 +18,7 @@ def weighted_score(parts: DataFrame, weights: dict[str, float] = WEIGHTS) -> Dat
 def excess_error(scores: DataFrame, case: str, variant: str, clean: str, blocked: Column) -> DataFrame:
     """Per variant: mean and largest excess over the clean run of the same case (100 more if blocked), and how many were blocked."""
     base = scores.where(F.col(variant) == clean).groupBy(case).agg(F.max("score").alias("base"))
-    rows = scores.where(F.col(variant) != clean).join(base, case).withColumn("excess", F.col("score") - F.col("base") + F.when(blocked, 100).otherwise(0))
+    rows = scores.where(F.col(variant) != clean).join(base.hint("merge"), case).withColumn("excess", F.col("score") - F.col("base") + F.when(blocked, 100).otherwise(0))
     return rows.groupBy(variant).agg(F.round(F.avg("excess"), 2).alias("mean_excess"), F.round(F.max("excess"), 2).alias("max_excess"), F.count_if(blocked).alias("blocked"))
 
 
@@ -41,7 +41,7 @@ def batch_ledger(results: DataFrame, group: str, ok: Column) -> DataFrame:
 def diagnostic_report(docs: DataFrame, findings: DataFrame, doc: str) -> DataFrame:
     """doc, status (failed, checked, not_run) and number of errors and warnings."""
     f = findings.groupBy(doc).agg(F.count_if(F.col("status") == "error").alias("errors"), F.count_if(F.col("status") == "warning").alias("warnings"))
-    j = docs.select(doc).join(f, doc, "left")
+    j = docs.select(doc).join(f.hint("merge"), doc, "left")
     status = F.when(F.col("errors").isNull(), "not_run").when(F.col("errors") > 0, "failed").otherwise("checked")
     return j.select(doc, status.alias("status"), F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("warnings", F.lit(0)).alias("warnings"))
 

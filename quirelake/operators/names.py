@@ -2,41 +2,75 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from quirelake.functions.text import NAME_BLANKS, trim_name
+from quirelake.functions.treaty import label_party, party_key
 
-from quirelake.functions.text import squeeze
+#: Fixed value: the kind of gazetteer records whose names resolve.
+MEMBER = "member-state"
 
 #: A gazetteer index of at most this many spellings is broadcast; a larger one is joined by sort-merge.
 INDEX_ROWS = 200_000
 
 
+@F.pandas_udf(StringType())
+def _nfkc(values: pd.Series) -> pd.Series:
+    """Compatibility forms composed; there is no built-in function for it."""
+    return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
 def name_key(value: Column) -> Column:
-    """Lookup key: straight apostrophes, full-width ASCII narrowed, blanks folded, lower case."""
-    wide = "".join(chr(0xFF01 + i) for i in range(94))
-    narrow = "".join(chr(0x21 + i) for i in range(94))
-    plain = F.translate(value, wide + "　  ’‘", narrow + "   ''")
-    return F.lower(squeeze(F.regexp_replace(plain, r"\s+", " ")))
+    """Lookup key: compatibility forms composed, straight apostrophes, blanks folded, lower case."""
+    straight = F.translate(_nfkc(value), "’‘", "''")
+    blanks = F.translate(straight, NAME_BLANKS, " " * len(NAME_BLANKS))
+    return F.lower(F.trim(F.regexp_replace(blanks, " +", " ")))
 
 
 def name_index(gazetteer: DataFrame, spellings: list[str]) -> DataFrame:
-    """key, id and display for each distinct spelling; `ids` counts the records that share a key."""
-    rows = gazetteer.select("id", "display", F.explode(F.array(*spellings)).alias("spelling")).where("spelling is not null")
-    rows = rows.select(name_key(F.col("spelling")).alias("key"), "id", "display").distinct()
-    return rows.groupBy("key").agg(F.countDistinct("id").alias("ids"), F.min("id").alias("id"), F.min("display").alias("display"))
-
-
-def resolve_names(names: DataFrame, index: DataFrame, value: str = "name", review: DataFrame | None = None) -> DataFrame:
-    """names with status (resolved, ambiguous, unknown, or the review list's), id and display; only resolved ones get them."""
-    index = F.broadcast(index) if index.limit(INDEX_ROWS + 1).count() <= INDEX_ROWS else index.hint("merge")
-    df = names.withColumn("key", name_key(F.col(value))).join(index, "key", "left")
-    status = F.when(F.col("ids") > 1, "ambiguous").when(F.col("ids") == 1, "resolved").otherwise("unknown")
-    if review is not None:  # key, listed: a fixed review list
-        df = df.join(F.broadcast(review), "key", "left")
+    """key, id, display and kind for each distinct spelling; `ids` counts the records that share a key.
+
+    gazetteer: id, display, the columns of spellings (strings or arrays), and kind (all member states where absent).
+    """
+    array = F.flatten(F.array(*[F.col(c) if dict(gazetteer.dtypes)[c].startswith("array") else F.array(c) for c in spellings]))
+    kind = F.col("kind") if "kind" in gazetteer.columns else F.lit(MEMBER)
+    rows = gazetteer.select("id", "display", kind.alias("kind"), F.explode_outer(array).alias("spelling")).where("spelling is not null")
+    rows = rows.select(name_key(F.col("spelling")).alias("key"), "id", "display", "kind").distinct()
+    return rows.groupBy("key").agg(F.countDistinct("id").alias("ids"), F.min("id").alias("id"), F.min("display").alias("display"), F.min("kind").alias("kind"))
+
+
+def bounded(table: DataFrame, rows: int = INDEX_ROWS) -> DataFrame:
+    """The table with a join hint: broadcast if it has at most so many rows, else sort-merge."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table.hint("merge")
+
+
+def resolve_names(names: DataFrame, index: DataFrame, value: str = "name", review: DataFrame | None = None, formal: list[str] | None = None) -> DataFrame:
+    """names with status, id and display; only resolved ones get an id.
+
+    status: the review list's (key, listed), else ambiguous (several records), unknown (none), resolved (a member state)
+    or entity. Names are looked up once per distinct value. formal: columns of the index with spellings that stay as
+    they are although their record has another display.
+    """
+    own = names.select(value).distinct().withColumn("key", name_key(F.col(value)))
+    df = own.join(bounded(index), "key", "left")
+    status = F.when(F.col("ids") > 1, "ambiguous").when(F.col("ids").isNull(), "unknown").when(F.col("kind") == MEMBER, "resolved").otherwise("entity")
+    if review is not None:
+        df = df.join(bounded(review), "key", "left")
         status = F.coalesce("listed", status)
     df = df.withColumn("status", status)
     ok = F.col("status") == "resolved"
-    return df.withColumns({"id": F.when(ok, F.col("id")), "display": F.when(ok, F.col("display"))}).drop("key", "ids", "listed")
+    kept = F.lit(False)
+    for c in formal or []:
+        kept = kept | F.coalesce(F.col(value) == F.col(c), F.lit(False))
+    df = df.select(value, "status", F.when(ok, F.col("id")).alias("id"), F.when(ok, F.when(kept, F.col(value)).otherwise(F.col("display"))).alias("display"))
+    back = names.withColumn("_v", F.col(value)).join(df.withColumnRenamed(value, "_w").hint("merge"), F.col("_v").eqNullSafe(F.col("_w")), "left")
+    return back.drop("_v", "_w")
 
 
 def dedupe_names(resolved: DataFrame, keys: list[str], pos: str) -> DataFrame:
@@ -52,21 +86,65 @@ def sort_names(resolved: DataFrame, keys: list[str], sort_key: str, pos: str, di
 
 
 def missing_fields(models: DataFrame, required: DataFrame, fields: list[str]) -> DataFrame:
-    """(doc_id, field) of required fields without a value. required: doc_type, field."""
-    have = models.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields])).alias("x")).where("x.v is not null and x.v <> ''").select("doc_id", "x.field")
-    wanted = models.select("doc_id", "doc_type").join(F.broadcast(required), "doc_type").select("doc_id", "field")
-    return wanted.join(have, ["doc_id", "field"], "left_anti")
+    """(doc_id, field) of required fields without a value. required: doc_type, field. Row by row but for the small table."""
+    filled = F.filter(F.array(*[F.when(F.coalesce(F.col(f).cast("string"), F.lit("")) != "", F.lit(f)) for f in fields]), lambda x: x.isNotNull())
+    have = models.select("doc_id", "doc_type", filled.alias("_have"))
+    wanted = have.join(bounded(required.select("doc_type", "field").distinct()), "doc_type")
+    return wanted.where(~F.array_contains("_have", F.col("field"))).select("doc_id", "field")
 
 
-def match_parties(parties: DataFrame, entries: DataFrame, keys: list[str], name: str, pos: str) -> DataFrame:
-    """Each party with its n-th unused entry of the same name, in party order; entries without a party follow."""
-    nth = lambda df: df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, name).orderBy(pos)))
-    p, e = nth(parties).withColumnRenamed(pos, "party_pos"), nth(entries).withColumnRenamed(pos, "entry_pos")
-    return p.join(e, [*keys, name, "_n"], "full_outer").drop("_n")
+def match_parties(parties: DataFrame, entries: DataFrame, keys: list[str], name: str, pos: str, language: str = "en") -> DataFrame:
+    """Each party with its n-th unused entry of the same party key, in party order; entries without a party follow.
+
+    Both sides hold `name` (a party, or an entry's label) and `pos`. Result: keys, party, label, party_pos, entry_pos.
+    """
+    nth = lambda df: df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_k").orderBy("_p")))
+    p = nth(parties.select(*keys, F.col(name).alias("party"), F.col(pos).alias("_p"), party_key(F.col(name)).alias("_k"))).withColumnRenamed("_p", "party_pos")
+    e = nth(entries.select(*keys, F.col(name).alias("label"), F.col(pos).alias("_p"), party_key(label_party(F.col(name), language)).alias("_k"))).withColumnRenamed("_p", "entry_pos")
+    return p.join(e.hint("merge"), [*keys, "_k", "_n"], "full_outer").drop("_n", "_k")
 
 
 def nearest_candidates(names: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
     """The label of the block whose centre is nearest to each name's, the earlier column on ties. Blocks are small."""
-    both = names.join(labels, keys).withColumn("distance", F.abs(F.col("name_at") - F.col("label_at")))
+    both = names.join(labels.hint("merge"), keys).withColumn("distance", F.abs(F.col("name_at") - F.col("label_at")))
     w = Window.partitionBy(*keys, "name_id").orderBy("distance", "label_id")
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def sort_key(value: Column, language: str, phrases: dict[str, str] | None = None, chars: dict[str, str] | None = None) -> Column:
+    """Array to order names by: lower case, or for zh the reading of each longest listed phrase or character.
+
+    phrases and chars: readings, syllables of a phrase divided by blanks. Both are bounded policy tables.
+    """
+    if language != "zh":
+        return F.array(F.lower(value))
+    phrases, chars = phrases or {}, chars or {}
+    readings = F.create_map(*[F.lit(x) for kv in (chars | phrases).items() for x in kv]) if chars or phrases else F.create_map().cast("map<string,string>")
+    longest = "|".join(sorted(map(re.escape, phrases), key=len, reverse=True))
+    pieces = F.regexp_extract_all(value, F.lit(f"(?s)({longest}|.)" if longest else "(?s)(.)"), F.lit(1))
+    return F.flatten(F.transform(pieces, lambda x: F.split(F.coalesce(F.try_element_at(readings, x), F.lower(x)), " ")))
+
+
+def plan_names(values: DataFrame, index: DataFrame, keys: list[str], pos: str, key: Column, review: DataFrame | None = None, preserve: bool = False) -> DataFrame:
+    """One row per list: names in order, changed and removed counts. values: keys, pos, name.
+
+    Unresolved names keep their input; of a resolved record the first stays. key: sort key over `display` (their sort
+    name); preserve keeps the source order.
+    """
+    done = resolve_names(values.where(trim_name(F.col("name")) != ""), index, "name", review).withColumn("display", F.coalesce("display", "name"))
+    firsts = F.row_number().over(Window.partitionBy(*keys, "id").orderBy(pos))
+    done = done.withColumn("_keep", F.col("id").isNull() | (firsts == 1)).withColumn("_key", key)
+    order = F.struct(F.col(pos).alias("p"), F.col("display").alias("d")) if preserve else F.struct(F.col("_key").alias("k"), F.col(pos).alias("p"), F.col("display").alias("d"))
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("_keep"), order))), lambda x: x.d)
+    return done.groupBy(*keys).agg(listed.alias("names"), F.count_if(F.col("_keep") & (F.col("display") != F.col("name"))).alias("changed"), F.count_if(~F.col("_keep")).alias("removed"))
+
+
+#: Why a name is left to a person.
+REASONS = {"ambiguous": "称呼有歧义", "historical": "历史国家或历史名称", "entity": "组织、观察员或其他非会员国实体", "unknown": "资料表未确认的名称"}
+
+
+def name_warnings(resolved: DataFrame, keys: list[str], pos: str, name: str = "name") -> DataFrame:
+    """One row per list and distinct unresolved name, in the order of its first place, with status and reason."""
+    reason = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])
+    open_ = resolved.where("status <> 'resolved'").groupBy(*keys, name, "status").agg(F.min(pos).alias(pos))
+    return open_.withColumn("reason", F.element_at(reason, F.col("status")))

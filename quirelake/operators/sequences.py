@@ -6,16 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
+from quirelake.functions.numerals import is_roman_token, paren_token
+
+
+#: So many different levels get a running sum each.
+FEW_LEVELS = 64
 
 
 def _by(keys: list[str], order: str):
     return Window.partitionBy(*keys).orderBy(order)
 
 
-def paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def paragraphs(df: DataFrame, id_col: str | list[str] = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line of a text: id, para_idx from 0, text; lines end at CRLF, CR or LF. A null text has none."""
     lines = F.split(F.regexp_replace(F.col(text_col), "\r\n?", "\n"), "\n")
-    return df.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode_outer(lines).alias("para_idx", "text"))
+    ids = [id_col] if isinstance(id_col, str) else id_col
+    return df.where(F.col(text_col).isNotNull()).select(*ids, F.posexplode_outer(lines).alias("para_idx", "text"))
+
+
+def shallower_rows(items: DataFrame, level: str, counted: Column, upto) -> Column:
+    """How many counted rows up to each one have a smaller level, for levels of any depth.
+
+    Where a table has few different levels (the rule), there is one running sum for each; else the levels before each
+    row are gathered, which is exact too but grows with the square of a document's rows.
+    """
+    few = items.select(level).distinct().limit(FEW_LEVELS + 1).collect()
+    if len(few) > FEW_LEVELS:
+        return F.size(F.filter(F.collect_list(F.when(counted, F.col(level))).over(upto), lambda x: x < F.col(level)))
+    out = F.lit(0).cast("long")
+    for (own,) in few:
+        if own is not None:
+            out = F.when(F.col(level) == own, F.sum(F.when(counted & (F.col(level) < own), 1).otherwise(0)).over(upto)).otherwise(out)
+    return out
 
 
 def sequence_issues(items: DataFrame, keys: list[str], order: str = "idx", level: str = "level", family: str = "family", value: str = "value") -> DataFrame:
@@ -32,28 +54,39 @@ def sequence_issues(items: DataFrame, keys: list[str], order: str = "idx", level
         "_section": F.sum(reset.cast("int")).over(upto),
         "_restart": (F.col(value) == 1) & ((F.lag(family).over(w).isNull() & F.lag("text").over(w).rlike("[:：]\\s*$")) | (F.lag(level).over(w) < F.col(level))) if "text" in items.columns else (F.col(value) == 1) & (F.lag(level).over(w) < F.col(level)),
     })
-    shallower = lambda depth: F.sum(F.when(numbered & (F.col(level) < depth), 1).otherwise(0)).over(upto)
-    # levels are few, so the number of rows above each is a small array
-    df = df.withColumn("_above", F.array(*[shallower(d) for d in range(10)])).withColumn("_scope", F.get("_above", F.least(F.col(level), F.lit(9))))
+    df = df.withColumn("_scope", shallower_rows(items, level, numbered, upto))
     df = df.where(numbered).withColumn("previous", F.lag(value).over(Window.partitionBy(*keys, "_section", level, family, "_scope").orderBy(order)))
     issue = F.col("previous").isNotNull() & (F.col(value) != F.col("previous") + 1) & ~F.coalesce("_restart", F.lit(False))
-    return df.where(issue).drop("_section", "_restart", "_above", "_scope")
+    return df.where(issue).drop("_section", "_restart", "_scope")
 
 
 def list_labels(items: DataFrame, keys: list[str], order: str, list_key: str, level: str, start: Column | None = None) -> DataFrame:
     """items with number: the running count in the list and level since the last shallower row, from start (1)."""
     upto = _by([*keys, list_key], order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    above = F.array(*[F.sum(F.when(F.col(level) < d, 1).otherwise(0)).over(upto) for d in range(10)])
-    df = items.withColumn("_scope", F.get(above, F.least(F.col(level), F.lit(9))))
+    df = items.withColumn("_scope", shallower_rows(items, level, F.lit(True), upto))
     number = F.row_number().over(Window.partitionBy(*keys, list_key, level, "_scope").orderBy(order)) + (F.lit(1) if start is None else start) - 1
     return df.withColumn("number", number).drop("_scope")
 
 
-def plan_endings(blocks: DataFrame, keys: list[str], order: str, level: str, final: str = "。") -> DataFrame:
-    """blocks with ending: a colon before a deeper row, the final mark on the last, a semicolon else."""
-    w = _by(keys, order)
-    following = F.lead(level).over(w)
-    return blocks.withColumn("ending", F.when(following.isNull(), final).when(following > F.col(level), "：").otherwise("；"))
+#: Marks at the end of a clause that introduces others, of the last one, of others, and of preambles.
+CLAUSE_MARKS = {"zh": ("：", "。", "；", "，"), "en": (":", ".", ";", ",")}
+BARE_ARTICLE = r"^\s*第[一二三四五六七八九十百]+条\s*$"
+
+
+def plan_endings(blocks: DataFrame, keys: list[str], order: str, language: Column) -> DataFrame:
+    """blocks (role, level, operative, uncertain, text) with ending, null where none is planned.
+
+    Subject and preamble lines end in a comma. Of the operative items and prose (bare article numbers aside) one before
+    a deeper one ends in a colon, the last in a full stop, others in a semicolon; uncertain ones are left alone but
+    count for their neighbours.
+    """
+    clause = F.col("operative") & F.col("role").isin("item", "prose") & ~F.col("text").rlike(BARE_ARTICLE)
+    df = blocks.withColumn("_clause", F.coalesce(clause, F.lit(False)))
+    following = F.lead("level").over(Window.partitionBy(*keys, "_clause").orderBy(order))
+    marks = [F.when(language == "zh", zh).otherwise(en) for zh, en in zip(*CLAUSE_MARKS.values(), strict=True)]
+    of_clause = F.when(following.isNull(), marks[1]).when(following > F.col("level"), marks[0]).otherwise(marks[2])
+    ending = F.when(F.col("role").isin("subject", "preamble"), marks[3]).when(F.col("_clause") & ~F.coalesce("uncertain", F.lit(False)), of_clause)
+    return df.withColumn("ending", ending).drop("_clause")
 
 
 def roman_context(items: DataFrame, keys: list[str], order: str, token: str) -> DataFrame:
@@ -69,6 +102,12 @@ def quote_depth(df: DataFrame, keys: list[str], order: list[str], step: Column)
     return df.withColumn("depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(upto))).drop("_sum")
 
 
+def roman_items(items: DataFrame, keys: list[str], order: str, text: str = "text") -> DataFrame:
+    """items with is_roman: whether a parenthesised token is a numeral, from the token of the last item that had one."""
+    df = roman_context(items.withColumn("_token", paren_token(F.col(text))), keys, order, "_token")
+    return df.withColumn("is_roman", is_roman_token(F.col("_token"), F.col("previous_token"))).drop("_token")
+
+
 def latest_wins(events: DataFrame, session: list[str], order: list[str]) -> DataFrame:
     """The newest row of each session; order breaks all ties."""
     w = Window.partitionBy(*session).orderBy(*[F.col(c).desc() for c in order])
@@ -92,7 +131,7 @@ def header_bounds(p: DataFrame, document_type: str | None = None) -> DataFrame:
 def header_fields(p: DataFrame, document_type: str | None = None) -> DataFrame:
     """Labelled header values before the body, one row per document and field; the last one wins."""
     bounds = header_bounds(p, document_type)
-    rows = p.join(bounds, "doc_id").where("para_idx < header_end").withColumn("_l", T.label_value(F.col("text"))).where("_l is not null")
+    rows = p.join(bounds.hint("merge"), "doc_id").where("para_idx < header_end").withColumn("_l", T.label_value(F.col("text"))).where("_l is not null")
     return rows.groupBy("doc_id", F.col("_l.key").alias("field")).agg(F.max_by("_l.value", "para_idx").alias("value"), F.count("*").alias("lines"))
 
 

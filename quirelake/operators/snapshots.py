@@ -11,19 +11,29 @@ def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str], value: s
     a = before.select(*keys, F.col(value).alias("before"), F.lit(1).alias("_a"))
     b = after.select(*keys, F.col(value).alias("after"), F.lit(1).alias("_b"))
     kind = F.when(F.col("_a").isNull(), "created").when(F.col("_b").isNull(), "removed").when(F.col("before").eqNullSafe(F.col("after")), "unchanged").otherwise("changed")
-    return a.join(b, keys, "full_outer").withColumn("kind", kind).drop("_a", "_b")
+    return a.join(b.hint("merge"), keys, "full_outer").withColumn("kind", kind).drop("_a", "_b")
+
+
+def snapshot_kinds(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys and kind only: values are compared by hash, so texts are not shuffled."""
+    hashed = lambda df: df.select(*keys, F.when(F.col(value).isNotNull(), F.sha2(F.col(value).cast("string").cast("binary"), 256)).alias("_v"))
+    return snapshot_diff(hashed(before), hashed(after), keys, "_v").select(*keys, "kind")
 
 
 def multiset_diff(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of one side that the other lacks, with how often: n_missing (only in a) and n_added (only in b)."""
-    count = lambda df, sign: df.groupBy(*columns).agg(F.count("*").alias("n")).withColumn("n", F.col("n") * sign)
-    both = count(a, 1).union(count(b, -1)).groupBy(*columns).agg(F.sum("n").alias("n")).where("n <> 0")
+    """Rows of one side that the other lacks, with how often: n_missing (only in a) and n_added (only in b).
+
+    Rows are counted by a hash of their values; values travel once per distinct row, with the partial sums.
+    """
+    key = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    signed = a.select(*columns, F.lit(1).alias("n")).union(b.select(*columns, F.lit(-1).alias("n"))).withColumn("_k", key)
+    both = signed.groupBy("_k").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in columns]).where("n <> 0")
     return both.select(*columns, F.greatest("n", F.lit(0)).alias("n_missing"), F.greatest(-F.col("n"), F.lit(0)).alias("n_added"))
 
 
 def order_broken(before: DataFrame, after: DataFrame, doc: str, key: str, pos: str) -> DataFrame:
     """Survivors that stand before their predecessor afterwards."""
-    both = before.select(doc, key, F.col(pos).alias("p")).join(after.select(doc, key, F.col(pos).alias("q")), [doc, key])
+    both = before.select(doc, key, F.col(pos).alias("p")).join(after.select(doc, key, F.col(pos).alias("q")).hint("merge"), [doc, key])
     return both.withColumn("_last", F.lag("q").over(Window.partitionBy(doc).orderBy("p"))).where("q < _last").select(doc, key)
 
 
@@ -37,9 +47,14 @@ def file_manifest(files: DataFrame, path: Column, content: Column) -> DataFrame:
     return files.select(path.alias("path"), F.sha2(content, 256).alias("sha256"))
 
 
-def output_collisions(plan: DataFrame) -> DataFrame:
-    """Case-folded outputs that several inputs map to."""
-    return plan.groupBy(F.lower("output").alias("output")).agg(F.count("*").alias("inputs")).where("inputs > 1")
+def output_collisions(plan: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
+    """Case-folded outputs that several inputs map to, or that are inputs themselves (a table with `path`)."""
+    made = plan.groupBy(F.lower("output").alias("output")).agg(F.count("*").alias("inputs"))
+    if inputs is None:
+        return made.where("inputs > 1")
+    own = inputs.select(F.lower("path").alias("output"), F.lit(True).alias("is_input")).distinct()
+    both = made.join(own.hint("merge"), "output", "left").withColumn("is_input", F.coalesce("is_input", F.lit(False)))
+    return both.where("inputs > 1 or is_input")
 
 
 def parity(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -60,4 +75,4 @@ def structure_counts(rows: DataFrame, doc: str, html: Column, tags: list[str]) -
 def structure_losses(before: DataFrame, after: DataFrame, doc: str) -> DataFrame:
     """Tags that became fewer."""
     b = after.select(doc, "tag", F.col("n").alias("now"))
-    return before.join(b, [doc, "tag"], "left").select(doc, "tag", (F.col("n") - F.coalesce("now", F.lit(0))).alias("lost")).where("lost > 0")
+    return before.join(b.hint("merge"), [doc, "tag"], "left").select(doc, "tag", (F.col("n") - F.coalesce("now", F.lit(0))).alias("lost")).where("lost > 0")

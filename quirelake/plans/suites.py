@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions import numerals as N
@@ -26,8 +26,14 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Lines of documents in SQL.
 LINES = r"""lines AS (SELECT doc_id, i - 1 AS para_idx, l[i] AS text FROM (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS l FROM documents WHERE text IS NOT NULL), generate_series(1, len(l)) AS g(i))"""
-#: Canonical fragment of a line in SQL.
-FRAGMENT = rf"""replace(lower(regexp_replace(regexp_replace(text, '(?i){T.LIST_MARKER}', ''), '[^\p{{L}}\p{{N}}]', '', 'g')), 'ß', 'ss')"""
+#: Blanks, labelled lines and canonical fragments in SQL, written from the rules of the format.
+WS = r"[\s\x0B\x1C-\x1F\x{0085}\p{Z}]"
+LABELLED = r"'(?i)^(委员会|Committee|议题|会议议题|Topic|Agenda|国家/席位|代表国家|代表国|国家|席位|Country|Represented country|Delegation country|代表|Delegate|起草国|提案国|主笔国|Sponsors?|附议国|联署国|Signatory|Signatories)\s*[:：]'"
+UNMARKED = (
+    r"CASE WHEN regexp_matches(text, '(?i)^WS*[a-z][.)）][^\x00-\x7f]') THEN regexp_replace(text, '(?i)^WS*[a-z][.)）]', '') "
+    r"ELSE regexp_replace(text, '(?i)^WS*(第[一二三四五六七八九十百]+条|[0-9]+[.、．)]|[0-9]+WS{2,}|[a-z][.)）]WS|[（(][a-z]+[）)]|[（(][0-9]{1,2}[）)]|[（(][一二三四五六七八九十子丑寅卯辰巳午未申酉戌亥甲乙丙丁戊己庚辛壬癸]+[）)])WS*', '') END"
+).replace("WS", WS)
+FRAGMENT = rf"replace(lower(regexp_replace({UNMARKED}, '[^\p{{L}}\p{{N}}]', '', 'g')), 'ß', 'ss')"
 
 
 @query(f"WITH {LINES} SELECT doc_id, para_idx, text FROM lines")
@@ -40,30 +46,28 @@ def detect_language(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.detect_language(F.col("text")).alias("language"))
 
 
-@query(rf"""WITH {LINES} SELECT doc_id, sum(CASE WHEN trim(text) <> '' AND (regexp_matches(text, '[。！？!?]\s*$') OR (regexp_matches(text, '\.\s*$') AND len(string_split_regex(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+')) >= 6) OR regexp_matches(lower(text), '^\s*([0-9]+(\.[0-9]+)*[.、．)）]|[a-z][.)）] |[ivx]+\. |[（(][a-z]{{1,4}}[）)]|part +[ivx0-9]+)')) THEN 1 ELSE 0 END)::BIGINT AS body_lines, count(*) AS n_lines FROM lines GROUP BY doc_id""")
+@query(rf"""WITH {LINES}, t AS (SELECT doc_id, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS text FROM lines) SELECT doc_id, count(*) FILTER (WHERE text <> '' AND NOT regexp_matches(text, {LABELLED}) AND (regexp_matches(text, '[。！？!?]$') OR (text LIKE '%.' AND len(string_split_regex(text, '{WS}+')) >= 6)
+ OR regexp_matches(text, '(?i)^(第[一二三四五六七八九十百千零〇]+条|[一二三四五六七八九十]+[、.]|[（(][一二三四五六七八九十子丑寅卯辰巳午未申酉戌亥甲乙丙丁戊己庚辛壬癸]{{1,3}}[）)]|\d+(\.\d+)*[.、．)）]|[a-z][.)）]{WS}|[ivx]+\.{WS}|[（(][a-z]{{1,4}}[）)]|part{WS}+[ivx\d]+)'))) AS body_lines, count(*) AS n_lines FROM t GROUP BY doc_id""")
 def body_lines(spark, sf_dir):
     return lines(spark, sf_dir).groupBy("doc_id").agg(F.count_if(T.starts_body(F.col("text"))).alias("body_lines"), F.count("*").alias("n_lines"))
 
 
-@query(rf"""WITH {LINES} SELECT doc_id, sha256(string_agg({FRAGMENT}, '' ORDER BY para_idx)) AS fingerprint FROM lines GROUP BY doc_id""")
+@query(rf"""WITH {LINES} SELECT doc_id, sha256(string_agg({FRAGMENT}, '' ORDER BY para_idx)) AS fingerprint, count(*) AS n_lines FROM lines WHERE NOT regexp_matches(text, {LABELLED}) GROUP BY doc_id""")
 def document_fingerprint(spark, sf_dir):
     return A.document_fingerprint(table(spark, sf_dir, "documents"))
 
 
-@query(rf"""WITH {LINES}, f AS (SELECT doc_id, sha256(string_agg({FRAGMENT}, '' ORDER BY para_idx)) AS fingerprint, count(*) AS n_lines FROM lines GROUP BY doc_id) SELECT fingerprint, min(doc_id) AS first_doc, count(*) AS n, sum(n_lines)::BIGINT AS n_lines FROM f GROUP BY fingerprint HAVING count(*) > 1""")
+@query(rf"""WITH {LINES}, f AS (SELECT doc_id, sha256(string_agg({FRAGMENT}, '' ORDER BY para_idx)) AS fingerprint, count(*) AS n_lines FROM lines WHERE NOT regexp_matches(text, {LABELLED}) GROUP BY doc_id) SELECT fingerprint, min(doc_id) AS first_doc, count(*) AS n, sum(n_lines)::BIGINT AS n_lines FROM f GROUP BY fingerprint HAVING count(*) > 1""")
 def canonical_copies(spark, sf_dir):
-    p = lines(spark, sf_dir).where(T.label_value(F.col("text")).isNull())
-    parts = F.array_sort(F.collect_list(F.struct("para_idx", T.canonical_fragment(F.col("text")).alias("f"))))
-    f = p.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(parts, lambda x: x.f), "").cast("binary"), 256).alias("fingerprint"), F.count("*").alias("n_lines"))
-    return f.groupBy("fingerprint").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), F.sum("n_lines").alias("n_lines")).where("n > 1")
+    return A.duplicate_groups(A.document_fingerprint(table(spark, sf_dir, "documents")))
 
 
-@query(r"""SELECT doc_id, sha256(replace(lower(regexp_replace(translate(text, '（）：', '():'), '[\s\x{00A0}]', '', 'g')), 'ß', 'ss')) AS signature FROM documents WHERE text IS NOT NULL""")
+@query(r"""SELECT doc_id, sha256(replace(lower(regexp_replace(translate(text, '（）：', '():'), '[\s\x0B\x1C-\x1F\x{0085}\p{Z}]', '', 'g')), 'ß', 'ss')) AS signature FROM documents WHERE text IS NOT NULL""")
 def visible_signature(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2(T.visible_signature(F.col("text")).cast("binary"), 256).alias("signature"))
 
 
-@query(rf"""WITH {LINES}, c AS (SELECT doc_id, para_idx, length(text) AS n, length(text) - length(regexp_replace(text, '[\x{{3000}}-\x{{9FFF}}\x{{FF00}}-\x{{FFEF}}]', '', 'g')) AS cjk, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS up, length(text) - length(regexp_replace(text, '[.,:;''!|il ]', '', 'g')) AS light, length(text) - length(replace(text, chr(9), '')) AS tabs FROM lines) SELECT doc_id, para_idx, round(cjk * 1.0 + up * 0.7 + light * 0.3 + tabs * 2.0 + (n - cjk - up - light - tabs) * 0.5, 1)::DOUBLE AS width FROM c""")
+@query(rf"""WITH {LINES}, c AS (SELECT doc_id, para_idx, length(text) AS n, length(text) - length(regexp_replace(text, '[\x{{2E80}}-\x{{10FFFF}}]', '', 'g')) AS cjk, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS up, length(text) - length(regexp_replace(text, '[ ,.;:''’()-]', '', 'g')) AS light, length(text) - length(replace(text, chr(9), '')) AS tabs FROM lines) SELECT doc_id, para_idx, round(cjk * 1.0 + up * 0.7 + light * 0.3 + tabs * 2.0 + (n - cjk - up - light - tabs) * 0.5, 1)::DOUBLE AS width FROM c""")
 def line_widths(spark, sf_dir):
     return lines(spark, sf_dir).select("doc_id", "para_idx", T.width_em(F.col("text")).cast("double").alias("width"))
 
@@ -74,26 +78,46 @@ UNION ALL SELECT doc_id, para_idx, 'private-key' FROM lines WHERE regexp_matches
 UNION ALL SELECT doc_id, para_idx, 'personal-path' FROM lines WHERE regexp_matches(text, '/(?:Users|home)/[A-Za-z0-9._-]+/|[A-Za-z]:[\\/]Users[\\/][A-Za-z0-9._-]+[\\/]')
 UNION ALL SELECT doc_id, para_idx, 'literal-credential-review' FROM (SELECT doc_id, para_idx, unnest(regexp_extract_all(text, '(?i)\b(?:api[_-]?key|access[_-]?token|auth[_-]?token|password|passwd|client[_-]?secret)\b\s*[=:]\s*["'']([^"''\n]{{8,}})["'']', 1)) AS v FROM lines) WHERE NOT regexp_matches(v, '(?i)example|placeholder|change.?me|your[_ -]|dummy|test|process\.env|os\.environ|\$\{{|/path/to')""")
 def secret_scan(spark, sf_dir):
-    return A.secret_scan(lines(spark, sf_dir), ["doc_id", "para_idx"])
+    return A.secret_scan(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-@query(r"""SELECT doc_id, NOT regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]') AS valid, substr(regexp_replace(regexp_replace(substr(text, 1, 60), '[\\/:*?"<>|\x00-\x1f]', '-', 'g'), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g'), 1, 180) AS file_name FROM documents WHERE text IS NOT NULL""")
+@query(rf"""SELECT doc_id, NOT regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{{FFFE}}\x{{FFFF}}]') AS valid, substr(regexp_replace(regexp_replace(text, '[\\/:*?"<>|\x00-\x1f\x7f]', '-', 'g'), '^{WS}+|{WS}+$', '', 'g'), 1, 180) AS file_name FROM documents WHERE text IS NOT NULL""")
 def xml_text_and_filenames(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    return docs.select("doc_id", T.valid_xml_text(F.col("text")).alias("valid"), T.safe_filename(F.substring("text", 1, 60)).alias("file_name"))
+    return docs.select("doc_id", T.valid_xml_text(F.col("text")).alias("valid"), T.safe_filename(F.col("text")).alias("file_name"))
 
 
-@query(r"""SELECT conv_id, turn, previous FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM conversations WHERE (conv_id * 7 + turn * 3) % 5 <> 0) WHERE turn <> previous + 1""")
+def numbered_rows(spark, sf_dir) -> DataFrame:
+    """The rows of each order as list items of several levels and families, some unnumbered, some opening a section."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_tax", "l_discount").distinct()
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_tax", "l_discount")
+    part = F.col("l_partkey")
+    return li.select(
+        "l_orderkey", F.row_number().over(w).alias("idx"), (part % 12).cast("int").alias("level"), F.when(part % 7 != 0, F.col("l_returnflag")).alias("family"), (F.col("l_suppkey") % 3 + 1).cast("int").alias("value"),
+        (F.col("l_tax") > 0.07).alias("reset"), F.when(F.col("l_discount") > 0.05, "opens:").otherwise("plain").alias("text"), F.col("l_returnflag").alias("list_key"),
+    )
+
+
+NUMBERED = """n AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_tax, l_discount) AS idx, l_partkey % 12 AS level, CASE WHEN l_partkey % 7 <> 0 THEN l_returnflag END AS family, l_suppkey % 3 + 1 AS value, l_tax > 0.07 AS reset,
+ CASE WHEN l_discount > 0.05 THEN 'opens:' ELSE 'plain' END AS text, l_returnflag AS list_key FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_tax, l_discount FROM lineitem))"""
+
+
+@query(f"""WITH {NUMBERED}, s AS (SELECT *, sum(reset::INT) OVER (PARTITION BY l_orderkey ORDER BY idx) AS section, lag(family) OVER (PARTITION BY l_orderkey ORDER BY idx) AS f0, lag(text) OVER (PARTITION BY l_orderkey ORDER BY idx) AS t0, lag(level) OVER (PARTITION BY l_orderkey ORDER BY idx) AS l0 FROM n),
+ p AS (SELECT a.l_orderkey, a.idx, max(b.idx) AS at FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.section = b.section AND a.level = b.level AND a.family = b.family AND b.idx < a.idx
+  WHERE NOT EXISTS (SELECT 1 FROM s q WHERE q.l_orderkey = a.l_orderkey AND q.family IS NOT NULL AND q.level < a.level AND q.idx > b.idx AND q.idx < a.idx) GROUP BY 1, 2)
+ SELECT a.l_orderkey, a.idx, b.value AS previous FROM s a JOIN p USING (l_orderkey, idx) JOIN s b ON b.l_orderkey = a.l_orderkey AND b.idx = p.at WHERE a.value <> b.value + 1 AND NOT (a.value = 1 AND ((a.f0 IS NULL AND a.t0 LIKE '%:') OR coalesce(a.l0 < a.level, false)))""")
 def numbering_gaps(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("(conv_id * 7 + turn * 3) % 5 <> 0")
-    items = c.select("conv_id", "turn", F.lit(0).alias("level"), F.lit("decimal").alias("family"), F.col("turn").alias("value"))
-    return S.sequence_issues(items, ["conv_id"], "turn").select("conv_id", "turn", "previous")
+    return S.sequence_issues(numbered_rows(spark, sf_dir), ["l_orderkey"], "idx").select("l_orderkey", F.col("idx").cast("long").alias("idx"), F.col("previous").cast("long").alias("previous"))
 
 
-@query(r"""SELECT conv_id, turn, CASE WHEN nxt IS NULL THEN '。' WHEN nxt > level THEN '：' ELSE '；' END AS ending FROM (SELECT conv_id, turn, level, lead(level) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM (SELECT *, CASE WHEN role = 'user' THEN 0 ELSE 1 END AS level FROM conversations))""")
+@query(r"""WITH b AS (SELECT conv_id, turn, text, CASE WHEN turn = 0 THEN 'subject' WHEN turn = 1 THEN 'preamble' WHEN role = 'user' THEN 'item' ELSE 'prose' END AS role, (conv_id + turn) % 3 AS level, conv_id % 2 = 0 AS zh, turn % 5 = 4 AS uncertain FROM conversations),
+ c AS (SELECT conv_id, turn, lead(level) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM b WHERE role IN ('item', 'prose'))
+ SELECT b.conv_id, b.turn, CASE WHEN role IN ('subject', 'preamble') THEN CASE WHEN zh THEN '，' ELSE ',' END WHEN uncertain THEN NULL WHEN nxt IS NULL THEN CASE WHEN zh THEN '。' ELSE '.' END WHEN nxt > level THEN CASE WHEN zh THEN '：' ELSE ':' END ELSE CASE WHEN zh THEN '；' ELSE ';' END END AS ending FROM b LEFT JOIN c ON b.conv_id = c.conv_id AND b.turn = c.turn""")
 def clause_endings(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", 0).otherwise(1).alias("level"))
-    return S.plan_endings(c, ["conv_id"], "turn", "level").select("conv_id", "turn", "ending")
+    turn = F.col("turn")
+    role = F.when(turn == 0, "subject").when(turn == 1, "preamble").when(F.col("role") == "user", "item").otherwise("prose")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", role.alias("role"), ((F.col("conv_id") + turn) % 3).alias("level"), F.lit(True).alias("operative"), (turn % 5 == 4).alias("uncertain"))
+    return S.plan_endings(c, ["conv_id"], "turn", F.when(F.col("conv_id") % 2 == 0, "zh").otherwise("en")).select("conv_id", "turn", "ending")
 
 
 @query(r"""SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
@@ -107,10 +131,10 @@ def quote_depth(spark, sf_dir):
     return S.quote_depth(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], step).select("user_id", "event_id", "depth")
 
 
-@query(r"""SELECT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey) AS number FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_partkey, l_suppkey FROM lineitem)""")
+@query(f"""WITH {NUMBERED} SELECT a.l_orderkey, a.idx, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM n q WHERE q.l_orderkey = a.l_orderkey AND q.list_key = a.list_key AND q.level < a.level AND q.idx > b.idx AND q.idx < a.idx)) AS number
+ FROM n a JOIN n b ON a.l_orderkey = b.l_orderkey AND a.list_key = b.list_key AND a.level = b.level AND b.idx <= a.idx GROUP BY 1, 2""")
 def list_labels(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey", "l_suppkey").distinct().withColumns({"level": F.lit(0), "pos": F.struct("l_linenumber", "l_partkey", "l_suppkey")})
-    return S.list_labels(li, ["l_orderkey"], "pos", "l_returnflag", "level").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("number").cast("long").alias("number"))
+    return S.list_labels(numbered_rows(spark, sf_dir), ["l_orderkey"], "idx", "list_key", "level").select("l_orderkey", F.col("idx").cast("long").alias("idx"), F.col("number").cast("long").alias("number"))
 
 
 @query(r"""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_token FROM conversations""")
@@ -142,19 +166,19 @@ def sort_names(spark, sf_dir):
 
 
 def _after(p: DataFrame) -> DataFrame:
-    """The lines after made-up edits: some gone, some longer, some new."""
+    """The lines after made-up edits: some under another key, some longer, some doubled."""
     k = (F.col("doc_id") * 31 + F.col("para_idx") * 17) % 11
-    edited = p.where(k != 0).withColumn("text", F.when(k == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    edited = p.select("doc_id", F.when(k == 0, F.col("para_idx") + 200000).otherwise(F.col("para_idx")).alias("para_idx"), F.when(k == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
     return edited.union(p.where(k == 2).select("doc_id", (F.col("para_idx") + 100000).alias("para_idx"), "text"))
 
 
-_AFTER = "k AS (SELECT *, (doc_id * 31 + para_idx * 17) % 11 AS k FROM lines), af AS (SELECT doc_id, para_idx, CASE WHEN k = 1 THEN text || '!' ELSE text END AS text FROM k WHERE k <> 0 UNION ALL SELECT doc_id, para_idx + 100000, text FROM k WHERE k = 2)"
+_AFTER = "k AS (SELECT *, (doc_id * 31 + para_idx * 17) % 11 AS k FROM lines), af AS (SELECT doc_id, CASE WHEN k = 0 THEN para_idx + 200000 ELSE para_idx END AS para_idx, CASE WHEN k = 1 THEN text || '!' ELSE text END AS text FROM k UNION ALL SELECT doc_id, para_idx + 100000, text FROM k WHERE k = 2)"
 
 
 @query(f"""WITH {LINES}, {_AFTER} SELECT kind, count(*) AS n FROM (SELECT CASE WHEN b.doc_id IS NULL THEN 'created' WHEN a.doc_id IS NULL THEN 'removed' WHEN a.text = b.text THEN 'unchanged' ELSE 'changed' END AS kind FROM lines b FULL JOIN af a ON a.doc_id = b.doc_id AND a.para_idx = b.para_idx) GROUP BY kind""")
 def snapshot_diff(spark, sf_dir):
     p = lines(spark, sf_dir)
-    return P.snapshot_diff(p, _after(p), ["doc_id", "para_idx"], "text").groupBy("kind").agg(F.count("*").alias("n"))
+    return P.snapshot_kinds(p, _after(p), ["doc_id", "para_idx"], "text").groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {LINES}, {_AFTER}, c AS (SELECT text, sum(n) AS n FROM (SELECT text, 1 AS n FROM lines UNION ALL SELECT text, -1 FROM af) GROUP BY text HAVING sum(n) <> 0) SELECT text, greatest(n, 0)::BIGINT AS n_missing, greatest(-n, 0)::BIGINT AS n_added FROM c""")
@@ -171,18 +195,19 @@ def order_preserved(spark, sf_dir):
     return P.order_broken(before, li.withColumnRenamed("pos2", "pos"), "l_orderkey", "l_linenumber", "pos")
 
 
-@query(r"""SELECT lower(o_orderpriority || '-' || (o_custkey % 100)) AS output, count(*) AS inputs FROM orders GROUP BY 1 HAVING count(*) > 1""")
+@query(r"""WITH m AS (SELECT lower(o_orderpriority || '-' || (o_custkey % 100)) AS output, count(*) AS inputs FROM orders GROUP BY 1), i AS (SELECT DISTINCT lower(o_orderpriority || '-' || o_orderkey) AS output FROM orders) SELECT output, inputs, i.output IS NOT NULL AS is_input FROM m LEFT JOIN i USING (output) WHERE inputs > 1 OR i.output IS NOT NULL""")
 def output_collisions(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    return P.output_collisions(o.select(F.concat("o_orderpriority", F.lit("-"), (F.col("o_custkey") % 100).cast("string")).alias("output")))
+    name = lambda tail: F.concat("o_orderpriority", F.lit("-"), tail.cast("string"))
+    return P.output_collisions(o.select(name(F.col("o_custkey") % 100).alias("output")), o.select(name(F.col("o_orderkey")).alias("path")))
 
 
-@query(r"""WITH a AS (SELECT 'doc/' || doc_id AS path, sha256(text) AS h FROM documents WHERE doc_id % 9 <> 0), b AS (SELECT 'doc/' || doc_id AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 8 <> 0) SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'missing' WHEN a.path IS NULL THEN 'extra' ELSE 'changed' END AS finding FROM a FULL JOIN b ON a.path = b.path WHERE a.h IS DISTINCT FROM b.h""")
+@query(r"""WITH a AS (SELECT 'doc/' || doc_id AS path, sha256(text) AS h FROM documents), b AS (SELECT CASE WHEN doc_id % 8 = 0 THEN 'new/' ELSE 'doc/' END || doc_id AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents) SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'missing' WHEN a.path IS NULL THEN 'extra' ELSE 'changed' END AS finding FROM a FULL JOIN b ON a.path = b.path WHERE a.h IS DISTINCT FROM b.h""")
 def manifest_verify(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
-    a = P.file_manifest(d.where("doc_id % 9 <> 0"), path, F.col("text").cast("binary"))
-    b = P.file_manifest(d.where("doc_id % 8 <> 0"), path, F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary"))
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    path = lambda folder: F.concat(folder, k.cast("string"))
+    a = P.file_manifest(d, path(F.lit("doc/")), F.col("text").cast("binary"))
+    b = P.file_manifest(d, path(F.when(k % 8 == 0, "new/").otherwise("doc/")), F.when(k % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary"))
     return P.manifest_verify(a, b)
 
 
@@ -204,18 +229,19 @@ def dangling_targets(spark, sf_dir):
     return A.dangling_targets(A.link_targets(pages), known)
 
 
-@query(r"""SELECT path, CASE WHEN path LIKE '%/dist/%' THEN 'generated' ELSE 'forbidden' END AS finding FROM (SELECT regexp_replace(url, '^https?://[^/]*', '') || CASE WHEN page_id % 5 = 0 THEN '/dist/x.js' WHEN page_id % 5 = 1 THEN '/key.PEM' ELSE '/x.txt' END AS path, page_id FROM pages) WHERE page_id % 5 < 2""")
+@query(r"""SELECT path, CASE k WHEN 0 THEN 'generated' WHEN 1 THEN 'suffix' WHEN 2 THEN 'env' WHEN 3 THEN 'fixture' WHEN 6 THEN 'hosting' END AS finding FROM (SELECT page_id % 8 AS k, CASE page_id % 8 WHEN 3 THEN 'qa' WHEN 6 THEN '.openai' ELSE 'site' END || regexp_replace(url, '^https?://[^/]*', '') || CASE page_id % 8 WHEN 0 THEN '/dist/x.js' WHEN 1 THEN '/key.pem' WHEN 2 THEN '/.env.local' WHEN 4 THEN '/.env.example' WHEN 5 THEN '/.log' ELSE '/key.PEM' END AS path FROM pages) WHERE k NOT IN (4, 5, 7)""")
 def path_audit(spark, sf_dir):
-    k = F.col("page_id") % 5
-    files = table(spark, sf_dir, "pages").select(F.concat(F.regexp_replace("url", "^https?://[^/]*", ""), F.when(k == 0, "/dist/x.js").when(k == 1, "/key.PEM").otherwise("/x.txt")).alias("path"))
-    return A.path_audit(files)
+    k = F.col("page_id") % 8
+    top = F.when(k == 3, "qa").when(k == 6, ".openai").otherwise("site")
+    name = F.when(k == 0, "/dist/x.js").when(k == 1, "/key.pem").when(k == 2, "/.env.local").when(k == 4, "/.env.example").when(k == 5, "/.log").otherwise("/key.PEM")
+    return A.path_audit(table(spark, sf_dir, "pages").select(F.concat(top, F.regexp_replace("url", "^https?://[^/]*", ""), name).alias("path")))
 
 
-@query(r"""SELECT p_partkey, max_by(v, length(v)) AS phrase FROM part JOIN (SELECT DISTINCT p_name AS v FROM part WHERE p_partkey < 50 UNION SELECT split_part(p_name, ' ', 1) FROM part WHERE p_partkey < 50) ON starts_with(p_name, v) AND split_part(v, ' ', 1) = split_part(p_name, ' ', 1) GROUP BY p_partkey""")
+@query(r"""WITH v AS (SELECT DISTINCT unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2)]) AS v FROM part WHERE p_name LIKE '% %') SELECT p_partkey, max_by(v, length(v)) AS phrase FROM part JOIN v ON starts_with(p_name, v) AND split_part(v, ' ', 1) = split_part(p_name, ' ', 1) GROUP BY p_partkey""")
 def prefix_join(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    few = part.where("p_partkey < 50")
-    vocabulary = few.select(F.col("p_name").alias("v")).union(few.select(F.split_part("p_name", F.lit(" "), F.lit(1)))).distinct()
+    word = lambda n: F.split_part("p_name", F.lit(" "), F.lit(n))
+    vocabulary = part.where("p_name like '% %'").select(F.explode(F.array(word(1), F.concat(word(1), F.lit(" "), word(2)))).alias("v")).distinct()
     return A.prefix_join(part, vocabulary, "p_name", "v", ["p_partkey"])
 
 
@@ -242,9 +268,9 @@ def batch_ledger(spark, sf_dir):
     return E.batch_ledger(table(spark, sf_dir, "orders"), "o_orderpriority", F.col("o_totalprice") > 150000)
 
 
-@query(r"""SELECT o_orderkey, CASE WHEN e IS NULL THEN 'not_run' WHEN e > 0 THEN 'failed' ELSE 'checked' END AS status, coalesce(e, 0) AS errors, coalesce(w, 0) AS warnings FROM orders LEFT JOIN (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'R') AS e, count(*) FILTER (WHERE l_returnflag = 'A') AS w FROM lineitem WHERE l_quantity > 25 GROUP BY 1) ON o_orderkey = l_orderkey""")
+@query(r"""SELECT o_orderkey, CASE WHEN e IS NULL THEN 'not_run' WHEN e > 0 THEN 'failed' ELSE 'checked' END AS status, coalesce(e, 0) AS errors, coalesce(w, 0) AS warnings FROM orders LEFT JOIN (SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'R' AND l_quantity > 25) AS e, count(*) FILTER (WHERE l_returnflag = 'A') AS w FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""")
 def diagnostic_report(spark, sf_dir):
-    f = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_returnflag") == "R", "error").when(F.col("l_returnflag") == "A", "warning").otherwise("pass").alias("status"))
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 25), "error").when(F.col("l_returnflag") == "A", "warning").otherwise("pass").alias("status"))
     return E.diagnostic_report(table(spark, sf_dir, "orders"), f, "o_orderkey")
 
 
@@ -253,10 +279,22 @@ def edit_summary(spark, sf_dir):
     return E.edit_summary(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
 
 
-@query(r"""SELECT p_partkey, p_size, CASE WHEN p_partkey % 4 = 0 AND p_size BETWEEN 1 AND 99 THEN p_size::VARCHAR || '.' WHEN p_partkey % 4 = 1 AND p_size BETWEEN 1 AND 26 THEN '(' || chr(96 + p_size) || ')' END AS marker, CASE WHEN p_partkey % 4 = 0 AND p_size BETWEEN 1 AND 99 THEN 'decimal' WHEN p_partkey % 4 = 1 AND p_size BETWEEN 1 AND 26 THEN 'letter' END AS family, CASE WHEN p_partkey % 4 = 0 AND p_size BETWEEN 1 AND 99 OR p_partkey % 4 = 1 AND p_size BETWEEN 1 AND 26 THEN p_size END AS value FROM part WHERE p_partkey % 4 < 2""")
+#: Ordinals in SQL, for values up to 50.
+_MARKER = """CASE WHEN p_partkey % 8 = 0 THEN n || '.' WHEN p_partkey % 8 = 1 AND n <= 26 THEN '(' || chr(96 + n) || ')' WHEN p_partkey % 8 = 2 THEN '(' || roman || ')' WHEN p_partkey % 8 = 3 THEN roman || '.'
+ WHEN p_partkey % 8 = 4 THEN '第' || zh || '条' WHEN p_partkey % 8 = 5 THEN '（' || zh || '）' WHEN p_partkey % 8 = 6 THEN '（' || CASE WHEN n <= 12 THEN z[n] ELSE z[(n - 13) // 12 + 1] || z[(n - 13) % 12 + 1] END || '）' WHEN p_partkey % 8 = 7 THEN '（' || CASE WHEN n <= 10 THEN g[n] ELSE g[(n - 11) // 10 + 1] || g[(n - 11) % 10 + 1] END || '）' END"""
+
+
+@query(f"""WITH b AS (SELECT p_partkey, p_size, p_size AS n, string_split('子丑寅卯辰巳午未申酉戌亥', '') AS z, string_split('甲乙丙丁戊己庚辛壬癸', '') AS g, (['', 'x', 'xx', 'xxx', 'xl', 'l'])[n // 10 + 1] || (['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'])[n % 10 + 1] AS roman,
+ CASE WHEN n >= 20 THEN (['二', '三', '四', '五'])[n // 10 - 1] ELSE '' END || CASE WHEN n >= 10 THEN '十' ELSE '' END || (['', '一', '二', '三', '四', '五', '六', '七', '八', '九'])[n % 10 + 1] AS zh FROM part), m AS (SELECT *, {_MARKER} AS marker, p_partkey % 8 AS k FROM b)
+ SELECT p_partkey, p_size, marker, CASE WHEN marker IS NULL THEN NULL WHEN k = 0 THEN 'decimal' WHEN k = 1 OR k IN (2, 3) AND length(roman) = 1 THEN 'letter' WHEN k = 2 THEN 'roman' WHEN k = 3 THEN 'roman-dot' WHEN k = 4 THEN 'article' WHEN k = 5 THEN 'chinese' WHEN k = 6 THEN 'zodiac' ELSE 'stem' END AS family,
+ CASE WHEN marker IS NULL THEN NULL WHEN k IN (2, 3) AND length(roman) = 1 THEN ascii(roman) - 96 ELSE n END::INT AS value FROM m""")
 def markers(spark, sf_dir):
-    k, size = F.col("p_partkey") % 4, F.col("p_size")
-    df = table(spark, sf_dir, "part").where(k < 2).withColumn("marker", F.when(k == 0, N.marker_text("en", 0, size)).otherwise(N.marker_text("en", 1, size)))
+    k, size = F.col("p_partkey") % 8, F.col("p_size")
+    marker = F.lit(None).cast("string")
+    for i, language in enumerate(("en", "zh")):
+        for level in range(4):
+            marker = F.when(k == 4 * i + level, N.marker_text(language, level, size)).otherwise(marker)
+    df = table(spark, sf_dir, "part").withColumn("marker", marker)
     m = N.marker_of(F.concat("marker", F.lit(" "), "p_name"))
     return df.select("p_partkey", "p_size", "marker", m["family"].alias("family"), m["value"].alias("value"))
 
@@ -279,11 +317,17 @@ def missing_fields(spark, sf_dir):
     return M.missing_fields(models, required, ["name", "nation"])
 
 
-@query(r"""WITH p AS (SELECT n_regionkey, n_nationkey, n_nationkey % 3 AS name, row_number() OVER (PARTITION BY n_regionkey, n_nationkey % 3 ORDER BY n_nationkey) AS n FROM nation), e AS (SELECT s_nationkey % 5 AS n_regionkey, s_suppkey, s_suppkey % 4 AS name, row_number() OVER (PARTITION BY s_nationkey % 5, s_suppkey % 4 ORDER BY s_suppkey) AS n FROM supplier) SELECT coalesce(p.n_regionkey, e.n_regionkey) AS n_regionkey, coalesce(p.name, e.name)::BIGINT AS name, p.n_nationkey AS party_pos, e.s_suppkey AS entry_pos FROM p FULL JOIN e ON p.n_regionkey = e.n_regionkey AND p.name = e.name AND p.n = e.n""")
+@query(r"""WITH p AS (SELECT n_regionkey, n_nationkey::BIGINT AS party_pos, n_name AS party, lower(n_name) AS k, row_number() OVER (PARTITION BY n_regionkey, lower(n_name) ORDER BY n_nationkey) AS n FROM nation),
+ l AS (SELECT n_regionkey, s_suppkey AS entry_pos, CASE s_suppkey % 4 WHEN 0 THEN 'Representative of the ' || n_name WHEN 1 THEN n_name || ' Representative' WHEN 2 THEN 'On behalf of ' || n_name ELSE 'Representative of ' || s_name END AS label, CASE WHEN s_suppkey % 4 = 3 THEN lower(s_name) ELSE lower(n_name) END AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+ e AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey, k ORDER BY entry_pos) AS n FROM l) SELECT coalesce(p.n_regionkey, e.n_regionkey) AS n_regionkey, party, label, party_pos, entry_pos FROM p FULL JOIN e ON p.n_regionkey = e.n_regionkey AND p.k = e.k AND p.n = e.n""")
 def match_parties(spark, sf_dir):
-    p = table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_nationkey").cast("long").alias("pos"), (F.col("n_nationkey") % 3).cast("long").alias("name"))
-    e = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).alias("n_regionkey"), F.col("s_suppkey").alias("pos"), (F.col("s_suppkey") % 4).alias("name"))
-    return M.match_parties(p, e, ["n_regionkey"], "name", "pos").select("n_regionkey", "name", "party_pos", "entry_pos")
+    nation = table(spark, sf_dir, "nation")
+    p = nation.select("n_regionkey", F.col("n_nationkey").cast("long").alias("pos"), F.col("n_name").alias("name"))
+    s = table(spark, sf_dir, "supplier").join(M.bounded(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    k = F.col("s_suppkey") % 4
+    label = F.when(k == 0, F.concat(F.lit("Representative of the "), "n_name")).when(k == 1, F.concat("n_name", F.lit(" Representative"))).when(k == 2, F.concat(F.lit("On behalf of "), "n_name")).otherwise(F.concat(F.lit("Representative of "), "s_name"))
+    e = s.select("n_regionkey", F.col("s_suppkey").alias("pos"), label.alias("name"))
+    return M.match_parties(p, e, ["n_regionkey"], "name", "pos").select("n_regionkey", "party", "label", "party_pos", "entry_pos")
 
 
 @query(r"""SELECT conv_id, turn, CASE WHEN has = 0 THEN 'numbered' WHEN has = n THEN 'kept' ELSE 'mixed' END AS status, CASE WHEN has = 0 THEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) END AS planned FROM (SELECT conv_id, turn, count(CASE WHEN conv_id % 3 = 0 OR conv_id % 3 = 1 AND turn % 2 = 0 THEN turn END) OVER (PARTITION BY conv_id) AS has, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)""")
@@ -296,30 +340,32 @@ def statement_numbers(spark, sf_dir):
 def _labelled(spark, sf_dir) -> DataFrame:
     """Lines of which some got a header label."""
     k = F.col("doc_id") % 4
-    return lines(spark, sf_dir).withColumn("text", F.when((F.col("para_idx") < 2) & (k == 1), F.concat(F.lit("Topic: "), F.substring("text", 1, 12))).when((F.col("para_idx") == 0) & (k == 2), F.concat(F.lit("Committee： "), F.substring("text", 1, 12))).otherwise(F.col("text")))
+    return lines(spark, sf_dir).withColumn("text", F.when((F.col("para_idx") < 2) & (k == 1), F.concat(F.lit("Topic: "), "text")).when((F.col("para_idx") == 0) & (k == 2), F.concat(F.lit("Committee： "), "text")).otherwise(F.col("text")))
 
 
-@query(rf"""WITH {LINES} SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'topic' ELSE 'committee' END AS field, count(*) AS lines, regexp_replace(arg_max(substr(text, 1, 12), para_idx), '^\s+|\s+$', '', 'g') AS value FROM lines WHERE (doc_id % 4 = 1 AND para_idx < 2) OR (doc_id % 4 = 2 AND para_idx = 0) GROUP BY 1, 2""")
+@query(rf"""WITH {LINES} SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'topic' ELSE 'committee' END AS field, count(*) AS lines, regexp_replace(arg_max(text, para_idx), '^{WS}+|{WS}+$', '', 'g') AS value FROM lines WHERE (doc_id % 4 = 1 AND para_idx < 2) OR (doc_id % 4 = 2 AND para_idx = 0) GROUP BY 1, 2""")
 def header_fields(spark, sf_dir):
     return S.header_fields(_labelled(spark, sf_dir))
 
 
-@query(f"""WITH {LINES}, k AS (SELECT *, (doc_id * 31 + para_idx * 17) % 11 AS k FROM lines) SELECT doc_id, para_idx::VARCHAR AS para_key, CASE WHEN k = 0 THEN 'unauthorised-removed' WHEN doc_id % 2 = 0 THEN 'wrong-ending' ELSE 'unauthorised-changed' END AS code FROM k WHERE k < 2 UNION ALL SELECT doc_id, (para_idx + 100000)::VARCHAR, 'unauthorised-created' FROM k WHERE k = 2""")
+@query(f"""WITH {LINES}, k AS (SELECT *, (doc_id * 31 + para_idx * 17) % 11 AS k FROM lines) SELECT doc_id, para_idx::VARCHAR AS para_key, CASE WHEN k = 0 THEN 'unauthorised-removed' WHEN doc_id % 2 = 0 THEN 'wrong-blank-ending' ELSE 'unauthorised-changed' END AS code FROM k WHERE k < 2 UNION ALL SELECT doc_id, (para_idx + 100000)::VARCHAR, 'unauthorised-created' FROM k WHERE k = 2 UNION ALL SELECT doc_id, (para_idx + 200000)::VARCHAR, 'unauthorised-created' FROM k WHERE k = 0""")
 def integrity_audit(spark, sf_dir):
     p = lines(spark, sf_dir)
     keyed = lambda df: df.select("doc_id", F.col("para_idx").cast("string").alias("para_key"), "text")
-    edits = p.where("(doc_id * 31 + para_idx * 17) % 11 = 1 and doc_id % 2 = 0").select("doc_id", F.col("para_idx").cast("string").alias("para_key"), F.lit("ending").alias("kind"), F.lit(None).cast("string").alias("expected"))
+    edits = p.where("(doc_id * 31 + para_idx * 17) % 11 = 1 and doc_id % 2 = 0").select("doc_id", F.col("para_idx").cast("string").alias("para_key"), F.explode(F.array(F.lit("ending"), F.lit("blank"))).alias("kind"), F.lit(None).cast("string").alias("expected"))
     return L.integrity_audit(keyed(p), keyed(_after(p)), edits)
 
 
-@query(f"""WITH {LINES}, r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY para_idx) AS n FROM lines WHERE para_idx > 0 AND regexp_matches(text, '\\S')) WHERE n <= 4), w AS (SELECT *, bool_or(regexp_matches(text, '^(?i:committee|topic|agenda|country|delegate|sponsors?|signatory|signatories|represented country|delegation country)\\s*[:：]')) OVER (PARTITION BY doc_id) AS l, max(length(text)) OVER (PARTITION BY doc_id) AS m FROM r) SELECT doc_id, para_idx, (['committee', 'topic', 'country', 'delegate'])[n] AS field, text, CASE WHEN m <= 60 THEN 0.97 ELSE 0.58 END::DOUBLE AS confidence FROM w WHERE NOT l""")
+@query(rf"""WITH {LINES}, t AS (SELECT doc_id, para_idx, CASE WHEN para_idx = 0 THEN 'A Position Paper' ELSE regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') END AS text FROM lines), r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY para_idx) AS n FROM t WHERE para_idx > 0 AND regexp_matches(text, '\S')) WHERE n <= 4),
+ w AS (SELECT *, bool_and(NOT regexp_matches(text, {LABELLED}) AND NOT (regexp_matches(text, '[。！？!?]$') OR (text LIKE '%.' AND len(string_split_regex(text, '{WS}+')) >= 6) OR regexp_matches(text, '(?i)^(\d+(\.\d+)*[.、．)）]|[a-z][.)）]{WS}|[ivx]+\.{WS}|[（(][a-z]{{1,4}}[）)]|part{WS}+[ivx\d]+)'))) OVER (PARTITION BY doc_id) AS open, bool_and(length(text) <= 80 AND NOT regexp_matches(text, '[。；;！？!?]')) OVER (PARTITION BY doc_id) AS fine, count(*) OVER (PARTITION BY doc_id) AS c FROM r)
+ SELECT doc_id, para_idx, (['committee', 'topic', 'country', 'delegate'])[n] AS field, text, CASE WHEN fine THEN 0.97 ELSE 0.58 END::DOUBLE AS confidence FROM w WHERE open AND c = 4""")
 def header_candidates(spark, sf_dir):
-    return L.stripped_header(lines(spark, sf_dir))
+    return L.stripped_header(lines(spark, sf_dir).withColumn("text", F.when(F.col("para_idx") == 0, "A Position Paper").otherwise(F.col("text"))))
 
 
-@query("""SELECT l_orderkey AS doc_id, l_returnflag AS list_key, CASE WHEN count(DISTINCT l_linestatus) > 1 THEN 'several-levels' WHEN l_returnflag = 'R' AND l_orderkey % 5 = 0 THEN 'used-outside' WHEN bool_or(l_quantity > 49) THEN 'unsafe-definition' WHEN max(l_linenumber) > 99 THEN 'out-of-range' END AS reason FROM lineitem GROUP BY 1, 2""")
+@query("""SELECT l_orderkey AS doc_id, l_returnflag AS list_key, CASE WHEN count(DISTINCT l_linestatus) > 1 THEN 'several-levels' WHEN l_returnflag = 'R' AND l_orderkey % 5 = 0 THEN 'used-outside' WHEN bool_or(l_quantity > 49) THEN 'unsafe-definition' WHEN max(l_quantity * 3) > 99 THEN 'out-of-range' END AS reason FROM lineitem GROUP BY 1, 2""")
 def list_plans(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("list_key"), F.col("l_linestatus").alias("level"), (F.col("l_quantity") > 49).alias("unsafe"), F.col("l_linenumber").alias("value"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("list_key"), F.col("l_linestatus").alias("level"), (F.col("l_quantity") > 49).alias("unsafe"), (F.col("l_quantity") * 3).alias("value"))
     return L.plan_native_lists(li, li.where("list_key = 'R' and doc_id % 5 = 0"))
 
 

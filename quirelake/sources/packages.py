@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import hashlib
 import io
-import re
+import struct
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,10 +24,14 @@ METHODS = (0, 8)
 REQUIRED = ("[Content_Types].xml", "word/document.xml")
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
-ENTRIES = "doc_id string, entry_idx int, name string, flags int, method int, crc long, compressed long, expanded long, offset long, crc_ok boolean, has_dtd boolean, xml_depth int, sha256 string, problem string"
+ENTRIES = (
+    "doc_id string, entry_idx int, name string, flags int, method int, crc long, compressed long, expanded long, offset long, local_flags int, local_method int, local_crc long, local_compressed long, "
+    "local_expanded long, data_end long, crc_ok boolean, has_dtd boolean, xml_depth int, sha256 string, problem string"
+)
 PARAGRAPHS = "doc_id string, para_idx int, region string, text string, style string, jc string, num_id string, ilvl int"
-RUNS = "doc_id string, para_idx int, run_idx int, start int, len int, text string, b boolean, i boolean, u boolean, sz double, hidden boolean, struck boolean"
+RUNS = "doc_id string, para_idx int, run_idx int, start int, len int, text string, b boolean, i boolean, u boolean, sz double, font_ascii string, font_east_asia string, font_hansi string, hidden boolean, struck boolean"
 RELATIONSHIPS = "doc_id string, part string, id string, type string, target string, mode string"
+STYLES = "doc_id string, style string, kind string, based_on string, is_default boolean, b boolean, i boolean, u boolean, sz double, font_ascii string, font_east_asia string, jc string, num_id string, ilvl int, hidden boolean, struck boolean"
 LEVELS = "doc_id string, num_id string, abstract_id string, ilvl int, fmt string, lvl_text string, start int, override boolean"
 
 
@@ -55,29 +60,82 @@ def _rows(docs: DataFrame, schema: str, parse: Callable[[str, bytes], Iterator[t
     return docs.select("doc_id", "content").mapInArrow(run, schema)
 
 
-def _depth(data: bytes) -> int:
+class _Refused(Exception):
+    """A document type definition."""
+
+
+def _xml_facts(data: bytes) -> tuple[bool, int]:
+    """Whether an XML part declares a document type (in any encoding), and its depth. Malformed parts count up to the fault."""
     depth = most = 0
-    for m in re.finditer(rb"<(/?)[A-Za-z][^>]*?(/?)>", data):
-        depth += -1 if m[1] else 0 if m[2] else 1
+
+    def opened(*_) -> None:
+        nonlocal depth, most
+        depth += 1
         most = max(most, depth)
-    return most
+
+    def closed(*_) -> None:
+        nonlocal depth
+        depth -= 1
+
+    def refuse(*_) -> None:
+        raise _Refused
+
+    parser = expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler, parser.StartDoctypeDeclHandler = opened, closed, refuse
+    try:
+        parser.Parse(data, True)
+    except _Refused:
+        return True, most
+    except (expat.ExpatError, ValueError):
+        pass
+    return False, most
+
+
+def _is_xml(name: str) -> bool:
+    return name.lower().endswith((".xml", ".rels"))
+
+
+def _read(z: zipfile.ZipFile, e: zipfile.ZipInfo, keep: bool) -> tuple[bytes, bool, str | None]:
+    """(content if keep, whether it could be read and its CRC holds, sha256), in blocks and never past the declared size."""
+    digest, parts, left = hashlib.sha256(), [], e.file_size
+    try:
+        with z.open(e) as part:
+            while block := part.read(2**16):
+                left -= len(block)
+                if left < 0:
+                    return b"", False, None
+                digest.update(block)
+                if keep:
+                    parts.append(block)
+    except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, OSError):
+        return b"", False, None
+    return b"".join(parts), left == 0, digest.hexdigest()
+
+
+def _local(content: bytes, e: zipfile.ZipInfo) -> tuple:
+    """The local header's flags, method, CRC and sizes, and where the data end; nulls if there is none."""
+    at = e.header_offset
+    if at < 0 or at + 30 > len(content) or content[at : at + 4] != b"PK\x03\x04":
+        return (None,) * 6
+    flags, method = struct.unpack_from("<HH", content, at + 6)
+    crc, compressed, expanded, name, extra = struct.unpack_from("<IIIHH", content, at + 14)
+    return flags, method, crc, compressed, expanded, at + 30 + name + extra + e.compress_size
 
 
 def _entries(doc_id: str, content: bytes) -> Iterator[tuple]:
+    """Parts are expanded only where their declared sizes and ratio are within the limits; crc_ok is null for others."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
+            total = 0
             for i, e in enumerate(z.infolist()):
-                data, ok = b"", False
-                if e.file_size <= LIMITS["xml"] or not e.filename.endswith((".xml", ".rels")):
-                    try:
-                        data = z.read(e)
-                        ok = True
-                    except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError):
-                        pass
-                xml = e.filename.endswith((".xml", ".rels"))
-                yield doc_id, i, e.filename, e.flag_bits, e.compress_type, e.CRC, e.compress_size, e.file_size, e.header_offset, ok, xml and b"<!DOCTYPE" in data, _depth(data) if xml else 0, hashlib.sha256(data).hexdigest(), None
+                total += e.file_size
+                xml = _is_xml(e.filename)
+                fair = e.file_size <= LIMITS["ratio"] * e.compress_size and total <= LIMITS["expanded"] and i < LIMITS["parts"] and not (xml and e.file_size > LIMITS["xml"])
+                data, ok, digest = _read(z, e, xml) if fair else (b"", None, None)
+                dtd, depth = _xml_facts(data) if xml and data else (False, 0)
+                yield (doc_id, i, e.filename, e.flag_bits, e.compress_type, e.CRC, e.compress_size, e.file_size, e.header_offset, *_local(content, e), ok, dtd, depth, digest, None)
     except (zipfile.BadZipFile, ValueError, OSError) as problem:
-        yield (doc_id, *[None] * 12, type(problem).__name__)
+        yield (doc_id, *[None] * 18, type(problem).__name__)
 
 
 def package_entries(docs: DataFrame) -> DataFrame:
@@ -88,10 +146,14 @@ def package_entries(docs: DataFrame) -> DataFrame:
 def package_audit(entries: DataFrame) -> DataFrame:
     """doc_id, rule, name of every violation. Relational rules over package_entries."""
     e = entries.where("problem is null")
-    xml = F.col("name").rlike(r"\.(xml|rels)$")
+    xml = F.col("name").rlike(r"(?i)\.(xml|rels)$")
+    streamed = F.col("flags").bitwiseAND(8) != 0
+    same = lambda *columns: F.array(*[F.col(c).cast("long") for c in columns])
     one = {
+        "no-local-header": F.col("local_flags").isNull(),
+        "header-mismatch": ~same("flags", "method").eqNullSafe(same("local_flags", "local_method")) | (~streamed & ~same("crc", "compressed", "expanded").eqNullSafe(same("local_crc", "local_compressed", "local_expanded"))),
         "encrypted": (F.col("flags").bitwiseAND(1)) == 1,
-        "unsafe-path": F.col("name").rlike(r"(^|/)\.\.(/|$)|^/|\\|^[A-Za-z]:"),
+        "unsafe-path": F.col("name").rlike(r"(^|/)\.\.(/|$)|^/|\\|[\x00-\x1f]|^__proto__$"),
         "method": ~F.col("method").isin(*METHODS),
         "xml-size": xml & (F.col("expanded") > LIMITS["xml"]),
         "zero-compressed": (F.col("compressed") == 0) & (F.col("expanded") > 0),
@@ -101,9 +163,9 @@ def package_audit(entries: DataFrame) -> DataFrame:
         "depth": F.col("xml_depth") > LIMITS["depth"],
     }
     each = e.select("doc_id", "name", F.explode_outer(F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in one.items()]))).alias("rule")).where("rule is not null")
-    doubled = e.groupBy("doc_id", F.lower("name").alias("name")).count().where("count > 1").select("doc_id", "name", F.lit("duplicate").alias("rule"))
+    doubled = e.groupBy("doc_id", "name").count().where("count > 1").select("doc_id", "name", F.lit("duplicate").alias("rule"))
     w = Window.partitionBy("doc_id").orderBy("offset")
-    overlap = e.withColumn("_end", F.lag(F.col("offset") + F.col("compressed")).over(w)).where("offset < _end").select("doc_id", "name", F.lit("overlap").alias("rule"))
+    overlap = e.withColumn("_end", F.max("data_end").over(w.rowsBetween(Window.unboundedPreceding, -1))).where("offset < _end").select("doc_id", "name", F.lit("overlap").alias("rule"))
     whole = e.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("expanded").alias("bytes"), F.collect_set(F.when(F.col("name").isin(*REQUIRED), F.col("name"))).alias("have"))
     rules = [F.when(F.col("n") > LIMITS["parts"], "too-many-parts"), F.when(F.col("bytes") > LIMITS["expanded"], "total-size"), F.when(F.size("have") < len(REQUIRED), "missing-part")]
     total = whole.select("doc_id", F.lit(None).cast("string").alias("name"), F.explode_outer(F.array_compact(F.array(*rules))).alias("rule")).where("rule is not null")
@@ -114,7 +176,7 @@ def package_audit(entries: DataFrame) -> DataFrame:
 def _part(content: bytes, name: str) -> ElementTree.Element | None:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         data = z.read(name) if name in z.namelist() else b""
-    if not data or b"<!DOCTYPE" in data:
+    if not data or _xml_facts(data)[0]:
         return None
     return ElementTree.fromstring(data)
 
@@ -127,7 +189,17 @@ def _get(node: ElementTree.Element | None, path: str) -> str | None:
 def _on(props: ElementTree.Element | None, tag: str) -> bool | None:
     """Tri-state switch of run properties: absent is null."""
     found = None if props is None else props.find(f"{W}{tag}")
-    return None if found is None else found.get(f"{W}val") not in ("0", "false", "off", "none")
+    return None if found is None else (found.get(f"{W}val") or "").lower() not in ("0", "false", "off", "none")
+
+
+def _fonts(props: ElementTree.Element | None) -> tuple[str | None, str | None, str | None]:
+    found = None if props is None else props.find(f"{W}rFonts")
+    return tuple(None if found is None else found.get(f"{W}{slot}") for slot in ("ascii", "eastAsia", "hAnsi"))
+
+
+def _size(props: ElementTree.Element | None) -> float | None:
+    size = _get(props, f"{W}sz")
+    return float(size) / 2 if size else None
 
 
 def _text(run: ElementTree.Element) -> str:
@@ -172,15 +244,14 @@ def _runs(doc_id: str, content: bytes) -> Iterator[tuple]:
         start = 0
         for k, r in enumerate(_runs_of(p)):
             props, text = r.find(f"{W}rPr"), _text(r)
-            size = _get(props, f"{W}sz")
             struck = _on(props, "strike") or _on(props, "dstrike")
-            yield doc_id, i, k, start, len(text), text, _on(props, "b"), _on(props, "i"), _on(props, "u"), float(size) / 2 if size else None, bool(_on(props, "vanish")), bool(struck)
+            yield doc_id, i, k, start, len(text), text, _on(props, "b"), _on(props, "i"), _on(props, "u"), _size(props), *_fonts(props), bool(_on(props, "vanish")), bool(struck)
             start += len(text)
 
 
 def _relationships(doc_id: str, content: bytes) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = [n for n in z.namelist() if n.endswith(".rels")]
+        names = [n for n in z.namelist() if n.lower().endswith(".rels")]
     for name in names:
         root = _part(content, name)
         for r in root if root is not None else ():
@@ -206,6 +277,28 @@ def _levels(doc_id: str, content: bytes) -> Iterator[tuple]:
             yield doc_id, number, of, int(at), _get(x, f"{W}numFmt"), _get(x, f"{W}lvlText"), int(start), own or bool(starts.get(at))
 
 
+def _styles(doc_id: str, content: bytes) -> Iterator[tuple]:
+    """Styles, and the document's defaults as a style without a name's parent: what every chain ends in."""
+    root = _part(content, "word/styles.xml")
+    if root is None:
+        return
+    defaults = root.find(f"{W}docDefaults/{W}rPrDefault/{W}rPr")
+    if defaults is not None:
+        yield doc_id, "", "default", None, False, _on(defaults, "b"), _on(defaults, "i"), _on(defaults, "u"), _size(defaults), *_fonts(defaults)[:2], None, None, None, _on(defaults, "vanish"), _on(defaults, "strike")
+    for x in root.findall(f"{W}style"):
+        run, para = x.find(f"{W}rPr"), x.find(f"{W}pPr")
+        level = _get(para, f"{W}numPr/{W}ilvl")
+        yield (
+            doc_id, x.get(f"{W}styleId"), x.get(f"{W}type"), _get(x, f"{W}basedOn") or ("" if defaults is not None else None), (x.get(f"{W}default") or "").lower() in ("1", "true", "on"),
+            _on(run, "b"), _on(run, "i"), _on(run, "u"), _size(run), *_fonts(run)[:2], _get(para, f"{W}jc"), _get(para, f"{W}numPr/{W}numId"), int(level) if level else None, _on(run, "vanish"), _on(run, "strike"),
+        )
+
+
+def read_styles(docs: DataFrame) -> DataFrame:
+    """One row per style, with what it is based on; document defaults are the style "" at the end of every chain."""
+    return _rows(docs, STYLES, _styles)
+
+
 def read_paragraphs(docs: DataFrame) -> DataFrame:
     return _rows(docs, PARAGRAPHS, _paragraphs)
 
@@ -229,13 +322,40 @@ def read_resources(entries: DataFrame) -> DataFrame:
 
 def safe_to_render(entries: DataFrame, relationships: DataFrame) -> DataFrame:
     """doc_id and safe: no macros or embedded objects, and only hyperlinks lead outside."""
-    bad = entries.where(F.col("name").rlike(r"vbaProject|activeX|oleObject|/embeddings/")).select("doc_id")
-    bad = bad.union(relationships.where("mode = 'External' and type not like '%/hyperlink'").select("doc_id")).distinct().withColumn("_bad", F.lit(True))
-    return entries.select("doc_id").distinct().join(bad, "doc_id", "left").select("doc_id", F.col("_bad").isNull().alias("safe"))
+    bad = entries.where(F.col("name").rlike(r"(?i)vbaProject|activeX|oleObject|/embeddings/")).select("doc_id")
+    outside = (F.lower("mode") == "external") | F.col("target").rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|\\\\)")
+    bad = bad.union(relationships.where(outside & ~F.col("type").rlike("/hyperlink$")).select("doc_id")).distinct().withColumn("_bad", F.lit(True))
+    return entries.select("doc_id").distinct().join(bad.hint("merge"), "doc_id", "left").select("doc_id", F.col("_bad").isNull().alias("safe"))
 
 
 def relationship_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Relationships that are gone or whose type, target or mode changed."""
     keys = ["doc_id", "part", "id"]
-    b = after.select(*keys, F.struct("type", "target", "mode").alias("_b"))
+    b = after.select(*keys, F.struct("type", "target", "mode").alias("_b")).hint("merge")
     return before.withColumn("_a", F.struct("type", "target", "mode")).join(b, keys, "left").where(~F.col("_a").eqNullSafe(F.col("_b"))).select(*keys, F.when(F.col("_b").isNull(), "removed").otherwise("changed").alias("kind"))
+
+
+def repeated_relationships(relationships: DataFrame) -> DataFrame:
+    """Ids that occur more than once in a part: an error of the package."""
+    return relationships.groupBy("doc_id", "part", "id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def relationship_audit(before: DataFrame, after: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Findings of relationship_diff that no rule (doc_id, part, id) allows, and repeated ids afterwards."""
+    keys = ["doc_id", "part", "id"]
+    open_ = relationship_diff(before, after).join(allowed.select(*keys).distinct().hint("merge"), keys, "left_anti")
+    return open_.union(repeated_relationships(after).select(*keys, F.lit("repeated").alias("kind")))
+
+
+def level_audit(before: DataFrame, after: DataFrame, rules: DataFrame) -> DataFrame:
+    """List levels (read_list_levels) that changed in more than the format and text their rule (doc_id, num_id, ilvl,
+    fmt, lvl_text) gives; starts and lists stay as they were."""
+    keys = ["doc_id", "num_id", "ilvl"]
+    a = before.select(*keys, F.col("fmt").alias("fmt_a"), F.col("lvl_text").alias("text_a"), F.col("start").alias("start_a"), F.lit(1).alias("_a"))
+    b = after.select(*keys, F.col("fmt").alias("fmt_b"), F.col("lvl_text").alias("text_b"), F.col("start").alias("start_b"), F.lit(1).alias("_b"))
+    j = a.join(b.hint("merge"), keys, "full_outer").join(rules.select(*keys, "fmt", "lvl_text").hint("merge"), keys, "left")
+    code = (
+        F.when(F.col("_b").isNull(), "removed").when(F.col("_a").isNull(), "created").when(~F.col("start_a").eqNullSafe(F.col("start_b")), "start")
+        .when(~F.col("fmt_b").eqNullSafe(F.coalesce("fmt", "fmt_a")), "format").when(~F.col("text_b").eqNullSafe(F.coalesce("lvl_text", "text_a")), "text")
+    )
+    return j.withColumn("code", code).where("code is not null").select(*keys, "code")

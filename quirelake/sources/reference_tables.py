@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.operators.names import bounded
+
 
 def cleaned(name: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(F.trim(name), r"\s+", " "), r"(?i)^the ", ""))
@@ -16,7 +18,7 @@ def build_gazetteer(names: DataFrame, geography: DataFrame, previous: DataFrame
     by = lambda column, alias: geography.select(cleaned(F.col(column)).alias("_k"), F.col("id").alias(alias)).where("_k is not null").dropDuplicates(["_k"])
     df = names
     for left, right, alias in (("short_en", "name_en", "_1"), ("short_zh", "name_zh", "_2"), ("formal_en", "name_en", "_3")):
-        df = df.withColumn("_k", cleaned(F.col(left))).join(F.broadcast(by(right, alias)), "_k", "left").drop("_k")  # a fixed list of states
+        df = df.withColumn("_k", cleaned(F.col(left))).join(bounded(by(right, alias)), "_k", "left").drop("_k")
     df = df.withColumn("id", F.coalesce("_1", "_2", "_3")).drop("_1", "_2", "_3").withColumn("formal_en", F.regexp_replace("formal_en", r"(?i)^the ", ""))
     return df if previous is None else df.join(previous.select("id", "aliases"), "id", "left")
 

@@ -12,15 +12,15 @@ SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def stream_ingest(spark: SparkSession, path: str, checkpoint: str, out: str) -> StreamingQuery:
-    """Audit what has arrived below path since the last run; findings and the paragraphs of clean packages are appended."""
+    """Audit what has arrived below path since the last run; findings and the paragraphs of clean packages are kept by
+    batch, each batch in a folder of its own that a retry replaces."""
     files = spark.readStream.format("binaryFile").schema(SCHEMA).option("pathGlobFilter", "*.docx").load(path)
 
     def batch(df: DataFrame, number: int) -> None:
         docs = df.select(F.col("path").alias("doc_id"), "content").persist()
-        findings = package_audit(package_entries(docs)).withColumn("batch", F.lit(number))
-        findings.write.mode("append").parquet(f"{out}/findings")
-        bad = spark.read.parquet(f"{out}/findings").where(F.col("batch") == number).select("doc_id").distinct()
-        read_paragraphs(docs.join(bad, "doc_id", "left_anti")).withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{out}/paragraphs")
+        package_audit(package_entries(docs)).write.mode("overwrite").parquet(f"{out}/findings/batch={number}")
+        bad = spark.read.parquet(f"{out}/findings/batch={number}").select("doc_id").distinct()
+        read_paragraphs(docs.join(bad.hint("merge"), "doc_id", "left_anti")).write.mode("overwrite").parquet(f"{out}/paragraphs/batch={number}")
         docs.unpersist()
 
     return files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()

@@ -43,8 +43,8 @@ def test_overrides(spark):
 
 
 def test_paragraph_checks(spark):
-    p = spark.createDataFrame([(1, 0, "Title"), (1, 1, "引言"), (1, 2, "长句子在这里结束。"), (1, 3, "（二）第二节"), (2, 0, "决定：（一）甲；（子）乙"), (2, 1, ""), (3, 0, "T"), (3, 1, "c"), (3, 2, "t"), (3, 3, "n"), (3, 4, "d"), (3, 5, "Body. text")], "doc_id int, para_idx int, text string")
-    assert rows(L.missing_first_section(p)) == [(1, 3, 1, 0.9)]
+    p = spark.createDataFrame([(1, 0, "Title"), (1, 1, "引言"), (1, 2, "长句子在这里结束，因为它必须有二十五个字以上才能算作一段正文。"), (1, 3, "（二）第二节"), (2, 0, "决定：（一）甲；（子）乙"), (2, 1, ""), (3, 0, "Position Paper"), (3, 1, "c"), (3, 2, "t"), (3, 3, "n"), (3, 4, "d"), (3, 5, "Body. text")], "doc_id int, para_idx int, text string")
+    assert rows(L.missing_first_section(p)) == [(1, 3, 1, 0.94)]
     assert rows(L.embedded_markers(p)) == [(2, 0, 0, "（一）"), (2, 0, 1, "（子）")]
     assert [r[:3] for r in rows(L.stripped_header(p.where("doc_id = 3")))] == [(3, 1, "committee"), (3, 2, "topic"), (3, 3, "country"), (3, 4, "delegate")]
     assert rows(L.blank_balance(p, p.where("doc_id = 2"))) == [(1, 0, None), (2, 1, 1), (3, 0, None)]

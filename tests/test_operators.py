@@ -36,9 +36,11 @@ def test_starts_body(spark):
 
 
 def test_fragments_and_endings(spark):
-    assert values(spark, ["（一）各国 应_当！", "1. Große Straße", None], T.canonical_fragment(F.col("text"))) == ["各国应当", "grossestrasse", ""]
-    assert values(spark, ["决定；", "decide.  "], T.without_ending(F.col("text"))) == ["决定", "decide  "]
-    assert values(spark, ["决定；", "decide"], T.set_ending(F.col("text"), "。")) == ["决定。", "decide。"]
+    assert values(spark, ["（一）各国 应_当！", "1. Große Straße", None, "a）决定", "1.\tx", "a)b", "12  x"], T.canonical_fragment(F.col("text"))) == ["各国应当", "grossestrasse", "", "决定", "x", "ab", "x"]
+    assert values(spark, ["a)\tx", "1.\tCalls", "a)x"], T.starts_body(F.col("text"))) == [True, True, False]
+    assert values(spark, ["Ab，。", "한\t(’)", None], T.width_em(F.col("text")).cast("string")) == ["3.2", "3.9", "0.0"]
+    assert values(spark, ["决定；", "decide.  ", "decide.\n", "a.）"], T.without_ending(F.col("text"))) == ["决定", "decide", "decide\n", "a.）"]
+    assert values(spark, ["决定；", "decide", "x;  \n", "；"], T.set_ending(F.col("text"), "。")) == ["决定。", "decide。", "x。\n", "；"]
 
 
 def test_marker_texts(spark):
