@@ -14,18 +14,17 @@ from quirelake.operators.snapshots import snapshot_kinds
 def style_chains(styles: DataFrame) -> DataFrame:
     """(doc_id, style, ancestor, depth): each style with what it is based on, itself first; cycles end at their first repeat.
 
-    One join a step on definition tables, for as many steps as the longest chain has.
+    A document's definitions are one map, in which each style's chain is followed to its end.
     """
-    own = styles.select("doc_id", "style", F.col("style").alias("ancestor"), F.lit(0).alias("depth"), F.array("style").alias("_path"))
-    parent = styles.select("doc_id", F.col("style").alias("ancestor"), "based_on").where("based_on is not null").persist()
-    found, last, d = own, own, 0
-    while True:
-        d += 1
-        last = last.join(parent.hint("merge"), ["doc_id", "ancestor"]).where("not array_contains(_path, based_on)")
-        last = last.select("doc_id", "style", F.col("based_on").alias("ancestor"), F.lit(d).alias("depth"), F.concat("_path", F.array("based_on")).alias("_path")).persist()
-        if last.isEmpty():
-            return found.drop("_path")
-        found = found.union(last)
+    one = styles.groupBy("doc_id", "style").agg(F.first("based_on", ignorenulls=True).alias("based_on"))
+    parents = one.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("style", "based_on"))).alias("_m"), F.sequence(F.lit(1), F.count("*").cast("int")).alias("_n"))
+
+    def follow(chain: Column, _: Column) -> Column:
+        parent = F.try_element_at("_m", F.element_at(chain, -1))
+        return F.when(parent.isNull() | F.array_contains(chain, F.coalesce(parent, F.lit(""))) | ~F.map_contains_key("_m", F.coalesce(parent, F.lit(""))), chain).otherwise(F.concat(chain, F.array(parent)))
+
+    rows = one.select("doc_id", "style").join(parents.hint("merge"), "doc_id")
+    return rows.select("doc_id", "style", F.posexplode_outer(F.aggregate("_n", F.array("style"), follow)).alias("depth", "ancestor")).select("doc_id", "style", "ancestor", "depth")
 
 
 def resolve_styles(styles: DataFrame, properties: list[str]) -> DataFrame:
