@@ -6,7 +6,7 @@ article (readers' comments, notices, adverts, side bars): those are told by the
 boilerplate whatever their density. An article or main element decides nothing by itself; inside it the density and
 length that make a block main text are lower. All other blocks, most of them short, stay open. Pass 2 gives an open
 block the label of the nearest decided blocks of its own section (the article, or what is outside): if both sides agree
-theirs, else the nearer one's (at equal distance the following block's, as headings come first). Where a section has no decided block, an article's open blocks are main text and others
+theirs, else the nearer one's (at equal distance it is main text). Where a section has no decided block, an article's open blocks are main text and others
 look beyond the section.
 
 Nulls and edge cases: a null or empty page has an empty text; page_id and url may be null; equal rows give equal
@@ -262,7 +262,7 @@ def decide(found: list[tuple[str, int, int]]) -> list[tuple[bool, str]]:
         for i in own:
             if not labels[i]:
                 (left, l_far), (right, r_far) = before[i], after[i]
-                inherited[i] = left if left == right or not right else right if not left else left if l_far < r_far else right
+                inherited[i] = left if left == right or not right else right if not left else GOOD if l_far == r_far else left if l_far < r_far else right
     return [(inherited[i] == GOOD, "inherited") if i in inherited else (label == GOOD, why) for i, (label, why) in enumerate(first)]
 
 

@@ -11,7 +11,9 @@ results; other columns are ignored. Texts are read whole, each on its own (no sh
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -128,10 +130,12 @@ def scan(docs: DataFrame) -> DataFrame:
                 text = cell.as_py() or ""
                 words = text.encode("utf-8", "surrogatepass").translate(CANON).split()
                 joined = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
+                begins: list[int] = []  # places of the blanks before each word, made at the first hit
                 starts, base, labels, clear, said, permissive, tagged = [], set(), set(), 1.0, [], None, False
                 for end, phrase in machine.iter(joined):
                     if phrase in BASE:
-                        starts.append(joined.count(" ", 0, end - len(phrase)) - 1)
+                        begins = begins or [0, *accumulate(len(w) + 1 for w in joined[1:-1].split(" "))]
+                        starts.append(bisect_left(begins, end - len(phrase) - 1))
                         base.add(BASE[phrase])
                         clear *= 1 - BASE_WEIGHT
                     if phrase in NOTICES:
