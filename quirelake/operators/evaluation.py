@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelake.operators.names import missing_fields
 from quirelake.operators.sequences import top_k_per_group
 
 #: Weights of the parts of a comparison.
@@ -46,6 +47,30 @@ def diagnostic_report(docs: DataFrame, findings: DataFrame, doc: str) -> DataFra
     return j.select(doc, status.alias("status"), F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("warnings", F.lit(0)).alias("warnings"))
 
 
+def diagnostic_documents(models: DataFrame, clauses: DataFrame, findings: DataFrame, required: DataFrame) -> DataFrame:
+    """One nested report per document: status, missing fields, number of paragraphs, clauses in order, findings.
+
+    models: doc_id, doc_type, paragraphs and fields. clauses: doc_id, para_idx, kind, level, confidence, text. findings:
+    doc_id, code, status, detail. required: doc_type, field.
+    """
+    fields = [c for c in models.columns if c not in ("doc_id", "doc_type", "paragraphs")]
+    missing = missing_fields(models, required, fields).groupBy("doc_id").agg(F.sort_array(F.collect_list("field")).alias("missing"))
+    listed = F.struct("para_idx", "kind", "level", "confidence", "text")
+    ordered = clauses.groupBy("doc_id").agg(F.array_sort(F.collect_list(listed)).alias("clauses"))
+    found = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("code", "status", "detail"))).alias("findings"), F.bool_or(F.col("status") == "error").alias("_failed"))
+    j = models.select("doc_id", "doc_type", "paragraphs")
+    for side in (missing, ordered, found):
+        j = j.join(side.hint("merge"), "doc_id", "left")
+    status = F.when(F.col("_failed").isNull(), "not_run").when(F.col("_failed"), "failed").otherwise("checked")
+    return j.select("doc_id", "doc_type", status.alias("status"), "paragraphs", F.coalesce("missing", F.array().cast("array<string>")).alias("missing"), "clauses", "findings")
+
+
+def error_ledger(results: DataFrame, group: str, error: str) -> DataFrame:
+    """Rows per group, status and error class (null where all went well), with the group's number of failures."""
+    counted = results.withColumn("status", F.when(F.col(error).isNull(), "OK").otherwise("FAILED")).groupBy(group, "status", error).agg(F.count("*").alias("n"))
+    return counted.withColumn("failures", F.sum(F.when(F.col("status") == "FAILED", F.col("n")).otherwise(0)).over(Window.partitionBy(group)))
+
+
 def edit_summary(edits: DataFrame, doc: str, note: str, idx: str) -> DataFrame:
     """Distinct notes of a document in first-seen order."""
     first = edits.groupBy(doc, note).agg(F.min(idx).alias("_i"))

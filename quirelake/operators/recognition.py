@@ -197,12 +197,14 @@ def clauses(headed: DataFrame, document_type: str, vocabulary: Vocabulary, inden
     digit = N.paren_digit(line)
     opens = F.col("_native").isNotNull() | F.col("_token").isNotNull() | digit | fixed.isNotNull() | line.rlike("[：:]$")
     x = F.struct(
-        "para_idx", F.col("_heading").alias("heading"), N.is_roman_token(F.col("_token"), F.col("_previous")).alias("roman"), digit.alias("digit"), fixed.alias("fixed"),
+        F.col("_heading").alias("heading"), N.is_roman_token(F.col("_token"), F.col("_previous")).alias("roman"), digit.alias("digit"), fixed.alias("fixed"),
         F.col("_native").alias("native_level"), of_indent.alias("indent_level"), F.coalesce(opens, F.lit(False)).alias("opens"),
     )
-    ordered = df.groupBy("doc_id").agg(F.array_sort(F.collect_list(x)).alias("_x"))
-    ordered = ordered.select("doc_id", F.explode_outer(F.arrays_zip(F.transform("_x", lambda a: a.para_idx).alias("i"), _levels_fold(F.col("_x")).alias("level"))).alias("z"))
-    df = df.join(ordered.select("doc_id", F.col("z.i").alias("para_idx"), "z.level").hint("merge"), ["doc_id", "para_idx"])
+    # rows travel with what the fold needs, so they are worked out once
+    kept = ["para_idx", "line", "language", "_heading", "_subject", "_native"]
+    ordered = df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para_idx", x.alias("x"), F.struct(*kept).alias("row")))).alias("_r"))
+    levels = _levels_fold(F.transform("_r", lambda a: a.x))
+    df = ordered.select("doc_id", F.explode_outer(F.arrays_zip(F.col("_r").alias("r"), levels.alias("level"))).alias("z")).select("doc_id", *[F.col(f"z.r.row.{c}") for c in kept], "z.level")
     clean = T.strip_marker(line)
     df = operative_boundary(df, clean, vocabulary) if document_type == "draft-resolution" else df.withColumn("_top", F.lit(None).cast("int"))
     df = df.withColumn("_seen", F.coalesce(F.max("_subject").over(before), F.lit(False)))

@@ -80,7 +80,7 @@ def max_level(spark, sf_dir):
 
 @query(f"""WITH {PAPERS}, r AS (SELECT doc_id, unnest([0, 1, 2, 3, 4, 5, 6]) AS para_idx, unnest(['title', 'committee', 'topic', 'sponsors', 'header', 'subject', 'preamble']) AS role, 0 AS level, false AS operative FROM o UNION ALL SELECT doc_id, r + 6, 'item', level, true FROM c) SELECT * FROM r""")
 def assign_roles(spark, sf_dir):
-    h = headed(spark, sf_dir)
+    h = headed(spark, sf_dir).persist()  # read by clauses and roles
     out = R.roles(h, R.clauses(h, "draft-resolution", VOCABULARY), "draft-resolution")
     return out.select("doc_id", F.col("para_idx").cast("long").alias("para_idx"), "role", F.col("level").cast("long").alias("level"), "operative")
 
@@ -153,6 +153,27 @@ def build_gazetteer_ids(spark, sf_dir):
     return build_gazetteer(names, geography).select("formal_en", "id")
 
 
+@query(f"""WITH {PAPERS}, f AS (SELECT l_orderkey AS doc_id, count(*) FILTER (WHERE l_returnflag = 'R') AS e, count(*) AS k FROM lineitem GROUP BY 1)
+ SELECT o.doc_id, CASE WHEN k IS NULL THEN 'not_run' WHEN e > 0 THEN 'failed' ELSE 'checked' END AS status, CASE WHEN o.doc_id % 2 = 0 THEN 'sponsor' ELSE '' END AS missing, coalesce(n, 0) AS clauses, coalesce(k, 0) AS findings FROM o LEFT JOIN f ON o.doc_id = f.doc_id LEFT JOIN (SELECT doc_id, count(*) AS n FROM c GROUP BY 1) m ON o.doc_id = m.doc_id""")
+def diagnostic_documents(spark, sf_dir):
+    """Orders as documents, their items as clauses and as findings."""
+    papers_ = papers(spark, sf_dir)
+    models = papers_.groupBy("doc_id").agg(F.lit("draft").alias("doc_type"), F.count("*").alias("paragraphs"), F.max(F.when(F.col("para_idx") == 1, F.col("text"))).alias("committee"), F.max(F.when((F.col("para_idx") == 3) & (F.col("doc_id") % 2 == 1), F.col("text"))).alias("sponsor"))
+    clauses = papers_.where("para_idx > 6").select("doc_id", "para_idx", F.lit("operative").alias("kind"), F.lit(0).alias("level"), F.lit(0.98).alias("confidence"), "text")
+    findings = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linestatus").alias("code"), F.when(F.col("l_returnflag") == "R", "error").otherwise("warning").alias("status"), F.col("l_returnflag").alias("detail"))
+    required = spark.createDataFrame([("draft", "committee"), ("draft", "sponsor")], "doc_type string, field string")
+    out = E.diagnostic_documents(models, clauses, findings, required)
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    return out.select("doc_id", "status", F.array_join("missing", ",").alias("missing"), size("clauses").alias("clauses"), size("findings").alias("findings"))
+
+
+@query("""SELECT o_orderpriority, CASE WHEN o_orderkey % 4 = 0 THEN 'OK' ELSE 'FAILED' END AS status, CASE o_orderkey % 4 WHEN 1 THEN 'invalid-package' WHEN 2 THEN 'protected' WHEN 3 THEN 'format' END AS error, count(*) AS n, any_value(f) AS failures FROM (SELECT *, count(*) FILTER (WHERE o_orderkey % 4 <> 0) OVER (PARTITION BY o_orderpriority) AS f FROM orders) GROUP BY 1, 2, 3""")
+def error_ledger(spark, sf_dir):
+    k = F.col("o_orderkey") % 4
+    error = F.when(k == 1, "invalid-package").when(k == 2, "protected").when(k == 3, "format")
+    return E.error_ledger(table(spark, sf_dir, "orders").withColumn("error", error), "o_orderpriority", "error")
+
+
 # --- functions over the given names
 
 
