@@ -235,7 +235,10 @@ def max_level(clause_rows: DataFrame) -> DataFrame:
 
 
 def roles(headed: DataFrame, clause_rows: DataFrame, document_type: str, with_subject: bool = True) -> DataFrame:
-    """doc_id, para_idx, role, level, group and operative of every non-blank paragraph."""
+    """doc_id, para_idx, role, level, group and operative of every non-blank paragraph.
+
+    headed may hold list_key (list and list level of native list items): such items nest by nest_native_items.
+    """
     kinds = clause_rows.select("doc_id", "para_idx", "kind", F.col("level").alias("_level"), "is_subject")
     df = headed.where(F.col("line") != "").join(kinds.hint("merge"), ["doc_id", "para_idx"], "left")
     operative_type = document_type in ("draft-directive", "draft-resolution") or "amendment" in document_type
@@ -256,7 +259,34 @@ def roles(headed: DataFrame, clause_rows: DataFrame, document_type: str, with_su
     df = df.withColumn("_role", role)
     operative = F.when(F.col("_role") == "item", operative_type).when(F.col("_role") == "prose", F.lit(operative_type) & F.coalesce(F.col("kind") == "operative", F.lit(False))).otherwise(False)
     group = F.when(continued, F.substr("role", F.lit(2))).when(F.col("role").isin(*LISTS), F.col("role"))
-    return df.select("doc_id", "para_idx", F.col("_role").alias("role"), F.when(F.col("_role").isin("item", "prose"), F.coalesce(level, F.lit(0))).otherwise(0).cast("int").alias("level"), group.alias("group"), operative.alias("operative"), F.col("line").alias("text"), "language")
+    listed_by = ["list_key"] if "list_key" in headed.columns else []
+    df = df.select("doc_id", "para_idx", F.col("_role").alias("role"), F.when(F.col("_role").isin("item", "prose"), F.coalesce(level, F.lit(0))).otherwise(0).cast("int").alias("level"), group.alias("group"), operative.alias("operative"), F.col("line").alias("text"), "language", *listed_by)
+    return nest_native_items(df) if listed_by else df
+
+
+def nest_native_items(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, para_idx, role, level, text, list_key) with the levels of native list items without a typed marker.
+
+    A native list that begins right behind an item ending in a colon, and is not that item's own list, is one level below
+    it; its later items stay at that level. list_key: list and list level, null outside native lists.
+    """
+    own = [c for c in rows.columns if c not in ("doc_id", "level")]
+    x = F.struct("para_idx", (F.col("role") == "item").alias("item"), F.col("level").cast("int").alias("level"), F.when(~T.has_marker(F.col("text")), F.col("list_key")).alias("native"), F.col("list_key").alias("key"), F.coalesce(F.col("text").rlike("[：:]\\s*$"), F.lit(False)).alias("opens"), F.struct(*own).alias("row"))
+    documents = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(x)).alias("_x"))
+    start = F.struct(F.create_map().cast("map<string,int>").alias("lists"), F.lit(None).cast("int").alias("under"), F.lit(None).cast("string").alias("of"), F.array().cast("array<int>").alias("out"))
+
+    def step(s: Column, a: Column) -> Column:
+        key = F.coalesce(a.native, F.lit(""))
+        known = F.when(a.native.isNotNull(), F.try_element_at(s.lists, key))
+        begins = a.item & a.native.isNotNull() & known.isNull() & s.under.isNotNull() & ~a.native.eqNullSafe(s.of)
+        level = F.when(~a.item, a.level).otherwise(F.coalesce(known, F.when(begins, s.under + 1), a.level))
+        lists = F.when(begins, F.map_concat(s.lists, F.create_map(key, level))).otherwise(s.lists)
+        opens = a.item & a.opens
+        return F.struct(lists.alias("lists"), F.when(opens, level).alias("under"), F.when(opens, a.key).alias("of"), F.concat(s.out, F.array(level)).alias("out"))
+
+    zipped = F.arrays_zip(F.transform("_x", lambda a: a.row).alias("row"), F.aggregate("_x", start, step, lambda s: s.out).alias("level"))
+    out = documents.select("doc_id", F.explode_outer(zipped).alias("z")).select("doc_id", "z.row.*", "z.level")
+    return out.select(*rows.columns)
 
 
 def repeated_header_fields(headed: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirelake.functions import text as T
-from quirelake.functions.numerals import is_roman_token, paren_token
+from quirelake.functions.numerals import is_roman_token, native_numeral, paren_token
 
 
 #: So many different levels get a running sum each.
@@ -102,6 +102,22 @@ def quote_depth(df: DataFrame, keys: list[str], order: list[str], step: Column)
     return df.withColumn("depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(upto))).drop("_sum")
 
 
+def list_texts(labelled: DataFrame, keys: list[str], order: str, list_key: str, level: str, lvl_text: str, formats: str) -> DataFrame:
+    """list_labels' rows with label: the level's text with %1 to %9 replaced by the numbers of that level and those above,
+    each in its level's format. lvl_text: a column such as '%1.%2'; formats: an array of number formats by level.
+
+    A level above that has not been counted yet shows 1.
+    """
+    upto = _by([*keys, list_key], order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    text = F.col(lvl_text)
+    # placeholders go to nine, so nine running numbers are all there can be
+    df = labelled.withColumns({f"_n{d}": F.last(F.when(F.col(level) == d, F.col("number")), ignorenulls=True).over(upto) for d in range(9)})
+    for d in range(9):
+        shown = native_numeral(F.coalesce(f"_n{d}", F.lit(1)).cast("int"), F.get(formats, F.lit(d)))
+        text = F.replace(text, F.lit(f"%{d + 1}"), F.coalesce(shown, F.lit("")))
+    return df.withColumn("label", text).drop(*[f"_n{d}" for d in range(9)])
+
+
 def roman_items(items: DataFrame, keys: list[str], order: str, text: str = "text") -> DataFrame:
     """items with is_roman: whether a parenthesised token is a numeral, from the token of the last item that had one."""
     df = roman_context(items.withColumn("_token", paren_token(F.col(text))), keys, order, "_token")

@@ -66,6 +66,25 @@ def parity(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str]) -> Da
     return rows.groupBy("x.field").agg(F.count_if("paired").alias("paired"), F.count_if(F.col("paired") & F.col("x.same")).alias("equal"), F.count_if(~F.col("paired")).alias("unpaired"))
 
 
+def compare_runs(a: DataFrame, b: DataFrame, case: str, row: str, properties: list[str], blocked: str = "blocked") -> DataFrame:
+    """Differences of two runs over the same cases: case, row, kind, in_a, in_b.
+
+    A case that only one run blocked gives one row (blocked); one that both blocked none. Of others, rows that only one
+    side has (extra, missing) and each property that differs.
+    """
+    state = lambda df, name: df.groupBy(case).agg(F.bool_or(blocked).alias(name))
+    cases = state(a, "_a").join(state(b, "_b").hint("merge"), case, "full_outer").select(case, F.coalesce("_a", F.lit(False)).alias("_a"), F.coalesce("_b", F.lit(False)).alias("_b"))
+    none = F.lit(None).cast("string")
+    one = cases.where("_a <> _b").select(case, F.lit(None).cast(dict(a.dtypes)[row]).alias(row), F.lit("blocked").alias("kind"), F.col("_a").cast("string").alias("in_a"), F.col("_b").cast("string").alias("in_b"))
+    side = lambda df, mark: df.select(case, row, *[F.col(p).cast("string").alias(f"{mark}_{p}") for p in properties], F.lit(1).alias(f"_{mark}"))
+    both = side(a, "a").join(side(b, "b").hint("merge"), [case, row], "full_outer").join(cases.where("not _a and not _b").select(case).hint("merge"), case)
+    found = F.when(F.col("_a").isNull(), F.array(F.struct(F.lit("extra").alias("kind"), none.alias("x"), none.alias("y")))).when(F.col("_b").isNull(), F.array(F.struct(F.lit("missing").alias("kind"), none.alias("x"), none.alias("y")))).otherwise(
+        F.filter(F.array(*[F.when(~F.col(f"a_{p}").eqNullSafe(F.col(f"b_{p}")), F.struct(F.lit(p).alias("kind"), F.col(f"a_{p}").alias("x"), F.col(f"b_{p}").alias("y"))) for p in properties]), lambda d: d.isNotNull())
+    )
+    rows = both.select(case, row, F.explode_outer(found).alias("d")).where("d is not null")
+    return one.union(rows.select(case, row, "d.kind", F.col("d.x").alias("in_a"), F.col("d.y").alias("in_b")))
+
+
 def structure_counts(rows: DataFrame, doc: str, html: Column, tags: list[str]) -> DataFrame:
     """Count of each opening tag in each document that has one."""
     counted = rows.select(doc, F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), F.regexp_count(html, F.lit(f"<{t}[ >]")).cast("long").alias("n")) for t in tags])).alias("x"))

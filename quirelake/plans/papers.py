@@ -24,8 +24,9 @@ from quirelake.operators import names as M
 from quirelake.operators import planning as P
 from quirelake.operators import recognition as R
 from quirelake.operators import sequences as S
+from quirelake.operators import snapshots as X
 from quirelake.plans.registry import query
-from quirelake.plans.suites import LINES, WS, lines, table
+from quirelake.plans.suites import LINES, NUMBERED, lines, numbered_rows, table
 from quirelake.sources import packages as K
 from quirelake.sources.reference_tables import build_gazetteer
 
@@ -326,6 +327,102 @@ def union_findings(spark, sf_dir):
     return A.union_findings(blank, short).groupBy("code", "status").agg(F.count("*").alias("n"), F.count("para_idx").alias("placed"))
 
 
+@query("""WITH a AS (SELECT o_orderkey AS k, o_custkey, l_linenumber AS r, l_partkey, l_suppkey, l_quantity, l_returnflag, o_orderkey % 11 = 0 AS ba, o_orderkey % 13 = 0 AS bb FROM orders JOIN (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2) ON o_orderkey = l_orderkey), f AS (SELECT * FROM a WHERE NOT ba AND NOT bb)
+ SELECT DISTINCT k, NULL::INT AS r, 'blocked' AS kind, ba::VARCHAR AS in_a, bb::VARCHAR AS in_b FROM a WHERE ba <> bb UNION ALL SELECT k, r, 'missing', NULL, NULL FROM f WHERE l_partkey % 7 = 0 UNION ALL SELECT k, r + 1000, 'extra', NULL, NULL FROM f WHERE l_partkey % 7 = 0 UNION ALL SELECT k, r, 'flag', l_returnflag, l_returnflag || '!' FROM f WHERE l_partkey % 7 <> 0 AND l_suppkey % 5 = 0 UNION ALL SELECT k, r, 'size', NULL, l_suppkey::VARCHAR FROM f WHERE l_partkey % 7 <> 0 AND l_suppkey % 3 = 0""")
+def compare_runs(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_returnflag")])
+    o = table(spark, sf_dir, "orders").join(li.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"))
+    k, s = F.col("o_orderkey"), F.col("l_suppkey")
+    a = o.select(k.alias("k"), F.col("l_linenumber").alias("r"), F.col("l_returnflag").alias("flag"), F.when(s % 3 != 0, s).alias("size"), (k % 11 == 0).alias("blocked"))
+    b = o.select(k.alias("k"), F.when(F.col("l_partkey") % 7 == 0, F.col("l_linenumber") + 1000).otherwise(F.col("l_linenumber")).alias("r"), F.when(s % 5 == 0, F.concat("l_returnflag", F.lit("!"))).otherwise(F.col("l_returnflag")).alias("flag"), s.alias("size"), (k % 13 == 0).alias("blocked"))
+    return X.compare_runs(a, b, "k", "r", ["flag", "size"])
+
+
+@query(f"""WITH {NUMBERED}, l AS (SELECT *, level % 3 AS lv FROM n), c AS (SELECT a.l_orderkey, a.idx, a.list_key, a.lv, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM l q WHERE q.l_orderkey = a.l_orderkey AND q.list_key = a.list_key AND q.lv < a.lv AND q.idx > b.idx AND q.idx < a.idx)) AS number FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.list_key = b.list_key AND a.lv = b.lv AND b.idx <= a.idx GROUP BY ALL),
+ w AS (SELECT *, coalesce(last_value(CASE WHEN lv = 0 THEN number END IGNORE NULLS) OVER u, 1) AS n0, coalesce(last_value(CASE WHEN lv = 1 THEN number END IGNORE NULLS) OVER u, 1) AS n1, coalesce(last_value(CASE WHEN lv = 2 THEN number END IGNORE NULLS) OVER u, 1) AS n2 FROM c WINDOW u AS (PARTITION BY l_orderkey, list_key ORDER BY idx ROWS UNBOUNDED PRECEDING))
+ SELECT l_orderkey, idx, CASE lv WHEN 0 THEN n0 || '.' WHEN 1 THEN n0 || '.' || chr(96 + n1::INT) ELSE n0 || '.' || chr(96 + n1::INT) || '(0' || n2 || ')' END AS label FROM w""")
+def list_texts(spark, sf_dir):
+    """Numbers of several levels in one label: 2., 2.a, 2.a(03)."""
+    rows = numbered_rows(spark, sf_dir).withColumn("level", F.col("level") % 3)
+    labelled = S.list_labels(rows, ["l_orderkey"], "idx", "list_key", "level")
+    labelled = labelled.withColumns({"lvl_text": F.get(F.array(F.lit("%1."), F.lit("%1.%2"), F.lit("%1.%2(%3)")), F.col("level")), "formats": F.array(F.lit("decimal"), F.lit("lowerLetter"), F.lit("decimalZero"))})
+    out = S.list_texts(labelled, ["l_orderkey"], "idx", "list_key", "level", "lvl_text", "formats")
+    return out.select("l_orderkey", F.col("idx").cast("long").alias("idx"), "label")
+
+
+@query(f"""WITH {LINES}, s AS (SELECT doc_id, min(para_idx) AS first FROM lines WHERE para_idx % 5 = 3 GROUP BY 1) SELECT lines.doc_id, para_idx, coalesce(para_idx >= first, false) AS in_references FROM lines LEFT JOIN s ON lines.doc_id = s.doc_id""")
+def reference_section(spark, sf_dir):
+    p = lines(spark, sf_dir).withColumn("text", F.when(F.col("para_idx") % 5 == 3, F.concat(F.lit(" [1] "), "text")).otherwise(F.concat(F.lit("x"), "text")))
+    return S.reference_section(p).select("doc_id", "para_idx", "in_references")
+
+
+@query("""WITH n AS (SELECT conv_id, max(turn) AS last, count(*) AS k FROM conversations GROUP BY 1) SELECT conv_id AS doc_id, turn AS start FROM conversations JOIN n USING (conv_id) WHERE turn = greatest(last - 2, 0) AND k > 0""")
+def signature_starts(spark, sf_dir):
+    """The last three turns of a conversation as the lines of a closing block."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("para_idx"), F.lit("line").alias("text"), F.max("turn").over(Window.partitionBy("conv_id")).alias("last"))
+    return S.signature_start(c, F.col("para_idx") > F.col("last") - 3)
+
+
+@query(f"""WITH {ITEMS} SELECT doc_id, r + 6 AS para_idx FROM c WHERE level = 1 AND EXISTS (SELECT 1 FROM c d WHERE d.doc_id = c.doc_id AND d.r = c.r + 1)""")
+def dropped_items(spark, sf_dir):
+    """Second-level clauses without their marker between a line that ends in a colon and a numbered one."""
+    p = papers(spark, sf_dir).where("para_idx > 6")
+    level = (F.col("para_idx") - 4) % 3
+    p = p.withColumn("text", F.when(level == 0, F.concat("text", F.lit(":"))).when(level == 1, F.regexp_replace("text", r"^\(a\) ", "")).otherwise(F.col("text")))
+    return S.suspect_dropped_items(p, ["doc_id"], "para_idx", T.has_marker(F.col("text"))).select("doc_id", F.col("para_idx").cast("long").alias("para_idx"))
+
+
+@query("""SELECT o_orderkey AS doc_id, 5 AS second, 3 AS candidate, 0.94::DOUBLE AS confidence FROM orders WHERE o_orderkey % 2 = 0""")
+def missing_first_section(spark, sf_dir):
+    long = "这一段正文很长，超过了二十五个字，因此它前面的短行可以是一个小标题。"
+    first = F.when(F.col("o_orderkey") % 2 == 0, "背景").otherwise("（一）背景")
+    p = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.posexplode(F.array(F.lit("立场文件"), F.lit("委员会：大会"), F.lit(long), first, F.lit(long), F.lit("（二）建议"), F.lit(long))).alias("para_idx", "text"))
+    return L.missing_first_section(p)
+
+
+@query("""SELECT c_custkey AS doc_id, c_mktsegment AS phrase FROM customer WHERE c_custkey % 3 <> 0""")
+def required_phrases(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    spans = c.select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("in "), "c_mktsegment", F.lit(" of")).alias("text"), (F.col("c_custkey") % 3 == 0).alias("italic"))
+    return L.required_phrases(spans, c.select(F.col("c_custkey").alias("doc_id"), F.col("c_mktsegment").alias("phrase")))
+
+
+@query("""WITH p AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS page FROM lineitem), s AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2) SELECT doc_id, page, 'too-large' AS code FROM s WHERE q > 45 UNION ALL SELECT doc_id, page, 'page-differs' FROM p WHERE doc_id % 5 = 0 UNION ALL SELECT DISTINCT doc_id, 99, 'page-count' FROM p WHERE doc_id % 6 = 0""")
+def visual_audit(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.lit("text").alias("text"), F.col("l_quantity").alias("size"))
+    pages = li.select("doc_id", "page").distinct()
+    scores = pages.withColumn("score", F.lit(0.5))
+    reference = pages.withColumn("score", F.when(F.col("doc_id") % 5 == 0, 0.9).otherwise(0.5)).union(pages.where("doc_id % 6 = 0").select("doc_id", F.lit(99), F.lit(0.5)).distinct())
+    return P.visual_audit(li, scores, reference, 45.0, 0.2)
+
+
+@query("""SELECT o_orderkey AS doc_id, 'sponsors' AS field, 2::BIGINT AS n FROM orders JOIN customer ON o_custkey = c_custkey""")
+def repeated_fields(spark, sf_dir):
+    p = papers(spark, sf_dir)
+    again = p.withColumn("text", F.when(F.col("para_idx") == 4, F.concat(F.lit("Sponsors: "), "text")).otherwise(F.col("text")))
+    return R.repeated_header_fields(R.header(again, "draft-resolution", VOCABULARY))
+
+
+@query("""WITH i AS (SELECT c_custkey, unnest(['(h)', '(i)', '(j)', '(ii)', '(i)', '(b)', '(iv)', '(v)', '(c)']) AS t, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS i, unnest([false, false, false, true, true, false, true, true, false]) AS is_roman FROM customer) SELECT c_custkey AS doc_id, i AS idx, is_roman FROM i""")
+def roman_items(spark, sf_dir):
+    tokens = F.array(*[F.lit(x) for x in ("(h)", "(i)", "(j)", "(ii)", "(i)", "(b)", "(iv)", "(v)", "(c)")])
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.posexplode(F.transform(tokens, lambda t: F.concat(t, F.lit(" "), "c_name"))).alias("idx", "text"))
+    return S.roman_items(rows, ["doc_id"], "idx").select("doc_id", "idx", "is_roman")
+
+
+@query("""SELECT c_custkey AS doc_id, 0 AS para_idx, CASE c_custkey % 3 WHEN 1 THEN 'emphasis' ELSE 'font-size' END AS code FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, NULL, 'page' FROM customer WHERE c_custkey % 5 = 0""")
+def layout_audit(spark, sf_dir):
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    p = c.select(k.alias("doc_id"), F.lit(0).alias("para_idx"), F.lit("sponsors").alias("role"), F.concat(F.lit("Sponsors: "), "c_name").alias("text"))
+    run = lambda start, text, bold, size: F.struct(F.lit(start).alias("start"), F.length(text).alias("len"), text.alias("text"), size.alias("sz"), bold.alias("b"), bold.alias("i"), F.lit(None).cast("boolean").alias("u"))
+    size = F.when(k % 3 == 2, 11.0).otherwise(12.0)
+    runs = c.select(k.alias("doc_id"), F.lit(0).alias("para_idx"), F.explode(F.array(run(0, F.lit("Sponsors: "), F.lit(None).cast("boolean"), F.lit(12.0)), run(10, F.col("c_name"), k % 3 != 1, size))).alias("r")).select("doc_id", "para_idx", "r.*")
+    turned = k % 5 == 0
+    sections = c.select(k.alias("doc_id"), F.when(turned, 16838).otherwise(11906).alias("width"), F.when(turned, 11906).otherwise(16838).alias("height"), *[F.lit(1440).alias(x) for x in ("left", "right", "top", "bottom")])
+    rule = spark.createDataFrame([("sponsors", "label", True, True, None)], "role string, start string, b boolean, i boolean, u boolean")
+    return P.layout_audit(p, runs, sections, 12.0, rule)
+
+
 # --- packages
 
 

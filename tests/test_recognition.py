@@ -75,3 +75,11 @@ def test_name_continuation(spark):
     df = spark.createDataFrame([(x,) for x in lines], "text string")
     assert [r[0] for r in df.select(R.is_name_continuation(F.col("text"), ["england"])).collect()] == [True, True, False, False, False, False, True]
     assert T.UNICODE
+
+
+def test_native_lists_nest_behind_colons(spark):
+    lines = [("item", 0, "1. Requests:", None), ("item", 0, "first", "7:0"), ("item", 0, "second:", "7:0"), ("item", 0, "own list", "7:0"), ("item", 0, "deeper:", "8:0"), ("prose", 0, "text", None), ("item", 0, "still", "8:0"), ("item", 1, "(a) typed", "8:0")]
+    rows = spark.createDataFrame([(1, i, *x) for i, x in enumerate(lines)], "doc_id long, para_idx int, role string, level int, text string, list_key string")
+    assert [r.level for r in R.nest_native_items(rows).orderBy("para_idx").collect()] == [0, 1, 1, 1, 0, 0, 0, 1]
+    after = rows.withColumn("list_key", F.when(F.col("para_idx") == 4, "8:0").otherwise(F.col("list_key"))).where("para_idx <> 3")
+    assert [r.level for r in R.nest_native_items(after).orderBy("para_idx").collect()] == [0, 1, 1, 2, 0, 2, 1]
