@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A side with at most this many narrow rows may be broadcast; beyond it joins are sort-merge joins.
 BROADCAST_ROWS = 500_000
 
+#: Fixed value: Spark's setting by which a query deletes its shuffle files when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes.translate table that lower-cases A-Z and leaves every other byte alone.
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -36,13 +39,26 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back."""
+    """Cut the lineage: write df to the shared folder and read it back. Its shuffle files go when it is written."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a written table that nothing reads any more."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all tables that this application has written; call it when the results are stored."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
