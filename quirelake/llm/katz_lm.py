@@ -70,7 +70,7 @@ def from_sorted(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[int], np.ndarray, np.ndarray]]:
+def chunks(batches: Iterator[pa.RecordBatch], tokens: int = CHUNK_TOKENS) -> Iterator[tuple[list, list[int], np.ndarray, np.ndarray]]:
     """doc_ids, text hashes, word hashes of all tokens with the ends, and each token's document number (uint16)."""
     ids, marks, parts, lengths, total = [], [], [], [], 0
     for batch in batches:
@@ -84,7 +84,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[int],
             parts += [h, np.zeros(1, np.uint64)]
             lengths.append(len(h) + 1)
             total += len(h) + 1
-            if total >= CHUNK_TOKENS or len(ids) == 2**16:
+            if total >= tokens or len(ids) == 2**16:
                 yield ids, marks, np.concatenate(parts), np.repeat(np.arange(len(ids)), lengths)
                 ids, marks, parts, lengths, total = [], [], [], [], 0
     if ids:

@@ -21,39 +21,45 @@ unknown. Texts are read whole; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from quirelake.llm.common import written
+from quirelake.llm.common import discard, written
 from quirelake.llm.katz_lm import K, chunks, discounts, held_out, packed, unpacked
 
 #: Word numbers of the beginning of a text and of all unknown words; others follow.
 START, UNKNOWN = 0, 1
 #: Ranks inside a bucket are below 2^RANK_BITS.
 RANK_BITS = 40
-#: Documents of a bucket, about.
+#: Tokens of a chunk, about; documents of a bucket, about.
+CHUNK_TOKENS = 1_000_000
 BUCKET_DOCS = 4_000
 
 CHUNK = "chunk long, doc_ids binary, nulls binary, held binary, lengths binary, words binary, counts binary, tokens binary"
 REQUEST = "bucket int, chunk long, keys binary, counts binary, low binary"
-REPLY = "chunk long, level int, bucket int, counts binary, ids binary, context binary, weights binary, r array<long>, top long"
+#: context: tokens of each context and which low counts its successors have. open: what back-off needs, for contexts with
+#: an n-gram that training has not seen: numbers of successors by count, and sums of weights.
+REPLY = "chunk long, level int, bucket int, counts binary, ids binary, context binary, open binary, r array<long>, top long"
 TOKENS = "chunk long, doc_ids binary, nulls binary, held binary, lengths binary, tokens binary"
 
 
+_squeeze, _expand = zstandard.ZstdCompressor(3), zstandard.ZstdDecompressor()
+
+
 def narrow(a: np.ndarray) -> bytes:
-    """Non-negative integers as byte planes, as many as the largest needs."""
+    """Non-negative integers as compressed byte planes, as many as the largest needs."""
     a = np.ascontiguousarray(a).astype(np.uint64)
     width = max(1, (int(a.max()).bit_length() + 7) // 8) if a.size else 1
-    return bytes([width]) + packed(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T))
+    return bytes([width]) + _squeeze.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
 
 
 def wide(b: bytes) -> np.ndarray:
-    planes = unpacked(b[1:], np.uint8).reshape(b[0], -1)
+    planes = np.frombuffer(_expand.decompress(b[1:]), np.uint8).reshape(b[0], -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, : b[0]] = planes.T
     return out.view(np.uint64).ravel()
@@ -79,7 +85,7 @@ def chunked(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for number, (ids, _, words, doc) in enumerate(chunks(batches)):
+        for number, (ids, _, words, doc) in enumerate(chunks(batches, CHUNK_TOKENS)):
             held = np.array([held_out(x) for x in ids])
             distinct, code = np.unique(words, return_inverse=True)
             counts = np.bincount(code[~held[doc]], minlength=len(distinct))
@@ -94,12 +100,12 @@ def spread(x: np.ndarray, buckets: int) -> np.ndarray:
     return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
 
 
-def requests(chunk: int, to: np.ndarray, keys: np.ndarray, counts: np.ndarray, low: np.ndarray) -> list[tuple]:
-    """Rows of REQUEST. keys are distinct and ascending."""
+def requests(chunk: int, to: np.ndarray, keys: np.ndarray, counts: np.ndarray, low: np.ndarray | None) -> list[tuple]:
+    """Rows of REQUEST. keys are distinct and ascending; low: lower-order counts where the buckets do not know them."""
     rows = []
     for b in np.unique(to):
         mine = to == b
-        rows.append((int(b), chunk, ascending(keys[mine]), narrow(counts[mine]), narrow(low[mine])))
+        rows.append((int(b), chunk, ascending(keys[mine]), narrow(counts[mine]), narrow(np.zeros(0) if low is None else low[mine])))
     return rows
 
 
@@ -134,10 +140,16 @@ def context_sums(keys: np.ndarray, counts: np.ndarray, weights: np.ndarray, bits
     return context, np.array(stats, np.int64).reshape(K + 1, -1), np.bincount(inverse, weights, len(context))
 
 
+def low_counts(stats: np.ndarray) -> np.ndarray:
+    """Which of the counts 1 to K the successors of each context have, as bits."""
+    return sum((stats[r] > 0).astype(np.int64) << (r - 1) for r in range(1, K + 1))
+
+
 class Level:
     """What every task of one order knows: key layout, hot contexts with their sums, discounts, lower-order weight."""
 
-    def __init__(self, order: int, bits: int, buckets: int, hot: np.ndarray, weight: Callable[[np.ndarray], np.ndarray]):
+    def __init__(self, order: int, bits: int, buckets: int, hot: np.ndarray, weight: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+        """weight: numbers in proportion to lower-order probabilities, of keys with their lower-order counts."""
         self.order, self.bits, self.buckets, self.hot, self.weight = order, bits, buckets, hot, weight
         self.hot_stats, self.hot_weight, self.factor = np.zeros((K + 1, len(hot)), np.int64), np.zeros(len(hot)), np.ones(K + 1)
 
@@ -151,9 +163,9 @@ class Level:
         def run(table: pa.Table) -> pa.Table:
             bucket = table.column("bucket")[0].as_py()
             parts = [(table.column("chunk")[i].as_py(), from_ascending(table.column("keys")[i].as_py()), wide(table.column("counts")[i].as_py()), wide(table.column("low")[i].as_py())) for i in range(table.num_rows)]
-            keys, counts, low = merged([p[1] for p in parts], [p[2] for p in parts], [p[3] for p in parts])
+            keys, counts, low = merged([p[1] for p in parts], [p[2] for p in parts], [p[3] if len(p[3]) else np.zeros(len(p[1]), np.uint64) for p in parts])
             ids, _ = numbered(counts, self.buckets, bucket, 1)
-            context, stats, weights = context_sums(keys, counts, self.weight(low), self.bits)
+            context, stats, weights = context_sums(keys, counts, self.weight(keys, low), self.bits)
             of_hot = np.isin(context, self.hot)
             r = np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[1 : K + 2]
             partial = ascending(context[of_hot]), narrow(stats[:, of_hot].ravel()), packed(weights[of_hot])
@@ -161,12 +173,14 @@ class Level:
             for chunk, k, _, _ in parts:
                 at, hit = found(keys, k)
                 c = np.where(hit, counts[at], 0) if len(keys) else np.zeros(len(k), np.int64)
-                number = np.where(hit, ids[at], 0) if len(keys) and self.order == 2 else np.zeros(len(k), np.int64)
-                place, there = found(context, mine := np.unique(k >> np.uint64(self.bits)))
+                number = np.zeros(0, np.int64) if self.order == 3 else np.where(hit, ids[at], 0) if len(keys) else np.zeros(len(k), np.int64)
+                mine, of = np.unique(k >> np.uint64(self.bits), return_inverse=True)
+                place, there = found(context, mine)
                 there &= ~np.isin(mine, self.hot)
                 sums = np.where(there, stats[:, place], 0) if len(context) else np.zeros((K + 1, len(mine)), np.int64)
-                w = np.where(there, weights[place], 0.0) if len(context) else np.zeros(len(mine))
-                rows.append((chunk, self.order, bucket, narrow(c), narrow(number), narrow(sums.ravel()), packed(w), None, 0))
+                unseen = there & (np.bincount(of[c == 0], minlength=len(mine)) > 0)
+                open_ = narrow(sums[1:, unseen].ravel()), packed(weights[place[unseen]] if len(context) else np.zeros(0))
+                rows.append((chunk, self.order, bucket, narrow(c), narrow(number), narrow(np.concatenate((sums[0], low_counts(sums)))), len(open_[0]).to_bytes(8, "little") + b"".join(open_), None, 0))
             return record(rows, REPLY)
 
         return run
@@ -180,46 +194,58 @@ class Level:
             following.append(wide(row.ids))
             at = np.searchsorted(self.hot, from_ascending(row.counts))
             self.hot_stats[:, at] += wide(row.context).astype(np.int64).reshape(K + 1, -1)
-            self.hot_weight[at] += unpacked(row.weights, np.float64)
+            self.hot_weight[at] += unpacked(row.open, np.float64)
         self.factor = np.concatenate((discounts({i + 1: int(n) for i, n in enumerate(seen)}), [1.0]))
         return np.sort(np.concatenate(following)), top
 
-    def answers(self, keys: np.ndarray, rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For the distinct ascending keys of a chunk: count, number, context statistics and context weight."""
+    def answers(self, keys: np.ndarray, rows: list[dict], numbers: bool = False) -> tuple[np.ndarray, ...]:
+        """For the distinct ascending keys of a chunk: counts and numbers if these are asked for, else counts, and of each
+        context its denominator (0 if it was not trained), what discounting frees in it, and its weight.
+
+        For contexts whose n-grams were all seen, replies tell only which low counts there are: that decides the
+        denominator, and the others are not needed.
+        """
         to, context = self.bucket_of(keys), keys >> np.uint64(self.bits)
-        counts, ids, stats, weights = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint64), np.zeros((K + 1, len(keys)), np.int64), np.zeros(len(keys))
+        counts = np.zeros(len(keys), np.int64)
+        if numbers:
+            ids = np.zeros(len(keys), np.uint64)
+        else:
+            totals, spares, weights = np.zeros(len(keys)), np.zeros(len(keys)), np.zeros(len(keys))
         for row in rows:
             mine = np.flatnonzero(to == row["bucket"])
-            counts[mine], ids[mine] = wide(row["counts"]), wide(row["ids"])
+            c = wide(row["counts"]).astype(np.int64)
+            counts[mine] = c
+            if numbers:
+                ids[mine] = wide(row["ids"])
+                continue
             _, of = np.unique(context[mine], return_inverse=True)
-            stats[:, mine], weights[mine] = wide(row["context"]).astype(np.int64).reshape(K + 1, -1)[:, of], unpacked(row["weights"], np.float64)[of]
-        at, hit = found(self.hot, context)
-        if hit.any():
-            stats[:, hit], weights[hit] = self.hot_stats[:, at[hit]], self.hot_weight[at[hit]]
-        return counts, ids, stats, weights
+            tokens, bits = wide(row["context"]).astype(np.int64).reshape(2, -1)
+            sums, w = np.stack((tokens, *((bits >> (r - 1)) & 1 for r in range(1, K + 1)))), np.zeros(len(tokens))
+            unseen = (tokens > 0) & (np.bincount(of[c == 0], minlength=len(tokens)) > 0)
+            size = int.from_bytes(row["open"][:8], "little")
+            sums[1:, unseen] = wide(row["open"][8 : 8 + size]).astype(np.int64).reshape(K, -1)
+            w[unseen] = unpacked(row["open"][8 + size :], np.float64)
+            total, spare = self.total(sums)
+            totals[mine], spares[mine], weights[mine] = total[of], spare[of], w[of]
+        if numbers:
+            return counts, ids
+        hot, is_hot = found(self.hot, context)
+        if is_hot.any():
+            total, spare = self.total(self.hot_stats)
+            totals[is_hot], spares[is_hot], weights[is_hot] = total[hot[is_hot]], spare[hot[is_hot]], self.hot_weight[hot[is_hot]]
+        return counts, totals, spares, weights
 
     def total(self, stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Denominator of each context and what discounting frees in it; a context that frees nothing frees one count."""
         free = sum(r * stats[r] * (1 - self.factor[r - 1]) for r in range(1, K + 1))
-        return np.where(free > 1e-9, stats[0], stats[0] + 1), np.where(free > 1e-9, free, 1.0)
+        return np.where(stats[0] == 0, 0.0, np.where(free > 1e-9, stats[0], stats[0] + 1)), np.where(free > 1e-9, free, 1.0)
 
-    def probability(self, counts: np.ndarray, stats: np.ndarray, follow: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    def probability(self, counts: np.ndarray, total: np.ndarray, spare: np.ndarray, follow: np.ndarray, lower: np.ndarray) -> np.ndarray:
         """follow: lower-order probability of all that was seen after the context; lower: that of the word."""
-        total, spare = self.total(stats)
-        seen = counts * self.factor[np.clip(counts, 1, K + 1) - 1] / np.maximum(total, 1)
-        back = spare / np.maximum(total, 1) / np.maximum(1 - follow, 1e-12) * lower
-        return np.where(stats[0] > 0, np.where(counts > 0, seen, back), lower)
-
-
-def discarded(*tables: DataFrame) -> None:
-    """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of finished steps."""
-    spark = tables[0].sparkSession if tables else SparkSession.active()
-    for table in tables:
-        for file in table.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
+        trained, total = total > 0, np.maximum(total, 1)
+        seen = counts * self.factor[np.clip(counts, 1, K + 1) - 1] / total
+        back = spare / total / np.maximum(1 - follow, 1e-12) * lower
+        return np.where(trained, np.where(counts > 0, seen, back), lower)
 
 
 def score(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
@@ -290,7 +316,8 @@ def score(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
 
     asked = ones.where("chunk >= 0").select("chunk", "bucket", "ids")
     tokens = written(pieces.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(as_numbers, TOKENS))
-    discarded(pieces, ones)
+    discard(pieces)
+    discard(ones)
     bits = top_word.bit_length()
 
     def grams(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -302,7 +329,8 @@ def score(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
         return t, doc, unpacked(row["held"], np.bool_)[doc], begin, before << np.uint64(bits) | t
 
     # 3. bigrams
-    two = Level(2, bits, buckets, hot, lambda low: low + 1.0)
+    low_bits = np.uint64(2**bits - 1)
+    two = Level(2, bits, buckets, hot, lambda keys, _: count_of(keys & low_bits) + 1.0)
 
     def ask_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,20 +338,15 @@ def score(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
                 _, _, held, _, pairs = grams(row)
                 keys, inverse = np.unique(pairs, return_inverse=True)
                 counts = np.bincount(inverse[~held], minlength=len(keys))
-                yield from record(requests(row["chunk"], two.bucket_of(keys), keys, counts, count_of(keys & np.uint64(2**bits - 1))), REQUEST).to_batches()
+                yield from record(requests(row["chunk"], two.bucket_of(keys), keys, counts, None), REQUEST).to_batches()
 
     twos = written(tokens.mapInArrow(ask_bigrams, REQUEST).groupBy("bucket").applyInArrow(two.replied(limit), REPLY))
     hot_pairs, top_pair = two.fit(twos)
-    discarded()
     if top_pair.bit_length() + bits > 64 or 2 * bits > 64:
         raise OverflowError("more words and word pairs than a 64-bit trigram key can tell apart")
 
     # 4. trigrams: a context is the number of a bigram
-    three = Level(3, bits, buckets, hot_pairs, lambda low: low * two.factor[np.clip(low, 1, K + 1) - 1])
-
-    def bigram_values(pairs: np.ndarray, rows: list[dict]):
-        keys, inverse = np.unique(pairs, return_inverse=True)
-        return keys, inverse, two.answers(keys, rows)
+    three = Level(3, bits, buckets, hot_pairs, lambda _, low: low * two.factor[np.clip(low, 1, K + 1) - 1])
 
     def trigram_keys(t: np.ndarray, begin: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Trigram key of each token, 0 where the context was not trained or the text begins."""
@@ -334,7 +357,8 @@ def score(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
         rows, answers = [], replies.to_pylist()
         for row in mine.to_pylist():
             t, _, held, begin, pairs = grams(row)
-            _, inverse, (c2, ids, _, _) = bigram_values(pairs, answers)
+            pairs, inverse = np.unique(pairs, return_inverse=True)
+            c2, ids = two.answers(pairs, answers, numbers=True)
             triples = trigram_keys(t, begin, ids[inverse])
             some = triples > 0
             keys, first, of = np.unique(triples[some], return_index=True, return_inverse=True)
@@ -342,31 +366,34 @@ def score(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
             rows += requests(row["chunk"], three.bucket_of(keys), keys, counts, c2[inverse[some][first]])
         return record(rows, REQUEST)
 
-    fields = ["chunk", "level", "bucket", "counts", "ids", "context", "weights"]
+    fields = ["chunk", "level", "bucket", "counts", "ids", "context", "open"]
     of_two = twos.where("chunk >= 0").select(fields)
     by_chunk = tokens.groupBy("chunk")
     threes = written(by_chunk.cogroup(of_two.groupBy("chunk")).applyInArrow(ask_trigrams, REQUEST).groupBy("bucket").applyInArrow(three.replied(n + 1), REPLY))
     three.fit(threes)
-    discarded()
 
     # 5. probabilities, and sums over documents
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def evaluate(mine: pa.Table, replies: pa.Table) -> pa.Table:
         answers, out = replies.to_pylist(), []
+        of_two, of_three = ([x for x in answers if x["level"] == level] for level in (2, 3))
         for row in mine.to_pylist():
             t, doc, _, begin, pairs = grams(row)
             c1 = count_of(t)
             p1 = (c1 + 1) / (n + v + 1)
-            _, inverse, (c2, ids, stats2, follow2) = bigram_values(pairs, [x for x in answers if x["level"] == 2])
-            p = two.probability(c2[inverse], stats2[:, inverse], follow2[inverse] / (n + v + 1), p1)
-            triples = trigram_keys(t, begin, ids[inverse])
+            pairs, inverse = np.unique(pairs, return_inverse=True)
+            c2, total2, spare2, follow2 = two.answers(pairs, of_two)
+            p = two.probability(c2[inverse], total2[inverse], spare2[inverse], follow2[inverse] / (n + v + 1), p1)
+            triples = trigram_keys(t, begin, two.answers(pairs, of_two, numbers=True)[1][inverse])
             some = triples > 0
             keys, first, of = np.unique(triples[some], return_index=True, return_inverse=True)
-            c3, _, stats3, weight3 = three.answers(keys, [x for x in answers if x["level"] == 3])
+            del triples, pairs, c2, spare2, follow2
+            c3, total3, spare3, weight3 = three.answers(keys, of_three)
             # the shorter context of a trigram is that of its last two words
-            total2 = np.maximum(two.total(stats2)[0][inverse[some][first]], 1)
-            p[some] = three.probability(c3, stats3, weight3 / total2, p[some][first])[of]
+            shorter = np.maximum(total2[inverse[some][first]], 1)
+            p[some] = three.probability(c3, total3, spare3, weight3 / shorter, p[some][first])[of]
+            del keys, first, of, c3, total3, spare3, weight3
             lengths, nulls = wide(row["lengths"]).astype(np.int64), unpacked(row["nulls"], np.bool_)
             sums = [np.bincount(doc, x, len(lengths)) for x in (np.log10(p1), np.log10(p), (c1 > 0).astype(float))]
             out.append(pa.Table.from_arrays([
@@ -376,4 +403,7 @@ def score(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
         return pa.concat_tables(out)
 
     both = of_two.union(threes.where("chunk >= 0").select(fields))
-    return by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(evaluate, result)
+    done = written(by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(evaluate, result))
+    for table in (tokens, twos, threes):
+        discard(table)
+    return done
