@@ -80,3 +80,63 @@ def test_alignment(spark):
     a, b = frame(["one", "two", "three"]), frame(["one", "2", "three", "four"])
     assert [tuple(r) for r in folds.align_paragraphs(a, b).orderBy("out_idx").collect()] == [(1, 0, 0, True), (1, 1, 1, False), (1, 2, 2, True)]
     assert sorted(r.operation for r in folds.token_diff(a, b).collect()) == ["insert", "replace"]
+
+
+def test_audit_hard_cases(spark):
+    plain = package()
+    at = plain.index(b"PK\x03\x04", 10)
+    other = bytearray(plain)
+    struct.pack_into("<H", other, at + 8, 0)  # the second local header names another method
+    docs = table(
+        spark, utf16=package(**{"word/x.XML": '<!DOCTYPE x SYSTEM "y"><x/>'.encode("utf-16")}), control=package(**{"word/a\x01.bin": "x"}), mismatch=bytes(other), twice=_twice(), fine=package(**{"word/y.xml": "<a><!-- <b> --><![CDATA[<c>]]></a>"}),
+        many=package(**{"word/z.bin": b"\0" * 20_000_000}),
+    )
+    entries = S.package_entries(docs)
+    found = {(r.doc_id, r.rule) for r in S.package_audit(entries).collect()}
+    assert found == {("utf16", "dtd"), ("control", "unsafe-path"), ("mismatch", "header-mismatch"), ("twice", "duplicate"), ("many", "ratio")}
+    assert entries.where("doc_id = 'many' and name = 'word/z.bin'").first().crc_ok is None  # never expanded
+    assert entries.where("doc_id = 'fine' and name = 'word/y.xml'").first().xml_depth == 1
+
+
+def _twice():
+    import warnings
+
+    data = io.BytesIO()
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        with zipfile.ZipFile(data, "w") as z:
+            for name, text in (("[Content_Types].xml", "<Types/>"), ("word/document.xml", BODY), ("word/document.xml", BODY)):
+                z.writestr(name, text)
+    return data.getvalue()
+
+
+def test_styles_switches_and_relationships(spark):
+    styles = f'<w:styles {NS}><w:docDefaults><w:rPrDefault><w:rPr><w:sz w:val="24"/><w:rFonts w:ascii="Arial"/></w:rPr></w:rPrDefault></w:docDefaults><w:style w:type="paragraph" w:styleId="A" w:default="1"><w:rPr><w:b w:val="False"/></w:rPr></w:style><w:style w:type="paragraph" w:styleId="B"><w:basedOn w:val="A"/><w:rPr><w:i/></w:rPr></w:style></w:styles>'
+    docs = table(spark, a=package(**{"word/styles.xml": styles}))
+    rows = {r.style: r for r in S.read_styles(docs).collect()}
+    assert rows["A"].b is False and rows["A"].based_on == "" and rows["A"].is_default and rows["B"].based_on == "A" and rows[""].sz == 12.0 and rows[""].font_ascii == "Arial"
+    from quirelake.operators import layout
+
+    near = {r.style: r for r in layout.resolve_styles(S.read_styles(docs), ["sz", "b", "i"]).collect()}
+    assert (near["B"].sz, near["B"].b, near["B"].i) == (12.0, False, True)
+    schema = "doc_id string, part string, id string, type string, target string, mode string"
+    before = spark.createDataFrame([("a", "p", "1", "t/image", "x", "Internal"), ("a", "p", "2", "t/image", "y", "Internal")], schema)
+    after = spark.createDataFrame([("a", "p", "1", "t/image", "http://z", "Internal"), ("a", "p", "3", "t", "q", "Internal"), ("a", "p", "3", "t", "r", "Internal")], schema)
+    assert sorted(map(tuple, S.relationship_audit(before, after, spark.createDataFrame([("a", "p", "2")], "doc_id string, part string, id string")).collect())) == [("a", "p", "1", "changed"), ("a", "p", "3", "repeated")]
+    entries = S.package_entries(table(spark, a=package(**{"word/_rels/document.xml.rels": "<Relationships/>"})))
+    assert [r.safe for r in S.safe_to_render(entries, after).collect()] == [False] and [r.safe for r in S.safe_to_render(entries, before).collect()] == [True]
+    levels = "doc_id string, num_id string, ilvl int, fmt string, lvl_text string, start int"
+    a = spark.createDataFrame([("a", "1", 0, "lowerLetter", "(%1)", 3), ("a", "1", 1, "decimal", "%1", 1)], levels)
+    b = spark.createDataFrame([("a", "1", 0, "chineseCounting", "（%1）", 3), ("a", "1", 1, "decimal", "%1", 2)], levels)
+    rule = spark.createDataFrame([("a", "1", 0, "chineseCounting", "（%1）")], "doc_id string, num_id string, ilvl int, fmt string, lvl_text string")
+    assert [tuple(r) for r in S.level_audit(a, b, rule).collect()] == [("a", "1", 1, "start")]
+
+
+def test_reports_are_kept(spark, tmp_path):
+    from quirelake.sources.sinks import write_reports
+
+    out, schema = f"{tmp_path}/reports", "doc_id string, doc_type string, status string"
+    assert write_reports(spark.createDataFrame([("a", "t", "one"), ("b", "t", "one")], schema), out) == 2
+    assert write_reports(spark.createDataFrame([("b", "t", "two"), ("c", "t", "two")], schema), out) == 1
+    assert write_reports(spark.createDataFrame([("a", "t", "three")], schema), out, overwrite=True) == 1
+    assert sorted((r.doc_id, r.status) for r in spark.read.json(out).collect()) == [("a", "three"), ("b", "one"), ("c", "two")]
