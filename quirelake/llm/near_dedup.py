@@ -7,9 +7,10 @@
 3. Bands of registers are bucketed. Each bucket links its members to its smallest one only (a star, not all pairs).
 4. Candidates are screened by the joint maximum-likelihood estimate of the similarity from their registers and set
    sizes, six standard errors below the threshold, and confirmed on the full sets.
-5. Connected components of the confirmed links. In buckets that still hold several components, links between members
-   of different ones remain to be found. Members outside a bucket's largest component are joined with the others by
-   prefix filtering, which is exact: two sets this similar share an element among the first 20 % or so of each in any
+5. Connected components of the confirmed links. In buckets that still hold several components, a second star runs from
+   the member that shares most such buckets, as the text that the others were made from does. Links between members of
+   components that are still apart remain to be found: members outside a bucket's largest component are joined with the
+   others by prefix filtering, which is exact: two sets this similar share an element among the first 20 % or so of each in any
    one order, and the first shared one stands early enough in both for the rest to suffice; here rare elements come
    first, so texts that differ from a large group meet none of it. What it finds is screened, confirmed and joined
    once more. Pairs inside a component are never made.
@@ -278,6 +279,23 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
+def mixed_buckets(shared: DataFrame, named: DataFrame) -> DataFrame:
+    """(key, id, component, main) of the buckets (key, id) that hold several components; main: the bucket's largest."""
+    placed = written(shared.join(named.hint("merge"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
+    sizes = written(placed.groupBy("key", "component").agg(F.count("*").alias("n")))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
+    return written(placed.join(written(largest.select("key", F.col("top.component").alias("main"))).hint("merge"), "key"))
+
+
+def through_hubs(mixed_rows: DataFrame, judged: DataFrame) -> DataFrame:
+    """New pairs (a, b): each bucket's members of other components with its hub, the member that is in most mixed buckets."""
+    degrees = written(mixed_rows.groupBy("id").agg(F.count("*").alias("degree")))
+    ranked = mixed_rows.join(degrees.hint("merge"), "id").select("key", F.struct("degree", (-F.col("id")).alias("minus"), "component").alias("x"))
+    hubs = written(ranked.groupBy("key").agg(F.max("x").alias("x")).select("key", (-F.col("x.minus")).alias("hub"), F.col("x.component").alias("of")))
+    pairs = mixed_rows.join(hubs.hint("merge"), "key").where("component <> of").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    return written(written(pairs.distinct()).join(judged.hint("merge"), ["a", "b"], "left_anti"))
+
+
 def grouped(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, size: int = SHINGLE) -> DataFrame:
     """For every row doc_id, text_hash, n_shingles, component_id, and component: unlike component_id it tells apart
     groups whose smallest doc_id is the same, and is null where the set is empty or the doc_id null."""
@@ -292,16 +310,17 @@ def grouped(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, size: int =
     first = written(shared.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct())
     texts = docs.select("doc_id", "text")
     links = confirmed(written(screened(first, reps, threshold)), reps, texts, threshold, size)
-    named = written(components(links))
-    # buckets that still hold several components: outsiders against the rest
-    placed = written(shared.join(named.hint("merge"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
-    sizes = written(placed.groupBy("key", "component").agg(F.count("*").alias("n")))
-    largest = written(sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("key", F.col("top.component").alias("main")))
-    mixed_rows = written(placed.join(largest.hint("merge"), "key"))
+    mixed_rows = mixed_buckets(shared, written(components(links)))
+    # buckets that still hold several components: once more a star, from the member that shares most of them
+    hubs = through_hubs(mixed_rows, first)
+    links = written(links.union(confirmed(written(screened(hubs, reps, threshold)), reps, texts, threshold, size)))
+    mixed_rows = mixed_buckets(mixed_rows.select("key", "id"), written(components(links)))
+    # what is left: outsiders against the rest
     members = written(mixed_rows.groupBy("id").agg(F.first("component").alias("component"), F.bool_or(F.col("component") != F.col("main")).alias("outsider")))
     second = across_components(members, reps, texts, threshold, size)
-    # pairs of the first round were judged already
-    second = second.join(first.hint("merge"), ["a", "b"], "left_anti")
+    # pairs of the first rounds were judged already
+    judged = written(first.union(hubs))
+    second = second.join(judged.hint("merge"), ["a", "b"], "left_anti")
     more = confirmed(written(screened(written(second), reps, threshold)), reps, texts, threshold, size)
     named = written(components(written(links.union(more))))
     by_set = written(reps.join(named.hint("merge"), "id", "left").select("k1", "k2", "doc_id", F.coalesce("component", "id").alias("component")))
