@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 #: A side with at most this many narrow rows may be broadcast; beyond it joins are sort-merge joins.
 BROADCAST_ROWS = 500_000
 
-#: Fixed value: Spark's setting by which a query deletes its shuffle files when it ends.
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings under which tables are written: a query's shuffle files go when it ends, and Python workers get few rows at a
+#: time, as a row may be a long text or a large set.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes.translate table that lower-cases A-Z and leaves every other byte alone.
@@ -42,12 +43,14 @@ def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back. Its shuffle files go when it is written."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(SHUFFLE_CLEANUP)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WHILE_WRITING}
     try:
+        for k, v in WHILE_WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
