@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,13 +122,13 @@ def fit(docs: DataFrame, labels: DataFrame, fitted: int = FITTED) -> Model:
         halves[divmod(r.kind, 2)][r.gram] = r.f
     shared = docs.sparkSession.sparkContext.broadcast([log_ratios(halves[1 - h], documents[1 - h]) for h in (0, 1)])
 
-    @F.pandas_udf("double")
-    def crossed(text: pd.Series, half: pd.Series) -> pd.Series:
-        return pd.Series([mean_ratio((t or "").encode("utf-8", "surrogatepass"), shared.value[h]) for t, h in zip(text, half, strict=True)], dtype=float)
+    @F.arrow_udf("double")
+    def crossed(text: pa.Array, half: pa.Array) -> pa.Array:
+        return pa.array([mean_ratio((t.as_py() or "").encode("utf-8", "surrogatepass"), shared.value[h.as_py()]) for t, h in zip(text, half, strict=True)], pa.float64())
 
-    @F.pandas_udf("array<int>")
-    def all_bins(text: pd.Series) -> pd.Series:
-        return pd.Series([bins((t or "").encode("utf-8", "surrogatepass")) for t in text])
+    @F.arrow_udf("array<int>")
+    def all_bins(text: pa.Array) -> pa.Array:
+        return pa.array([bins((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in text], pa.list_(pa.int32()))
 
     rated = written(sample.select("good", crossed("text", "half").alias("x"), all_bins("text").alias("bins")))
     centre, spread = rated.agg(F.avg("x"), F.stddev_pop("x")).first()
@@ -164,9 +163,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, fitted))
     prior = model.value.prior
 
-    @F.pandas_udf("double")
-    def weighed(text: pd.Series) -> pd.Series:
-        return pd.Series([model.value.evidence(t) for t in text], dtype=float)
+    @F.arrow_udf("double")
+    def weighed(text: pa.Array) -> pa.Array:
+        return pa.array([model.value.evidence(t.as_py()) for t in text], pa.float64())
 
     logistic = lambda x: 1 / (1 + F.exp(-x))
     bounded = lambda p: F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
