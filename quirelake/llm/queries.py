@@ -70,9 +70,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirelake.llm.piece_codec import digests, encode_decode
+
+    return digests(encode_decode(table(spark, sf_dir, "documents")))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirelake.llm.source_divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirelake.llm.conversation_repair import damage, repair
+
+    return repair(damage(table(spark, sf_dir, "conversations")), times="times")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_extraction, op2_license_scan, op3_sharding, op4_substring_dedup, op5_decontamination, op6_near_dedup, op7_lm_scoring, op8_quality_rules, op9_quality_classifier, op10_packing)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_license_scan, op3_sharding, op4_substring_dedup, op5_decontamination, op6_near_dedup, op7_lm_scoring, op8_quality_rules, op9_quality_classifier, op10_packing, op11_sentencepiece, op12_source_divergence, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quirelake.llm import source_divergence
+
+    return {"op12_source_divergence": source_divergence.SQL}
