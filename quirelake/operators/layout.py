@@ -107,10 +107,18 @@ def marks_audit(before: DataFrame, after: DataFrame, mark: str) -> DataFrame:
 
 
 def verb_coverage(spans: DataFrame, runs: DataFrame, style: Column) -> DataFrame:
-    """Spans (doc_id, para_idx, start, length) that styled runs (start, len) do not cover as a whole."""
+    """Spans (doc_id, para_idx, start, length) that styled runs (start, len) do not cover as a whole.
+
+    Runs may touch, overlap or lie in one another: they are swept by their starts, and each adds what lies behind the
+    furthest end so far.
+    """
     r = runs.where(style).select("doc_id", "para_idx", F.col("start").alias("_s"), (F.col("start") + F.col("len")).alias("_e"))
-    overlap = F.greatest(F.lit(0), F.least(F.col("_e"), F.col("start") + F.col("length")) - F.greatest(F.col("_s"), F.col("start")))
-    covered = spans.join(r.hint("merge"), ["doc_id", "para_idx"], "left").groupBy("doc_id", "para_idx", "start", "length").agg(F.sum(F.coalesce(overlap, F.lit(0))).alias("covered"))
+    keys = ["doc_id", "para_idx", "start", "length"]
+    sweep = Window.partitionBy(*keys).orderBy("_s", "_e").rowsBetween(Window.unboundedPreceding, -1)
+    j = spans.join(r.hint("merge"), ["doc_id", "para_idx"], "left")
+    begin = F.greatest("_s", "start", F.coalesce(F.max("_e").over(sweep), F.col("start")))
+    j = j.withColumn("_new", F.greatest(F.lit(0), F.least(F.col("_e"), F.col("start") + F.col("length")) - begin))
+    covered = j.groupBy(*keys).agg(F.sum(F.coalesce("_new", F.lit(0))).alias("covered"))
     return covered.where("covered < length").select("doc_id", "para_idx", "start")
 
 
