@@ -106,9 +106,24 @@ def duplicate_groups(fingerprints: DataFrame) -> DataFrame:
     return fingerprints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), F.sum("n_lines").alias("n_lines")).where("n > 1")
 
 
-def uniform_damage(runs: DataFrame, doc: str, mark: Column) -> DataFrame:
-    """Documents in which a mark covers every non-blank run."""
-    return runs.groupBy(doc).agg(F.bool_and(F.coalesce(mark, F.lit(False))).alias("uniform"), F.count_if(mark).alias("marked"), F.count("*").alias("runs"))
+def uniform_damage(runs: DataFrame, doc: str, mark: Column, text: str = "text") -> DataFrame:
+    """Per document with text: whether a mark covers every run that has some, how many runs it marks, and how many there are.
+
+    Blank runs say nothing: a blank without the mark between marked runs does not hide the damage.
+    """
+    said = runs.where(F.col(text).rlike(r"(?U)\S"))
+    return said.groupBy(doc).agg(F.bool_and(F.coalesce(mark, F.lit(False))).alias("uniform"), F.count_if(mark).alias("marked"), F.count("*").alias("runs"))
+
+
+def mark_notes(runs: DataFrame, keys: list[str], doc: str, hidden: Column, struck: Column, text: str = "text") -> DataFrame:
+    """keys and note (hidden, struck, hidden-and-struck) of each paragraph that keeps marked text. A mark that covers all
+    of a document's text is damage and is no note."""
+    said = runs.where(F.col(text).rlike(r"(?U)\S")).withColumns({"_h": F.coalesce(hidden, F.lit(False)), "_s": F.coalesce(struck, F.lit(False))})
+    whole = said.groupBy(doc).agg(F.bool_and("_h").alias("_all_h"), F.bool_and("_s").alias("_all_s"))
+    lines = said.groupBy(*dict.fromkeys([doc, *keys])).agg(F.bool_or("_h").alias("_h"), F.bool_or("_s").alias("_s")).where("_h or _s")
+    j = lines.join(whole.hint("merge"), doc).withColumns({"_h": F.col("_h") & ~F.col("_all_h"), "_s": F.col("_s") & ~F.col("_all_s")})
+    note = F.when(F.col("_h") & F.col("_s"), "hidden-and-struck").when(F.col("_h"), "hidden").when(F.col("_s"), "struck")
+    return j.withColumn("note", note).where("note is not null").select(*keys, "note")
 
 
 def noise_count(rows: DataFrame, keys: list[str], noisy: list[Column]) -> DataFrame:

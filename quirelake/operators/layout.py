@@ -8,36 +8,59 @@ from pyspark.sql import functions as F
 from quirelake.functions.numerals import valid_marker_change
 from quirelake.functions.text import label_value, let, squeeze, starts_body, without_ending
 from quirelake.operators.names import bounded
+from quirelake.operators.scratch import cut
 from quirelake.operators.snapshots import snapshot_kinds
 
 
-def style_chains(styles: DataFrame) -> DataFrame:
-    """(doc_id, style, ancestor, depth): each style with what it is based on, itself first; cycles end at their first repeat.
-
-    A document's definitions are one map, in which each style's chain is followed to its end.
-    """
-    one = styles.groupBy("doc_id", "style").agg(F.first("based_on", ignorenulls=True).alias("based_on"))
-    parents = one.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("style", "based_on"))).alias("_m"), F.sequence(F.lit(1), F.count("*").cast("int")).alias("_n"))
-
-    def follow(chain: Column, _: Column) -> Column:
-        parent = F.try_element_at("_m", F.element_at(chain, -1))
-        return F.when(parent.isNull() | F.array_contains(chain, F.coalesce(parent, F.lit(""))) | ~F.map_contains_key("_m", F.coalesce(parent, F.lit(""))), chain).otherwise(F.concat(chain, F.array(parent)))
-
-    rows = one.select("doc_id", "style").join(parents.hint("merge"), "doc_id")
-    return rows.select("doc_id", "style", F.posexplode_outer(F.aggregate("_n", F.array("style"), follow)).alias("depth", "ancestor")).select("doc_id", "style", "ancestor", "depth")
-
-
 def resolve_styles(styles: DataFrame, properties: list[str]) -> DataFrame:
-    """Per style the nearest value of each property along its chain."""
-    values = styles.select("doc_id", F.col("style").alias("ancestor"), *properties)
-    rows = style_chains(styles).join(values.hint("merge"), ["doc_id", "ancestor"])
-    return rows.groupBy("doc_id", "style").agg(*[F.min_by(p, F.when(F.col(p).isNotNull(), F.col("depth"))).alias(p) for p in properties])
-
+    """Per style (doc_id, style, based_on) the nearest value of each property along its chain; the first row of a style counts.
 
-def effective_properties(rows: DataFrame, resolved: DataFrame, properties: list[str]) -> DataFrame:
-    """rows (doc_id, style, own properties) with styles' values where they have none of their own."""
-    s = resolved.select("doc_id", "style", *[F.col(p).alias(f"_s_{p}") for p in properties])
-    return rows.join(s, ["doc_id", "style"], "left").withColumns({p: F.coalesce(p, f"_s_{p}") for p in properties}).drop(*[f"_s_{p}" for p in properties])
+    Pointer doubling: each round a style takes what it lacks from the style it points to and then points where that one
+    does, so a chain of n styles needs log2(n) rounds of a join of narrow rows, and no row carries a document's
+    definitions. A cycle goes round without changing anything, as the nearest value is there already.
+    """
+    nearest = F.struct("based_on", *properties)
+    now = cut(styles.groupBy("doc_id", "style").agg(F.first(nearest, ignorenulls=True).alias("_x")).select("doc_id", "style", "_x.*"))
+    longest = now.groupBy("doc_id").count().agg(F.max("count")).first()[0] or 1
+    for _ in range(max(1, (longest - 1).bit_length())):
+        if now.where("based_on is not null").isEmpty():
+            break
+        onward = now.select("doc_id", F.col("style").alias("based_on"), F.col("based_on").alias("_next"), *[F.col(p).alias(f"_{p}") for p in properties])
+        joined = now.join(onward.hint("merge"), ["doc_id", "based_on"], "left")
+        now = cut(joined.select("doc_id", "style", F.col("_next").alias("based_on"), *[F.coalesce(p, f"_{p}").alias(p) for p in properties]))
+    return now.select("doc_id", "style", *properties)
+
+
+def effective_properties(rows: DataFrame, resolved: DataFrame, properties: list[str], levels: DataFrame | None = None, defaults: DataFrame | None = None, default_styles: DataFrame | None = None, default_passes: list[str] | None = None) -> DataFrame:
+    """rows (doc_id, style, own properties, and with levels num_id, ilvl) with their effective properties.
+
+    Nearest first: the row's own value, its list level's (levels: doc_id, num_id, ilvl), its style's (resolved), the
+    document's default (defaults: doc_id). A row without a list of its own is in that of its style (num_id and ilvl of
+    `resolved`; ilvl 0 if none is given); num_id '0' is no list. A row without a style has its document's default style
+    (default_styles: doc_id, style), which passes on only `default_passes` (all if None).
+    """
+    linked = [c for c in ("num_id", "ilvl") if levels is not None and c in resolved.columns]
+    s = resolved.select("doc_id", "style", *[F.col(p).alias(f"_s_{p}") for p in dict.fromkeys([*properties, *linked])])
+    if default_styles is not None:
+        rows = rows.join(default_styles.select("doc_id", F.col("style").alias("_default")).hint("merge"), "doc_id", "left").withColumn("_plain", F.col("style").isNull()).withColumn("style", F.coalesce("style", "_default")).drop("_default")
+    out = rows.join(s.hint("merge"), ["doc_id", "style"], "left")
+    values = {p: F.col(f"_s_{p}") for p in properties}
+    if default_styles is not None:
+        if default_passes is not None:
+            values = {p: c if p in default_passes else F.when(~F.col("_plain"), c) for p, c in values.items()}
+        out = out.withColumn("style", F.when(~F.col("_plain"), F.col("style")))
+    if levels is not None:
+        number = F.coalesce("num_id", "_s_num_id") if "num_id" in linked else F.col("num_id")
+        level = F.when(F.col("num_id").isNotNull(), F.coalesce("ilvl", F.lit(0))).otherwise(F.coalesce("_s_ilvl", F.lit(0))) if "ilvl" in linked else F.coalesce("ilvl", F.lit(0))
+        out = out.withColumns({"_number": F.when(number != "0", number), "_level": level})
+        of_list = levels.select("doc_id", F.col("num_id").alias("_number"), F.col("ilvl").alias("_level"), *[F.col(p).alias(f"_l_{p}") for p in properties if p in levels.columns])
+        out = out.join(of_list.hint("merge"), ["doc_id", "_number", "_level"], "left")
+        values = {p: F.coalesce(f"_l_{p}", c) if p in levels.columns else c for p, c in values.items()}
+    if defaults is not None:
+        own = [p for p in properties if p in defaults.columns]
+        out = out.join(defaults.select("doc_id", *[F.col(p).alias(f"_d_{p}") for p in own]).hint("merge"), "doc_id", "left")
+        values = {p: F.coalesce(c, F.col(f"_d_{p}")) if p in own else c for p, c in values.items()}
+    return out.withColumns({p: F.coalesce(p, c) for p, c in values.items()}).select(*[c for c in rows.columns if c != "_plain"])
 
 
 def list_field_lines(p: DataFrame, is_label: Column, is_stop: Column) -> DataFrame:

@@ -111,6 +111,47 @@ def nearest_candidates(names: DataFrame, labels: DataFrame, keys: list[str]) ->
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def ordered_columns(names: Column, labels: Column) -> Column:
+    """For each name the column (from 0) of its label, so that names keep their order and distances sum up to the least.
+
+    names and labels: centres (array<double>) of one block from left to right. A dynamic program over both: for each
+    name and column the cheapest way to set the names so far at or before that column; of equal ways the one with the
+    earlier columns. Null where there are more names than labels or a centre is null.
+    """
+    way = "struct<cost:double,picks:array<int>>"
+    begin = F.transform(labels, lambda _: F.struct(F.lit(0.0).alias("cost"), F.array().cast("array<int>").alias("picks")).cast(way))
+
+    def place(ways: Column, name: Column) -> Column:
+        """ways[c]: the cheapest way with the names before at columns before c + 1 (null if there is none)."""
+
+        def column(acc: Column, c: Column) -> Column:
+            # the names before end left of c: the way of c - 1; for the first name nothing stands before
+            before = F.when(F.size(F.get(ways, 0).picks) == 0, F.get(ways, 0)).otherwise(F.when(c > 0, F.get(ways, c - 1)))
+            here = F.when(before.isNotNull(), F.struct((before.cost + F.abs(F.get(labels, c) - name)).alias("cost"), F.concat(before.picks, F.array(c)).alias("picks")).cast(way))
+            left = F.when(c > 0, F.get(acc, c - 1))
+            return F.concat(acc, F.array(F.when(left.isNull() | (here.cost < left.cost), here).otherwise(left)))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(labels) - 1), F.array().cast(f"array<{way}>"), column)
+
+    fits = (F.size(names) <= F.size(labels)) & (F.size(names) > 0) & ~F.exists(names, lambda x: x.isNull()) & ~F.exists(labels, lambda x: x.isNull())
+    return F.when(fits, F.element_at(F.aggregate(names, begin, place), -1).picks)
+
+
+def ordered_candidates(names: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """Each name of a block with its label under `ordered_columns`: keys, name_id, label_id, distance.
+
+    names: keys, name_id, name_at; labels: keys, label_id, label_at. Both are taken from left to right (then by id).
+    Blocks with more names than labels give nothing. A block is the few names and labels at a paper's end.
+    """
+    side = lambda df, at, one: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(at).cast("double").alias("at"), F.col(one).alias("id")))).alias(f"_{one}"))
+    both = side(names, "name_at", "name_id").join(side(labels, "label_at", "label_id").hint("merge"), keys)
+    centres = lambda c: F.transform(c, lambda x: x.at)
+    both = both.withColumn("_to", ordered_columns(centres(F.col("_name_id")), centres(F.col("_label_id")))).where("_to is not null")
+    rows = both.select(*keys, "_name_id", "_label_id", F.posexplode_outer("_to").alias("_i", "_c")).where("_c is not null")
+    n, m = F.get("_name_id", F.col("_i")), F.get("_label_id", F.col("_c"))
+    return rows.select(*keys, n["id"].alias("name_id"), m["id"].alias("label_id"), F.abs(n["at"] - m["at"]).alias("distance"))
+
+
 def sort_key(value: Column, language: str, phrases: dict[str, str] | None = None, chars: dict[str, str] | None = None) -> Column:
     """Array to order names by: lower case, or for zh the reading of each longest listed phrase or character.
 

@@ -10,6 +10,7 @@ from quirelake.functions import text as T
 from quirelake.operators import damage as D
 from quirelake.operators import layout as L
 from quirelake.operators import lines as Z
+from quirelake.operators import names as M
 from quirelake.operators import planning as P
 from quirelake.plans.registry import query
 from quirelake.plans.suites import LINES, lines, table
@@ -170,3 +171,53 @@ def verb_coverage_union(spark, sf_dir):
     yes = F.lit(True)
     runs = p.select("doc_id", "para_idx", F.explode(F.array(run(F.lit(0), size / 3, yes), run(size / 3, size / 3, yes), run(size / 4, size / 8, yes), run(F.floor(size / 2) + 1 + k % 2, size, (F.col("doc_id") + k) % 4 != 0))).alias("r")).select("doc_id", "para_idx", "r.*")
     return L.verb_coverage(spans, runs, F.col("b"))
+
+
+# --- chains and blocks
+
+
+@query("""WITH RECURSIVE s AS (SELECT p_partkey // 100 AS doc_id, p_partkey AS style, CASE WHEN p_partkey % 100 = 0 THEN CASE WHEN p_partkey % 300 = 0 THEN p_partkey + 7 END ELSE p_partkey - 1 END AS based_on, CASE WHEN p_size % 7 = 0 THEN p_size END AS size, CASE WHEN p_size % 11 = 0 THEN p_brand END AS font FROM part),
+ w AS (SELECT doc_id, style, based_on, size, font, 0 AS depth FROM s UNION ALL SELECT w.doc_id, w.style, s.based_on, coalesce(w.size, s.size), coalesce(w.font, s.font), depth + 1 FROM w JOIN s ON s.doc_id = w.doc_id AND s.style = w.based_on WHERE depth < 120) SELECT doc_id, style, size, font FROM w QUALIFY row_number() OVER (PARTITION BY doc_id, style ORDER BY depth DESC) = 1""")
+def style_chains(spark, sf_dir):
+    """Chains of a hundred styles; in every third document the first style is based on the eighth, a cycle."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    base = F.when(k % 100 != 0, k - 1).when(k % 300 == 0, k + 7)
+    styles = table(spark, sf_dir, "part").select(F.floor(k / 100).alias("doc_id"), k.alias("style"), base.alias("based_on"), F.when(size % 7 == 0, size).alias("size"), F.when(size % 11 == 0, F.col("p_brand")).alias("font"))
+    return L.resolve_styles(styles, ["size", "font"])
+
+
+@query("""WITH RECURSIVE s AS (SELECT p_partkey // 100 AS doc_id, p_partkey AS style, CASE WHEN p_partkey % 10 <> 0 THEN p_partkey - 1 END AS based_on, CASE WHEN p_size % 5 = 0 THEN p_size END AS size, CASE WHEN p_partkey % 10 IN (0, 7) THEN CASE WHEN p_size % 9 = 0 THEN '0' ELSE (p_size % 4)::VARCHAR END END AS num_id, CASE WHEN p_partkey % 10 IN (0, 7) AND p_size % 2 = 0 THEN 1 END AS ilvl FROM part),
+ w AS (SELECT *, 0 AS depth FROM s UNION ALL SELECT w.doc_id, w.style, s.based_on, coalesce(w.size, s.size), coalesce(w.num_id, s.num_id), coalesce(w.ilvl, s.ilvl), depth + 1 FROM w JOIN s ON s.doc_id = w.doc_id AND s.style = w.based_on), r AS (SELECT * FROM w WHERE based_on IS NULL),
+ d AS (SELECT n AS doc_id, CASE WHEN n % 2 = 0 THEN 99 END AS size FROM generate_series(0, 100000) g(n)),
+ l AS (SELECT n AS doc_id, num, lv, CASE WHEN (n + num + lv) % 3 <> 0 THEN 1000 + n % 50 + 10 * num + lv END AS size FROM generate_series(0, 100000) a(n), generate_series(1, 3) b(num), generate_series(0, 1) c(lv)),
+ p AS (SELECT l_orderkey, l_linenumber, l_partkey // 100 AS doc_id, CASE WHEN l_suppkey % 5 <> 0 THEN l_partkey END AS own_style, CASE WHEN l_suppkey % 5 <> 0 THEN l_partkey ELSE l_partkey // 100 * 100 + 3 END AS style, CASE WHEN l_quantity > 45 THEN l_quantity::INT END AS own, CASE l_returnflag WHEN 'A' THEN (l_suppkey % 4)::VARCHAR END AS own_num FROM lineitem),
+ j AS (SELECT p.*, r.size AS s_size, coalesce(own_num, r.num_id) AS num, CASE WHEN own_num IS NOT NULL THEN 0 ELSE coalesce(r.ilvl, 0) END AS lv FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.style = p.style)
+ SELECT j.doc_id, own_style AS style, coalesce(own, l.size, CASE WHEN own_style IS NOT NULL THEN s_size END, d.size) AS size, count(*) AS n FROM j LEFT JOIN l ON l.doc_id = j.doc_id AND l.num::VARCHAR = j.num AND l.lv = j.lv LEFT JOIN d ON d.doc_id = j.doc_id GROUP BY ALL""")
+def effective_sizes(spark, sf_dir):
+    """Lines of orders as paragraphs: own size, list level (their own list, or that of their style), style, default.
+    Those without a style have a default style, which passes on its list but no size."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    styles = table(spark, sf_dir, "part").select(
+        F.floor(k / 100).alias("doc_id"), k.alias("style"), F.when(k % 10 != 0, k - 1).alias("based_on"), F.when(size % 5 == 0, size).alias("size"),
+        F.when((k % 10).isin(0, 7), F.when(size % 9 == 0, "0").otherwise((size % 4).cast("string"))).alias("num_id"), F.when((k % 10).isin(0, 7) & (size % 2 == 0), 1).alias("ilvl"),
+    )
+    li, s = table(spark, sf_dir, "lineitem"), F.col("l_suppkey")
+    p = li.select(F.floor(F.col("l_partkey") / 100).alias("doc_id"), F.when(s % 5 != 0, F.col("l_partkey")).alias("style"), F.when(F.col("l_quantity") > 45, F.col("l_quantity").cast("int")).alias("size"), F.when(F.col("l_returnflag") == "A", (s % 4).cast("string")).alias("num_id"), F.lit(None).cast("int").alias("ilvl"))
+    docs = styles.select("doc_id").distinct()
+    one = docs.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("num")).select("doc_id", "num", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("ilvl"))
+    levels = one.select("doc_id", F.col("num").cast("string").alias("num_id"), "ilvl", F.when((F.col("doc_id") + F.col("num") + F.col("ilvl")) % 3 != 0, 1000 + F.col("doc_id") % 50 + 10 * F.col("num") + F.col("ilvl")).cast("int").alias("size"))
+    out = L.effective_properties(p, L.resolve_styles(styles, ["size", "num_id", "ilvl"]), ["size"], levels, docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 99).alias("size")), docs.select("doc_id", (F.col("doc_id") * 100 + 3).alias("style")), [])
+    return out.groupBy("doc_id", "style", "size").agg(F.count("*").alias("n"))
+
+
+@query("""WITH RECURSIVE n AS (SELECT l_orderkey, l_partkey AS id, floor(l_extendedprice) AS at, row_number() OVER (PARTITION BY l_orderkey ORDER BY floor(l_extendedprice), l_partkey) AS k FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT l_orderkey, l_suppkey AS id, floor(l_extendedprice * 0.9) AS at, row_number() OVER (PARTITION BY l_orderkey ORDER BY floor(l_extendedprice * 0.9), l_suppkey) - 1 AS c FROM lineitem WHERE l_returnflag <> 'R'),
+ z AS (SELECT l_orderkey, count(*) AS k FROM n GROUP BY 1 HAVING count(*) <= (SELECT count(*) FROM b WHERE b.l_orderkey = n.l_orderkey)),
+ w AS (SELECT l_orderkey, 0 AS k, -1::BIGINT AS c, 0.0::DOUBLE AS cost, []::BIGINT[] AS picks FROM z UNION ALL SELECT w.l_orderkey, w.k + 1, b.c, w.cost + abs(n.at - b.at), list_append(w.picks, b.c) FROM w JOIN n ON n.l_orderkey = w.l_orderkey AND n.k = w.k + 1 JOIN b ON b.l_orderkey = w.l_orderkey AND b.c > w.c),
+ m AS (SELECT w.* FROM w JOIN z ON z.l_orderkey = w.l_orderkey AND z.k = w.k QUALIFY row_number() OVER (PARTITION BY w.l_orderkey ORDER BY cost, picks) = 1)
+ SELECT m.l_orderkey, n.id AS name_id, b.id AS label_id, abs(n.at - b.at)::DOUBLE AS distance FROM m JOIN n ON n.l_orderkey = m.l_orderkey JOIN b ON b.l_orderkey = m.l_orderkey AND b.c = m.picks[n.k]""")
+def labels_in_order(spark, sf_dir):
+    """Names under labels with the least sum of distances that keeps their order."""
+    li = table(spark, sf_dir, "lineitem")
+    names = li.where("l_returnflag = 'R'").select("l_orderkey", F.col("l_partkey").alias("name_id"), F.floor("l_extendedprice").alias("name_at"))
+    labels = li.where("l_returnflag <> 'R'").select("l_orderkey", F.col("l_suppkey").alias("label_id"), F.floor(F.col("l_extendedprice") * 0.9).alias("label_at"))
+    return M.ordered_candidates(names, labels, ["l_orderkey"])

@@ -472,6 +472,55 @@ def safe_packages(spark, sf_dir):
     return K.safe_to_render(K.package_entries(docs), K.read_relationships(docs))
 
 
+def mixed_packages(spark, sf_dir) -> DataFrame:
+    """Documents as packages of which some are broken: a part that is no XML, no package at all, a part cut off, a
+    declared document type, no main part. Texts that no package can hold become malformed parts as they are."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = []
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                good = _package((x or "").replace("\r\n", "\n").replace("\r", "\n").split("\n"), False)
+                broken = {0: _document(f"<d><p>{escape(x or '')}</d>"), 1: b"no package", 2: good[: len(good) // 2], 3: _document("<!DOCTYPE x><x/>"), 4: _document(None)}.get(i % 10 if i % 30 < 10 else 9)
+                content.append(good if broken is None else broken)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(content, pa.binary())], ["doc_id", "content"])
+
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null")
+    return docs.select("doc_id", "text").mapInArrow(made, "doc_id string, content binary")
+
+
+def _document(text: str | None) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("[Content_Types].xml", "<Types/>")
+        if text is not None:
+            z.writestr("word/document.xml", text)
+    return out.getvalue()
+
+
+#: Kinds of broken packages in SQL; control characters make a part malformed too.
+PROBLEM = """CASE WHEN doc_id % 30 < 5 THEN ['malformed-xml', 'unreadable', 'unreadable', 'dtd', 'missing-part'][(doc_id % 30 + 1)::INT] WHEN regexp_matches(coalesce(text, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{FFFE}\\x{FFFF}]') THEN 'malformed-xml' END"""
+
+
+@query(f"""SELECT doc_id::VARCHAR AS doc_id, {PROBLEM} AS problem FROM documents WHERE doc_id IS NOT NULL""")
+def package_problems(spark, sf_dir):
+    """Each package with the problem it failed by, alone."""
+    docs = mixed_packages(spark, sf_dir)
+    return docs.select("doc_id").join(K.failures(K.parse_paragraphs(docs)).hint("merge"), "doc_id", "left")
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, {PROBLEM} AS problem FROM documents WHERE doc_id IS NOT NULL) SELECT doc_id::VARCHAR AS doc_id, i - 1 AS para_idx, l[i] AS text FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10)) AS l FROM d WHERE problem IS NULL), generate_series(1, len(l)) AS g(i)""")
+def package_survivors(spark, sf_dir):
+    """All paragraphs of the packages between the broken ones."""
+    return K.read_paragraphs(mixed_packages(spark, sf_dir)).select("doc_id", F.col("para_idx").cast("long").alias("para_idx"), "text")
+
+
+@query(f"""WITH d AS (SELECT doc_id::VARCHAR AS doc_id, {PROBLEM} AS problem FROM documents WHERE doc_id IS NOT NULL) SELECT doc_id, problem AS rule FROM d WHERE problem IS NOT NULL""")
+def broken_package_rules(spark, sf_dir):
+    """What the audit says of the same packages."""
+    return K.package_audit(K.package_entries(mixed_packages(spark, sf_dir))).select("doc_id", "rule")
+
+
 # --- comparisons without an SQL form: alignments; tested on small tables
 
 

@@ -62,9 +62,12 @@ def canonical_copies(spark, sf_dir):
     return A.duplicate_groups(A.document_fingerprint(table(spark, sf_dir, "documents")))
 
 
-@query(r"""SELECT doc_id, sha256(replace(lower(regexp_replace(translate(text, '（）：', '():'), '[\s\x0B\x1C-\x1F\x{0085}\p{Z}]', '', 'g')), 'ß', 'ss')) AS signature FROM documents WHERE text IS NOT NULL""")
+@query(r"""SELECT doc_id, sha256(replace(lower(regexp_replace(translate(CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN replace(text, ' ', '　') WHEN 2 THEN replace(text, ' ', chr(8195) || chr(133)) ELSE replace(text, ' ', chr(28) || '（：') END, '（）：', '():'), '[\s\x0B\x1C-\x1F\x{0085}\p{Z}]', '', 'g')), 'ß', 'ss')) AS signature FROM documents WHERE text IS NOT NULL""")
 def visible_signature(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2(T.visible_signature(F.col("text")).cast("binary"), 256).alias("signature"))
+    """Texts as they are, and with ideographic, wide, next-line and control blanks."""
+    k, text = F.col("doc_id") % 4, F.col("text")
+    other = F.when(k == 0, text).when(k == 1, F.replace(text, F.lit(" "), F.lit("\u3000"))).when(k == 2, F.replace(text, F.lit(" "), F.lit("\u2003\x85"))).otherwise(F.replace(text, F.lit(" "), F.lit("\x1c（：")))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2(T.visible_signature(other).cast("binary"), 256).alias("signature"))
 
 
 @query(rf"""WITH {LINES}, c AS (SELECT doc_id, para_idx, length(text) AS n, length(text) - length(regexp_replace(text, '[\x{{2E80}}-\x{{10FFFF}}]', '', 'g')) AS cjk, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS up, length(text) - length(regexp_replace(text, '[ ,.;:''’()-]', '', 'g')) AS light, length(text) - length(replace(text, chr(9), '')) AS tabs FROM lines) SELECT doc_id, para_idx, round(cjk * 1.0 + up * 0.7 + light * 0.3 + tabs * 2.0 + (n - cjk - up - light - tabs) * 0.5, 1)::DOUBLE AS width FROM c""")
@@ -299,9 +302,19 @@ def markers(spark, sf_dir):
     return df.select("p_partkey", "p_size", "marker", m["family"].alias("family"), m["value"].alias("value"))
 
 
-@query(r"""SELECT c_nationkey, bool_and(c_acctbal > 0) AS uniform, count(*) FILTER (WHERE c_acctbal > 0) AS marked, count(*) AS runs FROM customer GROUP BY 1""")
+@query(r"""SELECT c_nationkey % 5 * 100 + c_custkey % 60 AS doc, bool_and(c_acctbal > 0 OR c_custkey % 7 > 1) AS uniform, count(*) FILTER (WHERE c_acctbal > 0 OR c_custkey % 7 > 1) AS marked, count(*) AS runs FROM customer WHERE c_custkey % 7 <> 0 GROUP BY 1""")
 def uniform_damage(spark, sf_dir):
-    return A.uniform_damage(table(spark, sf_dir, "customer"), "c_nationkey", F.col("c_acctbal") > 0)
+    """Customers as runs; every seventh is blank and without the mark."""
+    k = F.col("c_custkey") % 7
+    runs = table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 5 * 100 + F.col("c_custkey") % 60).alias("doc"), F.when(k == 0, "\u3000 ").otherwise(F.col("c_name")).alias("text"), ((F.col("c_acctbal") > 0) | (k > 1)).alias("_mark"), k.alias("k"))
+    return A.uniform_damage(runs, "doc", F.col("_mark") & (F.col("k") != 0))
+
+
+@query(rf"""WITH {LINES}, r AS (SELECT doc_id, para_idx, text, doc_id % 6 = 0 OR para_idx % 4 = 1 AS h, doc_id % 10 = 0 OR (doc_id + para_idx) % 5 = 2 AS s FROM lines WHERE regexp_matches(text, '[^\s\x0B\x1C-\x1F\x{{0085}}\p{{Z}}]')), w AS (SELECT *, bool_and(h) OVER (PARTITION BY doc_id) AS ah, bool_and(s) OVER (PARTITION BY doc_id) AS as_ FROM r)
+ SELECT doc_id, para_idx, CASE WHEN h AND NOT ah AND s AND NOT as_ THEN 'hidden-and-struck' WHEN h AND NOT ah THEN 'hidden' ELSE 'struck' END AS note FROM w WHERE h AND NOT ah OR s AND NOT as_""")
+def mark_notes(spark, sf_dir):
+    p, k = lines(spark, sf_dir), F.col("para_idx")
+    return A.mark_notes(p, ["doc_id", "para_idx"], "doc_id", (F.col("doc_id") % 6 == 0) | (k % 4 == 1), (F.col("doc_id") % 10 == 0) | ((F.col("doc_id") + k) % 5 == 2))
 
 
 @query(r"""SELECT l_orderkey, sum((l_discount > 0.05)::INT + (l_tax > 0.04)::INT + (l_quantity > 40)::INT)::BIGINT AS noise FROM lineitem GROUP BY 1""")

@@ -26,7 +26,7 @@ W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 ENTRIES = (
     "doc_id string, entry_idx int, name string, flags int, method int, crc long, compressed long, expanded long, offset long, local_flags int, local_method int, local_crc long, local_compressed long, "
-    "local_expanded long, data_end long, crc_ok boolean, has_dtd boolean, xml_depth int, sha256 string, problem string"
+    "local_expanded long, data_end long, crc_ok boolean, has_dtd boolean, xml_depth int, xml_ok boolean, sha256 string, problem string"
 )
 PARAGRAPHS = "doc_id string, para_idx int, region string, text string, style string, jc string, num_id string, ilvl int"
 RUNS = "doc_id string, para_idx int, run_idx int, start int, len int, text string, b boolean, i boolean, u boolean, sz double, font_ascii string, font_east_asia string, font_hansi string, hidden boolean, struck boolean"
@@ -43,29 +43,64 @@ def read_package_dir(spark: SparkSession, path: str, doc_type: str, limit: int =
     return docs, files.where(F.col("length") > limit).select(F.col("path").alias("doc_id"), "source_name", "length")
 
 
+#: What a parser may raise on a broken package, and the problem it is reported as.
+PROBLEMS = (
+    (ElementTree.ParseError, "malformed-xml"),
+    (zipfile.BadZipFile, "unreadable"), (zlib.error, "unreadable"), (EOFError, "unreadable"), (struct.error, "unreadable"), (NotImplementedError, "unreadable"), (RuntimeError, "unreadable"), (OSError, "unreadable"),
+    (ValueError, "invalid-value"), (KeyError, "invalid-value"), (TypeError, "invalid-value"), (AttributeError, "invalid-value"), (RecursionError, "too-deep"),
+)
+
+
+class _Broken(Exception):
+    """A package that is not parsed any further; its text is the problem."""
+
+
 def _rows(docs: DataFrame, schema: str, parse: Callable[[str, bytes], Iterator[tuple]]) -> DataFrame:
-    """Rows of each package, one package at a time, as one may have 20 MiB."""
+    """Rows of each package, one package at a time, as one may have 20 MiB, with the column `problem`.
+
+    A package fails alone: one that can't be parsed gives a single row, with its doc_id and the problem.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    schema = f"{schema}, problem string" if "problem" not in schema else schema
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
+    def rows_of(doc_id: str, content: bytes) -> list[tuple]:
+        try:
+            return [(*x, None) if len(x) < len(kinds) else x for x in parse(doc_id, content)]
+        except _Broken as broken:
+            problem = str(broken)
+        except tuple(kind for kind, _ in PROBLEMS) as error:
+            problem = next(name for kind, name in PROBLEMS if isinstance(error, kind))
+        return [(doc_id, *[None] * (len(kinds) - 2), problem)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = list(parse(doc_id.as_py(), content.as_py() or b""))
+                rows = rows_of(doc_id.as_py(), content.as_py() or b"")
                 columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
     return docs.select("doc_id", "content").mapInArrow(run, schema)
 
 
+def failures(parsed: DataFrame) -> DataFrame:
+    """doc_id and problem of the packages that a parser gave up."""
+    return parsed.where("problem is not null").select("doc_id", "problem").distinct()
+
+
+def sound(parsed: DataFrame) -> DataFrame:
+    """The rows of the packages that were parsed."""
+    return parsed.where("problem is null").drop("problem")
+
+
 class _Refused(Exception):
     """A document type definition."""
 
 
-def _xml_facts(data: bytes) -> tuple[bool, int]:
-    """Whether an XML part declares a document type (in any encoding), and its depth. Malformed parts count up to the fault."""
+def _xml_facts(data: bytes) -> tuple[bool, int, bool]:
+    """Whether an XML part declares a document type (in any encoding), its depth up to a fault, and whether there is none."""
     depth = most = 0
 
     def opened(*_) -> None:
@@ -85,10 +120,10 @@ def _xml_facts(data: bytes) -> tuple[bool, int]:
     try:
         parser.Parse(data, True)
     except _Refused:
-        return True, most
+        return True, most, True
     except (expat.ExpatError, ValueError):
-        pass
-    return False, most
+        return False, most, False
+    return False, most, True
 
 
 def _is_xml(name: str) -> bool:
@@ -132,10 +167,10 @@ def _entries(doc_id: str, content: bytes) -> Iterator[tuple]:
                 xml = _is_xml(e.filename)
                 fair = e.file_size <= LIMITS["ratio"] * e.compress_size and total <= LIMITS["expanded"] and i < LIMITS["parts"] and not (xml and e.file_size > LIMITS["xml"])
                 data, ok, digest = _read(z, e, xml) if fair else (b"", None, None)
-                dtd, depth = _xml_facts(data) if xml and data else (False, 0)
-                yield (doc_id, i, e.filename, e.flag_bits, e.compress_type, e.CRC, e.compress_size, e.file_size, e.header_offset, *_local(content, e), ok, dtd, depth, digest, None)
+                dtd, depth, sound_ = _xml_facts(data) if xml and data else (False, 0, None if xml and not ok else not xml or not fair)
+                yield (doc_id, i, e.filename, e.flag_bits, e.compress_type, e.CRC, e.compress_size, e.file_size, e.header_offset, *_local(content, e), ok, dtd, depth, sound_, digest, None)
     except (zipfile.BadZipFile, ValueError, OSError) as problem:
-        yield (doc_id, *[None] * 18, type(problem).__name__)
+        yield (doc_id, *[None] * 19, type(problem).__name__)
 
 
 def package_entries(docs: DataFrame) -> DataFrame:
@@ -160,6 +195,7 @@ def package_audit(entries: DataFrame) -> DataFrame:
         "ratio": (F.col("compressed") > 0) & (F.col("expanded") > F.col("compressed") * LIMITS["ratio"]),
         "crc": ~F.col("crc_ok"),
         "dtd": F.col("has_dtd"),
+        "malformed-xml": ~F.col("xml_ok"),
         "depth": F.col("xml_depth") > LIMITS["depth"],
     }
     each = e.select("doc_id", "name", F.explode_outer(F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in one.items()]))).alias("rule")).where("rule is not null")
@@ -174,10 +210,18 @@ def package_audit(entries: DataFrame) -> DataFrame:
 
 
 def _part(content: bytes, name: str) -> ElementTree.Element | None:
+    """The root of an XML part, None if the package lacks it; never more than the limit is expanded."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        data = z.read(name) if name in z.namelist() else b""
-    if not data or _xml_facts(data)[0]:
-        return None
+        if name not in z.namelist():
+            return None
+        entry = z.getinfo(name)
+        if entry.file_size > LIMITS["xml"]:
+            raise _Broken("too-large")
+        data, whole, _ = _read(z, entry, True)
+    if not whole:
+        raise _Broken("unreadable")
+    if _xml_facts(data)[0]:
+        raise _Broken("dtd")
     return ElementTree.fromstring(data)
 
 
@@ -226,9 +270,10 @@ def _runs_of(p: ElementTree.Element) -> Iterator[ElementTree.Element]:
 
 def _body(content: bytes) -> Iterator[tuple[int, ElementTree.Element, str]]:
     root = _part(content, "word/document.xml")
-    if root is not None:
-        for i, (p, region) in enumerate(_walk(root, "flow")):
-            yield i, p, region
+    if root is None:
+        raise _Broken("missing-part")
+    for i, (p, region) in enumerate(_walk(root, "flow")):
+        yield i, p, region
 
 
 def _paragraphs(doc_id: str, content: bytes) -> Iterator[tuple]:
@@ -294,25 +339,30 @@ def _styles(doc_id: str, content: bytes) -> Iterator[tuple]:
         )
 
 
+def parse_paragraphs(docs: DataFrame) -> DataFrame:
+    """read_paragraphs with the column `problem`: write it once to have both the rows (sound) and the ledger (failures)."""
+    return _rows(docs, PARAGRAPHS, _paragraphs)
+
+
 def read_styles(docs: DataFrame) -> DataFrame:
     """One row per style, with what it is based on; document defaults are the style "" at the end of every chain."""
-    return _rows(docs, STYLES, _styles)
+    return sound(_rows(docs, STYLES, _styles))
 
 
 def read_paragraphs(docs: DataFrame) -> DataFrame:
-    return _rows(docs, PARAGRAPHS, _paragraphs)
+    return sound(parse_paragraphs(docs))
 
 
 def read_runs(docs: DataFrame) -> DataFrame:
-    return _rows(docs, RUNS, _runs)
+    return sound(_rows(docs, RUNS, _runs))
 
 
 def read_relationships(docs: DataFrame) -> DataFrame:
-    return _rows(docs, RELATIONSHIPS, _relationships)
+    return sound(_rows(docs, RELATIONSHIPS, _relationships))
 
 
 def read_list_levels(docs: DataFrame) -> DataFrame:
-    return _rows(docs, LEVELS, _levels)
+    return sound(_rows(docs, LEVELS, _levels))
 
 
 def read_resources(entries: DataFrame) -> DataFrame:
