@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags. Pass 1 decides blocks by link density, stop-word density and length:
 much linked text is boilerplate, long text with many stop words is main text. Some things are prose and still not the
 article (readers' comments, notices, adverts, side bars): those are told by the elements around them and count as
-boilerplate whatever their density. An article or main element decides nothing by itself; inside it the density and
+boilerplate whatever their density. Elements are told by their tag, role, and whole class and id tokens; a wrapper that
+only its name makes part of the frame is none if no prose stands outside of it. An article or main element decides nothing by itself; inside it the density and
 length that make a block main text are lower. All other blocks, most of them short, stay open. Pass 2 gives an open
 block the label of the nearest decided blocks of its own section (the article, or what is outside): if both sides agree
 theirs, else the nearer one's (at equal distance it is main text). Where a section has no decided block, an article's open blocks are main text and others
@@ -12,7 +13,8 @@ look beyond the section.
 Nulls and edge cases: a null or empty page has an empty text; page_id and url may be null; equal rows give equal
 results; other columns are ignored; a page without markup is one block; a `<` that starts no tag, or a tag that never
 ends, is text. Pages are read whole, each on its own (no shuffle), in time linear in their length; unclosed and stray
-tags are tolerated.
+tags are tolerated at any depth: an end tag closes its own element unless a block-level element stands between (and
+that, too, where it is block-level itself); a drawing, head or list of choices left open ends where the page goes on.
 """
 
 from __future__ import annotations
@@ -43,17 +45,25 @@ BLOCK = frozenset(
 )
 BOILERPLATE = frozenset("nav footer aside form menu button dialog fieldset".split())
 CONTENT = frozenset("article main".split())
-ENDS_P = BLOCK - {"html", "body", "head"}
-#: Words in class, id and role that tell what an element is for.
-BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-?bar|nav|navbar|navigation|navlist|menu\w*|breadcrumbs?|footer|foot|header|masthead|comments?|commentlist|disqus|replies|reply|respond|"
-    r"cookies?|consent|gdpr|notices?|alert|popup|pop-?up|modal|overlay|newsletter|subscribe|subscription|signup|sign-?up|login|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|copyright|legal|disclaimer|complementary|contentinfo|search)(?:$|[\s_-])",
-    re.IGNORECASE,
+ENDS_P = BLOCK - {"html", "body", "head", "option", "optgroup"}
+#: Skipped elements that end, if left open, where a block-level element other than these begins.
+LEFT_OPEN = {"head": frozenset(), "svg": frozenset({"title", "desc"}), "math": frozenset(), "select": frozenset({"option", "optgroup", "hr"})}
+#: Words in class and id that tell what an element is for: what others wrote or what interrupts, and the frame
+#: of the page. A token counts by its parts between hyphens and underscores.
+OTHERS = re.compile(r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|comments?|commentlist|disqus|replies|reply|respond|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|hidden", re.IGNORECASE)
+FRAME = re.compile(
+    r"banner|sidebar|nav|navbar|navigation|navlist|menu\w*|breadcrumbs?|footer|foot|header|masthead|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|copyright|legal|disclaimer|complementary|contentinfo|search", re.IGNORECASE
 )
+#: Pairs of parts that count as one word; first parts that say what a page has or has not; those of an article's
+#: own parts, with what they may be followed by; values of role.
+JOINED = {("pop", "up"): "popup", ("side", "bar"): "sidebar", ("sign", "up"): "signup", ("log", "in"): "login"}
+STATES = frozenset("has have no not with without is in".split())
+OWN, OWN_PARTS = frozenset("entry post article story content section".split()), frozenset("header head banner nav share social".split())
+ROLES = {"navigation": "frame", "banner": "frame", "complementary": "frame", "contentinfo": "frame", "search": "frame", "menu": "frame", "menubar": "frame", "dialog": "others", "alertdialog": "others", "alert": "others"}
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.IGNORECASE)
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 UNQUOTED = re.compile(r"[^>\"']*")
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$|/)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Blocks with fewer characters than SHORT stay open unless links decide; from LONG on fewer stop words are enough.
@@ -64,8 +74,9 @@ LINKED = 0.33
 STOP_HIGH, STOP_LOW, STOP_ARTICLE = 0.32, 0.30, 0.10
 
 GOOD, BAD, OPEN = 1, -1, 0
-#: What the elements around a block say: it is no part of the article (AWAY), inside one (WITHIN), or nothing.
-AWAY, WITHIN, PLAIN = -1, 1, 0
+#: What the elements around a block say: it is no part of the article (AWAY), is so by the name of a wrapper alone (NAMED),
+#: is inside one (WITHIN) or in one of such a wrapper (NAMED_WITHIN), or nothing.
+AWAY, NAMED, NAMED_WITHIN, WITHIN, PLAIN = -1, -2, -3, 1, 0
 SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks long, n_kept long, n_density long, n_links long, n_place long, n_inherited long"
 
 
@@ -130,29 +141,73 @@ def markup(html: str) -> Iterator[tuple[int, int, bool, str, str]]:
             at = start + 1
 
 
+def attributes_of(text: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name; of repeated ones the first counts."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
+def purpose(token: str) -> str:
+    """What a class or id token says of its element: others, frame, or nothing."""
+    parts = [x for x in re.split(r"[-_]+", token) if x]
+    if parts and parts[0].lower() in STATES:
+        return ""
+    words = list(parts)
+    for one, two in zip(parts, parts[1:], strict=False):
+        if joined := JOINED.get((one.lower(), two.lower())):
+            words.append(joined)
+    if len(parts) > 1 and parts[0].lower() in OWN:  # the head of an article is the article's
+        words = [x for x in words if x.lower() not in OWN_PARTS]
+    if any(OTHERS.fullmatch(x) for x in words):
+        return "others"
+    return "frame" if any(FRAME.fullmatch(x) for x in words) else ""
+
+
 def blocks(html: str) -> list[tuple[str, int, int]]:
     """(text, characters in links, place) of each block in page order; place: what its ancestors say."""
     found: list[tuple[str, int, int]] = []
     stack: list[tuple[str, int]] = []  # open elements and the place they give
-    depth: Counter[str] = Counter()  # open elements by tag
+    opened: dict[str, list[int]] = {}  # their places in the stack by tag
+    scopes: list[int] = []  # places of block-level and skipped elements: ends of inline elements do not reach beyond
     parts: list[str] = []
-    linked, in_link, at, skip = 0, 0, 0, ""
+    linked, at, skipping = 0, 0, 0
+    closes: dict[str, int] = {}  # the next end tag of each skipped element, -1 if there is none
+
+    def depth(tag: str) -> int:
+        return len(opened.get(tag, ()))
 
     def place() -> int:
         return stack[-1][1] if stack else PLAIN
 
-    def push(tag: str, now: int) -> None:
+    def push(tag: str, now: int, skipped: bool = False) -> None:
+        nonlocal skipping
+        opened.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK or tag in SKIP:
+            scopes.append(len(stack))
         stack.append((tag, now))
-        depth[tag] += 1
+        if skipped and not skipping:
+            skipping = len(stack)
 
     def pop() -> str:
-        nonlocal skip
+        nonlocal skipping
+        if len(stack) == skipping:
+            skipping = 0
         tag, _ = stack.pop()
-        depth[tag] -= 1
-        if tag == skip and not depth[tag]:
-            skip = ""
+        opened[tag].pop()
+        if scopes and scopes[-1] == len(stack):
+            scopes.pop()
         return tag
 
+    def ends(tag: str, start: int) -> bool:
+        """Whether an end tag of a skipped element follows."""
+        known = closes.get(tag, 0)
+        if known >= 0 and known < start:
+            m = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(html, start)
+            known = closes[tag] = m.start() if m else -1
+        return known >= 0
+
     def end_block() -> None:
         nonlocal linked
         if parts and (text := " ".join(unescape("".join(parts)).split())):
@@ -162,12 +217,12 @@ def blocks(html: str) -> list[tuple[str, int, int]]:
 
     def say(text: str) -> None:
         nonlocal linked
-        if text and not skip:
+        if text and not skipping:
             parts.append(text)
-            if in_link:
+            if depth("a"):
                 linked += len(text.strip())
 
-    for start, end, closing, tag, attributes in markup(html):
+    for start, end, closing, tag, text in markup(html):
         say(html[at:start])
         at = end
         if not tag or tag in RAW:
@@ -176,41 +231,56 @@ def blocks(html: str) -> list[tuple[str, int, int]]:
             if tag == "br":
                 say(" ")
             if tag in BLOCK:
-                end_block()
-                if tag in ENDS_P and any(t == "p" for t, _ in stack[-3:]):  # an open paragraph ends here
-                    while stack and stack[-1][0] != "p" and stack[-1][0] not in BLOCK:
+                # a head, drawing or list of choices that is left open ends where the page goes on
+                while skipping and stack[skipping - 1][0] in LEFT_OPEN and tag not in LEFT_OPEN[stack[skipping - 1][0]]:
+                    while len(stack) > skipping:
                         pop()
-                    if stack and stack[-1][0] == "p":
-                        pop()
-            if tag == "a":
-                in_link += 1
-            if tag in VOID or attributes.rstrip().endswith("/"):
+                    pop()
+                end_block()
+                if tag in ENDS_P and scopes and stack[scopes[-1]][0] == "p":  # an open paragraph ends here
+                    while pop() != "p":
+                        pass
+            if tag in VOID or text.rstrip().endswith("/") and tag not in BLOCK:
                 continue
+            if tag == "a" and depth("a") and (not scopes or opened["a"][-1] > scopes[-1]):
+                while pop() != "a":  # links don't nest
+                    pass
             now = place()
-            names = " ".join("".join(x) for x in NAMES.findall(attributes)) if attributes else ""
-            if tag in SKIP or HIDDEN.search(attributes):
-                skip = skip or tag
-                push(tag, AWAY)
+            attributes = attributes_of(text) if text else {}
+            if tag in SKIP:
+                if tag == "head" or ends(tag, end):
+                    push(tag, AWAY, True)
+                continue
+            if attributes and ("hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or INVISIBLE.search(attributes.get("style", ""))):
+                push(tag, AWAY, tag not in ("html", "body"))
                 continue
-            if tag in BOILERPLATE or names and BAD_NAME.search(names) and tag not in ("body", "html", *CONTENT):
+            if tag in BOILERPLATE:
                 now = AWAY
-            elif tag == "header" and not any(depth[t] for t in CONTENT):
+            elif attributes and now != AWAY and tag not in ("body", "html", *CONTENT):
+                says = {purpose(x) for x in f"{attributes.get('class', '')} {attributes.get('id', '')}".split()} | {ROLES.get(x.lower(), "") for x in attributes.get("role", "").split()}
+                now = AWAY if "others" in says or "frame" in says and now == WITHIN else NAMED if "frame" in says else now
+            if tag == "header" and not any(depth(t) for t in CONTENT):
                 now = AWAY
             elif tag in CONTENT and now != AWAY:
                 # readers' comments are often articles of their own inside a comment list, which is AWAY already
-                now = WITHIN
+                now = WITHIN if tag == "main" or now in (PLAIN, WITHIN) else NAMED_WITHIN
             push(tag, now)
         else:
             if tag in BLOCK:
                 end_block()
-            if tag == "a":
-                in_link = max(0, in_link - 1)
-            if depth[tag] and (tag in BLOCK or any(t == tag for t, _ in stack[-12:])):
+            if depth(tag) and (tag in BLOCK or tag in SKIP or not scopes or opened[tag][-1] > scopes[-1]):
                 while pop() != tag:
                     pass
     say(html[at:])
     end_block()
-    return found
+    return released(found)
+
+
+def released(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Blocks with NAMED and NAMED_WITHIN settled: such a wrapper is the frame of the page if there is prose outside, else
+    it holds the article."""
+    outside = any(place == WITHIN or place == PLAIN and first_pass(text, linked, place)[0] == GOOD for text, linked, place in found)
+    return [(text, linked, AWAY if outside and place in (NAMED, NAMED_WITHIN) else {NAMED: PLAIN, NAMED_WITHIN: WITHIN}.get(place, place)) for text, linked, place in found]
 
 
 def first_pass(text: str, linked: int, place: int) -> tuple[int, str]:
