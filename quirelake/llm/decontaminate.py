@@ -7,14 +7,17 @@ each hit the item is laid over the text along that diagonal and the best stretch
 1 and a substituted one -`penalty`; a document is contaminated if some stretch reaches `least`, or the whole item if
 it is shorter.
 
-The benchmark's seeds and the hits are broadcast only if their measured row counts allow it, else joined by
-sort-merge. Documents without hits are read once and never shuffled in the broadcast case.
+A verdict belongs to a text: copies of one text are one candidate, and equal items are one item. The benchmark's seeds
+and the hits are broadcast only if their measured row counts allow it, else joined by sort-merge. Documents without hits
+are read once and never shuffled in the broadcast case. What is laid beside an item is cut out of the text before it is
+joined with anything, so no row but a document's own holds all its words.
 
 The masks are such that every stretch which reaches `least` at `penalty` has a window that seeds (checked over all
 patterns of substitutions by a test). Items shorter than a mask are hashed whole, against windows of their length.
 
-Nulls and edge cases: null texts and items have no words and contaminate nothing; a null doc_id is never flagged; rows that repeat a doc_id share one verdict, contaminated if one of their
-texts is; an empty benchmark flags nothing; equal best items resolve to the smallest item_id.
+Nulls and edge cases: null texts and items have no words and contaminate nothing; every row is judged by its own text,
+so rows that repeat a doc_id or have none stay or go each on its own; items without an item_id are left out; an empty
+benchmark flags nothing; equal best items resolve to the smallest item_id; columns named like the result's are replaced.
 """
 
 from __future__ import annotations
@@ -68,35 +71,48 @@ def stretch(equal: Column, penalty: int) -> Column:
     return F.aggregate(equal, start, step, lambda a: a.best)
 
 
+#: Names a text: 128 bits of it.
+KEY = ["__text_1", "__text_2"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({KEY[0]: F.xxhash64("text"), KEY[1]: F.xxhash64(F.lit(1), "text")})
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, penalty: int = PENALTY) -> DataFrame:
-    """doc_id, item_id, overlap of each document and item that overlap enough (a written table)."""
-    items = written(benchmark.where("item_id is not null").select("item_id", words_hashed(F.col("text")).alias("_h")))
-    known = written(seeds(items, ["item_id"]).withColumnRenamed("at", "item_at"))
-    texts = docs.where("doc_id is not null").select("doc_id", words_hashed(F.col("text")).alias("_h"))
-    hits = seeds(texts, ["doc_id"]).join(sized(known), "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    """KEY, item_id, items and overlap of each text and item that overlap enough (a written table). Of equal items the
+    smallest item_id stands for all; items: how many they are."""
+    items = benchmark.where("item_id is not null").select("item_id", words_hashed(F.col("text")).alias("_h")).where(F.size("_h") > 0)
+    items = written(items.groupBy("_h").agg(F.min("item_id").alias("item_id"), F.count("*").alias("items")).withColumns({"n": F.size("_h"), "row": F.monotonically_increasing_id()}))
+    known = written(seeds(items, ["row", "n"]).withColumnRenamed("at", "item_at"))
+    texts = keyed(docs.select("text")).select(*KEY, words_hashed(F.col("text")).alias("_h"))
+    hits = seeds(texts, KEY).join(sized(known), "seed").select(*KEY, "row", "n", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     # at most as many lengths as a mask spans; one place of a whole item is enough
-    for (length,) in items.select(F.size("_h")).distinct().where(F.size("_h").between(1, len(MASKS[0]) - 1)).collect():
-        short = written(windows(items.where(F.size("_h") == length), ["item_id"], length).drop("at"))
-        places = windows(texts, ["doc_id"], length).join(sized(short), "seed").groupBy("doc_id", "item_id").agg(F.min("at").alias("shift"))
+    for (length,) in items.select("n").distinct().where(F.col("n") < len(MASKS[0])).collect():
+        short = written(windows(items.where(F.col("n") == length), ["row", "n"], length).drop("at"))
+        places = windows(texts, KEY, length).join(sized(short), "seed").groupBy(*KEY, "row", "n").agg(F.min("at").alias("shift"))
         hits = hits.unionByName(places)
     hits = written(hits)
-    candidates = written(hits.select("doc_id").distinct())
-    words = docs.where("doc_id is not null").select("doc_id", "text").join(sized(candidates), "doc_id", "left_semi").select("doc_id", words_hashed(F.col("text")).alias("_d"))
-    # hits of one document are few, as each item lies on few diagonals
-    total = items.agg(F.sum(F.size("_h"))).first()[0] or 0  # item texts are broadcast only below 16 MB
+    # the hits of one text: an item lies on few diagonals, in degenerate texts on one for each word
+    places = written(hits.groupBy(*KEY).agg(F.collect_list(F.struct("row", "n", "shift")).alias("_hits")))
+    found = keyed(docs.select("text")).join(sized(places.select(*KEY), 100_000), KEY, "left_semi")
+    one = written(found.groupBy(*KEY).agg(F.first("text").alias("text")))  # of copies one
+    at, begin = lambda x: F.greatest(x.shift, F.lit(0)), lambda x: F.greatest(-x.shift, F.lit(0))
+    cut = lambda x: F.struct(x.row.alias("row"), begin(x).alias("_from"), F.slice("_d", at(x) + 1, F.greatest(F.lit(0), F.least(F.size("_d") - at(x), x.n - begin(x)))).alias("_part"))
+    laid = one.select(*KEY, words_hashed(F.col("text")).alias("_d")).join(places.hint("merge"), KEY)
+    laid = laid.select(*KEY, F.explode_outer(F.transform("_hits", cut)).alias("_x")).where("_x is not null").select(*KEY, "_x.*")
+    total = items.agg(F.sum("n")).first()[0] or 0  # item texts are broadcast only below 16 MB
     whole = F.broadcast(items) if total <= 2_000_000 else items.hint("merge")
-    laid = written(words).join(hits.hint("merge"), "doc_id").join(whole.withColumnRenamed("_h", "_w"), "item_id")
-    over = laid.withColumn("_at", F.greatest("shift", F.lit(0))).withColumn("_from", F.greatest(-F.col("shift"), F.lit(0)))
-    over = over.withColumn("_n", F.least(F.size("_d") - F.col("_at"), F.size("_w") - F.col("_from"))).where("_n > 0")
-    equal = F.zip_with(F.slice("_d", F.col("_at") + 1, F.col("_n")), F.slice("_w", F.col("_from") + 1, F.col("_n")), lambda x, y: x == y)
-    scored = over.select("doc_id", "item_id", F.size("_w").alias("item_words"), stretch(equal, penalty).alias("overlap"))
-    return written(scored.where(F.col("overlap") >= F.least(F.lit(least), F.col("item_words"))).groupBy("doc_id", "item_id").agg(F.max("overlap").cast("long").alias("overlap")))
+    over = laid.join(whole.select("row", "item_id", "items", "n", F.col("_h").alias("_w")), "row")
+    equal = F.zip_with("_part", F.slice("_w", F.col("_from") + 1, F.size("_part")), lambda x, y: x == y)
+    scored = over.where(F.size("_part") > 0).select(*KEY, "row", "item_id", "items", "n", stretch(equal, penalty).alias("overlap"))
+    return written(scored.where(F.col("overlap") >= F.least(F.lit(least), F.col("n"))).groupBy(*KEY, "row", "item_id", "items").agg(F.max("overlap").cast("long").alias("overlap")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, penalty: int = PENALTY) -> DataFrame:
     """docs with kept (false if contaminated), item_id and overlap of the best item, and n_items."""
     found = contaminated(docs, benchmark, least, penalty)
     best = F.max(F.struct("overlap", (-F.col("item_id")).alias("minus")))
-    flagged = written(found.groupBy("doc_id").agg(best.alias("best"), F.count("*").alias("n_items")).select("doc_id", (-F.col("best.minus")).alias("item_id"), F.col("best.overlap").alias("overlap"), "n_items"))
-    clean = docs.drop("item_id", "overlap", "n_items", "kept")
-    return clean.join(sized(flagged), "doc_id", "left").withColumn("kept", F.col("n_items").isNull())
+    flagged = found.groupBy(*KEY).agg(best.alias("best"), F.sum("items").alias("n_items")).select(*KEY, (-F.col("best.minus")).alias("item_id"), F.col("best.overlap").alias("overlap"), "n_items")
+    clean = keyed(docs.drop("item_id", "overlap", "n_items", "kept", *KEY))
+    return clean.join(sized(written(flagged)), KEY, "left").drop(*KEY).withColumn("kept", F.col("n_items").isNull())

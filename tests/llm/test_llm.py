@@ -126,7 +126,7 @@ def test_decontamination(spark, docs, empty):
     rows = [(1, f"See {item} here"), (2, "x " + " ".join(changed) + " y"), (3, " ".join(words[:8])), (4, None), (5, " ".join(reversed(words))), (None, item), (6, f"{item.upper()}!")]
     bench = spark.createDataFrame([(7, item), (8, "too short"), (9, None), (None, item)], "item_id long, text string")
     out = {r.doc_id: r for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
-    assert {d: r.kept for d, r in out.items()} == {1: False, 2: False, 3: True, 4: True, 5: True, None: True, 6: False}
+    assert {d: r.kept for d, r in out.items()} == {1: False, 2: False, 3: True, 4: True, 5: True, None: False, 6: False}
     assert out[1].overlap == 17 and out[1].item_id == 7 and out[2].overlap == 17 - 2 - 4
     assert decontaminate.decontaminate(docs, bench).count() == docs.count() and decontaminate.decontaminate(empty, bench).count() == 0
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("not kept").count() == 0
