@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 #: A side with at most this many narrow rows may be broadcast; beyond it joins are sort-merge joins.
 BROADCAST_ROWS = 500_000
 
-#: Settings under which tables are written: a query's shuffle files go when it ends, and Python workers get few rows at a
-#: time, as a row may be a long text or a large set.
-WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: Settings under which tables are written: a query's shuffle files go when it ends, and Python workers get few rows and
+#: bytes at a time, as a row may be a long text or a large set.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes.translate table that lower-cases A-Z and leaves every other byte alone.

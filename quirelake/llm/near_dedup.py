@@ -164,6 +164,8 @@ def screened(pairs: DataFrame, reps: DataFrame, threshold: tuple[int, int]) -> D
     return both.select("a", "b", "n_a", "s_a", "n_b", "s_b").mapInArrow(run, "a long, b long")
 
 
+#: Elements before each of a prefix that its row holds, so that pairs are not made again at each element they share.
+BEFORE = 8
 #: Slots of the element counts that order the prefixes: a fixed number, whatever the corpus.
 SLOTS = 2**20
 
@@ -213,23 +215,28 @@ def across_components(members: DataFrame, reps: DataFrame, docs: DataFrame, thre
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, parts, places, sizes = [], [np.empty(0, np.uint64)], [], []
+            ids, parts, places, sizes, before = [], [np.empty(0, np.uint64)], [], [], [np.empty(0, np.int64)]
             for doc_id, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 x = np.frombuffer(cell.as_py(), np.uint64)
                 n = x.size - -(-least * x.size // whole) + 1
                 first = x[np.lexsort((x, shared.value[(x % np.uint64(SLOTS)).astype(np.int64)]))[:n]]
                 ids.append(np.full(first.size, doc_id))
                 parts.append(first)
+                back = np.arange(first.size)[:, None] - np.arange(1, BEFORE + 1)[None, :]
+                before.append(first.view(np.int64)[back[back >= 0]])
                 places.append(np.arange(first.size))
                 sizes.append(np.full(first.size, x.size))
             columns = [np.concatenate([np.empty(0, np.int64), *c]) for c in (ids, places, sizes)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(np.concatenate(parts).view(np.int64)), pa.array(columns[1]), pa.array(columns[2])], ["id", "element", "place", "size"])
-
-    first = written(sets.mapInArrow(prefixes, "id long, element long, place long, size long").join(members.hint("merge"), "id"))
-    outside = written(first.where("outsider").select("element", F.col("id").alias("o"), F.col("component").alias("o_component"), F.col("place").alias("o_place"), F.col("size").alias("o_size")))
-    # behind the first element that both share, no more than the shorter remainder can be shared
+            ends = np.concatenate([[0], np.cumsum(np.minimum(columns[1], BEFORE))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(before)))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(np.concatenate(parts).view(np.int64)), pa.array(columns[1]), pa.array(columns[2]), lists], ["id", "element", "place", "size", "before"])
+
+    first = written(sets.mapInArrow(prefixes, "id long, element long, place long, size long, before array<long>").join(members.hint("merge"), "id"))
+    outside = written(first.where("outsider").select("element", F.col("id").alias("o"), F.col("component").alias("o_component"), F.col("place").alias("o_place"), F.col("size").alias("o_size"), F.col("before").alias("o_before")))
+    # behind the first element that both share, no more than the shorter remainder can be shared; a pair is needed once, at
+    # that element, so it is left out where both share one of the few elements just before
     enough = f"{whole + least} * least(size - place, o_size - o_place) >= {least} * (size + o_size)"
-    pairs = first.join(outside.hint("merge"), "element").where(f"component <> o_component and (not outsider or id < o) and {enough}")
+    pairs = first.join(outside.hint("merge"), "element").where(f"component <> o_component and (not outsider or id < o) and {enough} and not arrays_overlap(before, o_before)")
     return written(pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct())
 
 

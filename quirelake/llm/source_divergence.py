@@ -148,7 +148,9 @@ def audit(docs: DataFrame) -> DataFrame:
     counts = written(term_counts(docs))
     terms = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("n_docs").alias("n_docs")).where(F.col("n_docs") >= AT_LEAST)
     kept = written(chunked(written(terms.select("lang", "term", "total"))))
-    rows = written(counts.where("term is not null").select("lang", "source", "term", "n").join(sized(kept), ["lang", "term"]))
+    length = kept.agg(F.sum(F.octet_length("term"))).first()[0] or 0  # terms may be long, so their bytes are counted, too
+    known = sized(kept) if length <= 16 * 2**20 else kept.hint("merge")
+    rows = written(counts.where("term is not null").select("lang", "source", "term", "n").join(known, ["lang", "term"]))
 
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_n"))
     own = rows.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
