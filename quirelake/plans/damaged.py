@@ -12,6 +12,8 @@ from quirelake.operators import layout as L
 from quirelake.operators import lines as Z
 from quirelake.operators import names as M
 from quirelake.operators import planning as P
+from quirelake.operators import recognition as R
+from quirelake.plans.papers import VOCABULARY
 from quirelake.plans.registry import query
 from quirelake.plans.suites import LINES, lines, table
 
@@ -221,3 +223,32 @@ def labels_in_order(spark, sf_dir):
     names = li.where("l_returnflag = 'R'").select("l_orderkey", F.col("l_partkey").alias("name_id"), F.floor("l_extendedprice").alias("name_at"))
     labels = li.where("l_returnflag <> 'R'").select("l_orderkey", F.col("l_suppkey").alias("label_id"), F.floor(F.col("l_extendedprice") * 0.9).alias("label_at"))
     return M.ordered_candidates(names, labels, ["l_orderkey"])
+
+
+# --- all document types
+
+TYPES = ("position-paper", "working-paper", "draft-directive", "draft-resolution", "friendly-amendment", "unfriendly-amendment", "diplomatic-agreement", "joint-statement")
+TITLES = ("Position Paper", "Working Paper", "Draft Directive", "Draft Resolution", "Friendly Amendment", "Unfriendly Amendment", "Agreement", "Joint Statement")
+KINDS = """t AS (SELECT c_custkey AS doc_id, c_name, c_custkey % 3 = 0 AS subject, c_custkey % 4 = 0 AS verb, c_custkey % 5 = 0 AS numbered, (c_custkey // 60) % 8 AS type FROM customer),
+ l AS (SELECT doc_id, type, subject, numbered, 3 AS para_idx, 'pre' AS says FROM t UNION ALL SELECT doc_id, type, subject, numbered, 4, CASE WHEN subject THEN 'head' ELSE 'none' END FROM t UNION ALL SELECT doc_id, type, subject, numbered, 5, CASE WHEN verb THEN 'op' ELSE 'none' END FROM t UNION ALL SELECT doc_id, type, subject, numbered, 6, CASE WHEN numbered THEN 'op' ELSE 'none' END FROM t),
+ k AS (SELECT doc_id, type, para_idx, CASE WHEN says = 'head' THEN 'heading' WHEN type = 3 AND numbered THEN CASE WHEN para_idx < 6 THEN 'preambulatory' ELSE 'operative' END WHEN says = 'pre' THEN 'preambulatory' WHEN says = 'op' THEN 'operative' WHEN type IN (2, 4, 5) THEN 'operative' WHEN type = 3 AND subject AND para_idx > 4 THEN 'unknown' ELSE 'body' END AS kind,
+  CASE WHEN says = 'head' THEN 1.0 WHEN type = 3 AND numbered THEN 0.98 WHEN says IN ('pre', 'op') THEN 0.94 WHEN type IN (1, 2, 4, 5) THEN 0.72 WHEN type = 3 AND subject AND para_idx > 4 THEN 0.35 ELSE 0.8 END::DOUBLE AS confidence FROM l)"""
+
+
+@query(f"""WITH {KINDS} SELECT ['{"', '".join(TYPES)}'][(type + 1)::INT] AS doc_type, doc_id, para_idx, kind, confidence FROM k""")
+def classify_types(spark, sf_dir):
+    """Customers as papers of all eight types, with and without subject lines, verbs and numbers."""
+    c, k, name = table(spark, sf_dir, "customer"), F.col("c_custkey"), F.col("c_name")
+    type_ = F.floor(k / 60) % 8
+    out = None
+    for number, (document_type, title) in enumerate(zip(TYPES, TITLES, strict=True)):
+        head = [F.lit(title), F.concat(F.lit("Committee: "), "c_mktsegment", F.lit(" Council")), F.concat(F.lit("Topic: Plan "), F.col("c_nationkey").cast("string"))]
+        plain = F.lit("some words about it which nobody has to read.")
+        body = [
+            F.concat(F.lit("Noting that customer "), name, F.lit(" asks for more help.")), F.when(k % 3 == 0, "The General Assembly,").otherwise(plain),
+            F.when(k % 4 == 0, F.concat(F.lit("Requests that customer "), name, F.lit(" gets what it wants."))).otherwise(plain), F.when(k % 5 == 0, F.concat(F.lit("1. Urges customer "), name, F.lit(" to wait."))).otherwise(plain),
+        ]
+        p = c.where(type_ == number).select(k.alias("doc_id"), F.posexplode(F.array(*head, *body)).alias("para_idx", "text"))
+        rows = R.clauses(R.header(p, document_type, VOCABULARY), document_type, VOCABULARY).where("para_idx > 2").select(F.lit(document_type).alias("doc_type"), "doc_id", "para_idx", "kind", "confidence")
+        out = rows if out is None else out.unionByName(rows)
+    return out
