@@ -79,6 +79,16 @@ def path_audit(files: DataFrame, path: str = "path") -> DataFrame:
     return files.withColumn("finding", finding).where("finding is not null").select(path, "finding")
 
 
+def binaries_to_review(files: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """Paths that a person must look at, as no text scan can: files that are not UTF-8, and parts of packages other than
+    XML (as package!part). files: path, content (binary). entries: package_entries, with the package's path as doc_id."""
+    plain = files.where(~F.col("path").endswith(".docx") & ~F.is_valid_utf8("content")).select("path")
+    if entries is None:
+        return plain
+    parts = entries.where(F.col("problem").isNull() & ~F.col("name").rlike(r"\.(xml|rels)$") & ~F.col("name").endswith("/"))
+    return plain.union(parts.select(F.concat_ws("!", "doc_id", "name")))
+
+
 def link_targets(pages: DataFrame) -> DataFrame:
     """page_id and target of each href, without query and fragment."""
     found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
@@ -131,11 +141,21 @@ def noise_count(rows: DataFrame, keys: list[str], noisy: list[Column]) -> DataFr
     return rows.groupBy(*keys).agg(F.sum(total).cast("long").alias("noise"))
 
 
-def prefix_join(rows: DataFrame, vocabulary: DataFrame, text: str, phrase: str, keys: list[str]) -> DataFrame:
-    """The longest phrase that each text starts with, by a sort-merge join on the first word."""
-    words = vocabulary.select(phrase).distinct().withColumn("_w", F.split(phrase, " ")[0])
-    both = rows.withColumn("_w", F.split(text, " ")[0]).join(words.hint("merge"), "_w").where(F.col(text).startswith(F.col(phrase)))
-    return both.groupBy(*keys).agg(F.max_by(phrase, F.length(phrase)).alias("phrase"))
+def prefix_join(rows: DataFrame, vocabulary: DataFrame, text: str, phrase: str, keys: list[str], words: bool = True) -> DataFrame:
+    """The longest phrase that each text starts with: keys and phrase.
+
+    Each text gives its prefixes of the lengths that phrases have, and these are joined as wholes, so a text meets one
+    phrase of each length at most, however many share a first word. words: a phrase must end where a word does.
+    """
+    known = vocabulary.select(F.col(phrase).alias("_p")).where(F.length("_p") > 0).distinct()
+    lengths = [r[0] for r in known.select(F.length("_p")).distinct().collect()]  # at most as many as the longest phrase has characters
+    if not lengths:
+        return rows.select(*keys, F.lit(None).cast("string").alias("phrase")).limit(0)
+    ends = lambda n: F.length(text) >= n if not words else (F.length(text) == n) | ((F.length(text) > n) & F.substr(text, n + 1, F.lit(1)).rlike(r"[^\p{L}\p{N}_]"))
+    own = F.filter(F.array(*map(F.lit, sorted(lengths))), ends)
+    prefixes = F.transform(own, lambda n: F.substr(text, F.lit(1), n))
+    cut = rows.select(*keys, F.explode_outer(prefixes).alias("_p")).where("_p is not null")
+    return cut.join(known.hint("merge"), "_p").groupBy(*keys).agg(F.max_by("_p", F.length("_p")).alias("phrase"))
 
 
 def union_findings(*tables: DataFrame) -> DataFrame:

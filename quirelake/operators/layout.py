@@ -154,6 +154,43 @@ def geometry_audit(p: DataFrame, spec: DataFrame, tolerance: int = 10) -> DataFr
     return j.select("doc_id", "para_idx", F.explode_outer(found).alias("code")).where("code is not null")
 
 
+def marker_audit(levels: DataFrame, size: float, font: str) -> DataFrame:
+    """Findings (doc_id, num_id, ilvl, code) of list markers that don't look like the text: marker-size, and, bullets
+    aside, marker-font and marker-emphasis. levels: doc_id, num_id, ilvl, fmt, sz, font, b, i, u (null: not set)."""
+    other = ~F.coalesce(F.col("fmt") == "bullet", F.lit(False))
+    on = lambda c: F.coalesce(F.col(c), F.lit(False))
+    wrong = {"marker-size": ~F.coalesce(F.col("sz") == size, F.lit(False)), "marker-font": other & ~F.coalesce(F.col("font") == font, F.lit(False)), "marker-emphasis": other & (on("b") | on("i") | on("u"))}
+    found = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in wrong.items()]))
+    return levels.select("doc_id", "num_id", "ilvl", F.explode_outer(found).alias("code")).where("code is not null")
+
+
+def section_marker_audit(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Documents whose section markers, in order, are not those of the source; a missing first marker may be restored.
+    Both: doc_id, para_idx, text. Result: doc_id, before, after (markers joined)."""
+    marker = F.regexp_extract("text", r"^\s*(（[一二三四五六七八九十]+）)", 1)
+    listed = lambda df, name: df.select("doc_id", "para_idx", marker.alias("m")).where("m <> ''").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_idx", "m"))), lambda x: x.m), "").alias(name))
+    j = listed(before, "before").join(listed(after, "after").hint("merge"), "doc_id", "full_outer").select("doc_id", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"))
+    restored = F.col("before").startswith("（二）") & (F.col("after") == F.concat(F.lit("（一）"), "before"))
+    return j.where((F.col("before") != F.col("after")) & ~restored)
+
+
+def paragraph_audit(p: DataFrame, pitch: dict[str, float], limit: float, tables: DataFrame | None = None, tolerance: float = 0.05) -> DataFrame:
+    """Findings (doc_id, para_idx, code) over paragraphs' direct layout: page-break, pitch, indent-limit, and table-in-signature
+    (para_idx null) for documents with a table where lines are signed.
+
+    p: doc_id, para_idx, role, page_break_before, line (points; null or multiple: not set), left (points). pitch: role ->
+    points, '' for all others. Headings (role part) are free. tables: doc_id of documents that hold tables.
+    """
+    expected = F.coalesce(*[F.when(F.col("role") == r, F.lit(v)) for r, v in pitch.items() if r], F.lit(pitch.get("")))
+    wrong = {"page-break": F.coalesce(F.col("page_break_before"), F.lit(False)), "pitch": F.coalesce(F.abs(F.col("line") - expected) > tolerance, F.lit(True)), "indent-limit": F.coalesce(F.abs(F.col("left")) > limit, F.lit(False))}
+    found = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in wrong.items()]))
+    rows = p.where("role <> 'part'").select("doc_id", "para_idx", F.explode_outer(found).alias("code")).where("code is not null")
+    if tables is None:
+        return rows
+    signed = p.where(F.col("role").isin("sponsors", "signatories")).select("doc_id").distinct()
+    return rows.union(signed.join(tables.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select("doc_id", F.lit(None).cast(dict(p.dtypes)["para_idx"]), F.lit("table-in-signature")))
+
+
 def validate_overrides(rows: DataFrame, lists: list[str], scalars: list[str]) -> DataFrame:
     """rows (request, field, values array<string>) that are not allowed, with the error."""
     snake = F.lower(F.regexp_replace("field", "(?<!^)(?=[A-Z])", "_"))

@@ -189,3 +189,23 @@ def name_warnings(resolved: DataFrame, keys: list[str], pos: str, name: str = "n
     reason = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])
     open_ = resolved.where("status <> 'resolved'").groupBy(*keys, name, "status").agg(F.min(pos).alias(pos))
     return open_.withColumn("reason", F.element_at(reason, F.col("status")))
+
+
+def name_list_audit(before: DataFrame, after: DataFrame, index: DataFrame, keys: list[str], pos: str, key: Column, review: DataFrame | None = None, preserve: bool = False) -> DataFrame:
+    """Findings (keys, code, name) where lists of names are not what the plan makes of the original ones.
+
+    The plan is derived anew from `before` (keys, pos, name) by plan_names and compared with `after` as multisets and then
+    in order, blanks aside. Codes: missing-name, added-name, doubled-name, re-ordered (with the first name out of place).
+    """
+    squash = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    planned = plan_names(before, index, keys, pos, key, review, preserve).select(*keys, "names")
+    found = after.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, "name"))), lambda x: x["name"]).alias("_found"))
+    both = planned.join(found.hint("merge"), keys, "full_outer")
+    names = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), squash)
+    both = both.select(*keys, names(F.col("names")).alias("_want"), names(F.col("_found")).alias("_have"))
+    count = lambda array, x: F.size(F.filter(array, lambda y: y == x))
+    each = F.transform(F.array_union("_want", "_have"), lambda x: F.struct(F.when(count(F.col("_have"), x) < count(F.col("_want"), x), "missing-name").when(count(F.col("_have"), x) > count(F.col("_want"), x), F.when(count(F.col("_want"), x) == 0, "added-name").otherwise("doubled-name")).alias("code"), x.alias("name")))
+    wrong = F.filter(each, lambda x: x.code.isNotNull())
+    moved = F.get(F.filter(F.zip_with("_want", "_have", lambda a, b: F.when(~a.eqNullSafe(b), b)), lambda x: x.isNotNull()), 0)
+    order = F.when((F.size(wrong) == 0) & moved.isNotNull(), F.array(F.struct(F.lit("re-ordered").alias("code"), moved.alias("name")))).otherwise(F.array().cast("array<struct<code:string,name:string>>"))
+    return both.select(*keys, F.explode_outer(F.concat(wrong, order)).alias("_x")).where("_x is not null").select(*keys, "_x.*")

@@ -16,6 +16,7 @@ from quirelake.operators import recognition as R
 from quirelake.plans.papers import VOCABULARY
 from quirelake.plans.registry import query
 from quirelake.plans.suites import LINES, lines, table
+from quirelake.sources.reference_tables import build_gazetteer
 
 SEED = 11
 
@@ -252,3 +253,63 @@ def classify_types(spark, sf_dir):
         rows = R.clauses(R.header(p, document_type, VOCABULARY), document_type, VOCABULARY).where("para_idx > 2").select(F.lit(document_type).alias("doc_type"), "doc_id", "para_idx", "kind", "confidence")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+# --- lists of names, list markers, gazetteers
+
+
+@query("""WITH b AS (SELECT c_custkey // 12 AS doc_id, c_custkey AS pos, CASE WHEN c_custkey % 2 = 0 THEN upper(n_name) ELSE n_name || ' ' END AS name, n_name AS d, n_nationkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey),
+ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY pos) AS n FROM b), e AS (SELECT doc_id, list(d ORDER BY lower(d), pos) AS w FROM k WHERE n = 1 GROUP BY 1)
+ SELECT doc_id, CASE doc_id % 5 WHEN 1 THEN 'missing-name' WHEN 2 THEN 'doubled-name' WHEN 3 THEN 're-ordered' WHEN 4 THEN 'added-name' END AS code, replace(CASE doc_id % 5 WHEN 1 THEN w[1] WHEN 2 THEN w[-1] WHEN 3 THEN w[2] WHEN 4 THEN 'Atlantis' END, ' ', '') AS name FROM e WHERE doc_id % 5 IN (1, 2, 4) OR doc_id % 5 = 3 AND len(w) > 1""")
+def name_list_audit(spark, sf_dir):
+    """Lists of a dozen customers' nations: as planned, without the first, with the last twice, turned round, with a stranger."""
+    nation = table(spark, sf_dir, "nation")
+    index = M.name_index(nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("display")), ["display"])
+    doc = F.floor(F.col("c_custkey") / 12)
+    c = table(spark, sf_dir, "customer").join(M.bounded(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    before = c.select(doc.alias("doc_id"), F.col("c_custkey").alias("pos"), F.when(F.col("c_custkey") % 2 == 0, F.upper("n_name")).otherwise(F.concat("n_name", F.lit(" "))).alias("name"))
+    right = c.groupBy(doc.alias("doc_id"), "n_name").agg(F.min("c_custkey").alias("p")).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.lower("n_name").alias("k"), "p", "n_name"))), lambda x: x.n_name).alias("w"))
+    k, size = F.col("doc_id") % 5, F.size("w")
+    made = F.when(k == 1, F.slice("w", F.lit(2), size)).when(k == 2, F.concat("w", F.slice("w", -1, 1))).when(k == 3, F.concat(F.slice("w", F.lit(2), size), F.slice("w", 1, 1))).when(k == 4, F.concat("w", F.array(F.lit("Atlantis")))).otherwise(F.col("w"))
+    after = right.select("doc_id", F.posexplode_outer(made).alias("pos", "name")).where("name is not null")
+    return M.name_list_audit(before, after, index, ["doc_id"], "pos", M.sort_key(F.col("display"), "en"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS ilvl, min(l_suppkey)::VARCHAR AS num_id, min(l_quantity) AS q, min(l_partkey) AS k FROM lineitem GROUP BY 1, 2) SELECT doc_id, num_id, ilvl, 'marker-size' AS code FROM l WHERE q < 30 UNION ALL SELECT doc_id, num_id, ilvl, 'marker-font' FROM l WHERE k % 4 <> 0 AND k % 3 = 0 UNION ALL SELECT doc_id, num_id, ilvl, 'marker-emphasis' FROM l WHERE k % 4 <> 0 AND k % 5 = 0""")
+def marker_audit(spark, sf_dir):
+    q, k = F.min("l_quantity").alias("q"), F.min("l_partkey").alias("k")
+    l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ilvl")).agg(F.min("l_suppkey").cast("string").alias("num_id"), q, k)  # noqa: E741
+    k = F.col("k")
+    levels = l.select("doc_id", "num_id", "ilvl", F.when(k % 4 == 0, "bullet").when(k % 4 == 1, "decimal").alias("fmt"), F.when(F.col("q") >= 30, 12.0).when(F.col("q") >= 15, 8.0).alias("sz"), F.when(k % 3 != 0, "Serif").when(k % 2 == 0, "Sans").alias("font"), F.when(k % 5 == 0, True).alias("b"), F.lit(None).cast("boolean").alias("i"), F.lit(False).alias("u"))
+    return L.marker_audit(levels, 12.0, "Serif")
+
+
+@query("""WITH i AS (SELECT l_orderkey AS doc_id, l_linenumber AS para_idx, min(l_returnflag) AS f, min(l_quantity) AS q, min(l_partkey) AS k, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2), p AS (SELECT *, CASE f WHEN 'A' THEN 'preamble' WHEN 'N' THEN 'item' ELSE 'sponsors' END AS role FROM i WHERE k % 9 <> 0)
+ SELECT doc_id, para_idx, 'page-break' AS code FROM p WHERE k % 7 = 0 UNION ALL SELECT doc_id, para_idx, 'pitch' FROM p WHERE k % 5 = 0 OR CASE WHEN role = 'preamble' THEN k % 2 = 0 ELSE k % 2 = 1 END UNION ALL SELECT doc_id, para_idx, 'indent-limit' FROM p WHERE q > 40 UNION ALL SELECT DISTINCT doc_id, NULL::INT, 'table-in-signature' FROM p WHERE role = 'sponsors' AND doc_id % 3 = 0""")
+def paragraph_audit(spark, sf_dir):
+    i = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("para_idx")).agg(F.min("l_returnflag").alias("f"), F.min("l_quantity").alias("q"), F.min("l_partkey").alias("k"))
+    k = F.col("k")
+    role = F.when(k % 9 == 0, "part").when(F.col("f") == "A", "preamble").when(F.col("f") == "N", "item").otherwise("sponsors")
+    p = i.select("doc_id", "para_idx", role.alias("role"), F.when(k % 7 == 0, True).alias("page_break_before"), F.when(k % 5 != 0, F.when(k % 2 == 1, 18.0).otherwise(15.5)).alias("line"), F.when(F.col("q") > 45, -F.col("q") * 3).otherwise(F.col("q") * 3).alias("left"))
+    return L.paragraph_audit(p, {"preamble": 18.0, "": 15.5}, 120.0, i.where("doc_id % 3 = 0"))
+
+
+@query("""WITH m AS (SELECT o_orderkey AS doc_id, o_custkey % 4 AS k, ['（一）', '（二）', '（三）'] AS all_, o_orderkey % 3 + 1 AS n FROM orders), b AS (SELECT doc_id, k, CASE WHEN k = 3 THEN array_slice(all_, 2, 3) ELSE array_slice(all_, 1, n::INT) END AS b FROM m) SELECT doc_id, array_to_string(b, '') AS before, CASE k WHEN 1 THEN array_to_string(array_slice(b, 2, 3), '') ELSE array_to_string(list_reverse(b), '') END AS after FROM b WHERE k = 1 OR k = 2 AND len(b) > 1""")
+def section_marker_audit(spark, sf_dir):
+    """Sections as they were, without the first, turned round, and with the first restored."""
+    k, n = F.col("o_custkey") % 4, (F.col("o_orderkey") % 3 + 1).cast("int")
+    all_ = F.array(*map(F.lit, ("（一）", "（二）", "（三）")))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), k.alias("k"), F.when(k == 3, F.slice(all_, 2, 2)).otherwise(F.slice(all_, F.lit(1), n)).alias("b"))
+    k = F.col("k")
+    after = F.when(k == 1, F.slice("b", 2, 3)).when(k == 2, F.reverse("b")).when(k == 3, F.concat(F.array(F.lit("（一）")), "b")).otherwise(F.col("b"))
+    rows = lambda c: o.select("doc_id", F.posexplode_outer(c).alias("para_idx", "m")).where("m is not null").select("doc_id", "para_idx", F.concat(F.lit(" "), "m", F.lit("背景")).alias("text"))
+    return L.section_marker_audit(rows(F.col("b")), rows(after))
+
+
+@query("""WITH n AS (SELECT n_nationkey, n_name, CASE n_nationkey WHEN 3 THEN 'Holy See' WHEN 5 THEN 'Cook Islands (the)' WHEN 8 THEN 'Niue' WHEN 11 THEN 'State of Palestine' ELSE n_name END AS short FROM nation) SELECT n_name AS formal_en, CASE n_nationkey WHEN 3 THEN '336' WHEN 5 THEN '184' WHEN 8 THEN '570' WHEN 11 THEN '275' ELSE (1000 + n_nationkey)::VARCHAR END AS id, CASE n_nationkey WHEN 3 THEN 'observer-state' WHEN 11 THEN 'observer-state' WHEN 5 THEN 'specialized-agency-member' WHEN 8 THEN 'specialized-agency-member' ELSE 'member-state' END AS kind, DATE '2024-05-01' AS checked_on FROM n""")
+def gazetteer_kinds(spark, sf_dir):
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    short = F.when(k == 3, "Holy See").when(k == 5, "Cook Islands (the)").when(k == 8, "Niue").when(k == 11, "State of Palestine").otherwise(F.col("n_name"))
+    names = n.select(F.concat(F.lit("the "), "n_name").alias("formal_en"), short.alias("short_en"), F.lit(None).cast("string").alias("short_zh"))
+    geography = n.select((1000 + k).cast("string").alias("id"), F.col("n_name").alias("name_en"), F.lit(None).cast("string").alias("name_zh"))
+    return build_gazetteer(names, geography, checked_on="2024-05-01", strict=True).select("formal_en", "id", "kind", "checked_on")

@@ -240,14 +240,26 @@ def path_audit(spark, sf_dir):
     return A.path_audit(table(spark, sf_dir, "pages").select(F.concat(top, F.regexp_replace("url", "^https?://[^/]*", ""), name).alias("path")))
 
 
-@query(r"""WITH v AS (SELECT DISTINCT unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2)]) AS v FROM part WHERE p_name LIKE '% %') SELECT p_partkey, max_by(v, length(v)) AS phrase FROM part JOIN v ON starts_with(p_name, v) AND split_part(v, ' ', 1) = split_part(p_name, ' ', 1) GROUP BY p_partkey""")
+@query(r"""WITH v AS (SELECT DISTINCT unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2), left(p_name, 3)]) AS v FROM part) SELECT p_partkey, max_by(v, length(v)) AS phrase FROM part JOIN v ON starts_with(p_name, v) AND (p_name = v OR NOT regexp_matches(substr(p_name, length(v) + 1, 1), '[\p{L}\p{N}_]')) WHERE v <> '' GROUP BY p_partkey""")
 def prefix_join(spark, sf_dir):
+    """First words, first two words and first three letters of names as phrases; letters end no word."""
     part = table(spark, sf_dir, "part")
     word = lambda n: F.split_part("p_name", F.lit(" "), F.lit(n))
-    vocabulary = part.where("p_name like '% %'").select(F.explode(F.array(word(1), F.concat(word(1), F.lit(" "), word(2)))).alias("v")).distinct()
+    vocabulary = part.select(F.explode(F.array(word(1), F.concat(word(1), F.lit(" "), word(2)), F.substring("p_name", 1, 3))).alias("v")).distinct()
     return A.prefix_join(part, vocabulary, "p_name", "v", ["p_partkey"])
 
 
+@query(r"""SELECT 'd' || doc_id || CASE doc_id % 5 WHEN 4 THEN '.docx' ELSE '.bin' END AS path FROM documents WHERE doc_id % 5 IN (1, 2) UNION ALL SELECT 'd' || doc_id || '.docx!word/media/a.png' FROM documents WHERE doc_id % 5 = 4""")
+def binaries_to_review(spark, sf_dir):
+    """Texts as files: some with bytes that are no UTF-8, some cut inside a character, some as packages with a picture."""
+    k = F.col("doc_id") % 5
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.when(k == 4, ".docx").otherwise(".bin"))
+    content = F.when(k == 1, F.concat(F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.unhex(F.lit("FF00")))).when(k == 2, F.concat(F.coalesce(F.col("text"), F.lit("")).cast("binary"), F.unhex(F.lit("E4B8")))).otherwise(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null")
+    entries = docs.where(k == 4).select(name.alias("doc_id"), F.explode(F.array(F.lit("word/document.xml"), F.lit("word/media/a.png"), F.lit("word/media/"), F.lit("_rels/.rels"))).alias("name"), F.lit(None).cast("string").alias("problem"))
+    return A.binaries_to_review(docs.select(name.alias("path"), content.alias("content")), entries)
+
+
 @query(r"""SELECT o_orderstatus, round(avg(e), 2) AS mean_excess, round(max(e), 2) AS max_excess, count(*) FILTER (WHERE blocked) AS blocked FROM (SELECT o_orderstatus, s - base + CASE WHEN blocked THEN 100 ELSE 0 END AS e, blocked FROM (SELECT o_custkey, o_orderstatus, round((o_orderkey % 7) * 50.0 + (o_orderkey % 5) * 2.0 + (o_orderkey % 3) * 0.2, 1)::DOUBLE AS s, o_orderkey % 13 = 0 AS blocked FROM orders WHERE o_orderstatus <> 'F') JOIN (SELECT o_custkey, max(round((o_orderkey % 7) * 50.0 + (o_orderkey % 5) * 2.0 + (o_orderkey % 3) * 0.2, 1)::DOUBLE) AS base FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) USING (o_custkey)) GROUP BY o_orderstatus""")
 def excess_error(spark, sf_dir):
     k = F.col("o_orderkey")
