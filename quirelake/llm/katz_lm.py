@@ -1,21 +1,7 @@
-"""Scoring by a class-based Katz back-off bigram model, trained on the corpus itself.
+"""What the language model is made from: which documents train, tokens of chunks of documents, and Good-Turing discounts.
 
-Words (lower-cased A-Z) are hashed into a fixed number of classes; the end of a text is a class of its own and its
-beginning a context of its own. p(word | history) = p(class | previous class) * p(word | class):
-* p(class | previous) is Katz' model: bigram counts up to K are discounted by Good-Turing, and what that frees goes to
-  classes unseen after the context in proportion to their unigram probability, with an exactly normalised weight
-  alpha(context) = (1 - sum of discounted seen) / (1 - sum of their unigram probabilities);
-* p(word | class) is (c + 1) / (C + v + 1) for the class's c of C training tokens and v training words, all unknown
-  words of a class being one, so both levels sum to one exactly.
-
-Each task turns a chunk of documents into sorted arrays: distinct keys, counts and, for each token, the number of its
-document. Arrays are dealt to buckets by key, so a key reaches a bucket once per chunk however frequent it is; contexts
-with more tokens than a quarter of a bucket are dealt by the whole bigram. Buckets add up counts, which are the
-partitioned model table, and return one number per document and chunk. Class counts (a fixed number) are broadcast.
-
-Nulls and edge cases: a null or blank text is the end token alone; a null doc_id is trained on like the others (its
-remainder is not 2); rows that repeat doc_id and text are counted as often as they occur and get equal scores; without
-training tokens every class has the same probability. Texts are read whole; other columns are ignored.
+Words are lower-cased (A-Z) and hashed to 64 bits; the end of a text is token 0. Nulls and edge cases: a null or blank
+text is the end token alone; a null doc_id is trained on like the others (its remainder is not 2). Texts are read whole.
 """
 
 from __future__ import annotations
@@ -26,18 +12,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quirelake.llm.common import byte_words, written
+from quirelake.llm.common import byte_words
 
-CLASSES = 2**20
 FOLDS, HELD = 7, 2
+#: Counts up to K are discounted.
 K = 5
-#: Tokens of a chunk, about; documents of a bucket, about.
+#: Tokens of a chunk, about.
 CHUNK_TOKENS = 1_500_000
-BUCKET_DOCS = 10_000
 
 END = np.uint64(0)
 _WORD = xxhash.xxh64_intdigest
@@ -47,11 +29,6 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD
 
 
-def classes(words: np.ndarray) -> np.ndarray:
-    """Class of each word hash: 0 for the end, else 1 to CLASSES - 1."""
-    return np.where(words == END, np.uint64(0), words % np.uint64(CLASSES - 1) + np.uint64(1))
-
-
 def packed(a: np.ndarray) -> bytes:
     return zlib.compress(a.tobytes(), 1)
 
@@ -60,16 +37,6 @@ def unpacked(b: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), kind)
 
 
-def sorted_bytes(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte planes apart, so that high zero bytes vanish."""
-    return packed(np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T))
-
-
-def from_sorted(b: bytes) -> np.ndarray:
-    planes = unpacked(b, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
 def chunks(batches: Iterator[pa.RecordBatch], tokens: int = CHUNK_TOKENS) -> Iterator[tuple[list, list[int], np.ndarray, np.ndarray]]:
     """doc_ids, text hashes, word hashes of all tokens with the ends, and each token's document number (uint16)."""
     ids, marks, parts, lengths, total = [], [], [], [], 0
@@ -91,57 +58,6 @@ def chunks(batches: Iterator[pa.RecordBatch], tokens: int = CHUNK_TOKENS) -> Ite
         yield ids, marks, np.concatenate(parts), np.repeat(np.arange(len(ids)), lengths)
 
 
-DEALT = "bucket int, chunk long, doc_ids binary, marks binary, held binary, keys binary, uses binary, docs binary"
-
-
-def dealt(docs: DataFrame, buckets: int, key_of, bucket_of) -> DataFrame:
-    """Per chunk and bucket: distinct sorted keys, uses of each, and the documents of these uses in key order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for number, (ids, marks, words, doc) in enumerate(chunks(batches)):
-            # ids may be null
-            held = np.array([held_out(x) for x in ids])
-            who = part * 2**32 + number, packed(np.array([-(2**63) if x is None else x for x in ids], np.int64)), packed(np.array(marks, np.int64)), packed(held)
-            keys = key_of(words)
-            order = np.argsort(keys, kind="stable")
-            keys, doc = keys[order], doc[order].astype(np.uint16)
-            to = bucket_of(keys)
-            rows = []
-            for b in np.unique(to):
-                mine = to == b
-                distinct, uses = np.unique(keys[mine], return_counts=True)
-                rows.append((int(b), *who, sorted_bytes(distinct), packed(uses.astype(np.uint32)), packed(doc[mine])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, (pa.int32(), pa.int64())[i] if i < 2 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], [x.split()[0] for x in DEALT.split(", ")])
-
-    return docs.select("doc_id", "text").mapInArrow(run, DEALT)
-
-
-def gathered(table: pa.Table) -> Iterator[tuple[int, bytes, bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Chunk, doc_ids, marks, held, keys, uses and documents of each chunk of a bucket."""
-    for row in range(table.num_rows):
-        chunk, ids, marks, held, keys, uses, docs = (table.column(i)[row].as_py() for i in range(1, 8))
-        yield chunk, ids, marks, unpacked(held, np.bool_), from_sorted(keys), unpacked(uses, np.uint32), unpacked(docs, np.uint16)
-
-
-def trained(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct training keys of a bucket and their counts."""
-    keys = [np.empty(0, np.uint64)]
-    counts = [np.empty(0, np.int64)]
-    for _, _, _, held, k, uses, docs in parts:
-        of = np.repeat(np.arange(len(k)), uses)[~held[docs]]
-        c = np.bincount(of, minlength=len(k))
-        keys.append(k[c > 0])
-        counts.append(c[c > 0])
-    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return distinct, np.bincount(inverse, np.concatenate(counts), len(distinct)).astype(np.int64)
-
-
-def per_doc(ids: bytes, docs: np.ndarray, values: list[np.ndarray]) -> list[np.ndarray]:
-    n = len(unpacked(ids, np.int64))
-    return [np.bincount(docs, v, n) for v in values]
-
-
 def discounts(n: dict[int, int]) -> np.ndarray:
     """Good-Turing discount factors of counts 1 to K from the counts of counts 1 to K + 1; half-count discounts where these are no use."""
     plain = np.array([(r - 0.5) / r for r in range(1, K + 1)])
@@ -150,139 +66,3 @@ def discounts(n: dict[int, int]) -> np.ndarray:
     top = (K + 1) * n[K + 1] / n[1]
     d = np.array([((r + 1) * n[r + 1] / (r * n[r]) - top) / (1 - top) if top != 1 else 1.0 for r in range(1, K + 1)])
     return d if np.all((d > 0) & (d < 1)) else plain
-
-
-def score(docs: DataFrame, bucket_docs: int = BUCKET_DOCS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row."""
-    spark = docs.sparkSession
-    buckets = max(4, docs.count() // bucket_docs)
-    spread = lambda x: ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
-
-    # 1. words: counts, unigram sums of every document, class counts
-    def unigrams(table: pa.Table) -> pa.Table:
-        parts = list(gathered(table))
-        keys, counts = trained(parts)
-        of_class = classes(keys)
-        cls, inverse = np.unique(of_class, return_inverse=True)
-        total, kinds = np.bincount(inverse, counts, len(cls)), np.bincount(inverse, minlength=len(cls))
-        kinds = np.where(cls == 0, 0, kinds)  # the end is alone in its class
-        rows = [(-1, b"", b"", b"", b"", b"", packed(cls), packed(total.astype(np.int64)), int(counts.sum()), len(keys))]
-        for chunk, ids, marks, _, k, uses, d in parts:
-            at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
-            c = np.where(keys[at] == k, counts[at], 0) if len(keys) else np.zeros(len(k), np.int64)
-            slot = np.minimum(np.searchsorted(cls, kc := classes(k)), max(0, len(cls) - 1))
-            hit = cls[slot] == kc if len(cls) else np.zeros(len(k), bool)
-            size, v = (np.where(hit, x[slot], 0) if len(cls) else np.zeros(len(k)) for x in (total, kinds))
-            inner = np.where(kc == 0, 0.0, np.log10((c + 1) / (size + v + 1)))
-            values = [np.repeat(x, uses) for x in (np.log10(c + 1), inner, (c > 0).astype(float), np.ones(len(k)))]
-            rows.append((chunk, ids, marks, *(packed(x) for x in per_doc(ids, d, values)[:3]), packed(per_doc(ids, d, values[3:])[0]), b"", 0, 0))
-        return pa.Table.from_arrays([pa.array(c, pa.int64() if i in (0, 8, 9) else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names)
-
-    names = ["chunk", "ids", "marks", "base", "inner", "known", "x", "y", "tokens", "words"]
-    schema = "chunk long, ids binary, marks binary, base binary, inner binary, known binary, x binary, y binary, tokens long, words long"
-    first = dealt(docs, buckets, lambda words: words, lambda keys: spread(classes(keys)))
-    ones = written(first.groupBy("bucket").applyInArrow(unigrams, schema))
-    n, v = ones.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-
-    # class counts: a fixed number of classes, whatever the corpus
-    uni = np.zeros(CLASSES + 1, np.int64)
-    for row in ones.where("length(ids) = 0").select("x", "y").toLocalIterator():
-        uni[unpacked(row.x, np.uint64).astype(np.int64)] += unpacked(row.y, np.int64)
-    uni[CLASSES] = uni[0]  # a text begins as often as it ends
-    shared = spark.sparkContext.broadcast(uni)
-    hot = np.flatnonzero(uni > max(1, n // (4 * buckets))).astype(np.uint64)
-
-    def bigrams(words: np.ndarray) -> np.ndarray:
-        c = classes(words)
-        before = np.concatenate(([np.uint64(0)], c[:-1]))
-        before = np.where(before == 0, np.uint64(CLASSES), before)  # after an end a text begins
-        return before * np.uint64(2 * CLASSES) + c
-
-    def bigram_bucket(keys: np.ndarray) -> np.ndarray:
-        context = keys // np.uint64(2 * CLASSES)
-        return spread(np.where(np.isin(context, hot), keys, context))
-
-    # 2. the model: bigram counts by bucket, and counts of counts
-    def count(table: pa.Table) -> pa.Table:
-        keys, counts = trained(list(gathered(table)))
-        r = np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[1 : K + 2]
-        return pa.Table.from_arrays([table.column(0).slice(0, 1), pa.array([sorted_bytes(keys)]), pa.array([packed(counts)]), pa.array([r.tolist()], pa.list_(pa.int64()))], ["bucket", "keys", "counts", "r"])
-
-    pairs = dealt(docs, buckets, bigrams, bigram_bucket)
-    model = written(pairs.groupBy("bucket").applyInArrow(count, "bucket int, keys binary, counts binary, r array<long>"))
-    seen = {row.i + 1: row.n for row in model.select(F.posexplode("r").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect()}
-    d = np.concatenate((discounts(seen), [1.0]))
-
-    def p_uni(c: np.ndarray) -> np.ndarray:
-        return (shared.value[c] + 1) / (n + CLASSES)
-
-    def sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Contexts of the keys, what discounting frees in each, and the unigram probability of what follows it."""
-        context, inverse = np.unique(keys // np.uint64(2 * CLASSES), return_inverse=True)
-        free = np.bincount(inverse, counts * (1 - d[np.minimum(counts, K + 1) - 1]), len(context))
-        return context, free, np.bincount(inverse, p_uni((keys % np.uint64(2 * CLASSES)).astype(np.int64)), len(context))
-
-    # contexts dealt by the bigram: their sums over all buckets (at most four contexts a bucket)
-    def hot_sums(table: pa.Table) -> pa.Table:
-        keys, counts = from_sorted(table.column("keys")[0].as_py()), unpacked(table.column("counts")[0].as_py(), np.int64)
-        mine = np.isin(keys // np.uint64(2 * CLASSES), hot)
-        context, free, follow = sums(keys[mine], counts[mine])
-        return pa.Table.from_arrays([pa.array(context.astype(np.int64)), pa.array(free.astype(float)), pa.array(follow.astype(float))], ["context", "free", "follow"])
-
-    of_hot = model.groupBy("bucket").applyInArrow(hot_sums, "context long, free double, follow double")
-    rows = of_hot.groupBy("context").agg(F.sum("free").alias("free"), F.sum("follow").alias("follow")).orderBy("context").collect()
-    hot_context = np.array([r.context for r in rows], np.uint64)
-    hot_free, hot_follow = np.array([r.free for r in rows]), np.array([r.follow for r in rows])
-
-    # 3. bigram sums of every document
-    def evaluate(mine: pa.Table, table: pa.Table) -> pa.Table:
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        if table.num_rows:
-            keys, counts = from_sorted(table.column("keys")[0].as_py()), unpacked(table.column("counts")[0].as_py(), np.int64)
-        context, free, follow = sums(keys, counts)
-        cold = ~np.isin(context, hot_context)
-        context = np.concatenate((context[cold], hot_context))
-        order = np.argsort(context)
-        context, free, follow = context[order], np.concatenate((free[cold], hot_free))[order], np.concatenate((follow[cold], hot_follow))[order]
-        out = []
-        for chunk, ids, marks, _, k, uses, docs_ in gathered(mine):
-            h, c2 = k // np.uint64(2 * CLASSES), (k % np.uint64(2 * CLASSES)).astype(np.int64)
-            whole = shared.value[h.astype(np.int64)].astype(float)
-            p = p_uni(c2)
-            if len(context):
-                at = np.minimum(np.searchsorted(context, h), len(context) - 1)
-                known = (context[at] == h) & (whole > 0)
-                spare = np.where(free[at] > 1e-9, free[at], 1.0)
-                total = np.where(free[at] > 1e-9, whole, whole + 1)  # a context that frees nothing frees one count
-                alpha = spare / np.maximum(total, 1) / np.maximum(1 - follow[at], 1e-12)
-                p = np.where(known, alpha * p, p)
-                if len(keys):
-                    i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                    c = np.where(keys[i] == k, counts[i], 0)
-                    p = np.where(c > 0, c * d[np.clip(c, 1, K + 1) - 1] / np.maximum(total, 1), p)
-            out.append((chunk, ids, marks, packed(per_doc(ids, docs_, [np.repeat(np.log10(p), uses)])[0])))
-        columns = zip(*out, strict=True) if out else [[]] * 4
-        return pa.Table.from_arrays([pa.array(c, pa.binary() if i else pa.int64()) for i, c in enumerate(columns)], ["chunk", "ids", "marks", "score"])
-
-    twos = written(pairs.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(evaluate, "chunk long, ids binary, marks binary, score binary"))
-
-    # 4. chunks back to documents, each chunk by its partition and number; equal rows have equal sums
-    def documents(kinds: list[str]):
-        def run(table: pa.Table) -> pa.Table:
-            ids, marks = (unpacked(table.column(c)[0].as_py(), np.int64) for c in ("ids", "marks"))
-            total = [sum(unpacked(x.as_py(), np.float64) for x in table.column(c)) for c in kinds]
-            return pa.Table.from_arrays([pa.array(ids, pa.int64(), mask=ids == -(2**63)), pa.array(marks), *(pa.array(x) for x in total)], ["doc_id", "mark", *kinds])
-
-        return run
-
-    parts = ones.where("length(ids) > 0").withColumnRenamed("x", "size").select("chunk", "ids", "marks", "base", "inner", "known", "size")
-    by_word = written(parts.groupBy("chunk").applyInArrow(documents(["base", "inner", "known", "size"]), "doc_id long, mark long, base double, inner double, known double, size double"))
-    by_pair = written(twos.groupBy("chunk").applyInArrow(documents(["score"]), "doc_id long, mark long, score double"))
-    each = by_pair.groupBy("doc_id", "mark").agg(F.min("score").alias("outer"))
-    joined = by_word.alias("w").join(each.alias("p").hint("merge"), F.col("w.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("w.mark") == F.col("p.mark")))
-    held = F.coalesce(F.pmod(F.crc32(F.col("w.doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == HELD, F.lit(False))
-    size = F.round("size").cast("long")
-    return joined.select(
-        F.col("w.doc_id").alias("doc_id"), held.alias("held_out"), size.alias("n_tokens"), F.round("known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") - size * float(np.log10(n + v + 1))).alias("base_score"), (F.col("outer") + F.col("inner")).alias("score"),
-    )

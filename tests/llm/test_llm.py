@@ -1,6 +1,5 @@
 """Corpus operators against brute force, exact round trips and edge cases."""
 
-import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -8,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from quirelake.llm import decontaminate, html_extract, katz_lm, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup
+from quirelake.llm import decontaminate, html_extract, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -192,45 +191,6 @@ def test_sketch_estimates():
     assert (np.maximum(half[0], half[1]) == half[2]).all()
 
 
-# --- language model
-
-def test_katz(spark, corpus, docs, empty):
-    out = {r.doc_id: r for r in katz_lm.score(corpus).collect()}
-    tokens = {r.doc_id: [*WORDS.findall(lower(r.text)), None] for r in corpus.collect()}
-    train = [d for d in tokens if zlib.crc32(str(d).encode()) % 7 != 2]
-    cls = lambda w: 0 if w is None else int(katz_lm._WORD(w.encode()) % (katz_lm.CLASSES - 1) + 1)
-    c = Counter(w for d in train for w in tokens[d])
-    n, v = sum(c.values()), len(c)
-    classes = {d: [cls(w) for w in t] for d, t in tokens.items()}
-    uni = Counter(x for d in train for x in classes[d]) + Counter({katz_lm.CLASSES: len(train)})
-    pairs = Counter(p for d in train for p in zip([katz_lm.CLASSES, *classes[d]], classes[d], strict=False))
-    factor = [*katz_lm.discounts(Counter(pairs.values())), 1.0]
-    p1 = lambda x: (uni[x] + 1) / (n + katz_lm.CLASSES)
-    free, follow, kinds = Counter(), Counter(), Counter(cls(w) for w in c if w is not None)
-    for (x, y), k in pairs.items():
-        free[x] += k * (1 - factor[min(k, 6) - 1])
-        follow[x] += p1(y)
-
-    def p2(x, y):
-        if x not in free:
-            return p1(y)
-        total, spare = (uni[x], free[x]) if free[x] > 1e-9 else (uni[x] + 1, 1)
-        k = pairs[x, y]
-        return k * factor[min(k, 6) - 1] / total if k else spare / total / (1 - follow[x]) * p1(y)
-
-    for d, t in tokens.items():
-        r = out[d]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (d not in train, len(t), sum(c[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel=1e-9)
-        inner = sum(math.log10((c[w] + 1) / (uni[x] + kinds[x] + 1)) for w, x in zip(t, classes[d], strict=True) if x)
-        assert r.score == pytest.approx(sum(math.log10(p2(x, y)) for x, y in zip([katz_lm.CLASSES, *classes[d]], classes[d], strict=False)) + inner, rel=1e-9)
-    context = uni.most_common(1)[0][0]
-    assert sum(p2(context, y) for y in range(katz_lm.CLASSES)) == pytest.approx(1)
-    edge = katz_lm.score(docs).toPandas()
-    assert len(edge) == docs.count() and edge[edge.doc_id == 4].n_tokens.item() == 1 and np.isfinite(edge.score).all()
-    assert katz_lm.score(empty).count() == 0
-
-
 # --- quality
 
 def test_quality_rules(spark, corpus, docs, empty):
