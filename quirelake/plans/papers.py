@@ -25,6 +25,7 @@ from quirelake.operators import planning as P
 from quirelake.operators import recognition as R
 from quirelake.operators import sequences as S
 from quirelake.operators import snapshots as X
+from quirelake.operators.scratch import cut
 from quirelake.plans.registry import query
 from quirelake.plans.suites import LINES, NUMBERED, lines, numbered_rows, table
 from quirelake.sources import packages as K
@@ -81,7 +82,7 @@ def max_level(spark, sf_dir):
 
 @query(f"""WITH {PAPERS}, r AS (SELECT doc_id, unnest([0, 1, 2, 3, 4, 5, 6]) AS para_idx, unnest(['title', 'committee', 'topic', 'sponsors', 'header', 'subject', 'preamble']) AS role, 0 AS level, false AS operative FROM o UNION ALL SELECT doc_id, r + 6, 'item', level, true FROM c) SELECT * FROM r""")
 def assign_roles(spark, sf_dir):
-    h = headed(spark, sf_dir).persist()  # read by clauses and roles
+    h = cut(headed(spark, sf_dir))  # read by clauses and roles
     out = R.roles(h, R.clauses(h, "draft-resolution", VOCABULARY), "draft-resolution")
     return out.select("doc_id", F.col("para_idx").cast("long").alias("para_idx"), "role", F.col("level").cast("long").alias("level"), "operative")
 
@@ -102,11 +103,15 @@ def plan_edits(spark, sf_dir):
     return P.plan_edits(paper_roles(spark, sf_dir), "draft-resolution").select("doc_id", F.col("para_idx").cast("long").alias("para_idx"), "kind", "before", "after")
 
 
-@query("""SELECT o_orderkey AS doc_id, 0::BIGINT AS again FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)""")
+@query(f"""WITH {PAPERS}, e AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1) SELECT o.doc_id, 3 + coalesce(n, 0) AS edits, 0::BIGINT AS again FROM o LEFT JOIN e ON o.doc_id = e.doc_id""")
 def idempotence(spark, sf_dir):
-    roles = paper_roles(spark, sf_dir)
-    again = P.not_idempotent(roles, "draft-resolution").groupBy("doc_id").agg(F.count("*").alias("again"))
-    return roles.select("doc_id").distinct().join(again.hint("merge"), "doc_id", "left").select("doc_id", F.coalesce("again", F.lit(0)).alias("again"))
+    """Edits of a first plan, and those that a second would still make."""
+    roles = cut(paper_roles(spark, sf_dir))
+    plan = cut(P.plan_edits(roles, "draft-resolution"))
+    second = P.plan_edits(cut(P.apply_edits(roles, plan)), "draft-resolution")
+    first, again = (x.where("reason is null").groupBy("doc_id").agg(F.count("*").alias(name)) for x, name in ((plan, "edits"), (second, "again")))
+    j = roles.select("doc_id").distinct().join(first.hint("merge"), "doc_id", "left").join(again.hint("merge"), "doc_id", "left")
+    return j.select("doc_id", F.coalesce("edits", F.lit(0)).alias("edits"), F.coalesce("again", F.lit(0)).alias("again"))
 
 
 @query(f"""WITH {ITEMS} SELECT doc_id, r AS idx, level AS planned_level, '' AS reason FROM c""")
@@ -138,12 +143,18 @@ def plan_names(spark, sf_dir):
     return out.withColumn("names", F.array_join("names", ", "))
 
 
-@query("""SELECT s_nationkey, s_name AS name, 'unknown' AS status, s_suppkey AS pos FROM supplier""")
+@query("""WITH s AS (SELECT s_nationkey, s_suppkey, n_name, s_suppkey % 4 AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey), r AS (SELECT s_nationkey, s_suppkey, CASE WHEN k = 0 THEN 'Near ' || n_name WHEN k = 1 THEN lower(n_name) ELSE n_name END AS name, CASE WHEN k = 0 THEN 'unknown' WHEN s_nationkey % 6 = 1 THEN 'historical' WHEN s_nationkey % 6 = 2 THEN 'ambiguous' WHEN s_nationkey % 6 = 3 THEN 'entity' ELSE 'resolved' END AS status FROM s) SELECT s_nationkey, name, status, min(s_suppkey) AS pos FROM r WHERE status <> 'resolved' GROUP BY ALL""")
 def name_warnings(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation")
-    index = M.name_index(nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("display")), ["display"])
-    names = table(spark, sf_dir, "supplier").select("s_nationkey", F.col("s_suppkey").alias("pos"), F.col("s_name").alias("name"))
-    return M.name_warnings(M.resolve_names(names, index), ["s_nationkey"], "pos").select("s_nationkey", "name", "status", "pos")
+    """Nations of suppliers: some under review, some of two records, some entities, and some that no record has."""
+    nation, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    kind = F.when(k % 6 == 3, "observer-state").otherwise("member-state")
+    twice = F.when(k % 6 == 2, F.array(k, k + 1000)).otherwise(F.array(k))
+    index = M.name_index(nation.select(F.explode(twice).alias("id"), F.col("n_name").alias("display"), kind.alias("kind")), ["display"])
+    review = nation.where(k % 6 == 1).select(M.name_key(F.col("n_name")).alias("key"), F.lit("historical").alias("listed"))
+    s = table(spark, sf_dir, "supplier").join(M.bounded(nation), F.col("s_nationkey") == k)
+    q = F.col("s_suppkey") % 4
+    names = s.select("s_nationkey", F.col("s_suppkey").alias("pos"), F.when(q == 0, F.concat(F.lit("Near "), "n_name")).when(q == 1, F.lower("n_name")).otherwise(F.col("n_name")).alias("name"))
+    return M.name_warnings(M.resolve_names(names, index, review=review), ["s_nationkey"], "pos").select("s_nationkey", "name", "status", "pos")
 
 
 @query("""WITH n AS (SELECT n_nationkey, n_name, r_name, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT n_name AS formal_en, CASE WHEN k % 3 = 0 THEN NULL ELSE n_nationkey::VARCHAR END AS id FROM n""")
@@ -210,14 +221,14 @@ def field_functions(spark, sf_dir):
     )
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN split_part(p_name, ' ', 1) END AS phrase, length(p_partkey || '. ') AS start FROM part""")
+@query("""WITH v AS (SELECT p_partkey, p_partkey % 7 AS k, CASE p_partkey % 3 WHEN 0 THEN p_partkey % 50 || '. ' WHEN 1 THEN '(a) ' ELSE '' END AS marker FROM part) SELECT p_partkey, CASE k WHEN 0 THEN 'Calls upon' WHEN 1 THEN 'CALLS UPON' WHEN 2 THEN 'Calls' WHEN 4 THEN 'Requests' WHEN 5 THEN 'calls' END AS phrase, CASE WHEN k NOT IN (3, 6) THEN length(marker) END AS start, CASE k WHEN 0 THEN 10 WHEN 1 THEN 10 WHEN 2 THEN 5 WHEN 4 THEN 8 WHEN 5 THEN 5 END AS length FROM v""")
 def verb_spans(spark, sf_dir):
-    """The opening phrase behind a marker, where it is in the vocabulary: every second first word is."""
-    part = table(spark, sf_dir, "part")
-    word = F.split_part("p_name", F.lit(" "), F.lit(1))
-    text = F.concat(F.col("p_partkey").cast("string"), F.lit(". "), F.when(F.col("p_partkey") % 2 == 0, "Calls upon").otherwise("Callsign"), F.lit(" "), "p_name")
-    found = C.longest_phrase(text, ["Calls", "Calls upon"])
-    return part.select("p_partkey", F.when(found["phrase"] == "Calls upon", word).alias("phrase"), F.length(F.concat(F.col("p_partkey").cast("string"), F.lit(". "))).cast("long").alias("start"))
+    """The opening phrase behind a marker, the longest that ends with a word, in the text's own letters."""
+    k = F.col("p_partkey")
+    opening = F.get(F.array(*map(F.lit, ("Calls upon", "CALLS UPON", "Calls uponly", "Callsign", "Requests", "calls, upon", "Further calls"))), (k % 7).cast("int"))
+    marker = F.when(k % 3 == 0, F.concat((k % 50).cast("string"), F.lit(". "))).when(k % 3 == 1, "(a) ").otherwise("")
+    found = C.longest_phrase(F.concat(marker, opening, F.lit(" "), "p_name"), ["Calls", "Calls upon", "Requests"])
+    return table(spark, sf_dir, "part").select("p_partkey", found["phrase"].alias("phrase"), found["start"].cast("long").alias("start"), found["length"].cast("long").alias("length"))
 
 
 # --- audits
@@ -396,17 +407,23 @@ def visual_audit(spark, sf_dir):
     return P.visual_audit(li, scores, reference, 45.0, 0.2)
 
 
-@query("""SELECT o_orderkey AS doc_id, 'sponsors' AS field, 2::BIGINT AS n FROM orders JOIN customer ON o_custkey = c_custkey""")
+@query("""SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 1 THEN 'sponsors' ELSE 'country' END AS field, CASE o_orderkey % 3 WHEN 1 THEN 2 ELSE 3 END::BIGINT AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 > 0""")
 def repeated_fields(spark, sf_dir):
-    p = papers(spark, sf_dir)
-    again = p.withColumn("text", F.when(F.col("para_idx") == 4, F.concat(F.lit("Sponsors: "), "text")).otherwise(F.col("text")))
+    """Papers as they are, with a second line of sponsors, and with three countries."""
+    p, k, i = papers(spark, sf_dir), F.col("doc_id") % 3, F.col("para_idx")
+    again = p.withColumn("text", F.when((k == 1) & (i == 4), F.concat(F.lit("Sponsors: "), "text")).when((k == 2) & i.isin(2, 3, 4), F.concat(F.lit("Country: "), "text")).otherwise(F.col("text")))
     return R.repeated_header_fields(R.header(again, "draft-resolution", VOCABULARY))
 
 
-@query("""WITH i AS (SELECT c_custkey, unnest(['(h)', '(i)', '(j)', '(ii)', '(i)', '(b)', '(iv)', '(v)', '(c)']) AS t, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS i, unnest([false, false, false, true, true, false, true, true, false]) AS is_roman FROM customer) SELECT c_custkey AS doc_id, i AS idx, is_roman FROM i""")
+@query("""WITH RECURSIVE v AS (SELECT unnest(['a', 'b', 'c', 'd', 'h', 'i', 'ii', 'iv', 'v', 'vi', 'x']) AS t, unnest([NULL, NULL, 100, 500, NULL, 1, 2, 4, 5, 6, 10]) AS n), r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS idx, CASE WHEN l_suppkey % 6 > 0 THEN ['a', 'b', 'c', 'd', 'h', 'i', 'ii', 'iv', 'v', 'vi', 'x'][(l_partkey % 11 + 1)::INT] END AS t FROM lineitem),
+ w AS (SELECT l_orderkey, idx, t, NULL::VARCHAR AS before FROM r WHERE idx = 1 UNION ALL SELECT r.l_orderkey, r.idx, r.t, coalesce(w.t, w.before) FROM w JOIN r ON r.l_orderkey = w.l_orderkey AND r.idx = w.idx + 1)
+ SELECT w.l_orderkey AS doc_id, idx, CASE WHEN v.n IS NULL THEN false WHEN length(w.t) > 1 THEN true WHEN w.t = 'i' THEN before IS NULL OR before <> 'h' ELSE coalesce(b.n + 1 = v.n, false) END AS is_roman FROM w LEFT JOIN v ON v.t = w.t LEFT JOIN v b ON b.t = w.before""")
 def roman_items(spark, sf_dir):
-    tokens = F.array(*[F.lit(x) for x in ("(h)", "(i)", "(j)", "(ii)", "(i)", "(b)", "(iv)", "(v)", "(c)")])
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.posexplode(F.transform(tokens, lambda t: F.concat(t, F.lit(" "), "c_name"))).alias("idx", "text"))
+    """Tokens of orders' items, as the parts say; some items have none."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    tokens = F.array(*map(F.lit, ("a", "b", "c", "d", "h", "i", "ii", "iv", "v", "vi", "x")))
+    token = F.when(F.col("l_suppkey") % 6 > 0, F.concat(F.lit("("), F.get(tokens, (F.col("l_partkey") % 11).cast("int")), F.lit(") text"))).otherwise("text")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(w).cast("long").alias("idx"), token.alias("text"))
     return S.roman_items(rows, ["doc_id"], "idx").select("doc_id", "idx", "is_roman")
 
 
@@ -466,10 +483,16 @@ def package_audit(spark, sf_dir):
     return K.package_audit(K.package_entries(packages(spark, sf_dir)))
 
 
-@query("""SELECT doc_id::VARCHAR AS doc_id, true AS safe FROM documents WHERE text IS NOT NULL""")
+@query("""SELECT doc_id::VARCHAR AS doc_id, doc_id % 8 NOT IN (1, 2, 3, 5, 6) AS safe FROM documents WHERE doc_id IS NOT NULL""")
 def safe_packages(spark, sf_dir):
-    docs = packages(spark, sf_dir)
-    return K.safe_to_render(K.package_entries(docs), K.read_relationships(docs))
+    """Documents as packages with macros, embedded objects, pictures from outside, links, and plain ones."""
+    k = F.col("doc_id") % 8
+    d = table(spark, sf_dir, "documents").where("doc_id is not null")
+    extra = F.when(k == 1, "word/vbaProject.bin").when(k == 2, "word/embeddings/x.bin").when(k == 3, "word/activeX/activeX1.xml").otherwise("word/media/a.png")
+    entries = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.explode(F.array(F.lit("word/document.xml"), extra)).alias("name"))
+    target = F.when(k == 4, "https://example.org/a").when(k == 5, "https://example.org/a.png").when(k == 6, "//host/share").otherwise("media/a.png")
+    links = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("p").alias("part"), F.lit("r1").alias("id"), F.when(k == 4, "x/hyperlink").otherwise("x/image").alias("type"), target.alias("target"), F.when(k.isin(4, 5), "External").otherwise("Internal").alias("mode"))
+    return K.safe_to_render(entries, links)
 
 
 def mixed_packages(spark, sf_dir) -> DataFrame:
@@ -521,6 +544,59 @@ def broken_package_rules(spark, sf_dir):
     return K.package_audit(K.package_entries(mixed_packages(spark, sf_dir))).select("doc_id", "rule")
 
 
+def numbered_packages(spark, sf_dir) -> DataFrame:
+    """Suppliers as packages with a list of two levels, whose instances override a level or a start, or nothing."""
+    name = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    level = lambda i, start, fmt, text: f'<w:lvl w:ilvl="{i}"><w:start w:val="{start}"/><w:numFmt w:val="{fmt}"/><w:lvlText w:val="{text}"/></w:lvl>'
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = []
+            for k in batch.column(0).to_pylist():
+                own = {1: level(0, 3, "upperRoman", "%1)"), 2: ""}.get(k % 4, None)
+                start = f'<w:startOverride w:val="{k % 9 + 1}"/>' if k % 4 in (1, 2) and k % 3 else ""
+                override = f'<w:lvlOverride w:ilvl="0">{start}{own}</w:lvlOverride>' if own is not None else ""
+                levels = level(0, k % 5 + 1, "decimal", "%1.") + level(1, 1, "lowerLetter", "(%2)")
+                body = f'<w:numbering xmlns:w="{name}"><w:abstractNum w:abstractNumId="7">{levels}</w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="7"/>{override}</w:num></w:numbering>'
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+                    z.writestr("[Content_Types].xml", "<Types/>")
+                    z.writestr("word/numbering.xml", body)
+                content.append(out.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(content, pa.binary())], ["doc_id", "content"])
+
+    return table(spark, sf_dir, "supplier").select("s_suppkey").mapInArrow(made, "doc_id string, content binary")
+
+
+@query("""SELECT s_suppkey::VARCHAR AS doc_id, '1' AS num_id, 0 AS ilvl, CASE WHEN s_suppkey % 4 = 1 THEN 'upperRoman' ELSE 'decimal' END AS fmt, CASE WHEN s_suppkey % 4 = 1 THEN '%1)' ELSE '%1.' END AS lvl_text, CASE WHEN s_suppkey % 4 IN (1, 2) AND s_suppkey % 3 <> 0 THEN s_suppkey % 9 + 1 WHEN s_suppkey % 4 = 1 THEN 3 ELSE s_suppkey % 5 + 1 END::INT AS start FROM supplier UNION ALL SELECT s_suppkey::VARCHAR, '1', 1, 'lowerLetter', '(%2)', 1 FROM supplier""")
+def list_levels(spark, sf_dir):
+    """The levels that instances have: their own, else the abstract list's, and their start override over both."""
+    return K.read_list_levels(numbered_packages(spark, sf_dir)).select("doc_id", "num_id", "ilvl", "fmt", "lvl_text", "start")
+
+
+@query("""WITH a AS (SELECT s_suppkey AS doc_id, unnest([0, 1]) AS ilvl FROM supplier) SELECT doc_id, '1' AS num_id, ilvl, CASE (doc_id + ilvl) % 6 WHEN 1 THEN 'removed' WHEN 2 THEN 'start' WHEN 3 THEN 'format' WHEN 4 THEN 'text' END AS code FROM a WHERE (doc_id + ilvl) % 6 BETWEEN 1 AND 4 UNION ALL SELECT s_suppkey, '1', 2, 'created' FROM supplier WHERE s_suppkey % 7 = 0""")
+def level_audit(spark, sf_dir):
+    """List levels of which each second has a rule; some keep to it, some lose a level, a start, their format or text."""
+    a = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.lit("1").alias("num_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("ilvl"))
+    k = (F.col("doc_id") + F.col("ilvl")) % 6
+    before = a.select("*", F.lit("decimal").alias("fmt"), F.lit("%1.").alias("lvl_text"), F.lit(1).alias("start"))
+    rules = a.where(k % 2 == 0).select("*", F.lit("lowerLetter").alias("fmt"), F.lit("(%1)").alias("lvl_text"))
+    after = a.where(k != 1).select("*", F.when((k % 2 == 0) & (k != 3), "lowerLetter").when(k == 3, "upperRoman").otherwise("decimal").alias("fmt"), F.when(k == 4, "[%1]").when(k % 2 == 0, "(%1)").otherwise("%1.").alias("lvl_text"), F.when(k == 2, 4).otherwise(1).alias("start"))
+    created = table(spark, sf_dir, "supplier").where("s_suppkey % 7 = 0").select(F.col("s_suppkey").alias("doc_id"), F.lit("1").alias("num_id"), F.lit(2).alias("ilvl"), F.lit("decimal").alias("fmt"), F.lit("%3").alias("lvl_text"), F.lit(1).alias("start"))
+    return K.level_audit(before, after.unionByName(created), rules)
+
+
+@query("""WITH l AS (SELECT page_id::VARCHAR AS doc_id, i::VARCHAR AS id, (page_id + i) % 7 AS k FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS a FROM pages), LATERAL (SELECT generate_subscripts(a, 1) AS i)) SELECT doc_id, 'page' AS part, id, CASE k WHEN 0 THEN 'removed' WHEN 1 THEN 'changed' WHEN 3 THEN 'repeated' END AS kind FROM l WHERE k = 0 OR k = 1 OR k = 3""")
+def relationship_audit(spark, sf_dir):
+    """The links of each page: some gone, some changed, some changed by a rule, some given twice."""
+    found = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    r = table(spark, sf_dir, "pages").select("page_id", F.posexplode(found).alias("i", "target"))
+    k = (F.col("page_id") + F.col("i") + 1) % 7
+    before = r.select(F.col("page_id").cast("string").alias("doc_id"), F.lit("page").alias("part"), (F.col("i") + 1).cast("string").alias("id"), F.lit("link").alias("type"), "target", F.lit("Internal").alias("mode"), k.alias("k"))
+    after = before.where("k <> 0").withColumn("target", F.when(F.col("k").isin(1, 2), F.concat("target", F.lit("#"))).otherwise(F.col("target")))
+    return K.relationship_audit(before, after.union(after.where("k = 3")), before.where("k = 2"))
+
+
 # --- comparisons without an SQL form: alignments; tested on small tables
 
 
