@@ -54,6 +54,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(spark: SparkSession) -> None:
+    """From now on this session's Python workers get few rows and bytes at a time, whatever action reads a lazy result.
+
+    Long texts in batches of the usual 10,000 rows take a few hundred MB of an executor's memory outside its heap.
+    """
+    for k, v in WHILE_WRITING.items():
+        if ".arrow." in k:
+            spark.conf.set(k, v)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a written table that nothing reads any more."""
     spark = table.sparkSession
