@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import bundled, unbundled, written
+from quirelake.llm.common import bundled, lean, unbundled, written
 from quirelake.llm.decontaminate import decontaminate
 from quirelake.llm.near_dedup import without_copies
 from quirelake.llm.packing import pack
@@ -23,6 +23,7 @@ SHINGLE = 5
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
+    lean(spark)
     judged = classify(bundled(docs, "source", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return unbundled(judged.where("kept"), docs.columns)
 
@@ -30,11 +31,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id. Rows are judged by their own text, so
     of rows that repeat an id with other texts each stays or goes with its group; of equal rows one stays."""
+    lean(spark)
     return unbundled(without_copies(bundled(docs), size=SHINGLE), docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the sentences that repeat an earlier span; n_chars follows the text."""
+    lean(spark)
     short = deduplicate(bundled(docs)).where("kept")
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("_rest.n_chars"))
     return unbundled(short, docs.columns, n_chars=n_chars)
@@ -42,12 +45,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
+    lean(spark)
     found = decontaminate(bundled(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return unbundled(found.where("kept"), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences."""
+    lean(spark)
     return pack(docs)
 
 
