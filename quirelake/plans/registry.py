@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from quirelake.plans import damaged, papers, suites  # noqa: F401  they register their queries
+    from quirelake.plans import damaged, papers, pieces, suites  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:
