@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelake.operators.damage import hit
 from quirelake.operators.names import missing_fields
 from quirelake.operators.sequences import top_k_per_group
 
@@ -78,6 +79,6 @@ def edit_summary(edits: DataFrame, doc: str, note: str, idx: str) -> DataFrame:
 
 
 def perturb(p: DataFrame, share: int, seed: int, change: Column, keys: list[str]) -> DataFrame:
-    """p with text changed in one row of `share`, chosen by a hash of the keys, so the same rows at any partitioning."""
-    hit = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(share)) == 0
-    return p.withColumn("text", F.when(hit, change).otherwise(F.col("text")))
+    """p with text changed in one row of `share`, drawn by a hash of the keys, so the same rows at any partitioning and in
+    other engines (see `damage` for the operations of papers)."""
+    return p.withColumn("text", F.when(hit("perturb", seed, share, *keys), change).otherwise(F.col("text")))

@@ -627,6 +627,6 @@ def effective_compare(spark, sf_dir):
     return P.effective_compare(after, p)
 
 
-@query()
+@query(f"""WITH {LINES} SELECT doc_id, para_idx, CASE WHEN ('0x' || substr(md5('perturb:7:' || doc_id || ':' || para_idx), 1, 8))::BIGINT % 10 = 0 THEN '[' || text || ']' ELSE text END AS text FROM lines""")
 def perturbed_lines(spark, sf_dir):
-    return E.perturb(lines(spark, sf_dir), 10, 7, F.upper("text"), ["doc_id", "para_idx"])
+    return E.perturb(lines(spark, sf_dir), 10, 7, F.concat(F.lit("["), "text", F.lit("]")), ["doc_id", "para_idx"])
