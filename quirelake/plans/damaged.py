@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelake.functions import clauses as C
 from quirelake.functions import text as T
 from quirelake.operators import damage as D
 from quirelake.operators import layout as L
@@ -13,6 +14,7 @@ from quirelake.operators import lines as Z
 from quirelake.operators import names as M
 from quirelake.operators import planning as P
 from quirelake.operators import recognition as R
+from quirelake.operators import snapshots as X
 from quirelake.plans.papers import VOCABULARY
 from quirelake.plans.registry import query
 from quirelake.plans.suites import LINES, lines, table
@@ -313,3 +315,41 @@ def gazetteer_kinds(spark, sf_dir):
     names = n.select(F.concat(F.lit("the "), "n_name").alias("formal_en"), short.alias("short_en"), F.lit(None).cast("string").alias("short_zh"))
     geography = n.select((1000 + k).cast("string").alias("id"), F.col("n_name").alias("name_en"), F.lit(None).cast("string").alias("name_zh"))
     return build_gazetteer(names, geography, checked_on="2024-05-01", strict=True).select("formal_en", "id", "kind", "checked_on")
+
+
+# --- verbs and structure
+
+
+@query("""WITH i AS (SELECT l_orderkey AS doc_id, l_linenumber AS para_idx, min(l_returnflag) AS f, min(l_partkey) AS k, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2)
+ SELECT doc_id, para_idx, CASE WHEN f = 'A' THEN 'no-preambulatory-verb' ELSE 'no-operative-verb' END AS code FROM i WHERE k % 4 <> 0 AND (f = 'A' OR f = 'N' AND s % 3 = 0 AND k % 5 <> 0)""")
+def verb_warnings(spark, sf_dir):
+    """Clauses of which every fourth opens with its verb; sub-clauses, introductions that end in a colon and headings are free."""
+    i = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("para_idx")).agg(F.min("l_returnflag").alias("f"), F.min("l_partkey").alias("k"), F.min("l_suppkey").alias("s"))
+    k = F.col("k")
+    kind = F.when(F.col("f") == "A", "preambulatory").when(F.col("f") == "N", "operative").otherwise("heading")
+    verb = F.when(F.col("f") == "A", "Noting").otherwise("Requests")
+    text = F.concat(F.when(k % 4 == 0, verb).when(k % 4 == 1, F.concat(verb, F.lit("x"))).otherwise("Others"), F.lit(" part "), k.cast("string"), F.when(k % 5 == 0, " ： ").otherwise("."))
+    clauses = i.select("doc_id", "para_idx", kind.alias("kind"), (F.col("s") % 3).cast("int").alias("level"), text.alias("text"))
+    found = C.longest_phrase(F.col("text"), ["Noting", "Requests"])
+    return P.verb_warnings(clauses, found)
+
+
+@query("""WITH d AS (SELECT l_orderkey AS doc_id, l_returnflag AS tag, count(*) AS n, count(*) FILTER (WHERE l_partkey % 4 <> 0) + count(*) FILTER (WHERE l_suppkey % 5 = 0) AS now FROM lineitem GROUP BY 1, 2) SELECT doc_id, tag, n - now AS lost FROM d WHERE n > now""")
+def structure_losses(spark, sf_dir):
+    """Tags of orders' items of which every fourth is gone and every fifth stands twice."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("tag"), "l_partkey", "l_suppkey")
+    count = lambda df: df.groupBy("doc_id", "tag").agg(F.count("*").alias("n"))
+    after = li.where("l_partkey % 4 <> 0").union(li.where("l_suppkey % 5 = 0"))
+    return X.structure_losses(count(li), count(after), "doc_id")
+
+
+# --- committees and lists of states that go on
+
+
+@query("""WITH c AS (SELECT c_custkey, c_mktsegment AS m, c_custkey % 6 AS k, c_custkey % 3 AS j FROM customer) SELECT c_custkey, k IN (0, 1, 3) AS committee, j = 0 AS subject FROM c""")
+def committee_lines(spark, sf_dir):
+    """Lines that address the committee itself, with an article or without, and organ lines in general."""
+    c, m, k, j = table(spark, sf_dir, "customer"), F.col("c_mktsegment"), F.col("c_custkey") % 6, F.col("c_custkey") % 3
+    line = F.when(k == 0, F.concat(F.lit("The "), m, F.lit(" Council,"))).when(k == 1, F.concat(m, F.lit(" Council， "))).when(k == 2, F.concat(m, F.lit(" Council"))).when(k == 3, F.concat(F.lit("the "), F.lower(m), F.lit(" council,"))).when(k == 4, F.concat(m, F.lit(" Board,"))).otherwise(",")
+    organ = F.when(j == 0, "The Security Council,").when(j == 1, "Recalling the Council,").otherwise("Some people came,")
+    return c.select("c_custkey", C.is_committee_subject(line, F.concat(F.lit("The "), m, F.lit(" Council"))).alias("committee"), C.is_subject_line(organ, ["Recalling"]).alias("subject"))
