@@ -176,12 +176,22 @@ def clauses(headed: DataFrame, document_type: str, vocabulary: Vocabulary, inden
 
     kind: heading, preambulatory, operative, body or unknown. indents: language -> (left, hanging) of each list level.
     """
-    df = headed.where((F.col("line") != "") & (F.col("para_idx") >= F.col("body_start")) & F.col("role").isNull())
+    body = headed.where((F.col("line") != "") & (F.col("para_idx") >= F.col("body_start")) & F.col("role").isNull())
+    df = _judged(body, F.lit(True), document_type, vocabulary, indents, [])
+    return df.select("doc_id", "para_idx", F.when(F.col("_heading"), F.col("line")).otherwise(F.col("_clean")).alias("text"), "_k.kind", "level", "_k.confidence", F.col("_subject").alias("is_subject"), "language", "line")
+
+
+def _judged(headed: DataFrame, body: Column, document_type: str, vocabulary: Vocabulary, indents: dict[str, list[tuple[int, int]]] | None, carried: list[str]) -> DataFrame:
+    """Rows of header() that are not blank, with level, _heading, _subject, _clean (without marker) and _k (kind and
+    confidence) where body holds; rows where it doesn't stand above the body. carried: further columns to keep."""
     line = F.col("line")
     optional = lambda c, kind: F.col(c).cast(kind) if c in headed.columns else F.lit(None).cast(kind)
-    part = line.rlike(PART)
-    subject = ~part & is_committee_subject(line, F.col("committee"), vocabulary)
-    df = df.withColumns({"_heading": part | subject, "_subject": subject, "_native": optional("native_level", "int"), "_token": F.when(~(part | subject), N.paren_token(line))})
+    df = headed.withColumn("_body", body)
+    # columns that others name stand in projections of their own, so they are worked out once
+    df = df.withColumn("_part", F.col("_body") & line.rlike(PART))
+    df = df.withColumn("_subject", F.col("_body") & ~F.col("_part") & is_committee_subject(line, F.col("committee"), vocabulary))
+    df = df.withColumns({"_heading": F.col("_part") | F.col("_subject"), "_native": optional("native_level", "int")})
+    df = df.withColumn("_token", F.when(F.col("_body") & ~F.col("_heading"), N.paren_token(line)))
     before = Window.partitionBy("doc_id").orderBy("para_idx").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_previous", F.last("_token", ignorenulls=True).over(before))
     fixed = F.lit(None).cast("int")
@@ -194,44 +204,51 @@ def clauses(headed: DataFrame, document_type: str, vocabulary: Vocabulary, inden
         for level, (a, b) in reversed(list(enumerate(levels))):
             if level:
                 of_indent = F.when((F.col("language") == language) & (left == a) & (hanging == b), level).otherwise(of_indent)
-    digit = N.paren_digit(line)
-    opens = F.col("_native").isNotNull() | F.col("_token").isNotNull() | digit | fixed.isNotNull() | line.rlike("[：:]$")
+    df = df.withColumns({"_fixed": fixed, "_digit": N.paren_digit(line)})
+    opens = F.col("_native").isNotNull() | F.col("_token").isNotNull() | F.col("_digit") | F.col("_fixed").isNotNull() | line.rlike("[：:]$")
     x = F.struct(
-        F.col("_heading").alias("heading"), N.is_roman_token(F.col("_token"), F.col("_previous")).alias("roman"), digit.alias("digit"), fixed.alias("fixed"),
+        (F.col("_heading") | ~F.col("_body")).alias("heading"), (F.col("_token").isNotNull() & N.is_roman_token(F.col("_token"), F.col("_previous"))).alias("roman"), F.col("_digit").alias("digit"), F.col("_fixed").alias("fixed"),
         F.col("_native").alias("native_level"), of_indent.alias("indent_level"), F.coalesce(opens, F.lit(False)).alias("opens"),
     )
     # rows travel with what the fold needs, so they are worked out once
-    kept = ["para_idx", "line", "language", "_heading", "_subject", "_native"]
+    kept = ["para_idx", "line", "language", "_heading", "_subject", "_native", "_body", *carried]
     ordered = df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para_idx", x.alias("x"), F.struct(*kept).alias("row")))).alias("_r"))
     levels = _levels_fold(F.transform("_r", lambda a: a.x))
     df = ordered.select("doc_id", F.explode_outer(F.arrays_zip(F.col("_r").alias("r"), levels.alias("level"))).alias("z")).select("doc_id", *[F.col(f"z.r.row.{c}") for c in kept], "z.level")
-    clean = T.strip_marker(line)
-    df = operative_boundary(df, clean, vocabulary) if document_type == "draft-resolution" else df.withColumn("_top", F.lit(None).cast("int"))
-    df = df.withColumn("_seen", F.coalesce(F.max("_subject").over(before), F.lit(False)))
+    df = df.withColumn("_clean", T.strip_marker(line))
+    resolution = document_type == "draft-resolution"
+    df = operative_boundary(df, F.col("_clean"), vocabulary) if resolution else df.withColumn("_top", F.lit(None).cast("int"))
+    # only resolutions ask whether a subject came before
+    df = df.withColumn("_seen", F.coalesce(F.max("_subject").over(before), F.lit(False)) if resolution else F.lit(False))
     guess = F.lit(None).cast("struct<kind:string,confidence:double>")
     for language, kinds in vocabulary.items():
-        guess = F.when(F.col("language") == language, C.classify_clause(clean, document_type, kinds["preambulatory"], kinds["operative"], F.col("_seen"))).otherwise(guess)
+        guess = F.when(F.col("language") == language, C.classify_clause(F.col("_clean"), document_type, kinds["preambulatory"], kinds["operative"], F.col("_seen"))).otherwise(guess)
     pair = lambda k, c: F.struct(F.lit(k).alias("kind"), F.lit(c).cast("double").alias("confidence"))
     by_place = F.when(F.col("para_idx") < F.col("_top"), pair("preambulatory", 0.98)).otherwise(pair("operative", 0.98))
-    df = df.withColumn("_k", F.when(F.col("_heading"), pair("heading", 1.0)).when(F.col("_top").isNotNull(), by_place).otherwise(guess))
+    judged = F.when(F.col("_heading"), pair("heading", 1.0)).when(F.col("_top").isNotNull(), by_place).otherwise(guess)
+    df = df.withColumn("_k", F.when(F.col("_body"), judged))
     level = F.when(F.col("_heading") | (F.col("_k.kind") == "preambulatory") & F.col("_top").isNotNull(), 0).otherwise(F.col("level"))
-    return df.select("doc_id", "para_idx", F.when(F.col("_heading"), line).otherwise(clean).alias("text"), "_k.kind", level.cast("int").alias("level"), "_k.confidence", F.col("_subject").alias("is_subject"), "language", "line")
+    return df.withColumn("level", F.when(F.col("_body"), level).cast("int"))
 
 
 def operative_boundary(df: DataFrame, clean: Column, vocabulary: Vocabulary) -> DataFrame:
     """df (body rows) with _top, the first operative row of a resolution: the first with a top-level number, or an
     earlier one that opens with an operative verb right before a sub-clause."""
     w = _doc("para_idx")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     verb = opens_with(clean, vocabulary, "operative", F.col("language"))
-    df = df.withColumn("_first", F.min(F.when(F.col("line").rlike(TOP_NUMBER) | (F.col("_native") == 0), F.col("para_idx"))).over(_doc()))
-    df = df.withColumn("_early", verb & F.lead("line").over(w).rlike(SUBCLAUSE) & (F.lead("para_idx").over(w) < F.col("_first")))
-    early = F.min(F.when(F.col("_early"), F.col("para_idx"))).over(_doc())
-    return df.withColumn("_top", F.when(F.col("_first").isNotNull(), F.coalesce(early, "_first"))).drop("_first", "_early")
+    own = F.col("_body") & (F.col("line").rlike(TOP_NUMBER) | (F.col("_native") == 0))
+    df = df.withColumns({"_first": F.min(F.when(own, F.col("para_idx"))).over(whole), "_next": F.lead("line").over(w), "_at": F.lead("para_idx").over(w)})
+    df = df.withColumn("_early", F.col("_body") & (F.col("_at") < F.col("_first")) & F.col("_next").rlike(SUBCLAUSE) & verb)
+    early = F.min(F.when(F.col("_early"), F.col("para_idx"))).over(whole)
+    return df.withColumn("_top", F.when(F.col("_first").isNotNull(), F.coalesce(early, "_first"))).drop("_first", "_early", "_next", "_at")
 
 
 def max_level(clause_rows: DataFrame) -> DataFrame:
     """doc_id and the number of levels of its clauses."""
-    return clause_rows.where("kind <> 'heading'").groupBy("doc_id").agg((F.max("level") + 1).alias("levels"))
+    # a filter on kind would be pushed below it and work it out twice
+    counted = F.col("kind") != "heading"
+    return clause_rows.groupBy("doc_id").agg((F.max(F.when(counted, F.col("level"))) + 1).alias("levels"), F.count_if(counted).alias("_n")).where("_n > 0").drop("_n")
 
 
 def roles(headed: DataFrame, clause_rows: DataFrame, document_type: str, with_subject: bool = True) -> DataFrame:
@@ -240,9 +257,21 @@ def roles(headed: DataFrame, clause_rows: DataFrame, document_type: str, with_su
     headed may hold list_key (list and list level of native list items): such items nest by nest_native_items.
     """
     kinds = clause_rows.select("doc_id", "para_idx", "kind", F.col("level").alias("_level"), "is_subject")
-    df = headed.where(F.col("line") != "").join(kinds.hint("merge"), ["doc_id", "para_idx"], "left")
+    return _roles(headed.where(F.col("line") != "").join(kinds.hint("merge"), ["doc_id", "para_idx"], "left"), document_type, with_subject)
+
+
+def document_roles(headed: DataFrame, document_type: str, vocabulary: Vocabulary, indents: dict[str, list[tuple[int, int]]] | None = None, with_subject: bool = True) -> DataFrame:
+    """roles() of header() and its clauses in one pass: clauses are not joined back to their rows."""
+    body = (F.col("para_idx") >= F.col("body_start")) & F.col("role").isNull()
+    carried = ["role", "body_start", *[c for c in ("native_level", "list_key") if c in headed.columns]]
+    df = _judged(headed.where(F.col("line") != ""), body, document_type, vocabulary, indents, carried)
+    return _roles(df.withColumns({"kind": F.col("_k.kind"), "_level": F.col("level"), "is_subject": F.when(F.col("_body"), F.col("_subject"))}), document_type, with_subject)
+
+
+def _roles(df: DataFrame, document_type: str, with_subject: bool) -> DataFrame:
+    """Roles of rows of header() that have their clause's kind, _level and is_subject."""
     operative_type = document_type in ("draft-directive", "draft-resolution") or "amendment" in document_type
-    native = F.col("native_level").isNotNull() if "native_level" in headed.columns else F.lit(False)
+    native = F.col("native_level").isNotNull() if "native_level" in df.columns else F.lit(False)
     listed = (F.col("_level") > 0) | native | T.has_marker(F.col("line"))
     if document_type == "position-paper":
         level = F.when(F.col("line").rlike(r"^\s*\d+\s*[.、．)]"), 0).when(F.col("line").rlike(r"(?i)^\s*(?:[a-h]|[j-u]|[w-z])\s*[.)]"), 1).when(F.col("line").rlike(r"(?i)^\s*[ivx]+\s*[.)]"), 2)
@@ -259,7 +288,7 @@ def roles(headed: DataFrame, clause_rows: DataFrame, document_type: str, with_su
     df = df.withColumn("_role", role)
     operative = F.when(F.col("_role") == "item", operative_type).when(F.col("_role") == "prose", F.lit(operative_type) & F.coalesce(F.col("kind") == "operative", F.lit(False))).otherwise(False)
     group = F.when(continued, F.substr("role", F.lit(2))).when(F.col("role").isin(*LISTS), F.col("role"))
-    listed_by = ["list_key"] if "list_key" in headed.columns else []
+    listed_by = ["list_key"] if "list_key" in df.columns else []
     df = df.select("doc_id", "para_idx", F.col("_role").alias("role"), F.when(F.col("_role").isin("item", "prose"), F.coalesce(level, F.lit(0))).otherwise(0).cast("int").alias("level"), group.alias("group"), operative.alias("operative"), F.col("line").alias("text"), "language", *listed_by)
     return nest_native_items(df) if listed_by else df
 

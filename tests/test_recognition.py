@@ -83,3 +83,24 @@ def test_native_lists_nest_behind_colons(spark):
     assert [r.level for r in R.nest_native_items(rows).orderBy("para_idx").collect()] == [0, 1, 1, 1, 0, 0, 0, 1]
     after = rows.withColumn("list_key", F.when(F.col("para_idx") == 4, "8:0").otherwise(F.col("list_key"))).where("para_idx <> 3")
     assert [r.level for r in R.nest_native_items(after).orderBy("para_idx").collect()] == [0, 1, 1, 2, 0, 2, 1]
+
+
+def test_roles_in_one_pass(spark):
+    """Roles without a join back to the rows, and without a second read of them: the same as from both tables."""
+    for document_type in ("draft-resolution", "working-paper", "draft-directive", "position-paper"):
+        ids = [d for d, sample in SAMPLES.items() if sample[0] == document_type]
+        p = paragraphs(spark, ids).union(spark.createDataFrame([(d, 100, " ") for d in ids], "doc_id long, para_idx int, text string"))
+        headed = R.header(p, document_type, VOCABULARY)
+        once = R.document_roles(headed, document_type, VOCABULARY)
+        both = R.roles(headed, R.clauses(headed, document_type, VOCABULARY), document_type)
+        assert once.columns == both.columns
+        assert sorted(map(str, once.collect())) == sorted(map(str, both.collect()))
+        plan = once._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("LogicalRDD") <= 2
+
+
+def test_levels_of_headings_alone(spark):
+    """A document of headings has no levels; a document with one clause has one. The kind isn't worked out for a filter."""
+    rows = [(1, 0, "heading", 0), (2, 0, "heading", 0), (2, 1, "operative", 0), (3, 0, "operative", 2)]
+    c = spark.createDataFrame(rows, "doc_id long, para_idx int, kind string, level int")
+    assert sorted(map(tuple, R.max_level(c).collect())) == [(2, 1), (3, 3)]
