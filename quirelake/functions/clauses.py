@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,9 +19,20 @@ DEFAULTS = {"working-paper": ("body", 0.72), "draft-directive": ("operative", 0.
 
 def starts_with_any(text: Column, phrases: list[str]) -> Column:
     """Whether the text starts with one of the phrases, whatever its case."""
+    if not phrases:
+        return F.lit(False)
+    if all(c.isascii() or c.lower() == c.upper() for p in phrases for c in p):
+        return text.rlike(f"^ *(?:{'|'.join(map(_any_case, phrases))})")
     low = F.lower(F.ltrim(text))
-    lowered = F.array(*[F.lit(p.lower()) for p in phrases]) if phrases else F.array().cast("array<string>")
-    return F.exists(lowered, lambda p: F.startswith(low, p))
+    return reduce(or_, [F.startswith(low, F.lit(p.lower())) for p in phrases])
+
+
+def _any_case(phrase: str) -> str:
+    """A pattern of the texts that begin with the phrase once they are lower-cased: letters, and the Kelvin sign and the
+    dotted capital I (which becomes i and a mark) where they do."""
+    last = len(phrase) - 1
+    extra = lambda i, c: "\u212a" if c == "k" else "\u0130" if c == "i" and i == last else ""
+    return "".join(f"[{c}{c.upper()}{extra(i, c)}]" if "a" <= c <= "z" else re.sub(r"([\\^$.|?*+()\[\]{}\-])", r"\\\1", c) for i, c in enumerate(phrase.lower()))
 
 
 def longest_phrase(text: Column, phrases: list[str], whole_words: bool = True) -> Column:
@@ -40,11 +55,20 @@ def classify_clause(text: Column, document_type: str, preambulatory: list[str],
 
 
 def is_subject_line(text: Column, verbs: list[str]) -> Column:
-    return ~starts_with_any(text, verbs) & (text.rlike(SUBJECT_LINES[0]) | text.rlike(SUBJECT_LINES[1]))
+    return (text.rlike(SUBJECT_LINES[0]) | text.rlike(SUBJECT_LINES[1])) & ~starts_with_any(text, verbs)
+
+
+def without_commas(text: Column) -> Column:
+    """The text without final commas, also those before a last line break."""
+    return F.when(F.contains(text, F.lit(",")) | F.contains(text, F.lit("，")), F.regexp_replace(text, "[，,]+$", "")).otherwise(text)
+
+
+def bare_organ(text: Column) -> Column:
+    return F.regexp_replace(squeeze(without_commas(squeeze(text))), r"(?i)^(?:the\s+|联合国)", "")
 
 
 def organ_name(text: Column) -> Column:
-    return F.lower(F.regexp_replace(squeeze(F.regexp_replace(squeeze(text), "[，,]+$", "")), r"(?i)^(?:the\s+|联合国)", ""))
+    return F.lower(bare_organ(text))
 
 
 def is_committee_subject(text: Column, committee: Column) -> Column:

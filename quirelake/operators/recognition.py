@@ -8,6 +8,9 @@ clauses. Vocabularies (language -> kind -> phrases) are parameters, as policy_ta
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,9 +62,13 @@ def _doc(order: str | None = None, upto: bool = False):
 def with_language(p: DataFrame) -> DataFrame:
     """p with the language of the whole document, from sums of its rows' characters."""
     text = F.coalesce("text", F.lit(""))
-    cjk = F.sum(F.length(text) - F.length(F.regexp_replace(text, T.CJK, ""))).over(_doc())
-    latin = F.sum(F.length(text) - F.length(F.regexp_replace(text, "[A-Za-z]+", ""))).over(_doc())
-    return p.withColumn("language", F.when(cjk >= F.greatest(F.lit(2), F.floor(latin / 4)), "zh").otherwise("en"))
+    without = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    # sorted by place from the first window on, so that the windows that follow need no sort of their own
+    whole = _doc("para_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # texts of ASCII alone have none, and only where there are two do Latin letters matter
+    df = p.withColumn("_cjk", F.sum(F.when(F.octet_length(text) == F.length(text), 0).otherwise(without(T.CJK))).over(whole))
+    latin = F.sum(F.when(F.col("_cjk") >= 2, without("[A-Za-z]+")).otherwise(0)).over(whole)
+    return df.withColumn("language", F.when((F.col("_cjk") >= 2) & (F.col("_cjk") >= F.floor(latin / 4)), "zh").otherwise("en")).drop("_cjk")
 
 
 def opens_with(text: Column, vocabulary: Vocabulary, kind: str, language: Column | None = None) -> Column:
@@ -84,8 +91,8 @@ def is_name_continuation(text: Column, regions: list[str] = ()) -> Column:
 
 def is_committee_subject(text: Column, committee: Column, vocabulary: Vocabulary) -> Column:
     """Whether a line addresses the body: the committee itself, a usual form, or an organ line."""
-    clean = F.lower(T.squeeze(F.regexp_replace(text, "[，,]+$", "")))
-    own = (F.coalesce(committee, F.lit("")) != "") & (C.organ_name(clean) == C.organ_name(committee))
+    clean = F.lower(T.squeeze(C.without_commas(text)))
+    own = F.when(F.coalesce(committee, F.lit("")) != "", C.bare_organ(clean) == C.organ_name(committee))
     verbs = [v for kinds in vocabulary.values() for phrases in kinds.values() for v in phrases]
     return F.coalesce(own, F.lit(False)) | clean.isin(*SUBJECTS) | T.squeeze(text).rlike(r"^The [A-Z][A-Z\s]*,$") | C.is_subject_line(T.squeeze(text), verbs)
 
@@ -100,7 +107,7 @@ def header(p: DataFrame, document_type: str, vocabulary: Vocabulary, regions: li
     """
     fields = UNLABELLED.get(document_type, ())
     df = with_language(p).withColumn("line", T.squeeze(F.coalesce("text", F.lit(""))))
-    df = df.withColumns({"_some": F.col("line") != "", "_is_title": T.looks_like_title(F.lower("line"), document_type)})
+    df = df.withColumns({"_some": F.col("line") != "", "_is_title": F.when(T.may_be_title(F.col("line"), document_type), T.looks_like_title(F.lower("line"), document_type)).otherwise(False)})
     first = lambda condition: F.min(F.when(condition, F.col("para_idx")))
     df = df.withColumn("_title", first(F.col("_some") & F.col("_is_title")).over(_doc()))
     native = F.col("native_level").isNotNull() if "native_level" in p.columns else F.lit(False)
@@ -108,10 +115,8 @@ def header(p: DataFrame, document_type: str, vocabulary: Vocabulary, regions: li
     df = df.withColumn("_limit", F.coalesce(first(F.col("_opens")).over(_doc()), F.lit(2**31 - 1)))
     df = df.withColumn("_l", F.when(F.col("_some") & (F.col("para_idx") < F.col("_limit")), T.label_value(F.col("line"))))
     df = df.withColumn("_labelled", F.coalesce(first(F.col("_l").isNotNull()).over(_doc()), F.lit(2**31 - 1)))
-    plain = (
-        F.col("_some") & (F.col("para_idx") > F.col("_title")) & (F.col("para_idx") < F.least("_labelled", "_limit")) & ~T.has_marker(F.col("line")) & (F.length("line") <= 80)
-        & ~F.col("line").rlike("[。！？!?；;]|[,，]$") & ~opens_with(F.col("line"), vocabulary, "preambulatory", F.col("language"))
-    )
+    above = F.col("_some") & (F.col("para_idx") > F.col("_title")) & (F.col("para_idx") < F.least("_labelled", "_limit")) & (F.length("line") <= 80)
+    plain = F.when(above, ~T.has_marker(F.col("line")) & ~F.col("line").rlike("[。！？!?；;]|[,，]$") & ~opens_with(F.col("line"), vocabulary, "preambulatory", F.col("language")))
     df = df.withColumn("_plain", F.coalesce(plain, F.lit(False)))
     df = df.withColumn("_nth", F.when(F.col("_plain"), F.sum(F.col("_plain").cast("int")).over(_doc("para_idx", True))))
     df = df.withColumn("_plain", F.col("_plain") & (F.col("_nth") <= len(fields)))
@@ -121,22 +126,26 @@ def header(p: DataFrame, document_type: str, vocabulary: Vocabulary, regions: li
     by_place = F.get(F.array(*map(F.lit, fields)) if fields else F.array().cast("array<string>"), F.col("_nth") - 1)
     df = df.withColumn("_field", F.coalesce(F.col("_l.key"), F.when(F.col("_plain") & enough, by_place)))
     value = F.coalesce(F.col("_l.value"), T.squeeze(F.regexp_replace("line", r"^\s*[:：]\s*", "")))
-    # the last label of a field counts, else its unlabelled line
-    rank = F.struct(F.col("_l").isNotNull(), F.col("para_idx"))
-    df = df.withColumn("_wins", F.col("_field").isNotNull() & (rank == F.max(F.when(F.col("_field").isNotNull(), rank)).over(Window.partitionBy("doc_id", "_field"))))
-    df = df.withColumn("committee", F.max(F.when(F.col("_wins") & (F.col("_field") == "committee"), value)).over(_doc()))
-    stop = (
-        F.col("_l").isNotNull() | F.col("_is_title") | is_committee_subject(F.col("line"), F.col("committee"), vocabulary) | T.has_marker(F.col("line")) | F.col("line").rlike(PART)
-        | opens_with(F.col("line"), vocabulary, "preambulatory", F.col("language")) | opens_with(F.col("line"), vocabulary, "operative", F.col("language")) | ~is_name_continuation(F.col("line"), regions)
-    )
-    # a row goes on with the list of the last label above it if nothing in between stops it
-    df = df.withColumn("_stops", F.col("_some") & stop)
-    df = df.withColumn("_run", F.sum(F.col("_stops").cast("int")).over(_doc("para_idx", True)))
-    df = df.withColumn("_of", F.first(F.when(F.col("_l.key").isin(*LISTS), F.col("_l.key"))).over(Window.partitionBy("doc_id", "_run").orderBy("para_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    df = df.withColumn("_wins_of", F.max("_wins").over(Window.partitionBy("doc_id", "_run")))
+    # the last label of a field counts, else its unlabelled line; there are few fields, so each has a maximum of its own
+    rank = F.when(F.col("_l").isNotNull(), F.lit(2**32)).otherwise(F.lit(0)) + F.col("para_idx").cast("long")
+    df = df.withColumns({"_rank": F.when(F.col("_field").isNotNull(), rank), "_value": F.when(F.col("_field").isNotNull(), value)})
+    of_field = lambda f: F.max(F.when(F.col("_field") == f, F.col("_rank"))).over(_doc())
+    df = df.withColumns({f"_best_{f}": of_field(f) for f in (*SCALARS, *LISTS)})
+    df = df.withColumn("_wins", F.coalesce(reduce(or_, [(F.col("_field") == f) & (F.col("_rank") == F.col(f"_best_{f}")) for f in (*SCALARS, *LISTS)]), F.lit(False)))
+    df = df.drop(*[f"_best_{f}" for f in (*SCALARS, *LISTS)])
+    df = df.withColumn("committee", F.max(F.when(F.col("_wins") & (F.col("_field") == "committee"), F.col("_value"))).over(_doc()))
+    # the cheap tests first; when keeps the others from being worked out beforehand, which & and | do not
+    marked = F.col("_l").isNotNull() | F.col("_is_title") | T.has_marker(F.col("line")) | F.col("line").rlike(PART)
+    opening = opens_with(F.col("line"), vocabulary, "preambulatory", F.col("language")) | opens_with(F.col("line"), vocabulary, "operative", F.col("language"))
+    stop = F.when(marked, True).when(opening, True).when(~is_name_continuation(F.col("line"), regions), True).otherwise(is_committee_subject(F.col("line"), F.col("committee"), vocabulary))
+    # a row goes on with the list of the last label above it if nothing in between stops it; labels stop, and unlabelled
+    # fields stand above all labels, so a list counts if its label does
+    df = df.withColumn("_stops", F.when(F.col("_some"), stop).otherwise(False))
+    df = df.withColumn("_stop", F.last(F.when(F.col("_stops"), F.struct(F.when(F.col("_l.key").isin(*LISTS), F.col("_l.key")).alias("of"), F.col("_wins").alias("wins"))), ignorenulls=True).over(_doc("para_idx", True)))
+    df = df.withColumns({"_of": F.col("_stop.of"), "_wins_of": F.col("_stop.wins")})
     listed = F.col("_some") & F.col("_of").isNotNull() & ~F.col("_stops") & F.coalesce("_wins_of", F.lit(False))
     role = F.when(F.col("_wins"), F.col("_field")).when(listed, F.concat(F.lit("+"), "_of")).when(F.col("_some") & F.col("_is_title"), "title")
-    df = df.withColumns({"role": role, "value": F.when(F.col("_wins"), value).when(listed, F.col("line"))})
+    df = df.withColumns({"role": role, "value": F.when(F.col("_wins"), F.col("_value")).when(listed, F.col("line"))})
     ends = F.col("role").isNotNull() | F.col("_field").isNotNull()
     df = df.withColumn("body_start", F.coalesce(F.max(F.when(ends, F.col("para_idx"))).over(_doc()) + 1, F.lit(0)))
     return df.drop(*[c for c in df.columns if c.startswith("_")])
@@ -189,7 +198,7 @@ def _judged(headed: DataFrame, body: Column, document_type: str, vocabulary: Voc
     df = headed.withColumn("_body", body)
     # columns that others name stand in projections of their own, so they are worked out once
     df = df.withColumn("_part", F.col("_body") & line.rlike(PART))
-    df = df.withColumn("_subject", F.col("_body") & ~F.col("_part") & is_committee_subject(line, F.col("committee"), vocabulary))
+    df = df.withColumn("_subject", F.when(F.col("_body") & ~F.col("_part"), is_committee_subject(line, F.col("committee"), vocabulary)).otherwise(False))
     df = df.withColumns({"_heading": F.col("_part") | F.col("_subject"), "_native": optional("native_level", "int")})
     df = df.withColumn("_token", F.when(F.col("_body") & ~F.col("_heading"), N.paren_token(line)))
     before = Window.partitionBy("doc_id").orderBy("para_idx").rowsBetween(Window.unboundedPreceding, -1)
