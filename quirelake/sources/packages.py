@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quirelake.operators.scratch import small_batches
+
 #: Limits of a package.
 LIMITS = {"upload": 20 * 2**20, "expanded": 100 * 2**20, "xml": 16 * 2**20, "parts": 5000, "ratio": 250, "depth": 256}
 METHODS = (0, 8)
@@ -63,6 +65,7 @@ def _rows(docs: DataFrame, schema: str, parse: Callable[[str, bytes], Iterator[t
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(docs.sparkSession)
     schema = f"{schema}, problem string" if "problem" not in schema else schema
     kinds = to_arrow_schema(StructType.fromDDL(schema))
 
@@ -85,6 +88,17 @@ def _rows(docs: DataFrame, schema: str, parse: Callable[[str, bytes], Iterator[t
     return docs.select("doc_id", "content").mapInArrow(run, schema)
 
 
+def package_problems(docs: DataFrame) -> DataFrame:
+    """doc_id and problem (null where there is none) of every package: its paragraphs are read and not kept."""
+
+    def parse(doc_id: str, content: bytes) -> Iterator[tuple]:
+        for _ in _paragraphs(doc_id, content):
+            pass
+        yield (doc_id,)
+
+    return _rows(docs, "doc_id string", parse)
+
+
 def failures(parsed: DataFrame) -> DataFrame:
     """doc_id and problem of the packages that a parser gave up."""
     return parsed.where("problem is not null").select("doc_id", "problem").distinct()
@@ -180,7 +194,12 @@ def package_entries(docs: DataFrame) -> DataFrame:
 
 def package_audit(entries: DataFrame) -> DataFrame:
     """doc_id, rule, name of every violation. Relational rules over package_entries."""
-    e = entries.where("problem is null")
+    # one pass: entries are parsed once, and rules on several entries are windows over one sort of a package's rows
+    same_name, whole = Window.partitionBy("doc_id", "name", "_read"), Window.partitionBy("doc_id")
+    placed = whole.orderBy("_read", "offset", "entry_idx").rowsBetween(Window.unboundedPreceding, -1)
+    narrow = [c for c in entries.columns if c != "sha256"]
+    e = entries.select(*narrow).withColumn("_read", F.col("problem").isNull())
+    own = lambda c: F.when(F.col("_read"), F.col(c))
     xml = F.col("name").rlike(r"(?i)\.(xml|rels)$")
     streamed = F.col("flags").bitwiseAND(8) != 0
     same = lambda *columns: F.array(*[F.col(c).cast("long") for c in columns])
@@ -198,15 +217,26 @@ def package_audit(entries: DataFrame) -> DataFrame:
         "malformed-xml": ~F.col("xml_ok"),
         "depth": F.col("xml_depth") > LIMITS["depth"],
     }
-    each = e.select("doc_id", "name", F.explode_outer(F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in one.items()]))).alias("rule")).where("rule is not null")
-    doubled = e.groupBy("doc_id", "name").count().where("count > 1").select("doc_id", "name", F.lit("duplicate").alias("rule"))
-    w = Window.partitionBy("doc_id").orderBy("offset")
-    overlap = e.withColumn("_end", F.max("data_end").over(w.rowsBetween(Window.unboundedPreceding, -1))).where("offset < _end").select("doc_id", "name", F.lit("overlap").alias("rule"))
-    whole = e.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("expanded").alias("bytes"), F.collect_set(F.when(F.col("name").isin(*REQUIRED), F.col("name"))).alias("have"))
-    rules = [F.when(F.col("n") > LIMITS["parts"], "too-many-parts"), F.when(F.col("bytes") > LIMITS["expanded"], "total-size"), F.when(F.size("have") < len(REQUIRED), "missing-part")]
-    total = whole.select("doc_id", F.lit(None).cast("string").alias("name"), F.explode_outer(F.array_compact(F.array(*rules))).alias("rule")).where("rule is not null")
-    broken = entries.where("problem is not null").select("doc_id", F.lit(None).cast("string").alias("name"), F.lit("unreadable").alias("rule"))
-    return each.select("doc_id", "name", "rule").union(doubled).union(overlap).union(total).union(broken).select("doc_id", "rule", "name")
+    e = e.select(
+        "doc_id", "name", "entry_idx", "offset", "data_end", "expanded", "_read", F.when(F.col("_read"), F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in one.items()]))).alias("_rules")
+    )
+    # entries at one offset follow each other as the directory has them
+    e = e.withColumns({
+        "_end": F.max(own("data_end")).over(placed), "_first": F.row_number().over(whole.orderBy("_read", "offset", "entry_idx")) == 1,
+        "_n": F.count_if("_read").over(whole), "_bytes": F.sum(own("expanded")).over(whole), "_have": F.size(F.collect_set(F.when(F.col("_read") & F.col("name").isin(*REQUIRED), F.col("name"))).over(whole)),
+    })
+    e = e.withColumns({"_times": F.count("*").over(same_name), "_turn": F.row_number().over(same_name.orderBy("entry_idx"))})
+    found = lambda rule, name: F.struct(rule.alias("rule"), name.alias("name"))
+    of_entry = F.concat(F.coalesce("_rules", F.array().cast("array<string>")), F.array_compact(F.array(
+        F.when(F.col("_read") & (F.col("_times") > 1) & (F.col("_turn") == 1), "duplicate"), F.when(F.col("_read") & (F.col("offset") < F.col("_end")), "overlap"),
+    )))
+    of_package = F.array_compact(F.array(
+        F.when(~F.col("_read"), "unreadable"), F.when(F.col("_first") & (F.col("_n") > LIMITS["parts"]), "too-many-parts"), F.when(F.col("_first") & (F.col("_bytes") > LIMITS["expanded"]), "total-size"),
+        F.when(F.col("_first") & (F.col("_n") > 0) & (F.col("_have") < len(REQUIRED)), "missing-part"),
+    ))
+    nothing = F.lit(None).cast("string")
+    both = F.concat(F.transform(of_entry, lambda r: found(r, F.col("name"))), F.transform(of_package, lambda r: found(r, nothing)))
+    return e.select("doc_id", F.explode_outer(both).alias("x")).where("x is not null").select("doc_id", "x.rule", "x.name")
 
 
 def _part(content: bytes, name: str) -> ElementTree.Element | None:

@@ -140,3 +140,13 @@ def test_reports_are_kept(spark, tmp_path):
     assert write_reports(spark.createDataFrame([("b", "t", "two"), ("c", "t", "two")], schema), out) == 1
     assert write_reports(spark.createDataFrame([("a", "t", "three")], schema), out, overwrite=True) == 1
     assert sorted((r.doc_id, r.status) for r in spark.read.json(out).collect()) == [("a", "three"), ("b", "one"), ("c", "two")]
+
+
+def test_audit_and_problems_parse_once(spark):
+    docs = spark.createDataFrame([("a", b"no package"), ("b", b""), ("c", package(**{"word/document.xml": b"<d/>"}))], "doc_id string, content binary")
+    audit = S.package_audit(S.package_entries(docs))
+    assert audit._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {(r.doc_id, r.rule) for r in audit.collect() if r.doc_id != "c"} == {("a", "unreadable"), ("b", "unreadable")}
+    again = S.package_problems(docs.union(docs.where("doc_id = 'a'")))
+    assert sorted((r.doc_id, r.problem) for r in again.where("problem is not null").collect()) == [("a", "unreadable"), ("a", "unreadable"), ("b", "unreadable")]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
