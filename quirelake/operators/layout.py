@@ -221,21 +221,26 @@ def missing_first_section(p: DataFrame) -> DataFrame:
     """Documents with a second section heading but no first before it: the nearest short heading that is followed by
     text, with a confidence (repaired from 0.9 on)."""
     heading, ends = F.regexp_extract("text", r"^\s*[（(]([一二三四五六七八九十百]+)[）)]", 1), r"[。；;！？!?]$"
-    line = squeeze(F.col("text"))
-    rows = p.where(F.col("text").rlike(r"\S")).select("doc_id", "para_idx", line.alias("text"), heading.alias("_h"))
+    rows = p.where(F.col("text").rlike(r"\S")).select("doc_id", "para_idx", squeeze(F.col("text")).alias("text"), heading.alias("_h"))
+    # what is asked of a text is judged before the shuffle: texts stay behind
+    text = F.col("text")
+    bare = squeeze(F.regexp_replace("text", r"^\s*[（(][一二三四五六七八九十百]+[）)]", ""))
+    alike = (bare != "") & (F.length(bare) <= 30) & ~bare.rlike("[。；;！？!?：:]$")
+    short = (F.length("text") <= 30) & ~text.rlike(ends) & label_value(text).isNull() & ~F.lower("text").rlike("立场文件|position paper")
+    rows = rows.select(
+        "doc_id", "para_idx", F.when(F.col("_h").isin("一", "二"), F.col("_h")).alias("_h"), short.alias("_short"), (F.length("text") >= 25).alias("_long"), text.rlike("[：:]$").alias("_colon"), F.when(F.col("_h") == "二", F.struct(bare.alias("bare"), alike.alias("alike"))).alias("_second"),
+    )
     w = Window.partitionBy("doc_id").orderBy("para_idx")
-    whole = Window.partitionBy("doc_id")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumns({
+        "_next": F.lead("_long").over(w), "_next_idx": F.lead("para_idx").over(w), "_previous": F.lag("_colon").over(w),
         "second": F.min(F.when(F.col("_h") == "二", F.col("para_idx"))).over(whole), "_first": F.min(F.when(F.col("_h") == "一", F.col("para_idx"))).over(whole),
-        "_next": F.lead("text").over(w), "_next_idx": F.lead("para_idx").over(w), "_previous": F.lag("text").over(w),
     })
-    rows = rows.withColumn("_heading", F.max(F.when(F.col("para_idx") == F.col("second"), squeeze(F.regexp_replace("text", r"^\s*[（(][一二三四五六七八九十百]+[）)]", "")))).over(whole))
+    rows = rows.withColumn("_alike", F.max(F.when(F.col("para_idx") == F.col("second"), F.col("_second"))).over(whole)["alike"])
     rows = rows.where("para_idx < second and (_first is null or _first > second)")
-    short = (F.length("text") <= 30) & ~F.col("text").rlike(ends) & label_value(F.col("text")).isNull() & ~F.lower("text").rlike("立场文件|position paper")
-    rows = rows.where(short & (F.length("_next") >= 25) & (F.col("_next_idx") < F.col("second")))
+    rows = rows.where(F.col("_short") & F.col("_next") & (F.col("_next_idx") < F.col("second")))
     near = F.col("second") - F.col("para_idx") <= 3
-    alike = (F.col("_heading") != "") & (F.length("_heading") <= 30) & ~F.col("_heading").rlike("[。；;！？!?：:]$")
-    more = F.when(F.col("_previous").rlike("[：:]$"), 0.12).otherwise(0.0) + F.when(alike, 0.08).otherwise(0.0)
+    more = F.when(F.col("_previous"), 0.12).otherwise(0.0) + F.when(F.col("_alike"), 0.08).otherwise(0.0)
     rows = rows.withColumn("confidence", F.round(F.when(near, 0.94).otherwise(0.72 + more), 2))
     return rows.groupBy("doc_id", "second").agg(F.max("para_idx").alias("candidate"), F.max_by("confidence", "para_idx").alias("confidence"))
 
