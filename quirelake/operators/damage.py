@@ -63,17 +63,17 @@ def merge_subclauses(p: DataFrame, seed: int = 0, share: int = 1, most: int = MO
     (optional): lines that take no part. Lines are numbered anew.
     """
     simple = ~F.coalesce(F.col("complex"), F.lit(False)) if "complex" in p.columns else F.lit(True)
-    p = p.withColumn("_simple", simple)
-    opens = F.regexp_replace(F.lag("text").over(_doc()), r"(?U)\s+$", "").endswith("：") & F.lag("_simple").over(_doc())
-    p = p.withColumn("_fits", F.coalesce(F.col("text").rlike(DEEP) & opens & F.col("_simple") & hit("merge_subclauses", seed, share, "doc_id", "idx"), F.lit(False)))
+    upto = _doc().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # every window has the same order, so one sort serves them all
+    p = p.withColumns({"_simple": simple, "_opens": F.col("text").rlike(r"(?U)：\s*\z") & simple, "_n": F.row_number().over(_doc())})
+    p = p.withColumn("_fits", F.coalesce(F.col("text").rlike(DEEP) & F.lag("_opens").over(_doc()) & F.col("_simple") & hit("merge_subclauses", seed, share, "doc_id", "idx"), F.lit(False)))
     # islands of lines that fit: the odd ones of each are merged
-    p = p.withColumn("_run", F.sum((~F.col("_fits")).cast("int")).over(_doc().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    place = F.row_number().over(Window.partitionBy("doc_id", "_run", "_fits").orderBy("idx"))
+    place = F.col("_n") - F.coalesce(F.max(F.when(~F.col("_fits"), F.col("_n"))).over(upto), F.lit(0))
     p = p.withColumn("_odd", F.col("_fits") & (place % 2 == 1))
-    p = p.withColumn("_goes", F.col("_odd") & (F.sum(F.col("_odd").cast("int")).over(_doc().rowsBetween(Window.unboundedPreceding, Window.currentRow)) <= most))
+    p = p.withColumn("_goes", F.col("_odd") & (F.sum(F.col("_odd").cast("int")).over(upto) <= most))
     taken = F.when(F.lead("_goes").over(_doc()), F.lead("text").over(_doc()))
     p = p.withColumn("text", F.concat("text", F.coalesce(taken, F.lit("")))).where("not _goes")
-    return renumbered(p.drop("_simple", "_fits", "_run", "_odd", "_goes"))
+    return renumbered(p.drop("_simple", "_opens", "_n", "_fits", "_odd", "_goes"))
 
 
 def drop_list_number(p: DataFrame, seed: int = 0, share: int = 1, most: int = MOST_DROPPED) -> DataFrame:

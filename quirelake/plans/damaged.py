@@ -17,7 +17,7 @@ from quirelake.operators import recognition as R
 from quirelake.operators import snapshots as X
 from quirelake.plans.papers import VOCABULARY
 from quirelake.plans.registry import query
-from quirelake.plans.suites import LINES, lines, table
+from quirelake.plans.suites import LINES, lines, spread, table
 from quirelake.sources.reference_tables import build_gazetteer
 
 SEED = 11
@@ -32,11 +32,14 @@ DRAW = "('0x' || substr(md5('{0}:" + str(SEED) + ":' || {1}), 1, 8))::BIGINT"
 def clauses(spark, sf_dir) -> DataFrame:
     """doc_id, idx, text, num_id, left, first."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    items = table(spark, sf_dir, "lineitem").withColumn("idx", (F.row_number().over(w) - 1).cast("long")).join(table(spark, sf_dir, "part").hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
+    lineitem = table(spark, sf_dir, "lineitem")
+    n = lineitem.count()
+    items = spread(lineitem, n, "l_orderkey").withColumn("idx", (F.row_number().over(w) - 1).cast("long")).join(table(spark, sf_dir, "part").hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
     kind = (F.col("l_partkey") + F.col("idx")) % 6
     head = F.get(F.array(*map(F.lit, ("第一条 决定", "（子）", "（丑）", "（甲）", "（一）", "另"))), kind.cast("int"))
     tail = F.when((F.col("l_linestatus") == "O") | kind.isin(0, 5), "：").otherwise("；")
-    return items.select(F.col("l_orderkey").alias("doc_id"), "idx", F.concat(head, "p_name", tail).alias("text"), F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("num_id"), F.col("l_quantity").cast("long").alias("left"), (-F.col("l_suppkey") % 60).cast("long").alias("first"))
+    p = items.select(F.col("l_orderkey").alias("doc_id"), "idx", F.concat(head, "p_name", tail).alias("text"), F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("num_id"), F.col("l_quantity").cast("long").alias("left"), (-F.col("l_suppkey") % 60).cast("long").alias("first"))
+    return spread(p, n, "doc_id")
 
 
 @query(f"""WITH RECURSIVE {CLAUSES}, f AS (SELECT doc_id, idx, text, regexp_matches(text, '^（[子丑甲]）') AND right(lag(text) OVER (PARTITION BY doc_id ORDER BY idx), 1) = '：' AS fits FROM p),
