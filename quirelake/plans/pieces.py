@@ -78,8 +78,9 @@ def signature_rows(spark, sf_dir):
     """Rows of at most three names, as even as possible, each within 80."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     rows = table(spark, sf_dir, "lineitem").withColumn("i", F.row_number().over(w))
-    lists = rows.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "l_quantity"))), lambda x: x.l_quantity).alias("w"))
-    return lists.select("doc_id", F.posexplode(D.signature_rows(F.col("w"), 80.0, 2.0)).alias("pos", "size")).select("doc_id", F.col("pos").cast("long").alias("pos"), "size")
+    lists = rows.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("i", "l_quantity"))).getField("l_quantity").alias("w"))
+    sizes = lists.select("doc_id", F.posexplode_outer(D.signature_rows(F.col("w"), 80.0, 2.0)).alias("pos", "size")).where("pos is not null")
+    return sizes.select("doc_id", F.col("pos").cast("long").alias("pos"), "size")
 
 
 READINGS = {"中": "zhong", "大": "da", "国": "guo", "韩": "han", "日": "ri"}
