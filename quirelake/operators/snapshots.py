@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirelake.operators.scratch import cut
+
 
 def snapshot_diff(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, kind (unchanged, changed, removed, created), before and after of every key on either side."""
@@ -66,18 +68,23 @@ def parity(a: DataFrame, b: DataFrame, keys: list[str], fields: list[str]) -> Da
     return rows.groupBy("x.field").agg(F.count_if("paired").alias("paired"), F.count_if(F.col("paired") & F.col("x.same")).alias("equal"), F.count_if(~F.col("paired")).alias("unpaired"))
 
 
-def compare_runs(a: DataFrame, b: DataFrame, case: str, row: str, properties: list[str], blocked: str = "blocked") -> DataFrame:
+def compare_runs(a: DataFrame, b: DataFrame, case: str, row: str, properties: list[str], blocked: str = "blocked", parts: int | None = None) -> DataFrame:
     """Differences of two runs over the same cases: case, row, kind, in_a, in_b.
 
     A case that only one run blocked gives one row (blocked); one that both blocked none. Of others, rows that only one
-    side has (extra, missing) and each property that differs.
+    side has (extra, missing) and each property that differs. parts: partitions of the joins (Spark's setting if None).
     """
-    state = lambda df, name: df.groupBy(case).agg(F.bool_or(blocked).alias(name))
-    cases = state(a, "_a").join(state(b, "_b").hint("merge"), case, "full_outer").select(case, F.coalesce("_a", F.lit(False)).alias("_a"), F.coalesce("_b", F.lit(False)).alias("_b"))
+    dealt = lambda df, *keys: df.repartition(parts, *keys) if parts else df
+    # both runs' flags in one pass; cases without a name are never the same case
+    state = lambda df, mark: df.select(case, *[(F.col(blocked) if m == mark else F.lit(None).cast("boolean")).alias(f"_{m}") for m in "ab"], F.when(F.col(case).isNull(), mark).alias("_of"))
+    cases = state(a, "a").union(state(b, "b")).groupBy(case, "_of").agg(*[F.coalesce(F.bool_or(m), F.lit(False)).alias(m) for m in ("_a", "_b")]).drop("_of")
+    # written once for both readers, else a task would work out both runs, the flags and the joins together
+    cases = cut(cases)
     none = F.lit(None).cast("string")
     one = cases.where("_a <> _b").select(case, F.lit(None).cast(dict(a.dtypes)[row]).alias(row), F.lit("blocked").alias("kind"), F.col("_a").cast("string").alias("in_a"), F.col("_b").cast("string").alias("in_b"))
     side = lambda df, mark: df.select(case, row, *[F.col(p).cast("string").alias(f"{mark}_{p}") for p in properties], F.lit(1).alias(f"_{mark}"))
-    both = side(a, "a").join(side(b, "b").hint("merge"), [case, row], "full_outer").join(cases.where("not _a and not _b").select(case).hint("merge"), case)
+    both = dealt(side(a, "a"), case, row).join(dealt(side(b, "b"), case, row).hint("merge"), [case, row], "full_outer")
+    both = dealt(both, case).join(cases.where("not _a and not _b").select(case).hint("merge"), case)
     found = F.when(F.col("_a").isNull(), F.array(F.struct(F.lit("extra").alias("kind"), none.alias("x"), none.alias("y")))).when(F.col("_b").isNull(), F.array(F.struct(F.lit("missing").alias("kind"), none.alias("x"), none.alias("y")))).otherwise(
         F.filter(F.array(*[F.when(~F.col(f"a_{p}").eqNullSafe(F.col(f"b_{p}")), F.struct(F.lit(p).alias("kind"), F.col(f"a_{p}").alias("x"), F.col(f"b_{p}").alias("y"))) for p in properties]), lambda d: d.isNotNull())
     )
