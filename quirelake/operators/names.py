@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -19,6 +21,9 @@ MEMBER = "member-state"
 #: A gazetteer index of at most this many spellings is broadcast; a larger one is joined by sort-merge.
 INDEX_ROWS = 200_000
 
+#: The keys of an index of at most this many, such as the states of the world, are looked up without a join.
+INDEX_LITERALS = 1_000
+
 
 @F.pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
@@ -26,13 +31,38 @@ def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-def name_key(value: Column) -> Column:
-    """Lookup key: compatibility forms composed, straight apostrophes, blanks folded, lower case."""
-    straight = F.translate(_nfkc(value), "’‘", "''")
+@F.arrow_udf(StringType())
+def _nfkc_each(arrays: pa.Array) -> pa.Array:
+    """The same for arrays in JSON: Spark sizes a batch of lists anew for each of its rows."""
+    if arrays.null_count == len(arrays):
+        return arrays
+    return pa.array([a and json.dumps([x and unicodedata.normalize("NFKC", x) for x in json.loads(a)]) for a in arrays.to_pylist()], arrays.type)
+
+
+def _key(composed: Column) -> Column:
+    straight = F.translate(composed, "’‘", "''")
     blanks = F.translate(straight, NAME_BLANKS, " " * len(NAME_BLANKS))
     return F.lower(F.trim(F.regexp_replace(blanks, " +", " ")))
 
 
+def name_key(value: Column) -> Column:
+    """Lookup key: compatibility forms composed, straight apostrophes, blanks folded, lower case."""
+    return _key(_nfkc(value))
+
+
+def with_name_keys(df: DataFrame, names: str, keys: str) -> DataFrame:
+    """df with the lookup keys of an array of names. Names of ASCII alone are their own compatibility forms: rows without
+    others send nothing to Python."""
+    odd = lambda x: F.octet_length(x) > F.length(x)
+    df = df.withColumn("_odd", F.coalesce(odd(F.array_join(names, "")), F.lit(False)))
+    others = F.to_json(F.transform(names, lambda x: F.when(odd(x), x)))
+    df = df.withColumn("_forms", F.from_json(_nfkc_each(F.when(F.col("_odd"), others)), "array<string>"))
+    # a blank alone stays as it is
+    plain = lambda x: F.lower(F.trim(F.regexp_replace(x, "[\\t-\\r ]{2,}|[\\t-\\r]", " ")))
+    mixed = F.transform(names, lambda x, i: F.when(odd(x), _key(F.get("_forms", i))).otherwise(plain(x)))
+    return df.withColumn(keys, F.when(F.col("_odd"), mixed).otherwise(F.transform(names, plain))).drop("_odd", "_forms")
+
+
 def name_index(gazetteer: DataFrame, spellings: list[str]) -> DataFrame:
     """key, id, display and kind for each distinct spelling; `ids` counts the records that share a key.
 

@@ -18,7 +18,8 @@ from quirelake.functions import clauses as C
 from quirelake.functions import numerals as N
 from quirelake.functions import text as T
 from quirelake.functions import treaty as Y
-from quirelake.operators.names import bounded, name_key
+from quirelake.operators import names as M
+from quirelake.operators.names import bounded
 
 Vocabulary = dict[str, dict[str, list[str]]]
 
@@ -340,47 +341,84 @@ def title_like(text: Column) -> Column:
     return (F.length(text) <= 160) & ~text.rlike("[。；;！？!?]") & ~text.rlike(r"(?i)^(?:鉴于|whereas\b)")
 
 
+def titles(p: DataFrame) -> DataFrame:
+    """One row per document with a title: doc_id, language, lines and at (their para_idx). The title's lines: of the first
+    three non-blank short lines those up to the first with a treaty word, else the first."""
+    text = F.coalesce("text", F.lit(""))
+    rows = p.withColumn("line", T.squeeze(text))
+    some = F.col("line") != ""
+    whole = _doc("para_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nth = lambda c, n: F.nth_value(F.when(some, c), n, ignoreNulls=True).over(whole)
+    # all windows are of one order, so that they share one pass
+    columns = {f"_l{n}": nth(F.col("line"), n) for n in (1, 2, 3)} | {f"_a{n}": nth(F.struct("para_idx"), n) for n in (1, 2, 3)} | {"_row": F.row_number().over(_doc("para_idx"))}
+    if "language" not in p.columns:
+        without = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+        cjk = F.when(F.octet_length(text) == F.length(text), 0).otherwise(without(T.CJK))
+        columns |= {"_cjk": F.sum(cjk).over(whole), "_latin": F.sum(without("[A-Za-z]+")).over(whole)}
+    rows = rows.withColumns(columns).where("_row = 1")
+    if "language" not in p.columns:
+        rows = rows.withColumn("language", F.when((F.col("_cjk") >= 2) & (F.col("_cjk") >= F.floor(F.col("_latin") / 4)), "zh").otherwise("en"))
+    like = lambda n: title_like(F.col(f"_l{n}"))
+    word = lambda n: F.when(F.col("language") == "zh", F.col(f"_l{n}").rlike(f"(?:{TITLE_WORDS['zh']})$")).otherwise(F.col(f"_l{n}").rlike(f"(?i){TITLE_WORDS['en']}"))
+    last = F.when(word(1), 1).when(like(2) & word(2), 2).when(like(2) & like(3) & word(3), 3).otherwise(1)
+    rows = rows.where(like(1)).withColumn("_last", last)
+    upto = lambda c: F.slice(F.array(*[f"{c}{n}" for n in (1, 2, 3)]), F.lit(1), F.col("_last"))
+    return rows.select("doc_id", "language", upto("_l").alias("lines"), F.transform(upto("_a"), lambda a: a.para_idx).alias("at"))
+
+
 def title_lines(p: DataFrame) -> DataFrame:
-    """The title's lines: of the first three non-blank short lines those up to the first with a treaty word, else the first."""
-    rows = (p if "language" in p.columns else with_language(p)).withColumn("line", T.squeeze(F.coalesce("text", F.lit("")))).where("line <> ''")
-    rows = rows.withColumn("_n", F.row_number().over(_doc("para_idx"))).where("_n <= 3")
-    word = F.when(F.col("language") == "zh", F.col("line").rlike(f"(?:{TITLE_WORDS['zh']})$")).otherwise(F.col("line").rlike(f"(?i){TITLE_WORDS['en']}"))
-    rows = rows.withColumns({"_odd": F.max((~title_like(F.col("line"))).cast("int")).over(_doc("_n", True)), "_word": word})
-    rows = rows.where("_odd = 0").withColumn("_last", F.coalesce(F.min(F.when(F.col("_word"), F.col("_n"))).over(_doc()), F.lit(1)))
-    return rows.where("_n <= _last").select("doc_id", "para_idx", "line", "language")
+    """The title's lines, a row each."""
+    rows = titles(p).select("doc_id", "language", F.explode_outer(F.arrays_zip("at", "lines")).alias("x"))
+    return rows.select("doc_id", F.col("x.at").alias("para_idx"), F.col("x.lines").alias("line"), "language")
 
 
 def treaty_heads(titles: DataFrame) -> DataFrame:
-    """doc_id, language and the part of the title that lists the parties."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("para_idx", "line"))), lambda x: x.line)
-    df = titles.groupBy("doc_id").agg(F.first("language").alias("language"), lines.alias("_t"))
-    start, joined = SUBJECT_START["zh"], F.array_join("_t", "")
+    """doc_id, language and the part of the title that lists the parties. titles: rows of lines, or of whole titles."""
+    df = titles
+    if "lines" not in df.columns:
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("para_idx", "line"))), lambda x: x.line)
+        df = df.groupBy("doc_id").agg(F.first("language").alias("language"), lines.alias("lines"))
+    is_zh = F.col("language") == "zh"
+    start, joined = SUBJECT_START["zh"], F.array_join("lines", "")
     zh = (
-        F.when((F.size("_t") > 1) & F.get("_t", F.lit(1)).rlike(f"^(?:{start})"), F.get("_t", F.lit(0)))
+        F.when((F.size("lines") > 1) & F.get("lines", F.lit(1)).rlike(f"^(?:{start})"), F.get("lines", F.lit(0)))
         .when(joined.rlike(start), F.regexp_extract(joined, f"(?s)^(.*?)(?:{start})", 1))
         .when(joined.rlike(f"(?:{TITLE_WORDS['zh']})$"), F.regexp_replace(joined, f"(?:{TITLE_WORDS['zh']})$", "")).otherwise("")
     )
-    flat = T.squeeze(F.regexp_replace(F.array_join("_t", " "), r"(?U)\s+", " "))
-    listed = f"(?i){EN_LEAD}(.+?)(?:{SUBJECT_START['en']}|$)"
-    en = F.when(flat.rlike(listed), F.regexp_extract(flat, listed, 1)).otherwise(F.regexp_extract(flat, f"(?i)^(.+?){TITLE_WORDS['en']}", 1))
-    return df.select("doc_id", "language", F.when(F.col("language") == "zh", zh).otherwise(en).alias("head"))
+    # a column of its own for each step, so that none is worked out twice; what is listed is never empty
+    df = df.withColumn("_flat", F.when(is_zh, "").otherwise(T.squeeze(F.regexp_replace(F.array_join("lines", " "), r"(?U)\s{2,}|[^\S ]", " "))))
+    df = df.withColumn("_listed", F.regexp_extract("_flat", f"(?i){EN_LEAD}(.+?)(?:{SUBJECT_START['en']}|$)", 1))
+    en = F.when(F.col("_listed") != "", F.col("_listed")).otherwise(F.regexp_extract("_flat", f"(?i)^(.+?){TITLE_WORDS['en']}", 1))
+    return df.select("doc_id", "language", F.when(is_zh, zh).otherwise(en).alias("head"))
 
 
 def split_parties(heads: DataFrame, index: DataFrame) -> DataFrame:
     """doc_id and parties (array) of each head. A separator inside a known name does not split: neighbours of which the
-    first is unknown are one party where together they are known. index: keys of known names (name_index, review lists)."""
+    first is unknown are one party where together they are known. index: keys of known names (name_index, review lists).
+    A small index is looked up in the row of the head, a larger one by joins of the pieces."""
     zh = F.col("language") == "zh"
     cut = lambda f: F.when(zh, f(SEPARATORS["zh"])).otherwise(f(f"(?i){SEPARATORS['en']}"))
-    df = heads.withColumns({"_p": cut(lambda s: F.split("head", s, -1)), "_s": cut(lambda s: F.regexp_extract_all("head", F.lit(s), F.lit(0)))})
-    clean = lambda x: F.when(zh, T.squeeze(F.regexp_replace(T.squeeze(x), ZH_TRAILING, ""))).otherwise(T.squeeze(F.regexp_replace(T.squeeze(x), "[,，]+$", "")))
-    rows = df.select("doc_id", "language", "_s", "_p", F.posexplode_outer("_p").alias("i", "piece"))
-    pair = F.when(F.col("i") + 1 < F.size("_p"), clean(F.concat("piece", F.get("_s", F.col("i")), F.get("_p", F.col("i") + 1))))
-    rows = rows.select("doc_id", "i", clean(F.col("piece")).alias("one"), pair.alias("two"))
-    known = bounded(index.select(F.col("key")).distinct())
-    rows = rows.withColumns({"_k1": name_key(F.col("one")), "_k2": name_key(F.col("two"))})
-    rows = rows.join(known.select(F.col("key").alias("_k1"), F.lit(True).alias("_known1")), "_k1", "left").join(known.select(F.col("key").alias("_k2"), F.lit(True).alias("_known2")), "_k2", "left")
-    may = F.col("_known1").isNull() & F.col("_known2").isNotNull()
-    ordered = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "one", "two", may.alias("may")))).alias("x"))
+    pieces = F.coalesce(cut(lambda s: F.split("head", s, -1)), F.array(F.lit(None).cast("string")))
+    df = heads.withColumns({"_p": pieces, "_s": cut(lambda s: F.regexp_extract_all("head", F.lit(s), F.lit(0)))})
+    pairs = F.transform("_p", lambda x, i: F.when(i + 1 < F.size("_p"), F.concat(x, F.get("_s", i), F.get("_p", i + 1))))
+    trailing = lambda x: T.squeeze(F.regexp_replace(x, ZH_TRAILING, ""))
+    commas = lambda x: F.when(x.endswith(",") | x.endswith("，"), T.squeeze(F.regexp_replace(x, "[,，]+$", ""))).otherwise(x)
+    clean = lambda x: F.when(zh, F.transform(F.transform(x, T.squeeze), trailing)).otherwise(F.transform(F.transform(x, T.squeeze), commas))
+    df = df.select("doc_id", clean(F.col("_p")).alias("one"), clean(pairs).alias("two"))
+    df = M.with_name_keys(df.withColumn("_names", F.concat("one", "two")), "_names", "_k")
+    df = df.withColumns({"_k1": F.slice("_k", F.lit(1), F.size("one")), "_k2": F.slice("_k", F.size("one") + 1, F.size("one"))})
+    keys = index.select("key").where("key is not null").distinct()
+    few = keys.limit(M.INDEX_LITERALS + 1).collect()
+    if len(few) <= M.INDEX_LITERALS:
+        known = lambda k: F.coalesce(k.isin(*[r.key for r in few]), F.lit(False))
+        df = df.withColumn("may", F.transform("_k2", lambda k, i: known(k) & ~known(F.get("_k1", i))))
+    else:
+        keys = bounded(keys)
+        rows = df.select("doc_id", F.posexplode_outer(F.arrays_zip("one", "two", "_k1", "_k2")).alias("i", "x")).select("doc_id", "i", "x.*")
+        rows = rows.join(keys.select(F.col("key").alias("_k1"), F.lit(True).alias("_known1")), "_k1", "left").join(keys.select(F.col("key").alias("_k2"), F.lit(True).alias("_known2")), "_k2", "left")
+        may = F.col("_known1").isNull() & F.col("_known2").isNotNull()
+        x = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "one", "two", may.alias("may")))).alias("x"))
+        df = x.select("doc_id", "x.one", "x.two", "x.may")
     start = F.struct(F.lit(False).alias("used"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
@@ -388,7 +426,8 @@ def split_parties(heads: DataFrame, index: DataFrame) -> DataFrame:
         party = F.when(joins, x.two).otherwise(x.one)
         return F.struct(joins.alias("used"), F.when(s.used | (party == ""), s.out).otherwise(F.concat(s.out, F.array(party))).alias("out"))
 
-    return ordered.select("doc_id", F.aggregate("x", start, step, lambda s: s.out).alias("parties"))
+    joined = F.aggregate(F.arrays_zip("one", "two", "may"), start, step, lambda s: s.out)
+    return df.select("doc_id", F.when(F.exists("may", lambda m: m), joined).otherwise(F.filter("one", lambda x: ~x.eqNullSafe(""))).alias("parties"))
 
 
 def treaty_body(p: DataFrame) -> DataFrame:
