@@ -13,6 +13,7 @@ from quirelake.functions.text import LIST_MARKER, UNICODE, squeeze
 
 #: Lines that name an organ before the clauses.
 SUBJECT_LINES = (r"^The [A-Z][A-Za-z'’.\-]*(?: (?:[A-Z][A-Za-z'’.\-]*|of|on|for|and|the|in|to|de|\([A-Z]+\))){0,9},$", r"^[一-鿿·（）()]{0,28}(?:大会|理事会|委员会|议会|组织|会议|法院)[，,]$")
+PREFIX = r"(?i)^(?:the\s+|联合国)"
 #: What a clause is by default in each type, and how sure that is.
 DEFAULTS = {"working-paper": ("body", 0.72), "draft-directive": ("operative", 0.72), "friendly-amendment": ("operative", 0.72), "unfriendly-amendment": ("operative", 0.72)}
 
@@ -63,8 +64,23 @@ def without_commas(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(",")) | F.contains(text, F.lit("，")), F.regexp_replace(text, "[，,]+$", "")).otherwise(text)
 
 
+def ends_in_comma(line: Column) -> Column:
+    return F.when(line.endswith(","), True).otherwise(line.endswith("，"))
+
+
+def bare(line: Column) -> Column:
+    """A trimmed line without final commas, trimmed again."""
+    return F.when(ends_in_comma(line), squeeze(without_commas(line))).otherwise(line)
+
+
+def without_prefix(name: Column) -> Column:
+    """The name of an organ without its article or prefix; few begin like one and need the pattern."""
+    begin = F.substr(name, F.lit(1), F.lit(1))
+    return F.when(begin.isin("t", "T", "联"), F.regexp_replace(name, PREFIX, "")).otherwise(name)
+
+
 def bare_organ(text: Column) -> Column:
-    return F.regexp_replace(squeeze(without_commas(squeeze(text))), r"(?i)^(?:the\s+|联合国)", "")
+    return F.regexp_replace(squeeze(without_commas(squeeze(text))), PREFIX, "")
 
 
 def organ_name(text: Column) -> Column:

@@ -18,6 +18,7 @@ from quirelake.functions import clauses as C
 from quirelake.functions import numerals as N
 from quirelake.functions import text as T
 from quirelake.functions import treaty as Y
+from quirelake.functions.text import let
 from quirelake.operators import names as M
 from quirelake.operators.names import bounded
 
@@ -60,16 +61,33 @@ def _doc(order: str | None = None, upto: bool = False):
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow) if upto else w
 
 
+def _cjk(text: Column) -> Column:
+    """How many CJK characters a text has; texts of ASCII alone need no pattern."""
+    return F.when(F.octet_length(text) == F.length(text), 0).otherwise(F.length(text) - F.length(F.regexp_replace(text, T.CJK, "")))
+
+
+def _latin(text: Column) -> Column:
+    return F.length(text) - F.length(F.regexp_replace(text, "[A-Za-z]+", ""))
+
+
+def _language(cjk: Column, latin: Column) -> Column:
+    return F.when((cjk >= 2) & (cjk >= F.floor(latin / 4)), "zh").otherwise("en")
+
+
 def with_language(p: DataFrame) -> DataFrame:
     """p with the language of the whole document, from sums of its rows' characters."""
     text = F.coalesce("text", F.lit(""))
-    without = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
     # sorted by place from the first window on, so that the windows that follow need no sort of their own
     whole = _doc("para_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # texts of ASCII alone have none, and only where there are two do Latin letters matter
-    df = p.withColumn("_cjk", F.sum(F.when(F.octet_length(text) == F.length(text), 0).otherwise(without(T.CJK))).over(whole))
-    latin = F.sum(F.when(F.col("_cjk") >= 2, without("[A-Za-z]+")).otherwise(0)).over(whole)
-    return df.withColumn("language", F.when((F.col("_cjk") >= 2) & (F.col("_cjk") >= F.floor(latin / 4)), "zh").otherwise("en")).drop("_cjk")
+    # only where there are two such characters do Latin letters matter
+    df = p.withColumn("_cjk", F.sum(_cjk(text)).over(whole))
+    latin = F.sum(F.when(F.col("_cjk") >= 2, _latin(text)).otherwise(0)).over(whole)
+    return df.withColumn("language", _language(F.col("_cjk"), latin)).drop("_cjk")
+
+
+def _part(line: Column) -> Column:
+    """Whether a trimmed line is a part heading."""
+    return F.when(F.substr(line, F.lit(1), F.lit(1)).isin("P", "p"), line.rlike(PART)).otherwise(False)
 
 
 def opens_with(text: Column, vocabulary: Vocabulary, kind: str, language: Column | None = None) -> Column:
@@ -83,19 +101,29 @@ def opens_with(text: Column, vocabulary: Vocabulary, kind: str, language: Column
 
 def is_name_continuation(text: Column, regions: list[str] = ()) -> Column:
     """Whether a line goes on with a list of states: no clause marks or digits, every name a short formal one or a region."""
-    names = T.split_names(F.regexp_replace(text, r"[、，,\s]+$", ""))
     bare = lambda v: F.lower(T.squeeze(F.regexp_replace(v, r"(?i)^The\s+", "")))
-    known = F.array(*map(F.lit, regions)) if regions else F.array().cast("array<string>")
-    state = lambda v: F.when(v.rlike("[㐀-鿿]"), (F.length(v) <= 24) & v.rlike(STATE_ZH)).otherwise((F.length(v) <= 80) & (F.array_contains(known, bare(v)) | v.rlike(STATE_EN)))
-    return ~text.rlike(r"[：:。！？!?；;\d]") & ~text.rlike(r"\.\s*$") & (F.size(names) > 0) & F.forall(names, state)
+    known = lambda v: F.array_contains(F.array(*map(F.lit, regions)), bare(v)) if regions else F.lit(False)
+    state = lambda v: F.when(v.rlike("[㐀-鿿]"), (F.length(v) <= 24) & v.rlike(STATE_ZH)).otherwise((F.length(v) <= 80) & (v.rlike(STATE_EN) | known(v)))
+    # one kind of mark between names, so that they are split without a pattern
+    names = F.split(F.translate(F.regexp_replace(text, r"[、，,\s]+$", ""), "，、;；/|\n\r\t", "," * 9), ",", -1)
+    parts = let(F.filter(F.transform(names, T.trim_name), lambda x: x != ""), lambda x: (F.size(x) > 0) & F.forall(x, state))
+    # few lines hold the name of a state at all; when keeps the rest from being worked out for the others
+    may = F.lit(True) if regions else text.rlike(STATE_EN) | text.rlike(r"国|联邦|联盟|教廷")
+    return F.when(text.rlike(r"[：:。！？!?；;\d]"), False).when(text.rlike(r"\.\s*$"), False).when(~may, False).otherwise(parts)
+
 
+def is_committee_subject(line: Column, committee: Column, vocabulary: Vocabulary) -> Column:
+    """Whether a trimmed line addresses the body: the committee itself, a usual form, or an organ line."""
+    return _is_subject(line, F.lower(C.bare(line)), committee, vocabulary)
 
-def is_committee_subject(text: Column, committee: Column, vocabulary: Vocabulary) -> Column:
-    """Whether a line addresses the body: the committee itself, a usual form, or an organ line."""
-    clean = F.lower(T.squeeze(C.without_commas(text)))
-    own = F.when(F.coalesce(committee, F.lit("")) != "", C.bare_organ(clean) == C.organ_name(committee))
+
+def _is_subject(line: Column, clean: Column, committee: Column, vocabulary: Vocabulary) -> Column:
+    """is_committee_subject() with clean, the line without commas and capitals."""
     verbs = [v for kinds in vocabulary.values() for phrases in kinds.values() for v in phrases]
-    return F.coalesce(own, F.lit(False)) | clean.isin(*SUBJECTS) | T.squeeze(text).rlike(r"^The [A-Z][A-Z\s]*,$") | C.is_subject_line(T.squeeze(text), verbs)
+    own = F.when(F.coalesce(committee, F.lit("")) != "", C.without_prefix(C.bare(clean)) == F.lower(C.without_prefix(C.bare(committee)))).otherwise(False)
+    # the usual forms end in a comma
+    usual = F.when(C.ends_in_comma(line), line.rlike(r"^The [A-Z][A-Z\s]*,$") | C.is_subject_line(line, verbs)).otherwise(False)
+    return F.when(own, True).when(clean.isin(*SUBJECTS), True).otherwise(usual)
 
 
 def header(p: DataFrame, document_type: str, vocabulary: Vocabulary, regions: list[str] = ()) -> DataFrame:
@@ -107,48 +135,53 @@ def header(p: DataFrame, document_type: str, vocabulary: Vocabulary, regions: li
     Lists go on over lines that continue them.
     """
     fields = UNLABELLED.get(document_type, ())
-    df = with_language(p).withColumn("line", T.squeeze(F.coalesce("text", F.lit(""))))
-    df = df.withColumns({"_some": F.col("line") != "", "_is_title": F.when(T.may_be_title(F.col("line"), document_type), T.looks_like_title(F.lower("line"), document_type)).otherwise(False)})
+    everything = _doc("para_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = lambda condition: F.min(F.when(condition, F.col("para_idx")))
-    df = df.withColumn("_title", first(F.col("_some") & F.col("_is_title")).over(_doc()))
-    native = F.col("native_level").isNotNull() if "native_level" in p.columns else F.lit(False)
-    df = df.withColumn("_opens", (F.col("para_idx") > F.coalesce("_title", F.lit(-1))) & T.starts_body(F.col("line"), native))
-    df = df.withColumn("_limit", F.coalesce(first(F.col("_opens")).over(_doc()), F.lit(2**31 - 1)))
-    df = df.withColumn("_l", F.when(F.col("_some") & (F.col("para_idx") < F.col("_limit")), T.label_value(F.col("line"))))
-    df = df.withColumn("_labelled", F.coalesce(first(F.col("_l").isNotNull()).over(_doc()), F.lit(2**31 - 1)))
-    above = F.col("_some") & (F.col("para_idx") > F.col("_title")) & (F.col("para_idx") < F.least("_labelled", "_limit")) & (F.length("line") <= 80)
-    plain = F.when(above, ~T.has_marker(F.col("line")) & ~F.col("line").rlike("[。！？!?；;]|[,，]$") & ~opens_with(F.col("line"), vocabulary, "preambulatory", F.col("language")))
-    df = df.withColumn("_plain", F.coalesce(plain, F.lit(False)))
-    df = df.withColumn("_nth", F.when(F.col("_plain"), F.sum(F.col("_plain").cast("int")).over(_doc("para_idx", True))))
-    df = df.withColumn("_plain", F.col("_plain") & (F.col("_nth") <= len(fields)))
-    count = F.sum(F.col("_plain").cast("int")).over(_doc())
-    organ = F.bool_or(F.col("_plain") & F.col("line").rlike(ORGAN)).over(_doc())
-    enough = (count == len(fields)) | ((count == 1) & ((F.col("_labelled") < 2**31 - 1) & organ | F.lit(document_type == "draft-directive")))
+    never = F.lit(2**31 - 1)
+    # windows of one order share one sort, and those that need nothing of each other one pass
+    df = p.withColumn("line", T.trimmed(F.coalesce("text", F.lit(""))))
+    line = F.col("line")
+    df = df.withColumns({"_some": line != "", "_is_title": F.when(T.may_be_title(line, document_type), T.looks_like_title(F.lower(line), document_type)).otherwise(False), "_l": T.label_value(line), "_marker": F.when(T.unmarked(line), False).otherwise(T.has_marker(line))})
+    df = df.withColumns({"_cjk": F.sum(_cjk(line)).over(everything), "_title": first(F.col("_some") & F.col("_is_title")).over(everything), "_labelled": first(F.col("_l").isNotNull()).over(everything)})
+    native = F.col("native_level").isNotNull() if "native_level" in p.columns else F.lit(None).cast("boolean")
+    opens = F.when(F.col("para_idx") > F.coalesce("_title", F.lit(-1)), T.opens_body(line, F.col("_l"), native))
+    df = df.withColumns({"_latin": F.sum(F.when(F.col("_cjk") >= 2, _latin(line)).otherwise(0)).over(everything), "_limit": F.coalesce(first(opens).over(everything), never)})
+    # labels count above the limit
+    above = F.col("para_idx") < F.col("_limit")
+    df = df.withColumns({"language": _language(F.col("_cjk"), F.col("_latin")), "_l": F.when(above, F.col("_l")), "_labelled": F.when(F.col("_labelled") < F.col("_limit"), F.col("_labelled")).otherwise(never)}).drop("_cjk", "_latin")
+    above = F.col("_some") & (F.col("para_idx") > F.col("_title")) & (F.col("para_idx") < F.least("_labelled", "_limit")) & (F.length(line) <= 80)
+    plain = F.when(above, F.when(F.col("_marker"), False).when(line.rlike("[。！？!?；;]|[,，]$"), False).otherwise(~opens_with(line, vocabulary, "preambulatory", F.col("language"))))
+    df = df.withColumn("_plain", F.coalesce(plain, F.lit(False))).drop("_title", "_limit")
+    # of more plain lines than fields the first ones count
+    organ = F.bool_or(F.when(F.col("_plain"), line.rlike(ORGAN)).otherwise(False))
+    df = df.withColumns({"_nth": F.sum(F.col("_plain").cast("int")).over(_doc("para_idx", True)), "_count": F.sum(F.col("_plain").cast("int")).over(everything), "_organ": organ.over(everything)})
+    enough = (F.col("_count") >= len(fields)) | ((F.col("_count") == 1) & ((F.col("_labelled") < never) & F.col("_organ") | F.lit(document_type == "draft-directive")))
     by_place = F.get(F.array(*map(F.lit, fields)) if fields else F.array().cast("array<string>"), F.col("_nth") - 1)
-    df = df.withColumn("_field", F.coalesce(F.col("_l.key"), F.when(F.col("_plain") & enough, by_place)))
-    value = F.coalesce(F.col("_l.value"), T.squeeze(F.regexp_replace("line", r"^\s*[:：]\s*", "")))
+    df = df.withColumn("_field", F.coalesce(F.col("_l.key"), F.when(F.col("_plain") & (F.col("_nth") <= len(fields)) & enough, by_place)))
+    value = F.coalesce(F.col("_l.value"), T.squeeze(F.regexp_replace(line, r"^\s*[:：]\s*", "")))
     # the last label of a field counts, else its unlabelled line; there are few fields, so each has a maximum of its own
     rank = F.when(F.col("_l").isNotNull(), F.lit(2**32)).otherwise(F.lit(0)) + F.col("para_idx").cast("long")
-    df = df.withColumns({"_rank": F.when(F.col("_field").isNotNull(), rank), "_value": F.when(F.col("_field").isNotNull(), value)})
-    of_field = lambda f: F.max(F.when(F.col("_field") == f, F.col("_rank"))).over(_doc())
-    df = df.withColumns({f"_best_{f}": of_field(f) for f in (*SCALARS, *LISTS)})
-    df = df.withColumn("_wins", F.coalesce(reduce(or_, [(F.col("_field") == f) & (F.col("_rank") == F.col(f"_best_{f}")) for f in (*SCALARS, *LISTS)]), F.lit(False)))
+    df = df.withColumns({"_rank": F.when(F.col("_field").isNotNull(), rank), "_value": F.when(F.col("_field").isNotNull(), value)}).drop("_labelled", "_plain", "_nth", "_count", "_organ")
+    of_field = lambda f, of: F.max(F.when(F.col("_field") == f, of)).over(everything)
+    df = df.withColumns({f"_best_{f}": of_field(f, F.col("_rank")) for f in (*SCALARS, *LISTS)} | {"committee": of_field("committee", F.struct("_rank", "_value"))})
+    best = F.lit(False)
+    for f in (*SCALARS, *LISTS):
+        best = F.when(F.col("_field") == f, F.col("_rank") == F.col(f"_best_{f}")).otherwise(best)
+    df = df.withColumns({"_wins": best, "committee": F.col("committee._value")})
     df = df.drop(*[f"_best_{f}" for f in (*SCALARS, *LISTS)])
-    df = df.withColumn("committee", F.max(F.when(F.col("_wins") & (F.col("_field") == "committee"), F.col("_value"))).over(_doc()))
     # the cheap tests first; when keeps the others from being worked out beforehand, which & and | do not
-    marked = F.col("_l").isNotNull() | F.col("_is_title") | T.has_marker(F.col("line")) | F.col("line").rlike(PART)
-    opening = opens_with(F.col("line"), vocabulary, "preambulatory", F.col("language")) | opens_with(F.col("line"), vocabulary, "operative", F.col("language"))
-    stop = F.when(marked, True).when(opening, True).when(~is_name_continuation(F.col("line"), regions), True).otherwise(is_committee_subject(F.col("line"), F.col("committee"), vocabulary))
+    marked = F.when(F.col("_l").isNotNull() | F.col("_is_title") | F.col("_marker"), True).otherwise(_part(line))
+    opening = opens_with(line, vocabulary, "preambulatory", F.col("language")) | opens_with(line, vocabulary, "operative", F.col("language"))
+    stop = F.when(marked, True).when(opening, True).when(~is_name_continuation(line, regions), True).otherwise(is_committee_subject(line, F.col("committee"), vocabulary))
     # a row goes on with the list of the last label above it if nothing in between stops it; labels stop, and unlabelled
     # fields stand above all labels, so a list counts if its label does
     df = df.withColumn("_stops", F.when(F.col("_some"), stop).otherwise(False))
     df = df.withColumn("_stop", F.last(F.when(F.col("_stops"), F.struct(F.when(F.col("_l.key").isin(*LISTS), F.col("_l.key")).alias("of"), F.col("_wins").alias("wins"))), ignorenulls=True).over(_doc("para_idx", True)))
-    df = df.withColumns({"_of": F.col("_stop.of"), "_wins_of": F.col("_stop.wins")})
-    listed = F.col("_some") & F.col("_of").isNotNull() & ~F.col("_stops") & F.coalesce("_wins_of", F.lit(False))
-    role = F.when(F.col("_wins"), F.col("_field")).when(listed, F.concat(F.lit("+"), "_of")).when(F.col("_some") & F.col("_is_title"), "title")
-    df = df.withColumns({"role": role, "value": F.when(F.col("_wins"), F.col("_value")).when(listed, F.col("line"))})
+    listed = F.col("_some") & F.col("_stop.of").isNotNull() & ~F.col("_stops") & F.coalesce("_stop.wins", F.lit(False))
+    role = F.when(F.col("_wins"), F.col("_field")).when(listed, F.concat(F.lit("+"), "_stop.of")).when(F.col("_some") & F.col("_is_title"), "title")
+    df = df.withColumns({"role": role, "value": F.when(F.col("_wins"), F.col("_value")).when(listed, line)})
     ends = F.col("role").isNotNull() | F.col("_field").isNotNull()
-    df = df.withColumn("body_start", F.coalesce(F.max(F.when(ends, F.col("para_idx"))).over(_doc()) + 1, F.lit(0)))
+    df = df.withColumn("body_start", F.coalesce(F.max(F.when(ends, F.col("para_idx"))).over(everything) + 1, F.lit(0)))
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
@@ -165,20 +198,25 @@ def models(headed: DataFrame) -> DataFrame:
     return headed.groupBy("doc_id").agg(F.first("language").alias("language"), title, *scalar, *map(names, LISTS))
 
 
-def _levels_fold(clauses: Column) -> Column:
-    """Levels of a document's clauses (array of structs in order); headings end a list and get null."""
-    start = F.struct(F.lit(0).alias("level"), F.lit(False).alias("in_list"), F.lit(False).alias("paren"), F.array().cast("array<int>").alias("out"))
+def _levels_fold(rows: Column) -> Column:
+    """Levels of a document's rows (array of structs in order); headings end a list and get null."""
+    start = F.struct(
+        F.lit(0).alias("level"), F.lit(False).alias("in_list"), F.lit(False).alias("paren"), F.lit(None).cast("string").alias("token"), F.lit(None).cast("int").alias("numeral"), F.array().cast("array<int>").alias("out")
+    )
 
-    def step(s: Column, x: Column) -> Column:
+    def step(s: Column, r: Column) -> Column:
+        x = r.x
         below = F.least(F.lit(3), s.level + 1)
         of_digit = F.when(s.paren, s.level).when(s.in_list, below).otherwise(0)
         of_indent = F.when(s.in_list, x.indent_level).otherwise(0)
-        level = F.when(x.roman, F.when(s.level >= 1, 2).otherwise(1)).when(x.digit, of_digit).otherwise(F.coalesce(x.fixed, x.native_level, of_indent)).cast("int")
-        item = F.struct(level.alias("level"), ((level > 0) | x.opens).alias("in_list"), x.digit.alias("paren"), F.concat(s.out, F.array(level)).alias("out"))
-        heading = F.struct(s.level.alias("level"), F.lit(False).alias("in_list"), s.paren.alias("paren"), F.concat(s.out, F.array(F.lit(None).cast("int"))).alias("out"))
+        roman = F.when(x.token.isNull(), False).otherwise(N.reads_roman(x.token, x.numeral, s.token, s.numeral))
+        level = F.when(roman, F.when(s.level >= 1, 2).otherwise(1)).when(x.digit, of_digit).otherwise(F.coalesce(x.fixed, x.native_level, of_indent)).cast("int")
+        has = x.token.isNotNull()
+        item = let(level, lambda v: F.struct(v.alias("level"), ((v > 0) | x.opens).alias("in_list"), x.digit.alias("paren"), F.when(has, x.token).otherwise(s.token).alias("token"), F.when(has, x.numeral).otherwise(s.numeral).alias("numeral"), F.concat(s.out, F.array(v)).alias("out")))
+        heading = F.struct(s.level.alias("level"), F.lit(False).alias("in_list"), s.paren.alias("paren"), s.token.alias("token"), s.numeral.alias("numeral"), F.concat(s.out, F.array(F.lit(None).cast("int"))).alias("out"))
         return F.when(x.heading, heading).otherwise(item)
 
-    return F.aggregate(clauses, start, step, lambda s: s.out)
+    return F.aggregate(rows, start, step, lambda s: s.out)
 
 
 def clauses(headed: DataFrame, document_type: str, vocabulary: Vocabulary, indents: dict[str, list[tuple[int, int]]] | None = None) -> DataFrame:
@@ -196,17 +234,17 @@ def _judged(headed: DataFrame, body: Column, document_type: str, vocabulary: Voc
     confidence) where body holds; rows where it doesn't stand above the body. carried: further columns to keep."""
     line = F.col("line")
     optional = lambda c, kind: F.col(c).cast(kind) if c in headed.columns else F.lit(None).cast(kind)
-    df = headed.withColumn("_body", body)
+    df = headed.withColumns({"_body": body, "_bare": F.lower(C.bare(line)), "_begin": F.substr(line, F.lit(1), F.lit(1))})
     # columns that others name stand in projections of their own, so they are worked out once
-    df = df.withColumn("_part", F.col("_body") & line.rlike(PART))
-    df = df.withColumn("_subject", F.when(F.col("_body") & ~F.col("_part"), is_committee_subject(line, F.col("committee"), vocabulary)).otherwise(False))
-    df = df.withColumns({"_heading": F.col("_part") | F.col("_subject"), "_native": optional("native_level", "int")})
-    df = df.withColumn("_token", F.when(F.col("_body") & ~F.col("_heading"), N.paren_token(line)))
-    before = Window.partitionBy("doc_id").orderBy("para_idx").rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("_previous", F.last("_token", ignorenulls=True).over(before))
+    df = df.withColumn("_part", F.when(F.col("_body"), _part(line)).otherwise(False))
+    df = df.withColumn("_subject", F.when(F.col("_body") & ~F.col("_part"), _is_subject(line, F.col("_bare"), F.col("committee"), vocabulary)).otherwise(False))
+    df = df.withColumns({"_heading": F.col("_part") | F.col("_subject"), "_native": optional("native_level", "int"), "_paren": F.col("_begin").isin("(", "（")})
     fixed = F.lit(None).cast("int")
     for pattern, level in reversed(LEVELS):
         fixed = F.when(line.rlike(pattern), level).otherwise(fixed)
+    # what a line begins with decides which patterns can match it
+    fixed = F.when(T.unmarked(line), F.when(F.col("_begin").isin(*"ivxlcdmIVXLCDM"), fixed)).otherwise(fixed)
+    df = df.withColumns({"_token": F.when(F.col("_body") & ~F.col("_heading") & F.col("_paren"), N.paren_token(line)), "_fixed": fixed, "_digit": F.when(F.col("_paren"), N.paren_digit(line)).otherwise(False)})
     left, hanging = F.coalesce(optional("indent_left", "int"), F.lit(0)), F.coalesce(optional("indent_hanging", "int"), F.lit(0))
     rounded = F.when((left > 0) & (left <= DEEPEST_INDENT * 20), F.least(F.lit(3), F.bround(left / 1440 / 0.3).cast("int"))).otherwise(0)
     of_indent = rounded
@@ -214,25 +252,28 @@ def _judged(headed: DataFrame, body: Column, document_type: str, vocabulary: Voc
         for level, (a, b) in reversed(list(enumerate(levels))):
             if level:
                 of_indent = F.when((F.col("language") == language) & (left == a) & (hanging == b), level).otherwise(of_indent)
-    df = df.withColumns({"_fixed": fixed, "_digit": N.paren_digit(line)})
-    opens = F.col("_native").isNotNull() | F.col("_token").isNotNull() | F.col("_digit") | F.col("_fixed").isNotNull() | line.rlike("[：:]$")
+    opens = F.col("_native").isNotNull() | F.col("_token").isNotNull() | F.col("_digit") | F.col("_fixed").isNotNull() | line.endswith(":") | line.endswith("：")
     x = F.struct(
-        (F.col("_heading") | ~F.col("_body")).alias("heading"), (F.col("_token").isNotNull() & N.is_roman_token(F.col("_token"), F.col("_previous"))).alias("roman"), F.col("_digit").alias("digit"), F.col("_fixed").alias("fixed"),
+        (F.col("_heading") | ~F.col("_body")).alias("heading"), F.col("_token").alias("token"), F.when(F.col("_token").isNotNull(), N.short_roman(F.col("_token"))).alias("numeral"), F.col("_digit").alias("digit"), F.col("_fixed").alias("fixed"),
         F.col("_native").alias("native_level"), of_indent.alias("indent_level"), F.coalesce(opens, F.lit(False)).alias("opens"),
     )
-    # rows travel with what the fold needs, so they are worked out once
-    kept = ["para_idx", "line", "language", "_heading", "_subject", "_native", "_body", *carried]
-    ordered = df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("para_idx", x.alias("x"), F.struct(*kept).alias("row")))).alias("_r"))
-    levels = _levels_fold(F.transform("_r", lambda a: a.x))
-    df = ordered.select("doc_id", F.explode_outer(F.arrays_zip(F.col("_r").alias("r"), levels.alias("level"))).alias("z")).select("doc_id", *[F.col(f"z.r.row.{c}") for c in kept], "z.level")
-    df = df.withColumn("_clean", T.strip_marker(line))
     resolution = document_type == "draft-resolution"
-    df = operative_boundary(df, F.col("_clean"), vocabulary) if resolution else df.withColumn("_top", F.lit(None).cast("int"))
+    number = F.when(F.col("_begin").between("0", "9") | (F.col("_begin") == "第"), line.rlike(TOP_NUMBER)).otherwise(False)
+    top, under = F.col("_body") & (number | F.coalesce(F.col("_native") == 0, F.lit(False))), F.when(F.col("_paren"), line.rlike(SUBCLAUSE)).otherwise(False)
+    # rows travel with what the fold needs, so they are worked out once
+    kept = ["para_idx", "line", "language", "_heading", "_subject", "_body", *carried]
+    df = df.select("doc_id", F.struct("para_idx", x.alias("x"), under.alias("under"), F.struct(*kept).alias("row")).alias("_r"), F.when(top, F.col("para_idx")).alias("_first"), F.when(F.col("_subject"), F.col("para_idx")).alias("_after"))
+    df = df.groupBy("doc_id").agg(F.sort_array(F.collect_list("_r")).alias("_r"), F.min("_first").alias("_first"), F.min("_after").alias("_after"))
+    df = operative_boundary(df, vocabulary) if resolution else df.withColumn("_top", F.lit(None).cast("int"))
     # only resolutions ask whether a subject came before
-    df = df.withColumn("_seen", F.coalesce(F.max("_subject").over(before), F.lit(False)) if resolution else F.lit(False))
+    after = F.col("_after") if resolution else F.lit(None).cast("int")
+    zipped = F.arrays_zip(F.transform("_r", lambda a: a.row).alias("row"), _levels_fold(F.col("_r")).alias("level"))
+    df = df.select("doc_id", "_top", after.alias("_after"), F.explode_outer(zipped).alias("z")).select("doc_id", "_top", "_after", *[F.col(f"z.row.{c}") for c in kept], "z.level")
+    df = df.withColumn("_clean", F.when(T.unmarked(line), line).otherwise(T.strip_marker(line)))
+    seen = F.coalesce(F.col("para_idx") > F.col("_after"), F.lit(False))
     guess = F.lit(None).cast("struct<kind:string,confidence:double>")
     for language, kinds in vocabulary.items():
-        guess = F.when(F.col("language") == language, C.classify_clause(F.col("_clean"), document_type, kinds["preambulatory"], kinds["operative"], F.col("_seen"))).otherwise(guess)
+        guess = F.when(F.col("language") == language, C.classify_clause(F.col("_clean"), document_type, kinds["preambulatory"], kinds["operative"], seen)).otherwise(guess)
     pair = lambda k, c: F.struct(F.lit(k).alias("kind"), F.lit(c).cast("double").alias("confidence"))
     by_place = F.when(F.col("para_idx") < F.col("_top"), pair("preambulatory", 0.98)).otherwise(pair("operative", 0.98))
     judged = F.when(F.col("_heading"), pair("heading", 1.0)).when(F.col("_top").isNotNull(), by_place).otherwise(guess)
@@ -241,17 +282,13 @@ def _judged(headed: DataFrame, body: Column, document_type: str, vocabulary: Voc
     return df.withColumn("level", F.when(F.col("_body"), level).cast("int"))
 
 
-def operative_boundary(df: DataFrame, clean: Column, vocabulary: Vocabulary) -> DataFrame:
-    """df (body rows) with _top, the first operative row of a resolution: the first with a top-level number, or an
-    earlier one that opens with an operative verb right before a sub-clause."""
-    w = _doc("para_idx")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    verb = opens_with(clean, vocabulary, "operative", F.col("language"))
-    own = F.col("_body") & (F.col("line").rlike(TOP_NUMBER) | (F.col("_native") == 0))
-    df = df.withColumns({"_first": F.min(F.when(own, F.col("para_idx"))).over(whole), "_next": F.lead("line").over(w), "_at": F.lead("para_idx").over(w)})
-    df = df.withColumn("_early", F.col("_body") & (F.col("_at") < F.col("_first")) & F.col("_next").rlike(SUBCLAUSE) & verb)
-    early = F.min(F.when(F.col("_early"), F.col("para_idx"))).over(whole)
-    return df.withColumn("_top", F.when(F.col("_first").isNotNull(), F.coalesce(early, "_first"))).drop("_first", "_early", "_next", "_at")
+def operative_boundary(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """documents (doc_id, their rows in order, _r, and _first, the first row with a top-level number) with _top, the first
+    operative row of a resolution: _first, or an earlier one that opens with an operative verb right before a sub-clause."""
+    opens = lambda row: F.when(row._body, opens_with(T.strip_marker(row.line), vocabulary, "operative", row.language))
+    before = lambda a, i: F.when((i > 0) & a.under & (a.para_idx < F.col("_first")), let(F.get("_r", i - 1), lambda b: F.when(opens(b.row), b.para_idx)))
+    early = F.array_min(F.transform("_r", before))
+    return documents.withColumn("_top", F.when(F.col("_first").isNotNull(), F.coalesce(early, "_first"))).drop("_first")
 
 
 def max_level(clause_rows: DataFrame) -> DataFrame:
@@ -282,7 +319,8 @@ def _roles(df: DataFrame, document_type: str, with_subject: bool) -> DataFrame:
     """Roles of rows of header() that have their clause's kind, _level and is_subject."""
     operative_type = document_type in ("draft-directive", "draft-resolution") or "amendment" in document_type
     native = F.col("native_level").isNotNull() if "native_level" in df.columns else F.lit(False)
-    listed = (F.col("_level") > 0) | native | T.has_marker(F.col("line"))
+    marked = F.when(T.unmarked(F.col("line")), False).otherwise(T.has_marker(F.col("line")))
+    listed = F.when((F.col("_level") > 0) | native, True).otherwise(marked)
     if document_type == "position-paper":
         level = F.when(F.col("line").rlike(r"^\s*\d+\s*[.、．)]"), 0).when(F.col("line").rlike(r"(?i)^\s*(?:[a-h]|[j-u]|[w-z])\s*[.)]"), 1).when(F.col("line").rlike(r"(?i)^\s*[ivx]+\s*[.)]"), 2)
         listed = level.isNotNull()
